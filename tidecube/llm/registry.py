@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup
 from .common import documents
 
 
@@ -10,9 +10,14 @@ def op3_content_sort(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_bbit_minhash(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 def queries():
     return {
         "op3_content_sort": op3_content_sort,
+        "op8_bbit_minhash": op8_bbit_minhash,
     }
 
 
