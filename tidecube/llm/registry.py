@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import exact_dedup, near_dedup, quality
 from .common import documents
 
 
+def op1_robust_outliers(spark, sf_dir):
+    return quality.quality_verdicts(documents(spark, sf_dir))
+
+
 def op3_content_sort(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -16,6 +20,7 @@ def op8_bbit_minhash(spark, sf_dir):
 
 def queries():
     return {
+        "op1_robust_outliers": op1_robust_outliers,
         "op3_content_sort": op3_content_sort,
         "op8_bbit_minhash": op8_bbit_minhash,
     }
