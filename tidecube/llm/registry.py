@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, quality
+from . import exact_dedup, near_dedup, quality, secret_scan
 from .common import documents
 
 
@@ -18,11 +18,16 @@ def op8_bbit_minhash(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def op10_markov_secrets(spark, sf_dir):
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
 def queries():
     return {
         "op1_robust_outliers": op1_robust_outliers,
         "op3_content_sort": op3_content_sort,
         "op8_bbit_minhash": op8_bbit_minhash,
+        "op10_markov_secrets": op10_markov_secrets,
     }
 
 
