@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, quality, secret_scan
+from . import exact_dedup, near_dedup, packing, quality, secret_scan, sharding
 from .common import documents
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabulary files are; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_robust_outliers(spark, sf_dir):
     return quality.quality_verdicts(documents(spark, sf_dir))
 
@@ -14,10 +21,18 @@ def op3_content_sort(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_swap_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_bbit_minhash(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def op9_bounded_ring(spark, sf_dir):
+    return sharding.assign_shards(documents(spark, sf_dir), 24)
+
+
 def op10_markov_secrets(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
@@ -26,7 +41,9 @@ def queries():
     return {
         "op1_robust_outliers": op1_robust_outliers,
         "op3_content_sort": op3_content_sort,
+        "op5_swap_packing": op5_swap_packing,
         "op8_bbit_minhash": op8_bbit_minhash,
+        "op9_bounded_ring": op9_bounded_ring,
         "op10_markov_secrets": op10_markov_secrets,
     }
 
