@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, secret_scan, sharding
+from . import exact_dedup, near_dedup, packing, quality, secret_scan, sharding, toxicity
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_robust_outliers(spark, sf_dir):
     return quality.quality_verdicts(documents(spark, sf_dir))
 
 
+def op2_ftrl_toxicity(spark, sf_dir):
+    return toxicity.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_content_sort(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def op10_markov_secrets(spark, sf_dir):
 def queries():
     return {
         "op1_robust_outliers": op1_robust_outliers,
+        "op2_ftrl_toxicity": op2_ftrl_toxicity,
         "op3_content_sort": op3_content_sort,
         "op5_swap_packing": op5_swap_packing,
         "op8_bbit_minhash": op8_bbit_minhash,
