@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, secret_scan, sharding, toxicity
+from . import exact_dedup, language_model, near_dedup, packing, quality, secret_scan, sharding, toxicity
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op5_swap_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_log_bilinear(spark, sf_dir):
+    return language_model.held_out_scores(documents(spark, sf_dir))
+
+
 def op8_bbit_minhash(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
@@ -47,6 +51,7 @@ def queries():
         "op2_ftrl_toxicity": op2_ftrl_toxicity,
         "op3_content_sort": op3_content_sort,
         "op5_swap_packing": op5_swap_packing,
+        "op7_log_bilinear": op7_log_bilinear,
         "op8_bbit_minhash": op8_bbit_minhash,
         "op9_bounded_ring": op9_bounded_ring,
         "op10_markov_secrets": op10_markov_secrets,
