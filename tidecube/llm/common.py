@@ -161,26 +161,34 @@ def signed(values: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(node, component) for each node of edges(a, b); component is the smallest node it reaches.
 
-    Each round takes the smallest label among a node's neighbours and then jumps to that label's own
-    label, so the number of rounds follows the logarithm of the diameter. Labels live in tables of the
-    shared folder; only one count per round comes to the driver. A node with many links is a skewed
-    join key on the side that adaptive execution can split, and labels are pre-aggregated before they
-    are shuffled. Self links and repeated links are harmless; no links give no rows.
+    Distributed union-find by contraction: each node points at its smallest neighbour, pointers are followed
+    to their roots by doubling, and links between roots, without those that have become one, are what
+    the next round works on; at most half of the nodes remain each time. Tables live in the shared folder; only one
+    count per step comes to the driver. Rows are pre-aggregated before they are shuffled, and a node with many
+    links is a join key that adaptive execution can split. Self links, repeated links and null ends are
+    harmless; no links give no rows.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = materialise(pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-0")
-    step = 0
+    pairs = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"))
+    pairs = materialise(pairs.where("a < b").distinct(), f"{name}-edges")
+    labels = None
     while True:
-        step += 1
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        lower = materialise(lower, f"{name}-{step}a")
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        labels = materialise(
-            lower.join(jump, "next").select("node", F.least("next", "further").alias("label"), (F.least("next", "further") < F.col("label")).alias("moved")),
-            f"{name}-{step}b",
-        )
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
-        labels = labels.select("node", "label")
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")), f"{name}-near")
+        while True:
+            after = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
+            roots = roots.join(after, "to").select("node", F.col("root").alias("to"), (F.col("root") < F.col("to")).alias("moved"))
+            roots = materialise(roots, f"{name}-roots")
+            done = not roots.where("moved").limit(1).count()
+            roots = roots.select("node", "to")
+            if done:
+                break
+        if labels is None:
+            labels = roots.select("node", F.col("to").alias("component"))
+        else:
+            further = roots.select(F.col("node").alias("component"), "to")
+            labels = materialise(labels.join(further, "component", "left").select("node", F.coalesce("to", "component").alias("component")), f"{name}-labels")
+        left, right = (roots.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        pairs = pairs.join(left, "a").join(right, "b").where("a_to <> b_to")
+        pairs = materialise(pairs.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), f"{name}-contracted")
+        if not pairs.limit(1).count():
+            return labels
