@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, near_dedup, packing, quality, secret_scan, sharding, toxicity
+from . import exact_dedup, language_model, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op3_content_sort(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_sampled_pieces(spark, sf_dir):
+    return segmentation.encode_digest(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_swap_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def queries():
         "op1_robust_outliers": op1_robust_outliers,
         "op2_ftrl_toxicity": op2_ftrl_toxicity,
         "op3_content_sort": op3_content_sort,
+        "op4_sampled_pieces": op4_sampled_pieces,
         "op5_swap_packing": op5_swap_packing,
         "op7_log_bilinear": op7_log_bilinear,
         "op8_bbit_minhash": op8_bbit_minhash,
