@@ -1,4 +1,64 @@
-"""Placeholder for the staged corpus pipeline."""
+"""Staged corpus pipeline: quality rules, exact and near deduplication, secret masking, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidecube.llm import exact_dedup, near_dedup, packing, quality, secret_scan
+from tidecube.llm.common import materialise, release_scratch
+from tidecube.llm.registry import tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie within their language and source's robust ellipsoid."""
+    release_scratch(spark)
+    return quality.drop_low_quality(docs.select(*COLUMNS))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal up to white space, the one with the smallest id."""
+    release_scratch(spark)
+    return exact_dedup.drop_exact_duplicates(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id."""
+    release_scratch(spark)
+    return near_dedup.drop_near_duplicates(docs.select(*COLUMNS), width=5, percent=80)
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked; n_chars follows the text."""
+    release_scratch(spark)
+    masked = secret_scan.mask_secrets(docs.select(*COLUMNS))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences of 1024."""
+    release_scratch(spark)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_duplicates),
+    ("minhash_near_dedup", near_duplicates),
+    ("secret_scan", secret_masking),
+    ("best_fit_packing", sequence_packing),
+]
+
+#: Estimates by concentration steps, signatures and a tokenizer are not expressible in SQL; tests hold the stages
+#: against brute-force versions instead.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to documents, each stage's rows written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,12 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    release_scratch() deletes the table unless keep is set.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidecube-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    _SCRATCH.append(path)
+    if not keep:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

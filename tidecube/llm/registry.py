@@ -49,6 +49,12 @@ def op10_markov_secrets(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_robust_outliers": op1_robust_outliers,
@@ -60,6 +66,7 @@ def queries():
         "op8_bbit_minhash": op8_bbit_minhash,
         "op9_bounded_ring": op9_bounded_ring,
         "op10_markov_secrets": op10_markov_secrets,
+        "pipeline": pipeline,
     }
 
 
