@@ -78,42 +78,44 @@ def _signatures(width: int):
     return run
 
 
-def similarity_estimate(left: str, right: str):
+def similarity_estimate(left: str, right: str, words: int = WORDS):
     """Column: collision-corrected similarity of two packed signatures, by counting unequal groups of BITS bits."""
     per = 64 // BITS
     mask = sum(1 << (BITS * k) for k in range(per))
     mask = mask - (1 << 64) if mask >= 1 << 63 else mask
     unequal = F.lit(0)
-    for k in range(WORDS):
+    for k in range(words):
         x = F.col(f"{left}s{k}").bitwiseXOR(F.col(f"{right}s{k}"))
         shift = 1
         while shift < BITS:
             x = x.bitwiseOR(F.shiftright(x, shift))
             shift *= 2
         unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(mask)))
-    agree = 1 - unequal / F.lit(float(BANDS * ROWS))
+    agree = 1 - unequal / F.lit(float(words * per))
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
 
-def estimate_floor(threshold: float) -> float:
+def estimate_floor(threshold: float, words: int = WORDS) -> float:
     """The least estimate that goes on to the exact check: MARGIN standard errors under the threshold."""
     chance = 2.0**-BITS
     hit = threshold + (1 - threshold) * chance
-    return threshold - MARGIN * (hit * (1 - hit) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+    return threshold - MARGIN * (hit * (1 - hit) / (words * 64 // BITS)) ** 0.5 / (1 - chance)
 
 
 def _with(prefix: str, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in keep])
 
 
-_SIG = ("n_shingles", *(f"s{k}" for k in range(WORDS)))
+def _sig(words: int) -> tuple[str, ...]:
+    return ("n_shingles", *(f"s{k}" for k in range(words)))
 
 
-def _linkable(left: str, right: str, percent: int):
-    """Sizes alone can still reach the threshold, and the estimate is not far under it."""
+def _linkable(left: str, right: str, percent: int, words: int, sized: bool):
+    """Set sizes (if known) can still reach the threshold, and the estimate is not far under it."""
     small, large = F.least(f"{left}n_shingles", f"{right}n_shingles"), F.greatest(f"{left}n_shingles", f"{right}n_shingles")
-    return (small * 100 >= large * percent) & (similarity_estimate(left, right) >= estimate_floor(percent / 100))
+    near = similarity_estimate(left, right, words) >= estimate_floor(percent / 100, words)
+    return (small * 100 >= large * percent) & near if sized else near
 
 
 def _links_in(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
@@ -167,14 +169,21 @@ def _links_in(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], perce
     return links
 
 
-def _confirm(width: int, percent: int):
+def word_sets(width: int):
+    """Texts -> sorted distinct hashes of their word shingles."""
+
+    def make(texts: list[bytes]) -> list[np.ndarray]:
+        return [shingles(w, width) for _, words in word_hashes([t.lower() for t in texts]) for w in words]
+
+    return make
+
+
+def _confirm(make, percent: int):
     """Rows (cluster, i, j, doc_id, block, text) sorted by (cluster, i, j): exact links of each block pair."""
 
     def flush(held: list, out: list) -> None:
         if len(held) > 1:
-            sets: list[np.ndarray] = []
-            for _, words in word_hashes([h[2] for h in held]):
-                sets += [shingles(w, width) for w in words]
+            sets = make([h[2] for h in held])
             ids, blocks = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held])
             out += _links_in(ids, blocks, sets, percent, len(set(blocks.tolist())) > 1)
 
@@ -182,7 +191,7 @@ def _confirm(width: int, percent: int):
         group, held, out = None, [], []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            ids, blocks, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5), lower=True)
+            ids, blocks, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5))
             for key, *row in zip(keys, ids, blocks, texts):
                 if key != group:
                     flush(held, out)
@@ -198,6 +207,46 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: bool = True, repeated: bool = False) -> DataFrame:
+    """(node, component) over reps(doc_id, n_shingles, bands, s0..): clusters that no exact link leaves.
+
+    Two classes that share a bucket and whose estimate is not clearly under the threshold end in one cluster.
+    repeated: reps may hold a class several times, with equal columns.
+    """
+    keys = reps.select("doc_id", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
+    crowded = keys.join(materialise(shared, "buckets"), "key")
+    crowded = materialise(crowded.distinct() if repeated else crowded, "crowded")
+    if repeated:
+        reps = reps.select("doc_id", *_sig(words)).join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
+        reps = materialise(reps.distinct(), "crowded-classes")
+    pairs = crowded.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
+    left, right = _with("l_", reps, ("doc_id", *_sig(words))), _with("r_", reps, ("doc_id", *_sig(words)))
+    star = (
+        pairs.join(left, F.col("doc_id") == F.col("l_doc_id")).join(right, F.col("pivot") == F.col("r_doc_id"))
+        .where(_linkable("l_", "r_", percent, words, sized)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+    )
+    star = materialise(star, "star")
+    loose = connected_components(star, "loose")
+
+    label = F.coalesce("component", "doc_id").alias("label")
+    members = crowded.select("doc_id", "key").join(loose, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label)
+    members = materialise(members, "members")
+    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
+    mixed = materialise(mixed.where("labels > 1").select("key", "main"), "mixed")
+    spread = materialise(members.join(mixed, "key").join(_with("", reps, ("doc_id", *_sig(words))), "doc_id"), "spread")
+    odd = _with("l_", spread.where("label <> main"), ("key", "doc_id", "label", *_sig(words)))
+    rest = _with("r_", spread, ("key", "doc_id", "label", "main", *_sig(words)))
+    apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
+    across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & _linkable("l_", "r_", percent, words, sized))
+    across = across.select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b")).distinct()
+    across = materialise(across, "across")
+    if across.limit(1).count():
+        loose = connected_components(star.union(across), "closed")
+    return materialise(loose, "clusters")
+
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -226,38 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(
         sigs.where("doc_id IS NOT NULL AND n_shingles > 0").dropDuplicates(["doc_id", "set_a", "set_b"]).alias("g")
         .join(sets.alias("s"), (F.col("g.doc_id") == F.col("s.rep")) & (F.col("g.set_a") == F.col("s.set_a")) & (F.col("g.set_b") == F.col("s.set_b")))
-        .select("g.doc_id", "g.bands", *[f"g.{c}" for c in _SIG]),
+        .select("g.doc_id", "g.bands", *[f"g.{c}" for c in _sig(WORDS)]),
         "classes",
     )
 
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = materialise(keys.join(materialise(shared, "buckets"), "key"), "crowded")
-    pairs = crowded.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    left, right = _with("l_", reps, ("doc_id", *_SIG)), _with("r_", reps, ("doc_id", *_SIG))
-    star = (
-        pairs.join(left, F.col("doc_id") == F.col("l_doc_id")).join(right, F.col("pivot") == F.col("r_doc_id"))
-        .where(_linkable("l_", "r_", percent)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    )
-    star = materialise(star, "star")
-    loose = connected_components(star, "loose")
-
-    label = F.coalesce("component", "doc_id").alias("label")
-    members = crowded.select("doc_id", "key").join(loose, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label)
-    members = materialise(members, "members")
-    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    mixed = materialise(mixed.where("labels > 1").select("key", "main"), "mixed")
-    spread = materialise(members.join(mixed, "key").join(_with("", reps, ("doc_id", *_SIG)), "doc_id"), "spread")
-    odd = _with("l_", spread.where("label <> main"), ("key", "doc_id", "label", *_SIG))
-    rest = _with("r_", spread, ("key", "doc_id", "label", "main", *_SIG))
-    apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
-    across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & _linkable("l_", "r_", percent))
-    across = across.select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b")).distinct()
-    across = materialise(across, "across")
-    if across.limit(1).count():
-        loose = connected_components(star.union(across), "closed")
-
-    links = _exact_links(base, materialise(loose, "clusters"), reps, width, percent)
+    loose = loose_clusters(reps, percent)
+    links = exact_links(base, loose, reps, word_sets(width), percent)
     component = connected_components(links, "exact")
     named = materialise(
         sets.join(component, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "named"
@@ -269,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _exact_links(base: DataFrame, clusters: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def exact_links(base: DataFrame, clusters: DataFrame, reps: DataFrame, make, percent: int) -> DataFrame:
     """Exact links inside clusters(node, component): every pair of a cluster meets in one block pair."""
     sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
     blocks = sized.groupBy("component").agg(
@@ -285,7 +308,7 @@ def _exact_links(base: DataFrame, clusters: DataFrame, reps: DataFrame, width: i
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "text"
     )
     dealt = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return materialise(dealt.mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+    return materialise(dealt.mapInArrow(_confirm(make, percent), "a long, b long"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
+from . import exact_dedup, language_model, line_dedup, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op5_swap_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_fuzzy_lines(spark, sf_dir):
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op7_log_bilinear(spark, sf_dir):
     return language_model.held_out_scores(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ def queries():
         "op3_content_sort": op3_content_sort,
         "op4_sampled_pieces": op4_sampled_pieces,
         "op5_swap_packing": op5_swap_packing,
+        "op6_fuzzy_lines": op6_fuzzy_lines,
         "op7_log_bilinear": op7_log_bilinear,
         "op8_bbit_minhash": op8_bbit_minhash,
         "op9_bounded_ring": op9_bounded_ring,
