@@ -1,9 +1,6 @@
 """Registry of the engine's own queries and their SQL oracles."""
 
+from .oracles import oracle_sql
+from .queries import queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
