@@ -131,7 +131,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
             {(a, b): F.pow((F.col(f"q{a}")[2] - F.col(f"q{a}")[0]) / STEPS / 1.349, F.lit(2.0)) if a == b else F.lit(0.0) for a, b in _pairs()},
         ),
     )
-    current = materialise(_cholesky(start, ["grp"]), "mcd-0")
+    current = _cholesky(start, ["grp"])
     upto = Window.partitionBy("grp").orderBy("bin")
     for step in range(1, CONCENTRATIONS + 1):
         near = _binned(_distance(rows.join(current, "grp")))
@@ -183,9 +183,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     passed = stats.where("NOT base_failed").select(
         F.to_json(F.struct("lang")).alias("by_lang"), F.to_json(F.struct("lang", "source")).alias("by_both"), *_vector()
     )
-    sizes = materialise(passed.groupBy("by_lang", "by_both").agg(F.count("*").alias("n")), "group-sizes")
-    langs = sizes.groupBy("by_lang").agg(F.sum("n").alias("lang_n"))
-    chosen = sizes.join(langs, "by_lang").select(
+    sizes = passed.groupBy("by_lang", "by_both").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("lang_n", F.sum("n").over(Window.partitionBy("by_lang")))
+    chosen = sizes.select(
         "by_both",
         F.when(F.col("n") >= LEAST_ROWS, F.col("by_both")).when(F.col("lang_n") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.lit("*")).alias("grp"),
     )
@@ -195,7 +195,6 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     vectors = [f"x{k}" for k in range(DIMS)]
     rows = materialise(passed.select(level, *vectors).join(wanted, "grp", "left_semi"), "vectors")
     params = _estimates(rows).join(chosen, "grp")
-    params = materialise(params, "parameters")
     scored = _distance(
         stats.withColumn("by_both", F.to_json(F.struct("lang", "source"))).select("*", *_vector()).join(params, "by_both", "left")
     )
