@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 import re
 import zlib
@@ -15,63 +16,60 @@ from pyspark.sql import functions as F
 
 #: Pieces that are packed together in one task; blocks are dealt by hash, so their number follows the input.
 BLOCK_PIECES = 16_384
-#: Units whose ids a worker remembers.
-MEMO = 400_000
 #: Local search stops after this many passes without an emptied sequence.
 IDLE_PASSES = 3
 
-#: A unit is white space with the word after it; the tokenizer never joins text across the start of one.
-_UNIT = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
-#: Other white space, by Unicode, may join with what follows: such texts go whole through the tokenizer.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: Texts of these characters alone are split alike by both libraries, whatever Unicode tables they carry: ASCII
+#: without the separators 1C to 1F, and Latin letters and signs without other white space.
+_OTHER = re.compile("[^\x00-\x1b !-~\xa1-ɏ]")
+#: Fixed pattern of the byte-level vocabulary: how a text is split before pairs are merged.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class _Units(dict):
-    """Unit -> its ids as little-endian 32-bit integers."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+@lru_cache(maxsize=2)
+def _coder(path: str, ranks: str | None):
+    """Text -> ids as little-endian 32-bit integers.
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    path is the vocabulary for the tokenizers library. ranks, if given, is the same vocabulary as a rank
+    file: the faster library that reads it gives the same ids, and takes all texts but those with rarer characters.
+    """
+    from tokenizers import Tokenizer
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    fast = None
+    if ranks:
+        import tiktoken
 
-    def __missing__(self, unit: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.encode(unit.decode())
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
 
+    def encode(text: str) -> bytes:
+        if fast is None or _OTHER.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 
-@lru_cache(maxsize=2)
-def _units(path: str) -> _Units:
-    return _Units(path)
+    return encode
 
 
-def encode(text: str, path: str) -> bytes:
-    """Ids of a whole text, as little-endian 32-bit integers: equal to the tokenizer's own on the whole text."""
-    units = _units(path)
-    if _OTHER_SPACE.search(text):
-        return units.encode(text)
-    return b"".join(map(units.__getitem__, _UNIT.findall(text.encode())))
+def encode(text: str, path: str, ranks: str | None = None) -> bytes:
+    """Ids of a whole text, as little-endian 32-bit integers; strings of special tokens are ordinary text."""
+    return _coder(path, ranks)(text)
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str, ranks: str | None, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, ranks)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "", path) + end
+                ids = coder(text or "") + end
                 total = len(ids) // 4
                 first = total % capacity or min(total, capacity)
                 starts = [0, *range(first, total, capacity)]
@@ -91,7 +89,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, path: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, with_ids: bool = False
+) -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32 (and ids).
 
     A document's ids are those of its whole text, then end_id. Only a document longer than capacity is
@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     gives one piece with the end alone.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_pieces(path, capacity, end_id, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return base.mapInArrow(_pieces(path, ranks, capacity, end_id, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -216,6 +216,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_pieces: int = BLOCK_PIEC
     return dealt.groupBy("block").applyInArrow(_pack(capacity, 24), schema)
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2
+) -> DataFrame:
     """token_pieces() and pack() in one; the rows of docs, of which there are no more than pieces, plan the blocks."""
-    return pack(token_pieces(docs, path, id_col, text_col, capacity, end_id), capacity, rows=docs.count())
+    return pack(token_pieces(docs, path, ranks, id_col, text_col, capacity, end_id), capacity, rows=docs.count())

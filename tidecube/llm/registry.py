@@ -30,7 +30,7 @@ def op4_sampled_pieces(spark, sf_dir):
 
 
 def op5_swap_packing(spark, sf_dir):
-    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op6_fuzzy_lines(spark, sf_dir):
