@@ -186,7 +186,7 @@ MONTHS = "months AS (SELECT date_trunc('month', CAST(o_orderdate AS TIMESTAMP)):
 
 
 def _bucket(reqs: str, data: str, value: str, closed: str = "<=") -> str:
-    return f"WITH {DAILY}, ev AS (SELECT CAST(ts AS TIMESTAMP) AS t, value FROM events), req AS ({reqs}) SELECT label, count(*) AS n, round(avg({value}), 4) + 0.0 AS {value} FROM {data} JOIN req ON t >= s AND t {closed} e GROUP BY label, s"
+    return f"WITH {DAILY}, ev AS (SELECT CAST(ts AS TIMESTAMP) AS t, value FROM events), req AS ({reqs}) SELECT label, count(*) AS n, round(avg({value}), 6) + 0.0 AS {value} FROM {data} JOIN req ON t >= s AND t {closed} e GROUP BY label, s"
 
 
 def _series(start: str, end: str, step: str) -> str:
@@ -197,7 +197,7 @@ def _span_requests(unit: str, fmt: str, start: str, end: str) -> str:
     return f"SELECT strftime(s, '{fmt}') AS label, s, s + INTERVAL 1 {unit} AS e FROM (SELECT {_series(start, end, '1 ' + unit)} AS s)"
 
 
-LINE = "line AS (SELECT p AS pid, p * 5::DOUBLE AS depth, CAST(floor(p * 5 / 10.0::DOUBLE) AS BIGINT) AS k0 FROM (SELECT unnest(generate_series(0, 24)) AS p)), at AS (SELECT pid, depth, CASE WHEN depth > 100 THEN NULL WHEN depth > 0 AND depth % 10 = 0 THEN k0 - 1 ELSE k0 END AS k FROM line)"
+LINE = "line AS (SELECT p AS pid, p * 5::DOUBLE AS depth, CAST(floor(p * 5 / 10.0::DOUBLE) AS BIGINT) AS k0 FROM (SELECT unnest(generate_series(0, 24)) AS p)), spots AS (SELECT pid, depth, CASE WHEN depth > 100 THEN NULL WHEN depth > 0 AND depth % 10 = 0 THEN k0 - 1 ELSE k0 END AS k FROM line)"
 
 
 def _point(f: str) -> str:
@@ -276,21 +276,21 @@ named AS (SELECT t, id // 64 AS j, id % 64 AS i, dense_rank() OVER (PARTITION BY
         "select_okubo_weiss": f"{OKUBO} SELECT {KEYS}, region FROM regions WHERE region IN (0, 2)",
         "okubo_weiss": f"{OKUBO} SELECT {KEYS}, round(val, 8) + 0.0 AS okubo_weiss, region FROM regions",
         "land_outline": f"{WITH}, s AS (SELECT t, j, i, land FROM cells WHERE k = 0) SELECT a.t, a.j, a.i FROM s a WHERE a.land = 1 AND EXISTS (SELECT 1 FROM s b WHERE b.t = a.t AND b.land = 0 AND abs(a.j - b.j) + abs(a.i - b.i) = 1)",
-        "time_average": f"WITH {DAILY} SELECT 'period' AS label, count(*) AS n, round(avg(price), 4) + 0.0 AS price FROM daily WHERE t BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-02-28'",
+        "time_average": f"WITH {DAILY} SELECT 'period' AS label, count(*) AS n, round(avg(price), 6) + 0.0 AS price FROM daily WHERE t BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-02-28'",
         "time_agg_daily": _bucket(_span_requests("day", "%Y%m%d", "2024-01-01", "2024-01-31"), "ev", "value"),
         "time_agg_weekly": _bucket(f"SELECT strftime(d, '%Y%m%d') AS label, d - INTERVAL 84 hour + INTERVAL 12 hour AS s, d + INTERVAL 96 hour - INTERVAL 1 second AS e FROM (SELECT {_series('2023-12-25', '2024-02-05', '7 day')} AS d)", "ev", "value"),
         "time_agg_monthly": _bucket(_span_requests("month", "%Y%m", "1995-01-01", "2001-08-01"), "daily", "price"),
         "time_agg_monthly_left": _bucket(_span_requests("month", "%Y%m", "1995-01-01", "2001-08-01"), "daily", "price", "<"),
-        "time_agg_seasonal": _bucket(f"SELECT strftime(s, '%Y') || ' ' || CASE month(s) WHEN 1 THEN 'win' WHEN 4 THEN 'spr' WHEN 7 THEN 'sum' ELSE 'fal' END AS label, s, s + INTERVAL 3 month AS e FROM (SELECT {_series('1994-10-01', '2001-07-01', '3 month')} AS s)", "daily", "price"),
+        "time_agg_seasonal": _bucket(f"SELECT strftime(s, '%Y') || ' ' || CASE month(s) WHEN 1 THEN 'win' WHEN 4 THEN 'spr' WHEN 7 THEN 'sum' ELSE 'fal' END AS label, s, s + INTERVAL 3 month AS e FROM (SELECT {_series('1995-01-01', '2001-07-01', '3 month')} AS s)", "daily", "price"),
         "time_agg_yearly": _bucket(_span_requests("year", "%Y", "1995-01-01", "2001-08-01"), "daily", "price"),
         "time_agg_decadal": _bucket("SELECT '1990...2000' AS label, TIMESTAMP '1990-01-01' AS s, TIMESTAMP '2000-01-01' AS e UNION ALL SELECT '2000...2010', TIMESTAMP '2000-01-01', TIMESTAMP '2010-01-01'", "daily", "price"),
         "time_agg_overlap": f"""WITH {MONTHS}, req AS (SELECT strftime(d, '%Y%m%d') AS label, d + INTERVAL 12 hour - INTERVAL 540 hour AS s, d + INTERVAL 12 hour + INTERVAL 540 hour AS e FROM (SELECT {_series('1995-02-01', '2001-06-01', '45 day')} AS d)),
 ov AS (SELECT label, price, greatest(0, epoch(least(e, t + INTERVAL 1 month)) - epoch(greatest(s, t))) AS w FROM months, req WHERE s < t + INTERVAL 1 month AND t < e)
-SELECT label, count(*) AS n, round(sum(w), 0) + 0.0 AS weight, round(sum(w * price) / sum(w), 4) + 0.0 AS price FROM ov WHERE w > 0 GROUP BY label""",
-        "climatology_season": f"WITH {DAILY} SELECT CAST((month(t) - 1) // 3 AS BIGINT) AS bucket, count(*) AS n, round(avg(price), 4) + 0.0 AS price FROM daily GROUP BY 1",
-        "climatology_month": f"WITH {DAILY} SELECT month(t) AS bucket, count(*) AS n, round(avg(price), 4) + 0.0 AS price FROM daily GROUP BY 1",
-        "climatology_day": f"WITH {DAILY} SELECT month(t) * 100 + day(t) AS bucket, count(*) AS n, round(avg(price), 4) + 0.0 AS price FROM daily GROUP BY 1",
-        "climatology_month_coarse": f"WITH {MONTHS}, days AS (SELECT month(t) AS bucket, price, datediff('day', t, t + INTERVAL 1 month) AS d FROM months) SELECT bucket, CAST(sum(d) AS BIGINT) AS n, round(sum(d * price) / sum(d), 4) + 0.0 AS price FROM days GROUP BY bucket",
+SELECT label, count(*) AS n, round(sum(w), 0) + 0.0 AS weight, round(sum(w * price) / sum(w), 6) + 0.0 AS price FROM ov WHERE w > 0 GROUP BY label""",
+        "climatology_season": f"WITH {DAILY} SELECT CAST((month(t) - 1) // 3 AS BIGINT) AS bucket, count(*) AS n, round(avg(price), 6) + 0.0 AS price FROM daily GROUP BY 1",
+        "climatology_month": f"WITH {DAILY} SELECT month(t) AS bucket, count(*) AS n, round(avg(price), 6) + 0.0 AS price FROM daily GROUP BY 1",
+        "climatology_day": f"WITH {DAILY} SELECT month(t) * 100 + day(t) AS bucket, count(*) AS n, round(avg(price), 6) + 0.0 AS price FROM daily GROUP BY 1",
+        "climatology_month_coarse": f"WITH {MONTHS}, days AS (SELECT month(t) AS bucket, price, datediff('day', t, t + INTERVAL 1 month) AS d FROM months) SELECT bucket, CAST(sum(d) AS BIGINT) AS n, round(sum(d * price) / sum(d), 6) + 0.0 AS price FROM days GROUP BY bucket",
         "infer_frequency": "WITH g AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS secs FROM (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)), m AS (SELECT secs, count(*) AS n FROM g WHERE secs IS NOT NULL GROUP BY secs ORDER BY n DESC, secs LIMIT 1) SELECT CASE WHEN secs = 86400 THEN 'daily' ELSE 'other' END AS freq, CAST(secs AS BIGINT) AS secs FROM m",
         "generate_steps": "SELECT strftime(TIMESTAMP '1995-01-31' + n * INTERVAL 1 month, '%Y%m%d') AS step FROM (SELECT unnest(generate_series(0, 11)) AS n)",
         "merge_steps": f"""WITH a AS (SELECT {_series('2024-01-01 12:00:00', '2024-01-20 12:00:00', '1 day')} AS t UNION SELECT {_series('2024-01-10 12:00:00', '2024-02-10 12:00:00', '3 day')}),
@@ -300,9 +300,9 @@ FROM a JOIN events ON CAST(ts AS TIMESTAMP) BETWEEN a.t - INTERVAL 84 hour AND a
         "nearest_time": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '3 day')} AS t), ev AS (SELECT event_id, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM events)
 SELECT event_id AS id, strftime(arg_min(t, abs(s - epoch(t)) * 1000000 + epoch(t) / 1000000), '%Y%m%d') AS step FROM ev, a GROUP BY event_id""",
         "first_containing": "SELECT strftime(min(CAST(o_orderdate AS TIMESTAMP)), '%Y%m%d') AS step FROM orders WHERE CAST(o_orderdate AS TIMESTAMP) BETWEEN TIMESTAMP '1996-03-03 10:00:00' AND TIMESTAMP '1997-01-01'",
-        "depth_profile": f"{WITH}, {LINE} SELECT t, pid, round(at.depth, 4) + 0.0 AS depth, round(temp, 6) + 0.0 AS temp, round(sal, 6) + 0.0 AS sal FROM at JOIN cells ON cells.k = at.k WHERE j = 4 AND i = 12",
-        "hovmoeller": f"{WITH}, {LINE}, ts AS (SELECT DISTINCT t FROM cells) SELECT ts.t AS t, pid, round(at.depth, 4) + 0.0 AS depth, round(coalesce(temp, 0), 6) + 0.0 AS value FROM at CROSS JOIN ts LEFT JOIN cells ON cells.k = at.k AND cells.t = ts.t AND j = 4 AND i = 12",
-        "hovmoeller_from_profile": f"{WITH}, {LINE}, p AS (SELECT t, k, sum(e1t * e2t * temp) / sum(e1t * e2t) AS mean FROM cells WHERE basin = 3 AND coast = 2 GROUP BY t, k) SELECT t, pid, round(depth, 4) + 0.0 AS depth, round(coalesce(mean, 0), 6) + 0.0 AS value FROM at LEFT JOIN p ON p.k = at.k",
+        "depth_profile": f"{WITH}, {LINE} SELECT t, pid, round(spots.depth, 4) + 0.0 AS depth, round(temp, 6) + 0.0 AS temp, round(sal, 6) + 0.0 AS sal FROM spots JOIN cells ON cells.k = spots.k WHERE j = 4 AND i = 12",
+        "hovmoeller": f"{WITH}, {LINE}, ts AS (SELECT DISTINCT t FROM cells) SELECT ts.t AS t, pid, round(spots.depth, 4) + 0.0 AS depth, round(coalesce(temp, 0), 6) + 0.0 AS value FROM spots CROSS JOIN ts LEFT JOIN cells ON cells.k = spots.k AND cells.t = ts.t AND j = 4 AND i = 12",
+        "hovmoeller_from_profile": f"{WITH}, {LINE}, p AS (SELECT t, k, sum(e1t * e2t * temp) / sum(e1t * e2t) AS mean FROM cells WHERE basin = 3 AND coast = 2 GROUP BY t, k) SELECT t, pid, round(depth, 4) + 0.0 AS depth, round(coalesce(mean, 0), 6) + 0.0 AS value FROM spots LEFT JOIN p ON p.k = spots.k",
         "spaghetti": f"{WITH} SELECT t, round(temp, 6) + 0.0 AS value FROM cells WHERE j = 4 AND i = 12 AND k = 3",
         "spaghetti_depth_mean": f"{WITH} SELECT t, round(sum(e3t * temp) / sum(e3t), 6) + 0.0 AS value FROM cells WHERE j = 4 AND i = 12 GROUP BY t",
         "scatter_to_grid": f"{WITH} SELECT {KEYS}, CASE WHEN coast = 2 THEN round(temp, 6) + 0.0 ELSE 1e20::DOUBLE END AS temp FROM cells",
@@ -321,7 +321,7 @@ ends AS (SELECT *, coalesce(max(CASE WHEN coast > 0 AND abs(temp - vref) < 0.2::
         "rossby_radius": _rossby("0.0001::DOUBLE"),
         "rossby_radius_latitude": _rossby("(2 * 7.2921e-5::DOUBLE * sin(radians(lat)))"),
         "moving_average": f"""WITH {DAILY}, n AS (SELECT t, price, row_number() OVER y AS p, count(*) OVER (PARTITION BY year(t)) AS c FROM daily WINDOW y AS (PARTITION BY year(t) ORDER BY t)),
-h AS (SELECT *, least(2, p - 1, c - p) AS h FROM n) SELECT strftime(a.t, '%Y%m%d') AS day, round(avg(b.price), 4) + 0.0 AS price_smooth FROM h a JOIN h b ON year(a.t) = year(b.t) AND b.p BETWEEN a.p - a.h AND a.p + a.h GROUP BY a.t""",
+h AS (SELECT *, least(2, p - 1, c - p) AS h FROM n) SELECT strftime(a.t, '%Y%m%d') AS day, round(avg(b.price), 7) + 0.0 AS price_smooth FROM h a JOIN h b ON year(a.t) = year(b.t) AND b.p BETWEEN a.p - a.h AND a.p + a.h GROUP BY a.t""",
         "vortex_mask": f"{WITH}, {speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')} SELECT vs.t AS t, k, j, i, CAST(val > 0.5::DOUBLE * 2 * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t",
         "vortex_components": f"{labels} SELECT t, j, i, vortex_id FROM named",
         "vortex_properties": f"""{labels}, mem AS (SELECT sp.*, vortex_id, row_number() OVER (PARTITION BY sp.t, vortex_id ORDER BY speed DESC, sp.j, sp.i) AS rn FROM sp JOIN named USING (t, j, i)),
@@ -333,7 +333,7 @@ SELECT t, vortex_id, count(*) AS n_cells, CAST(CASE WHEN any_value(cw) < 0 THEN
   round(any_value(cs), 6) + 0.0 AS abs_strength, round(any_value(cs), 6) + 0.0 AS rel_strength, round(sum(e1t * e2t * w), 6) + 0.0 AS circulation FROM mem JOIN ctr USING (t, vortex_id) GROUP BY t, vortex_id""",
         "mercator_round_trip": "SELECT c_custkey, c_custkey % 350 - 175 + 0.0::DOUBLE AS lon, c_custkey % 170 - 85 + 0.0::DOUBLE AS lat FROM customer",
         "file_names": "WITH n AS (SELECT p_partkey, printf('ave.%08d-12:00:00.', p_partkey) || p_brand || '.nc' AS name FROM part) SELECT p_partkey, split_part(name, '.', 2) AS date, split_part(name, '.', 3) AS variable, replace(replace(replace(name || ' (x)', ' ', '_'), '(', ''), ')', '') AS clean FROM n",
-        "daily_buckets": "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS day, count(*) AS n, round(avg(value), 4) + 0.0 AS value FROM events GROUP BY 1",
+        "daily_buckets": "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM events GROUP BY 1",
     }
     own |= {f"density_{m}": f"{WITH} SELECT {KEYS}, round({_density(m, True)}, 6) + 0.0 AS rho FROM cells" for m in ("lin_t", "lin_ts", "jmd94", "jaot12", "jaot20")}
     own |= {f"density_{m}_surface": f"{WITH} SELECT {KEYS}, round({_density(m, False)}, 6) + 0.0 AS rho FROM cells" for m in ("jmd94", "jaot12", "jaot20")}

@@ -170,7 +170,7 @@ def _daily(spark, d):
 
 def time_average(spark, d):
     out = temporal.time_average(_daily(spark, d), "1996-03-01", "1997-02-28", ["price"])
-    return out.select("label", "n", _r("price", 4))
+    return out.select("label", "n", _r("price", 6))
 
 
 def _aggregate(kind, source, start, end, value, **options):
@@ -178,7 +178,7 @@ def _aggregate(kind, source, start, end, value, **options):
         data = _daily(spark, d) if source == "orders" else _events(spark, d)
         freq = "daily" if source == "orders" else "hourly"
         out = temporal.time_aggregate(data, kind, start, end, [value], freq=freq, **options)
-        return out.select("label", "n", _r(value, 4))
+        return out.select("label", "n", _r(value, 6))
 
     return query
 
@@ -187,7 +187,7 @@ def time_agg_overlap(spark, d):
     months = _orders(spark, d).groupBy(F.date_trunc("month", "t").alias("t")).agg(F.avg("price").alias("price"))
     wanted = temporal.requests(spark, "interval", "1995-02-01", "2001-06-01", days=45)
     out = temporal.bucket_mean(temporal.select_steps(months, wanted, "monthly"), ["price"])
-    return out.select("label", "n", _r("weight", 0), _r("price", 4))
+    return out.select("label", "n", _r("weight", 0), _r("price", 6))
 
 
 def _climatology(kind, freq="daily"):
@@ -197,7 +197,7 @@ def _climatology(kind, freq="daily"):
         else:
             data = _orders(spark, d).groupBy(F.date_trunc("month", "t").alias("t")).agg(F.avg("price").alias("price"))
         out = temporal.climatology(data, kind, ["price"], freq=freq)
-        return out.select(F.col("bucket").cast("long").alias("bucket"), "n", _r("price", 4))
+        return out.select(F.col("bucket").cast("long").alias("bucket"), "n", _r("price", 6))
 
     return query
 
@@ -329,7 +329,7 @@ def rossby_radius_latitude(spark, d):
 
 def moving_average(spark, d):
     daily = _daily(spark, d).withColumn("year", F.year("t"))
-    return stats.moving_average(daily, "price", "t", ("year",), 5).select(F.date_format("t", "yyyyMMdd").alias("day"), _r("price_smooth", 4))
+    return stats.moving_average(daily, "price", "t", ("year",), 5).select(F.date_format("t", "yyyyMMdd").alias("day"), _r("price_smooth", 7))
 
 
 def _vortices(spark, d):
@@ -377,7 +377,7 @@ def file_names(spark, d):
 
 
 def daily_buckets(spark, d):
-    return buckets.daily_means(_events(spark, d)).select(F.date_format("start", "yyyyMMdd").alias("day"), "n", _r("value", 4))
+    return buckets.daily_means(_events(spark, d)).select(F.date_format("start", "yyyyMMdd").alias("day"), "n", _r("value", 6))
 
 
 DENSITIES = ("lin_t", "lin_ts", "jmd94", "jaot12", "jaot20")
