@@ -47,7 +47,7 @@ def with_date(path: Column, date: Column) -> Column:
 
 def split_names(text: Column) -> Column:
     """Comma or semicolon separated names, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clean_name(name: Column) -> Column:
