@@ -42,6 +42,13 @@ def test_rotation_has_known_curl_okubo_weiss_and_q(grid):
     assert np.allclose(r.rortex_z, 2) and np.allclose(r.rortex_x, 0) and (r.omega_r > 0.5).all()
 
 
+def test_all_outputs_of_one_gradient(grid):
+    out = vortex.gradient_outputs(grid, compute_gradient=False, compute_divergence=True, compute_vorticity=True, compute_q_criterion=True, compute_lambda2=True, compute_omega=True, compute_rortex=True)
+    row = out.where("k = 2 AND j = 2 AND i = 2").first()
+    assert (row["div"], row["curl_z"], row["q"]) == (0, 2, 1) and row["lambda2"] == pytest.approx(-1) and row["rortex_z"] == pytest.approx(2)
+    assert "dudx" not in out.columns and row["omega"] > 0.5
+
+
 def test_weighted_statistics_by_hand(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0, 0), ("a", 2.0, 1.0, 1), ("a", 3.0, 2.0, 2), ("b", 7.0, 2.0, 0), ("b", None, 2.0, 1)], "g string, v double, w double, n int")
     rows = {r["g"]: r for r in stats.weighted_stats(df, ["g"], "v", "w", tie=["n"]).collect()}

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stencil import curl, gradient, q_criterion, tensor
+from .stencil import curl, derivatives, gradient, q_criterion, tensor
 
 
 def area() -> Column:
@@ -271,3 +271,25 @@ def vortex_mean_strengths(cells: DataFrame, components: DataFrame, scalar: str,
     return rows.groupBy("t", "vortex_id").agg(
         (F.sum(F.col("__w") * speed) / F.sum("__w")).alias("abs_strength"), (F.sum(F.col("__w") * F.col(scalar)) / F.sum("__w")).alias("rel_strength")
     )
+
+
+def gradient_outputs(cells: DataFrame, fields=("u", "v", "w"), compute_gradient: bool = True, compute_divergence: bool = False, compute_vorticity: bool = False, compute_q_criterion: bool = False, compute_lambda2: bool = False, compute_omega: bool = False, compute_rortex: bool = False, epsi: float = 0.001, grad_type: str = "fv2", replacement: float | None = None) -> DataFrame:
+    """All that follows from one gradient, on request: divergence, vorticity, q, lambda2, omega, rortex and omega_r.
+
+    Each criterion is joined by cell, so asking for one costs its own windows only. replacement stands in for
+    derivatives that a cell without neighbours lacks (null by default).
+    """
+    keys = ["t", "k", "j", "i"]
+    out = derivatives(cells, tuple(fields), compute_divergence, compute_vorticity, compute_q_criterion, grad_type)
+    made = [c for c in out.columns if c not in cells.columns]
+    if replacement is not None:
+        out = out.withColumns({c: F.coalesce(c, F.lit(float(replacement))) for c in made})
+    if not compute_gradient:
+        out = out.drop(*[f"d{f}d{a}" for f in fields for a in "xyz"])
+    if compute_lambda2:
+        out = out.join(lambda2(cells, grad_type, fields).select(*keys, "lambda2"), keys)
+    if compute_omega:
+        out = out.join(omega(cells, epsi, False, grad_type, fields).select(*keys, "omega"), keys)
+    if compute_rortex:
+        out = out.join(rortex(cells, epsi=epsi, grad_type=grad_type, fields=fields).select(*keys, "rortex_x", "rortex_y", "rortex_z", "omega_r"), keys)
+    return out
