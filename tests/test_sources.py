@@ -19,7 +19,7 @@ def dataset(tmp_path_factory):
     nz, ny, nx = 3, 4, 5
     m = mesh.Mesh(np.arange(nx + 1.0), np.arange(ny + 1.0), np.array([0.0, 10, 30, 60]), rng.integers(0, 2, (60, 16)).astype(np.uint8),
                   rng.integers(0, 3, (60, 1)).astype(np.uint8), rng.integers(0, 2, (60, 1)).astype(np.uint8))
-    (root / "mesh.ogsmsh").write_bytes(mesh.encode(m))
+    (root / "mesh.bin").write_bytes(mesh.encode(m))
     flat = {n: (("y", "x"), rng.random((ny, nx)) + 1) for n in mesh.STRETCH_2D}
     deep = {f"{n}_0": (("z", "y", "x"), rng.random((nz, ny, nx)) + 1) for n in mesh.STRETCH_3D}
     (root / "meshmask.nc").write_bytes(netcdf.encode({"z": nz, "y": ny, "x": nx}, flat | deep))
@@ -32,15 +32,15 @@ def dataset(tmp_path_factory):
             (root / f"ave.{t}.{v}.nc").write_bytes(netcdf.encode({"t": 1, "z": nz, "y": ny, "x": nx}, {v: (("t", "z", "y", "x"), a)}))
         uvw = {n: (("z", "y", "x"), rng.random((nz, ny, nx))) for n in ("uu", "vv", "ww")}
         (root / f"vel.{t}.nc").write_bytes(netcdf.encode({"z": nz, "y": ny, "x": nx}, uvw))
-    c = catalog.generate(str(root), {"AVE_FREQ": "ave.%s.%s.nc"}, [("Mercator", "mesh.ogsmsh", "meshmask.nc")], "N1p")
+    c = catalog.generate(str(root), {"AVE_FREQ": "ave.%s.%s.nc"}, [("Mercator", "mesh.bin", "meshmask.nc")], "N1p")
     c.variables["AVE_PHYS"]["Velocity"] = ("uu,vv,ww", "vel.*.nc")
-    (root / "set.ogs").write_text(catalog.render(c))
+    (root / "set.txt").write_text(catalog.render(c))
     return root, m, values
 
 
 def test_catalog_round_trip(dataset):
     root, *_ = dataset
-    c = catalog.read(str(root / "set.ogs"))
+    c = catalog.read(str(root / "set.txt"))
     assert c.times == TIMES and set(c.variables["AVE_FREQ"]) == {"N1p", "P1c"}
     assert c.path("N1p", TIMES[0]) == str(root / f"ave.{TIMES[0]}.N1p.nc")
     assert catalog.parse("# c\nWRKDIR\n/a\n\nMESH\n0\nAVE_PHYS\n1\nT : votemper : x/ave.*.T.nc\nTIME\n1\n20000101-00:00:00\n").find("T") == ("votemper", "x/ave.*.T.nc")
@@ -50,7 +50,7 @@ def test_catalog_round_trip(dataset):
 
 def test_mesh_round_trip(dataset):
     root, m, _ = dataset
-    again = mesh.decode((root / "mesh.ogsmsh").read_bytes())
+    again = mesh.decode((root / "mesh.bin").read_bytes())
     assert again.shape == (3, 4, 5) and (again.basins == m.basins).all() and (again.level == m.level).all()
     assert mesh.extend(np.array([1.0, 2, 3])).tolist() == [0.5, 1, 2, 3]
     assert mesh.extend_depth(np.array([0.0, 10, 30])).tolist() == [0, 10, 30, 40]
@@ -68,16 +68,16 @@ def test_netcdf_record_dimension_and_types():
 def test_grid_source_reads_prunes_and_joins_mesh(spark, dataset):
     root, m, values = dataset
     grid_source.register(spark)
-    df = spark.read.format("oceangrid").option("path", str(root / "set.ogs")).option("vars", "P1c,Velocity").option("mesh", "true").load()
+    df = spark.read.format("oceangrid").option("path", str(root / "set.txt")).option("vars", "P1c,Velocity").option("mesh", "true").load()
     assert {"P1c", "Velocity_u", "Velocity_w", "basins", "e3w", "x"} <= set(df.columns)
     some = df.where("t >= timestamp'2000-02-01 12:00:00' AND k = 1").toPandas()
     assert len(some) == 2 * 20
     one = some[(some.t == datetime(2000, 2, 1, 12)) & (some.j == 2) & (some.i == 3)].iloc[0]
     assert one.P1c == pytest.approx(values[TIMES[1], "P1c"][0, 1, 2, 3])
     assert df.where("P1c IS NULL").count() == 3
-    zero = spark.read.format("oceangrid").option("path", str(root / "set.ogs")).option("vars", "P1c").option("missing", "zero").load()
+    zero = spark.read.format("oceangrid").option("path", str(root / "set.txt")).option("vars", "P1c").option("missing", "zero").load()
     assert zero.where("P1c = 0").count() == 3
-    reader = grid_source.GridReader(catalog.read(str(root / "set.ogs")), ["P1c"], [], {})
+    reader = grid_source.GridReader(catalog.read(str(root / "set.txt")), ["P1c"], [], {})
     list(reader.pushFilters([grid_source.EqualTo(("t",), datetime(2000, 3, 1, 12))]))
     assert [p.time for p in reader.partitions()] == TIMES[2:]
 
