@@ -59,7 +59,22 @@ def locate(probes: DataFrame, axes: dict[str, DataFrame], tolerance: float = 0.0
 
 
 def grid_axes(cells: DataFrame) -> dict[str, DataFrame]:
-    return {"i": axis_from_centres(cells, "i", "x"), "j": axis_from_centres(cells, "j", "y"), "k": axis_from_centres(cells, "k", "depth")}
+    """The three axis tables of a grid, found in one pass; an axis has at most AXIS_LIMIT cells, which is checked."""
+    pairs = [F.struct(F.lit(n).alias("axis"), F.col(n).cast("long").alias("at"), F.col(c).cast("double").alias("c")) for n, c in (("i", "x"), ("j", "y"), ("k", "depth"))]
+    found = cells.select(F.explode(F.array(*pairs)).alias("a")).select("a.*").distinct().limit(3 * AXIS_LIMIT + 1).collect()
+    if len(found) > 3 * AXIS_LIMIT:
+        raise ValueError(f"the grid's axes have more than {AXIS_LIMIT} cells")
+    out = {}
+    for name in "ijk":
+        centres = dict(sorted((r["at"], r["c"]) for r in found if r["axis"] == name))
+        rows = []
+        for at, c in centres.items():
+            before, after = (centres.get(at - 1), centres.get(at + 1))
+            down = (c - before) / 2 if before is not None else (after - c) / 2 if after is not None else 0.5
+            up = (after - c) / 2 if after is not None else down
+            rows.append((at, c - down, c + up))
+        out[name] = cells.sparkSession.createDataFrame(rows, f"{name} long, lo double, hi double")
+    return out
 
 
 def depth_profile(cells: DataFrame, probes: DataFrame, variables: list[str], tolerance: float = 0.0, axes: dict[str, DataFrame] | None = None) -> DataFrame:
