@@ -240,6 +240,11 @@ def test_lines(spark, edge_docs):
         }
 
 
+def test_lines_of_negative_ids(spark):
+    docs = spark.createDataFrame([(-5, "a line that comes twice\nown words of one"), (3, "a line that comes twice")], "doc_id long, text string")
+    assert {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()} == {-5: "", 3: "0"}
+
+
 def test_dropping_lines_changes_the_text(spark):
     docs = spark.createDataFrame([(1, "keep this line whole\nother words stand here", 5), (2, "Keep this  line whole\nfresh content follows", 6), (3, None, 7)], "doc_id long, text string, line int")
     out = {r["doc_id"]: (r["text"], r["line"]) for r in line_dedup.drop_repeated_lines(docs).collect()}
