@@ -140,6 +140,8 @@ def _estimates(rows: DataFrame) -> DataFrame:
             *[F.sum(f"x{k}").alias(f"s{k}") for k in range(DIMS)],
             *[F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"p{a}{b}") for a, b in _pairs()],
         )
+        # A table of its own: else the sums would be dealt by group alone, all parts of a hot group to one task.
+        sums = materialise(sums, f"mcd-sums-{step}")
         total = F.sum("n").over(Window.partitionBy("grp"))
         inner = sums.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("total", total).where(F.col("before") < F.col("total") * CORE_SHARE)
         core = inner.groupBy("grp").agg(
@@ -156,6 +158,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
         )
         current = materialise(_cholesky(moments, ["grp"]), f"mcd-{step}")
     bins = _binned(_distance(rows.join(current, "grp"))).groupBy("grp", "bin").agg(F.count("*").alias("n"))
+    bins = materialise(bins, "mcd-bins")
     half = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("grp")))
     scale = half.where(F.col("upto") * 2 >= F.col("total")).groupBy("grp").agg(F.min("bin").alias("bin"))
     scale = scale.select("grp", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS) / CHI_MEDIAN).alias("scale"))
