@@ -177,7 +177,7 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
     labels = None
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        roots = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to")), f"{name}-near")
+        roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("to"))
         while True:
             after = roots.select(F.col("node").alias("to"), F.col("to").alias("root"))
             roots = roots.join(after, "to").select("node", F.col("root").alias("to"), (F.col("root") < F.col("to")).alias("moved"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, mix64, shingles, signed, text_bytes, word_hashes
@@ -121,6 +121,11 @@ def _linkable(left: str, right: str, percent: int, words: int, sized: bool):
 def _links_in(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
     """A spanning forest of the exact links among the members (cross: only between the two blocks)."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        both = np.sort(np.concatenate(sets))
+        shared = int((both[1:] == both[:-1]).sum())
+        near = 100 * shared >= percent * (int(sizes.sum()) - shared)
+        return [(int(ids[0]), int(ids[1]))] if near else []
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
@@ -181,26 +186,35 @@ def word_sets(width: int):
 def _confirm(make, percent: int):
     """Rows (cluster, i, j, doc_id, block, text) sorted by (cluster, i, j): exact links of each block pair."""
 
-    def flush(held: list, out: list) -> None:
-        if len(held) > 1:
-            sets = make([h[2] for h in held])
-            ids, blocks = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held])
-            out += _links_in(ids, blocks, sets, percent, len(set(blocks.tolist())) > 1)
+    def flush(groups: list[list], out: list) -> None:
+        """Sets of many groups are made together, then each group is compared on its own."""
+        sets, at = make([row[2] for rows in groups for row in rows]), 0
+        for rows in groups:
+            own, at = sets[at : at + len(rows)], at + len(rows)
+            ids, blocks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+            out += _links_in(ids, blocks, own, percent, len(rows) > 2 and len(set(blocks.tolist())) > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, out = None, [], []
+        key, rows, groups, size, out = None, [], [], 0, []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
             ids, blocks, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist(), text_bytes(batch.column(5))
-            for key, *row in zip(keys, ids, blocks, texts):
-                if key != group:
-                    flush(held, out)
-                    group, held = key, []
-                held.append(row)
+            for now, *row in zip(keys, ids, blocks, texts):
+                if now != key:
+                    if len(rows) > 1:
+                        groups.append(rows)
+                        size += sum(len(r[2]) for r in rows)
+                    key, rows = now, []
+                    if size > 1 << 20:
+                        flush(groups, out)
+                        groups, size = [], 0
+                rows.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
                 out = []
-        flush(held, out)
+        if len(rows) > 1:
+            groups.append(rows)
+        flush(groups, out)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
@@ -214,9 +228,13 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: boo
     repeated: reps may hold a class several times, with equal columns.
     """
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
-    crowded = keys.join(materialise(shared, "buckets"), "key")
-    crowded = materialise(crowded.distinct() if repeated else crowded, "crowded")
+    if repeated:  # buckets are many and small: one shuffle and sort finds their ends beside their members
+        bucket = Window.partitionBy("key")
+        ends = keys.withColumn("pivot", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket))
+        crowded = materialise(ends.where("pivot < last").select("doc_id", "key", "pivot").distinct(), "crowded")
+    else:
+        shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
+        crowded = materialise(keys.join(materialise(shared, "buckets"), "key"), "crowded")
     if repeated:
         reps = reps.select("doc_id", *_sig(words)).join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
         reps = materialise(reps.distinct(), "crowded-classes")
@@ -232,17 +250,21 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: boo
     label = F.coalesce("component", "doc_id").alias("label")
     members = crowded.select("doc_id", "key").join(loose, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label)
     members = materialise(members, "members")
-    mixed = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"))
-    mixed = materialise(mixed.where("labels > 1").select("key", "main"), "mixed")
-    spread = materialise(members.join(mixed, "key").join(_with("", reps, ("doc_id", *_sig(words))), "doc_id"), "spread")
+    ends = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    several = materialise(members.join(ends, "key"), "several")
+    mixed = several.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    spread = materialise(several.join(mixed, "key").join(_with("", reps, ("doc_id", *_sig(words))), "doc_id"), "spread")
     odd = _with("l_", spread.where("label <> main"), ("key", "doc_id", "label", *_sig(words)))
     rest = _with("r_", spread, ("key", "doc_id", "label", "main", *_sig(words)))
     apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
     across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & _linkable("l_", "r_", percent, words, sized))
-    across = across.select(F.col("l_doc_id").alias("a"), F.col("r_doc_id").alias("b")).distinct()
-    across = materialise(across, "across")
+    across = materialise(across.select(F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct(), "across")
     if across.limit(1).count():
-        loose = connected_components(star.union(across), "closed")
+        # A label is the smallest node of its cluster, or a node on its own: clusters join by their labels.
+        merged = connected_components(across, "closed").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        alone = across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        loose = loose.union(alone.select("node", F.col("node").alias("component"))).distinct()
+        loose = loose.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return materialise(loose, "clusters")
 
 
