@@ -86,22 +86,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_buffer(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of blob and the byte offset of each word's start."""
+def _hash_buffer(blob: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of blob and the byte offset of each word's start.
+
+    With prefixes, a row for each word: its hash, then those of its first so many bytes (0 if it is not longer).
+    """
     raw = np.frombuffer(blob, np.uint8)
     space = _IS_SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64), start
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, np.uint64), start
     up, down = _powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     value = (total[end] - total[start]) * down[start]
-    return mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
-
-
-def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    whole = mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not prefixes:
+        return whole, start
+    columns = [whole]
+    for size in prefixes:
+        longer = np.flatnonzero(end - start > size)
+        column = np.zeros(len(start), np.uint64)
+        column[longer] = mix64((total[start[longer] + size] - total[start[longer]]) * down[start[longer]] + np.uint64(size))
+        columns.append(column)
+    return np.stack(columns, axis=1), start
+
+
+def word_hashes(texts: Iterable[bytes], prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For runs of texts, (index of the first, one array of word hashes per text).
 
     Texts go through in buffers of about 1 MB; a longer one is cut at white space, so memory does not
@@ -111,13 +123,13 @@ def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[int, list[np.ndarray]]
     for index, text in enumerate(texts):
         if len(text) > _SEGMENT:
             if held:
-                yield first, _split(held)
+                yield first, _split(held, prefixes)
             parts, at = [], 0
             while at < len(text):
                 stop = min(len(text), at + _SEGMENT)
                 while stop < len(text) and not _IS_SPACE[text[stop]]:
                     stop += 1
-                parts.append(_hash_buffer(text[at:stop])[0])
+                parts.append(_hash_buffer(text[at:stop], prefixes)[0])
                 at = stop
             yield index, [np.concatenate(parts)]
             first, held, size = index + 1, [], 0
@@ -125,14 +137,14 @@ def word_hashes(texts: Iterable[bytes]) -> Iterator[tuple[int, list[np.ndarray]]
         held.append(text)
         size += len(text)
         if size > _SEGMENT:
-            yield first, _split(held)
+            yield first, _split(held, prefixes)
             first, held, size = index + 1, [], 0
     if held:
-        yield first, _split(held)
+        yield first, _split(held, prefixes)
 
 
-def _split(texts: list[bytes]) -> list[np.ndarray]:
-    hashes, start = _hash_buffer(b" ".join(texts))
+def _split(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    hashes, start = _hash_buffer(b" ".join(texts), prefixes)
     ends = np.cumsum([len(t) + 1 for t in texts])
     return np.split(hashes, np.searchsorted(start, ends[:-1]))
 

@@ -19,16 +19,19 @@ MAX_TRAIN = 12_000
 #: FTRL-proximal: per-coordinate rate alpha / (beta + sqrt(sum of squared gradients)), L1 and L2 strength.
 ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
 EPOCHS = 3
+#: A word also counts by its first bytes, so that inflected forms share weight.
+STEMS = (4, 5, 6, 7, 8)
 #: Gaps of the skip-grams: pairs of words with one and two words between them.
 SKIPS = (2, 3)
 
 
 def features(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct feature numbers of a text's word hashes: words, adjacent pairs and skip-grams."""
-    parts = [mix64(words ^ np.uint64(0x51))]
+    """Sorted distinct feature numbers of a text's word hashes (with STEMS): words, stems, adjacent pairs, skip-grams."""
+    whole, stems = words[:, 0], words[:, 1:].ravel()
+    parts = [mix64(whole ^ np.uint64(0x51)), mix64(stems[stems != 0] ^ np.uint64(0x52))]
     for gap in (1, *SKIPS):
-        if len(words) > gap:
-            parts.append(mix64(words[:-gap] * np.uint64(0xA0761D6478BD642F) + words[gap:] + np.uint64(gap)))
+        if len(whole) > gap:
+            parts.append(mix64(whole[:-gap] * np.uint64(0xA0761D6478BD642F) + whole[gap:] + np.uint64(gap)))
     return np.unique((np.concatenate(parts) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32))
 
 
@@ -58,7 +61,7 @@ class Ftrl:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, words in word_hashes(text_bytes(batch.column(2), lower=True)):
+        for first, words in word_hashes(text_bytes(batch.column(2), lower=True), STEMS):
             found = [features(w).tobytes() for w in words]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, len(words)), batch.column(1).slice(first, len(words)), pa.array(found, pa.binary())],
@@ -111,7 +114,7 @@ def _scorer(packed: str, bias: float):
             dense[raw["at"]] = raw["w"]
             table.append(dense)
         for batch in batches:
-            for first, words in word_hashes(text_bytes(batch.column(1), lower=True)):
+            for first, words in word_hashes(text_bytes(batch.column(1), lower=True), STEMS):
                 total = np.array([table[0][features(w)].sum(dtype=np.float64) for w in words])
                 score = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(words)), pa.array(score)], names=["doc_id", "score"])
