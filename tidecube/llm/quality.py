@@ -115,6 +115,11 @@ def _binned(df: DataFrame) -> DataFrame:
     return df.withColumn("bin", F.floor(F.log2(F.col("d2") + 2.0**-20) * BINS).cast("int"))
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table with one row per group, in a few files, so that its size on disk is that of its rows."""
+    return materialise(df.repartition(4), name)
+
+
 def _estimates(rows: DataFrame) -> DataFrame:
     """grp -> centre, factor and scale of its rows(grp, x0..): deterministic concentration steps.
 
@@ -131,7 +136,7 @@ def _estimates(rows: DataFrame) -> DataFrame:
             {(a, b): F.pow((F.col(f"q{a}")[2] - F.col(f"q{a}")[0]) / STEPS / 1.349, F.lit(2.0)) if a == b else F.lit(0.0) for a, b in _pairs()},
         ),
     )
-    current = materialise(_cholesky(start, ["grp"]), "mcd-0")
+    current = _small(_cholesky(start, ["grp"]), "mcd-0")
     upto = Window.partitionBy("grp").orderBy("bin")
     for step in range(1, CONCENTRATIONS + 1):
         near = _binned(_distance(rows.join(current, "grp")))
@@ -156,13 +161,13 @@ def _estimates(rows: DataFrame) -> DataFrame:
                 {(a, b): F.col(f"p{a}{b}") / F.col("n") - F.col(f"s{a}") / F.col("n") * F.col(f"s{b}") / F.col("n") for a, b in _pairs()},
             ),
         )
-        current = materialise(_cholesky(moments, ["grp"]), f"mcd-{step}")
+        current = _small(_cholesky(moments, ["grp"]), f"mcd-{step}")
     bins = _binned(_distance(rows.join(current, "grp"))).groupBy("grp", "bin").agg(F.count("*").alias("n"))
     bins = materialise(bins, "mcd-bins")
     half = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("grp")))
     scale = half.where(F.col("upto") * 2 >= F.col("total")).groupBy("grp").agg(F.min("bin").alias("bin"))
     scale = scale.select("grp", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS) / CHI_MEDIAN).alias("scale"))
-    return materialise(current.join(scale, "grp"), "mcd")
+    return _small(current.join(scale, "grp"), "mcd")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -192,7 +197,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "by_both",
         F.when(F.col("n") >= LEAST_ROWS, F.col("by_both")).when(F.col("lang_n") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.lit("*")).alias("grp"),
     )
-    chosen = materialise(chosen, "group-choice")
+    chosen = _small(chosen, "group-choice")
     wanted = chosen.select("grp").distinct()
     level = F.explode(F.array("by_both", "by_lang", F.lit("*"))).alias("grp")
     vectors = [f"x{k}" for k in range(DIMS)]
