@@ -149,8 +149,7 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first")), "first-lines")
     wanted = loose.join(firsts, F.col("node") == F.col("h")).select("h", doc_of.alias("doc_id"), line_of.alias("line"))
     texts = wanted.join(base, "doc_id").select(F.col("h").alias("doc_id"), F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
-    sizes = wide.where("bands IS NOT NULL").select(F.col("h").alias("doc_id"), "n_shingles").distinct()
-    links = exact_links(texts, loose, sizes, line_sets, percent)
+    links = exact_links(texts, loose, line_sets, percent)
     component = connected_components(links, "lines")
     homes = firsts.join(component, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("component", "h").alias("component"))
     homes = materialise(homes, "line-components")

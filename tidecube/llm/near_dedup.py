@@ -222,7 +222,7 @@ def _confirm(make, percent: int):
 
 
 def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: bool = True, repeated: bool = False) -> DataFrame:
-    """(node, component) over reps(doc_id, n_shingles, bands, s0..): clusters that no exact link leaves.
+    """(node, component, n_shingles) over reps(doc_id, n_shingles, bands, s0..): clusters that no exact link leaves.
 
     Two classes that share a bucket and whose estimate is not clearly under the threshold end in one cluster.
     repeated: reps may hold a class several times, with equal columns.
@@ -265,7 +265,7 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: boo
         alone = across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         loose = loose.union(alone.select("node", F.col("node").alias("component"))).distinct()
         loose = loose.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialise(loose, "clusters")
+    return materialise(loose.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "clusters")
 
 
 
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     loose = loose_clusters(reps, percent)
-    links = exact_links(base, loose, reps, word_sets(width), percent)
+    links = exact_links(base, loose, word_sets(width), percent)
     component = connected_components(links, "exact")
     named = materialise(
         sets.join(component, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "named"
@@ -314,10 +314,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def exact_links(base: DataFrame, clusters: DataFrame, reps: DataFrame, make, percent: int) -> DataFrame:
-    """Exact links inside clusters(node, component): every pair of a cluster meets in one block pair."""
-    sized = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    blocks = sized.groupBy("component").agg(
+def exact_links(base: DataFrame, clusters: DataFrame, make, percent: int) -> DataFrame:
+    """Exact links inside clusters(node, component, n_shingles): every pair of a cluster meets in one block pair."""
+    blocks = clusters.groupBy("component").agg(
         F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")
     )
     blocks = materialise(blocks, "blocks")
