@@ -142,7 +142,7 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     words = [f"s{k}" for k in range(WORDS)]
     schema = "doc_id long, line int, h long, n_shingles int, bands array<long>, " + ", ".join(f"{w} long" for w in words)
     wide = materialise(base.mapInArrow(_signed_lines, schema), "line-signatures")
-    lines = materialise(wide.select("doc_id", "line", "h"), "lines")
+    lines = wide.select("doc_id", "line", "h")
     reps = wide.where("bands IS NOT NULL").select(F.col("h").alias("doc_id"), "n_shingles", "bands", *words)
     loose = loose_clusters(reps, percent, WORDS, sized=False, repeated=True)
     order, doc_of, line_of = _place(lines)
@@ -151,10 +151,11 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     texts = wanted.join(base, "doc_id").select(F.col("h").alias("doc_id"), F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
     links = exact_links(texts, loose, line_sets, percent)
     component = connected_components(links, "lines")
-    homes = firsts.join(component, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("component", "h").alias("component"))
-    homes = materialise(homes, "line-components")
-    keepers = homes.groupBy("component").agg(F.min("first").alias("keeper"))
-    homes = materialise(homes.join(keepers, "component").select("h", "component", "keeper"), "line-keepers")
+    # Only lines with a link can have a keeper that is not the first of their equals.
+    linked = materialise(component.join(firsts, F.col("node") == F.col("h")).select("h", "component", "first"), "linked-lines")
+    keepers = linked.groupBy("component").agg(F.min("first").alias("keeper"))
+    linked = materialise(linked.join(keepers, "component").select("h", "component", "keeper"), "line-keepers")
+    homes = firsts.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("component"), F.coalesce("keeper", "first").alias("keeper"))
     return lines.join(homes, "h").select("doc_id", "line", "h", "component", (order == F.col("keeper")).alias("kept"))
 
 
