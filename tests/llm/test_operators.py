@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidecube.llm import exact_dedup, language_model, line_dedup, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
@@ -240,6 +241,25 @@ def test_lines(spark, edge_docs):
         }
 
 
+def signed_lines(lines):
+    """Rows of the line signatures, one for each of the lines (which differ)."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines)), pa.int64()), pa.array([x.decode() for x in lines])], names=["doc_id", "text"])
+    return [r for out in line_dedup._signed_lines(iter([batch])) for r in out.to_pylist()]
+
+
+def test_bands_find_long_lines_at_the_threshold():
+    rng = random.Random(7)
+    word = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    lines = []
+    for _ in range(3000):  # 172 of 214 shingles in common
+        head = word(179)
+        lines += [head + word(21), head + word(21)]
+    sets = line_dedup.line_sets(lines[:2])
+    assert 0.8 <= len(np.intersect1d(*sets)) / len(np.union1d(*sets)) < 0.81
+    bands = [set(r["bands"]) for r in signed_lines(lines)]
+    assert all(a & b for a, b in zip(bands[::2], bands[1::2]))
+
+
 def test_lines_of_negative_ids(spark):
     docs = spark.createDataFrame([(-5, "a line that comes twice\nown words of one"), (3, "a line that comes twice")], "doc_id long, text string")
     assert {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()} == {-5: "", 3: "0"}
