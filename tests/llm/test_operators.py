@@ -260,6 +260,31 @@ def test_bands_find_long_lines_at_the_threshold():
     assert all(a & b for a, b in zip(bands[::2], bands[1::2]))
 
 
+def test_short_lines_at_the_threshold_are_linked(spark):
+    rng = random.Random(11)
+    rows = []
+    for union in (5, 10, 15, 20, 25, 40):
+        for _ in range(200):  # 8 of every 10 shingles in common
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=union + 7))
+            rows += [line, line[: union * 4 // 5 + 7]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_report(docs).collect()}
+    assert [k for k in kept if kept[k] != 1 - k % 2] == []
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_exact_keys_meet_at_the_threshold(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 60).astype(np.uint64)
+        shared, left, right = rng.integers(1, 20), rng.integers(0, 6), rng.integers(0, 6)
+        if 100 * shared < percent * (shared + left + right):
+            continue
+        sets = pool[: shared + left], np.concatenate([pool[:shared], pool[40 : 40 + right]])
+        a, b = (set(line_dedup.exact_keys(np.sort(s)[None], percent)[0].tolist()) for s in sets)
+        assert a & b
+
+
 def test_lines_of_negative_ids(spark):
     docs = spark.createDataFrame([(-5, "a line that comes twice\nown words of one"), (3, "a line that comes twice")], "doc_id long, text string")
     assert {r["doc_id"]: r["removed"] for r in line_dedup.line_report(docs).collect()} == {-5: "", 3: "0"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, mix64, signed, text_bytes
-from .near_dedup import BITS, exact_links, loose_clusters
+from .near_dedup import BITS, MARGIN, exact_links, loose_clusters, nonzero_groups
 
 #: Bytes of a character shingle, at most; a shorter line is one shingle.
 SHINGLE = 8
 #: One-permutation MinHash: each shingle falls into one of BINS bins, whose minimum is kept.
 BINS, BANDS, ROWS = 96, 24, 4
 WORDS = BINS * BITS // 64
+#: Two lines of at most FEW distinct shingles meet by exact keys, of SHARED shingles that both must hold.
+FEW, SHARED = 32, 3
 
 
 def normal_line(line: bytes) -> bytes:
@@ -66,7 +69,7 @@ def line_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
-    """(lines, BINS) minima; an empty bin takes the next filled one, marked by its distance."""
+    """(lines, BINS) minima; an empty bin has the largest value."""
     owner, value, starts = _windows(lines)
     hashed = value * np.uint64(0x9E3779B97F4A7C15)
     hashed ^= hashed >> np.uint64(32)
@@ -77,7 +80,11 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     bins[~starts] = len(lines) * BINS  # a place after the last line's bins takes what is no shingle
     low = np.full(len(lines) * BINS + 1, 0xFFFFFFFF, np.uint32)
     np.minimum.at(low, bins, ((hashed ^ (hashed >> np.uint64(29))) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    low = low[:-1].reshape(len(lines), BINS)
+    return low[:-1].reshape(len(lines), BINS)
+
+
+def filled_bins(low: np.ndarray) -> np.ndarray:
+    """signatures() where an empty bin takes the next filled one, marked by its distance."""
     place = np.where(low != 0xFFFFFFFF, np.arange(BINS), 4 * BINS)
     twice = np.concatenate([place, place + BINS], axis=1)
     following = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :BINS]
@@ -86,22 +93,88 @@ def signatures(lines: list[bytes]) -> np.ndarray:
     return np.where(gap > 0, mix64(filled + gap * np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(0xFFFFFFFF), filled).astype(np.uint32)
 
 
-def _signed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line with a word; bands and packed bits for the first of equal lines in a run."""
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of signatures()."""
+    cube = filled_bins(low)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), cube.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mix64(key * np.uint64(0xA0761D6478BD642F) + cube[:, :, k])
+    return key
+
+
+def exact_keys(sets: np.ndarray, percent: int) -> np.ndarray:
+    """(lines, keys) of sets (lines, n) of n shingles each: any two sets at the threshold have a key in common.
+
+    Such sets share at least need = percent / 100 of either's size. Sorted by hash, the first SHARED shingles
+    that they share have need - SHARED others of both after them, so both have them among the first
+    n - need + SHARED; the key is those SHARED. Sets that may share fewer have keys of fewer, from all shingles.
+    """
+    n = sets.shape[1]
+    order = np.sort(mix64(sets), axis=1)
+    need = max(1, -(-percent * n // 100))
+    out = []
+    for shared in range(min(need, SHARED), SHARED + 1):
+        width = n - max(need, shared) + shared
+        if shared > n:
+            break
+        chosen = np.array(list(itertools.combinations(range(width), shared)))
+        key = np.full((len(order), len(chosen)), shared, np.uint64)
+        for k in range(shared):
+            key = mix64(key * np.uint64(0xE7037ED1A0B428DB) + order[:, chosen[:, k]])
+        out.append(key)
+    return np.concatenate(out, axis=1)
+
+
+def _keys(lines: list[bytes], low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys by which candidates meet, line after line; how many each line has).
+
+    Lines of up to FEW distinct shingles have exact keys. Bands are for the others, and for those of the
+    few that may be linked to a line of more.
+    """
+    size = (low != 0xFFFFFFFF).sum(axis=1)  # as many distinct shingles, at least
+    maybe = np.flatnonzero(size <= FEW)
+    sets = line_sets([lines[k] for k in maybe])
+    size[maybe] = [len(x) for x in sets]
+    banded = np.flatnonzero(size * 100 > FEW * percent)
+    keys, owner = [band_keys(low[banded]).ravel()], [np.repeat(banded, BANDS)]
+    for n in np.unique(size[size <= FEW]):
+        at = [k for k, x in enumerate(sets) if len(x) == n]
+        key = exact_keys(np.stack([sets[k] for k in at]), percent)
+        keys.append(key.ravel())
+        owner.append(np.repeat(maybe[at], key.shape[1]))
+    keys, owner = np.concatenate(keys), np.concatenate(owner)
+    return keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(lines))
+
+
+def _linkable(left: str, right: str, percent: int, words: int):
+    """Column: the bins that differ are no more than shingles may, nor MARGIN standard errors over their mean at the threshold.
+
+    A shingle of one line only changes its own bin and no other, so the first test drops no link. The second
+    counts the bins filled in either line; it is the stricter one from about 150 shingles on, where most bins are filled.
+    """
+    each = range(words)
+    differ = sum((nonzero_groups(F.col(f"{left}s{k}").bitwiseXOR(F.col(f"{right}s{k}"))) for k in each), F.lit(0))
+    filled = sum((nonzero_groups(F.col(f"{left}s{k}").bitwiseOR(F.col(f"{right}s{k}"))) for k in each), F.lit(0))
+    size = sum(F.greatest(F.col(f"{side}n_shingles").cast("long") - (SHINGLE - 1), F.lit(1)) for side in (left, right))  # lengths in bytes here
+    odd = (1 - percent / 100) * (1 - 1 / ((1 << BITS) - 1))
+    return (differ * (100 + percent) <= size * (100 - percent)) & (differ <= filled * odd + MARGIN * F.sqrt(filled * (odd * (1 - odd))))
+
+
+def _signed_lines(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a word; keys and packed bits (0 for an empty bin) for the first of equal lines in a run."""
 
     def flush(rows: list, fresh: list[bytes]) -> pa.RecordBatch:
         low = signatures(fresh) if fresh else np.empty((0, BINS), np.uint32)
-        cube = low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), cube.shape[:2]).copy()
-        for k in range(ROWS):
-            key = mix64(key * np.uint64(0xA0761D6478BD642F) + cube[:, :, k])
+        key, counts = _keys(fresh, low, percent)
         per = 64 // BITS
-        bits = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(low), WORDS, per)
+        bits = np.where(low != 0xFFFFFFFF, 1 + low % np.uint32((1 << BITS) - 1), 0).astype(np.uint64).reshape(len(low), WORDS, per)
         packed = signed((bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64))
         first = np.array([r[4] for r in rows], np.int64)
         has = first >= 0
-        offsets = np.concatenate(([0], np.cumsum(has * BANDS))).astype(np.int32)
-        bands = pa.ListArray.from_arrays(offsets, pa.array(signed(key).ravel()), mask=pa.array(~has))
+        lengths = np.zeros(len(rows), np.int64)
+        lengths[has] = counts
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        bands = pa.ListArray.from_arrays(offsets, pa.array(signed(key)), mask=pa.array(~has))
         take = pa.array(np.where(has, first, 0), mask=~has)
         words = [pa.array(np.ascontiguousarray(packed[:, k])).take(take) for k in range(WORDS)]
         columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
@@ -134,17 +207,18 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     Lines (split at line feeds, numbered from 0) are equal if they are after normal_line(); two different lines
     are linked if the Jaccard similarity of their sets of SHINGLE-byte shingles is at least percent / 100.
-    The kept line of a component is the first of the document with the smallest id. Band keys find
-    candidates (a pair of long lines at 0.8 shares none with probability 4e-6), full sets confirm them in blocks of
+    The kept line of a component is the first of the document with the smallest id. Exact keys find
+    candidates among lines of up to FEW distinct shingles, band keys the others (a pair of long lines at
+    0.8 shares none with probability 4e-6), full sets confirm them in blocks of
     bounded size, and union-find joins the links.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     words = [f"s{k}" for k in range(WORDS)]
     schema = "doc_id long, line int, h long, n_shingles int, bands array<long>, " + ", ".join(f"{w} long" for w in words)
-    wide = materialise(base.mapInArrow(_signed_lines, schema), "line-signatures")
+    wide = materialise(base.mapInArrow(lambda batches: _signed_lines(batches, percent), schema), "line-signatures")
     lines = wide.select("doc_id", "line", "h")
     reps = wide.where("bands IS NOT NULL").select(F.col("h").alias("doc_id"), "n_shingles", "bands", *words)
-    loose = loose_clusters(reps, percent, WORDS, sized=False, repeated=True)
+    loose = loose_clusters(reps, percent, WORDS, repeated=True, linkable=_linkable)
     order, doc_of, line_of = _place(lines)
     firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first")), "first-lines")
     wanted = loose.join(firsts, F.col("node") == F.col("h")).select("h", doc_of.alias("doc_id"), line_of.alias("line"))

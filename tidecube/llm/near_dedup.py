@@ -78,20 +78,21 @@ def _signatures(width: int):
     return run
 
 
+def nonzero_groups(x):
+    """Column: how many groups of BITS bits of a word are not zero."""
+    mask = sum(1 << (BITS * k) for k in range(64 // BITS))
+    mask = mask - (1 << 64) if mask >= 1 << 63 else mask
+    shift = 1
+    while shift < BITS:
+        x = x.bitwiseOR(F.shiftright(x, shift))
+        shift *= 2
+    return F.bit_count(x.bitwiseAND(F.lit(mask)))
+
+
 def similarity_estimate(left: str, right: str, words: int = WORDS):
     """Column: collision-corrected similarity of two packed signatures, by counting unequal groups of BITS bits."""
-    per = 64 // BITS
-    mask = sum(1 << (BITS * k) for k in range(per))
-    mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-    unequal = F.lit(0)
-    for k in range(words):
-        x = F.col(f"{left}s{k}").bitwiseXOR(F.col(f"{right}s{k}"))
-        shift = 1
-        while shift < BITS:
-            x = x.bitwiseOR(F.shiftright(x, shift))
-            shift *= 2
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(mask)))
-    agree = 1 - unequal / F.lit(float(words * per))
+    unequal = sum((nonzero_groups(F.col(f"{left}s{k}").bitwiseXOR(F.col(f"{right}s{k}"))) for k in range(words)), F.lit(0))
+    agree = 1 - unequal / F.lit(float(words * 64 // BITS))
     chance = 2.0**-BITS
     return (agree - chance) / (1 - chance)
 
@@ -111,11 +112,11 @@ def _sig(words: int) -> tuple[str, ...]:
     return ("n_shingles", *(f"s{k}" for k in range(words)))
 
 
-def _linkable(left: str, right: str, percent: int, words: int, sized: bool):
-    """Set sizes (if known) can still reach the threshold, and the estimate is not far under it."""
+def _linkable(left: str, right: str, percent: int, words: int):
+    """Set sizes can still reach the threshold, and the estimate is not far under it."""
     small, large = F.least(f"{left}n_shingles", f"{right}n_shingles"), F.greatest(f"{left}n_shingles", f"{right}n_shingles")
     near = similarity_estimate(left, right, words) >= estimate_floor(percent / 100, words)
-    return (small * 100 >= large * percent) & near if sized else near
+    return (small * 100 >= large * percent) & near
 
 
 def _links_in(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
@@ -221,11 +222,11 @@ def _confirm(make, percent: int):
     return run
 
 
-def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: bool = True, repeated: bool = False) -> DataFrame:
+def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> DataFrame:
     """(node, component, n_shingles) over reps(doc_id, n_shingles, bands, s0..): clusters that no exact link leaves.
 
     Two classes that share a bucket and whose estimate is not clearly under the threshold end in one cluster.
-    repeated: reps may hold a class several times, with equal columns.
+    repeated: reps may hold a class several times, with equal columns. linkable: the column that tells such pairs.
     """
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     if repeated:  # buckets are many and small: one shuffle and sort finds their ends beside their members
@@ -242,7 +243,7 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: boo
     left, right = _with("l_", reps, ("doc_id", *_sig(words))), _with("r_", reps, ("doc_id", *_sig(words)))
     star = (
         pairs.join(left, F.col("doc_id") == F.col("l_doc_id")).join(right, F.col("pivot") == F.col("r_doc_id"))
-        .where(_linkable("l_", "r_", percent, words, sized)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
+        .where(linkable("l_", "r_", percent, words)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
     )
     star = materialise(star, "star")
     loose = connected_components(star, "loose")
@@ -257,7 +258,7 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, sized: boo
     odd = _with("l_", spread.where("label <> main"), ("key", "doc_id", "label", *_sig(words)))
     rest = _with("r_", spread, ("key", "doc_id", "label", "main", *_sig(words)))
     apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
-    across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & _linkable("l_", "r_", percent, words, sized))
+    across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & linkable("l_", "r_", percent, words))
     across = materialise(across.select(F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct(), "across")
     if across.limit(1).count():
         # A label is the smallest node of its cluster, or a node on its own: clusters join by their labels.
