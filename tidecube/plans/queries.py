@@ -354,6 +354,17 @@ def vortex_properties(spark, d):
     return out.select("t", "vortex_id", "n_cells", "sign", *[_r(c, 6) for c in out.columns if c not in ("t", "vortex_id", "n_cells", "sign")])
 
 
+def vortex_components_volume(spark, d):
+    """All cells with vortex_mask's mask, joined across layers; vortex_components is the surface alone, by a fixed speed."""
+    return vortex.vortex_components(_vortices(spark, d), min_resolution=2, connectivity=6)
+
+
+def vortex_properties_volume(spark, d):
+    masked = _vortices(spark, d)
+    out = vortex.vortex_properties(masked, vortex.vortex_components(masked, min_resolution=2, connectivity=6), "speed")
+    return out.select("t", "vortex_id", "n_cells", "sign", *[_r(c, 6) for c in out.columns if c not in ("t", "vortex_id", "n_cells", "sign")])
+
+
 def _projected(name):
     def query(spark, d):
         pos = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 170 - 85.0 + 0.25).alias("lat"), (F.col("c_custkey") % 350 - 175.0 + 0.5).alias("lon"))
@@ -394,7 +405,8 @@ def queries():
             select_okubo_weiss, land_outline, time_average, time_agg_overlap, infer_frequency, generate_steps, merge_steps, couple_times, nearest_time,
             first_containing, depth_profile, hovmoeller, hovmoeller_from_profile, spaghetti, spaghetti_depth_mean, scatter_to_grid, derivatives, okubo_weiss,
             q_criterion, lambda2, omega, omega_modified, rortex, mixed_layer_depth, mixed_layer_depth_rho, mixed_layer_depth_first, rossby_radius,
-            rossby_radius_latitude, moving_average, vortex_mask, vortex_components, vortex_properties, mercator_round_trip, file_names, daily_buckets,
+            rossby_radius_latitude, moving_average, vortex_mask, vortex_components, vortex_properties, vortex_components_volume, vortex_properties_volume,
+            mercator_round_trip, file_names, daily_buckets,
         )
     }
     own |= {f"density_{m}": _density(m, True) for m in DENSITIES}
