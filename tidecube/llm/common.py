@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,37 +15,113 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space and the five ASCII controls.
 SPACE = r"[\x20\x09-\x0D]"
 
-_SCRATCH: list[str] = []
+#: Keys that more rows share than this, and than rows / MAX_HOT, are dealt over several tasks.
+HOT_ROWS, MAX_HOT = 512, 1 << 16
+
+_local_dirs: dict[str, str] = {}
+_owner: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local session that names none gets a temporary folder of its own; a cluster must name one.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidecube-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: tables between steps are written there")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidecube-")
+    return _local_dirs[context.applicationId]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table was written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+class Scratch:
+    """The tables that materialise() writes inside `with scratch:`, and no others; release() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._token = _owner.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._token)
 
+    def release(self) -> None:
+        """Call it once the results that read the tables are stored."""
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    release_scratch() deletes the table unless keep is set.
+    A table without a path of its own belongs to the Scratch around the call; without one, it is deleted when the
+    application ends. A given path is the caller's to delete; what an earlier attempt left there is overwritten.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidecube-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    if not keep:
-        _SCRATCH.append(path)
+    if path is None:
+        path = f"{shared_dir(spark)}/tidecube-{uuid.uuid4().hex}-{name}"
+        owner = _owner.get()
+        if owner is not None:
+            owner.paths.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        df.write.parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every table that materialise() wrote; call it once the results that read them are stored."""
-    jvm = spark._jvm
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def numbered_rows(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """(row, doc): every row of docs under a number of its own, doc being a struct of all its columns.
+
+    The table is written, so numbers stay; no column of docs can clash with those that an operator adds, and rows that repeat
+    an identifier, or are equal in every column, are told apart.
+    """
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), name)
+
+
+def field(column: str) -> Column:
+    """The column of docs in numbered_rows()."""
+    return F.col("doc").getField(column)
+
+
+def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The columns of docs for the numbered rows that kept(row) lists."""
+    return rows.join(kept.select("row"), "row", "left_semi").select("doc.*")
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], deal: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row a key and n, about how many of rows have that key.
+
+    Keys with n over HOT_ROWS and over 1 / MAX_HOT of all are dealt over several tasks by the column `deal` of rows;
+    there are at most MAX_HOT of them, so what is broadcast is bounded. table is read several times: it should be written.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // MAX_HOT)
+    ways = F.ceil(F.col("n") / limit).cast("int")
+    hot = table.where(F.col("n") > limit).select(*keys, ways.alias("__ways"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(deal), F.col("__ways")), F.lit(0)).cast("int")).drop("__ways")
+    dealt = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > limit, ways).otherwise(F.lit(1)) - 1)))
+    return salted.join(dealt, [*keys, "__salt"], how).drop("__salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

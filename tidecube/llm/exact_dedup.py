@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from .common import SPACE, field, materialise, numbered_rows, only_rows
 
 #: At most this many texts can be common enough to be dealt over several sort partitions.
 MAX_HOT = 2048
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = MAX_HOT) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
-
-    Method: normalised texts (each run of white space as one space, null as empty) are range-partitioned
-    by sampled splitters, sorted with spilling, and each text is compared in full with its neighbours; the
-    smallest id of a run of equals stays. A splitter holds the first 32 characters and a 64-bit hash, so
-    what the driver samples is bounded however long the texts are; the sort itself compares whole texts.
-    A text that more than rows / max_hot rows share is salted over several ranges, each of which
-    is sorted the same way; the ranges' smallest ids and sizes then meet by SHA-256, at most
-    2 * max_hot rows, and go back as a broadcast of that bound.
-
-    Defined cases: null or empty texts are equal to each other; a null id sorts before others, so the
-    group's keep_id is null and that row stays; rows that repeat an id count as separate members of
-    which one stays; an empty table gives no rows; other columns of docs are ignored, whatever their names.
-    """
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " ")
-    base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
-    total = docs.count()
+def _runs(base: DataFrame, max_hot: int) -> DataFrame:
+    """base(row, doc_id, norm) with keep_id, group_size, kept and text_sha256 in place of norm."""
+    base = base.withColumn("h", F.xxhash64("norm"))
+    total = base.count()
     hot = materialise(
         base.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * max_hot > total + max_hot)
         .select("h", (F.col("n") * max_hot / total).cast("int").alias("ways")),
@@ -36,39 +22,70 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     dealt = (
         base.join(F.broadcast(hot), "h", "left")
-        .withColumn("salt", F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("ways") + 1)).otherwise(F.lit(0)))
-        .select("doc_id", "norm", "h", "salt", F.col("ways").isNotNull().alias("hot"), F.substring("norm", 1, 32).alias("head"))
+        .withColumn("salt", F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("row"), F.col("ways") + 1)).otherwise(F.lit(0)))
+        .select("row", "doc_id", "norm", "h", "salt", F.col("ways").isNotNull().alias("hot"), F.substring("norm", 1, 32).alias("head"))
     )
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = dealt.repartitionByRange(parts, "head", "h", "salt")
     run = Window.partitionBy("head", "h", "salt", "norm")
-    first = run.orderBy(F.col("doc_id").asc_nulls_first())
+    first = run.orderBy(F.col("doc_id").asc_nulls_last(), "row")
     runs = ranged.select(
-        "doc_id", "hot", "norm",
+        "row", "doc_id", "hot", "norm",
         F.row_number().over(first).alias("place"),
         F.first("doc_id").over(first).alias("sub_keep"),
+        F.first("row").over(first).alias("sub_row"),
         F.count(F.lit(1)).over(run).alias("sub_size"),
-    ).select("doc_id", "hot", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "place", "sub_keep", "sub_size")
+    ).select("row", "doc_id", "hot", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "place", "sub_keep", "sub_row", "sub_size")
     runs = materialise(runs, "runs")
     heads = runs.where("hot AND place = 1").groupBy("text_sha256").agg(
-        F.min_by("sub_keep", F.struct(F.col("sub_keep").isNotNull(), "sub_keep")).alias("all_keep"), F.sum("sub_size").alias("all_size")
+        F.min(F.struct(F.col("sub_keep").isNull().alias("none"), "sub_keep", "sub_row")).alias("all"), F.sum("sub_size").alias("all_size")
     )
+    heads = heads.select("text_sha256", F.col("all.sub_keep").alias("all_keep"), F.col("all.sub_row").alias("all_row"), "all_size")
     return (
         runs.join(F.broadcast(heads), "text_sha256", "left")
         .select(
+            "row",
             "doc_id",
             F.when(F.col("all_size").isNotNull(), F.col("all_keep")).otherwise(F.col("sub_keep")).alias("keep_id"),
             F.coalesce("all_size", "sub_size").cast("long").alias("group_size"),
-            ((F.col("place") == 1) & (F.col("all_size").isNull() | F.col("sub_keep").eqNullSafe(F.col("all_keep")))).alias("kept"),
+            (F.col("row") == F.coalesce("all_row", "sub_row")).alias("kept"),
             "text_sha256",
         )
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are taken to be unique."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ").alias("norm")
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = MAX_HOT) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Method: normalised texts (each run of white space as one space, null as empty) are range-partitioned
+    by sampled splitters, sorted with spilling, and each text is compared in full with its neighbours; the
+    smallest id of a run of equals stays. A splitter holds the first 32 characters and a 64-bit hash, so
+    what the driver samples is bounded however long the texts are; texts with equal heads are ordered by the hash
+    before they are by content. A text that more than rows / max_hot rows share is salted over several ranges, each of which
+    is sorted the same way; the ranges' smallest ids and sizes then meet by SHA-256, at most
+    2 * max_hot rows, and go back as a broadcast of that bound.
+
+    Defined cases: null or empty texts are equal to each other; a null id sorts after all others; rows that
+    repeat an id count as separate members, of which exactly one stays; an empty table gives no rows; other
+    columns of docs are ignored, whatever their names.
+    """
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), _normal(F.col(text_col)))
+    return _runs(base, max_hot).drop("row")
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_hot: int = MAX_HOT) -> DataFrame:
+    """One row of docs for each different text, with all its columns, by exact_duplicates().
+
+    Rows are told apart by numbers of their own: of rows that repeat an id and a text one stays; of those that
+    repeat an id with other texts each is judged by its text. Null ids give way to others; of several null ids any one stays.
+    Columns of any names pass through unchanged; an empty table gives no rows.
+    """
+    rows = numbered_rows(docs)
+    return only_rows(rows, _runs(rows.select("row", field(id_col).alias("doc_id"), _normal(field(text_col))), max_hot).where("kept"))
 
 
 ORACLE = r"""

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, mix64, signed, text_bytes
-from .near_dedup import BITS, MARGIN, exact_links, loose_clusters, nonzero_groups
+from .common import field, materialise, mix64, numbered_rows, signed, spread_join, text_bytes
+from .near_dedup import BITS, MARGIN, exact_components, loose_clusters, nonzero_groups
 
 #: Bytes of a character shingle, at most; a shorter line is one shingle.
 SHINGLE = 8
@@ -169,7 +169,7 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Itera
         per = 64 // BITS
         bits = np.where(low != 0xFFFFFFFF, 1 + low % np.uint32((1 << BITS) - 1), 0).astype(np.uint64).reshape(len(low), WORDS, per)
         packed = signed((bits << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64))
-        first = np.array([r[4] for r in rows], np.int64)
+        first = np.array([r[5] for r in rows], np.int64)
         has = first >= 0
         lengths = np.zeros(len(rows), np.int64)
         lengths[has] = counts
@@ -177,22 +177,22 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Itera
         bands = pa.ListArray.from_arrays(offsets, pa.array(signed(key)), mask=pa.array(~has))
         take = pa.array(np.where(has, first, 0), mask=~has)
         words = [pa.array(np.ascontiguousarray(packed[:, k])).take(take) for k in range(WORDS)]
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
-        return pa.RecordBatch.from_arrays([*columns, bands, *words], names=["doc_id", "line", "h", "n_shingles", "bands", *[f"s{k}" for k in range(WORDS)]])
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, bands, *words], names=["row", "doc_id", "line", "h", "n_shingles", "bands", *[f"s{k}" for k in range(WORDS)]])
 
     for batch in batches:
         rows, fresh, seen, size = [], [], {}, 0
-        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+        for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))):
             for number, line in enumerate(text.split(b"\n")):
                 plain = normal_line(line)
                 if not plain:
                     continue
                 h = line_number(plain)
                 if h in seen:
-                    rows.append((doc, number, h, len(plain), -1))
+                    rows.append((row, doc, number, h, len(plain), -1))
                     continue
                 seen[h] = True
-                rows.append((doc, number, h, len(plain), len(fresh)))
+                rows.append((row, doc, number, h, len(plain), len(fresh)))
                 fresh.append(plain)
                 size += len(plain)
                 if size > 1 << 20:
@@ -202,71 +202,92 @@ def _signed_lines(batches: Iterator[pa.RecordBatch], percent: int = 80) -> Itera
             yield flush(rows, fresh)
 
 
+def _components(base: DataFrame, percent: int) -> DataFrame:
+    """base(row, doc_id, text), written, as row, doc_id, line, h, component, kept: a row for each line with a word."""
+    words = [f"s{k}" for k in range(WORDS)]
+    schema = "row long, doc_id long, line int, h long, n_shingles int, bands array<long>, " + ", ".join(f"{w} long" for w in words)
+    wide = materialise(base.mapInArrow(lambda batches: _signed_lines(batches, percent), schema), "line-signatures")
+    lines = wide.select("row", "doc_id", "line", "h")
+    reps = wide.where("bands IS NOT NULL").select(F.col("h").alias("node"), "n_shingles", "bands", *words)
+    clusters, stars = loose_clusters(reps, percent, WORDS, repeated=True, linkable=_linkable)
+    order, key, key_of, line_of = _place(base, lines)
+    firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-lines")
+    wanted = clusters.join(firsts, F.col("node") == F.col("h")).select("node", key_of.alias(key), line_of.alias("line"))
+    texts = wanted.join(base.select(key, "text"), key).select("node", F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
+    component = exact_components(materialise(texts, "line-texts"), clusters, stars, line_sets, percent, "lines")
+    # Only lines that repeat or have a link can have a keeper that is not themselves.
+    linked = materialise(component.join(firsts, F.col("node") == F.col("h")).select("h", "component", "first", "n"), "linked-lines")
+    keepers = materialise(linked.groupBy("component").agg(F.min("first").alias("keeper"), F.count("*").alias("n")), "line-keepers")
+    linked = spread_join(linked.select("h", "component", F.col("n").alias("rows")), keepers, ["component"], "h").select("h", "component", "keeper", F.col("rows").alias("n"))
+    alone = firsts.where("n > 1").join(linked.select("h"), "h", "left_anti").select("h", F.col("h").alias("component"), F.col("first").alias("keeper"), "n")
+    homes = materialise(linked.union(alone), "line-homes")
+    found = spread_join(lines, homes, ["h"], "row", "left")
+    return found.select("row", "doc_id", "line", "h", F.coalesce("component", "h").alias("component"), F.coalesce(order == F.col("keeper"), F.lit(True)).alias("kept"))
+
+
+def _place(base: DataFrame, lines: DataFrame):
+    """(a column that orders lines by document and number, a column that tells documents apart, both of them from a column named first).
+
+    Where ids tell all documents apart and both numbers fit into one long, they are packed, which aggregates by hash; else they are a struct.
+    """
+    ids = base.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    ends = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("line").alias("line")).first()
+    if ids["rows"] == ids["ids"] and (ends["low"] is None or (ends["low"] >= 0 and ends["high"] < 1 << 42 and ends["line"] < 1 << 21)):
+        packed = F.col("doc_id") * F.lit(1 << 21) + F.col("line")
+        return packed, "doc_id", F.shiftright("first", 21), F.col("first").bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line"), "row", F.col("first.row"), F.col("first.line")
+
+
+def _base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select("row", field(id_col).cast("long").alias("doc_id"), field(text_col).alias("text"))
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
+
+
 def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, h, component, kept): a row for each line with a word; one line of each component is kept.
 
     Lines (split at line feeds, numbered from 0) are equal if they are after normal_line(); two different lines
     are linked if the Jaccard similarity of their sets of SHINGLE-byte shingles is at least percent / 100.
-    The kept line of a component is the first of the document with the smallest id. Exact keys find
+    The kept line of a component is the first of the document with the smallest id, null after all others; documents
+    that repeat an id are told apart. Exact keys find
     candidates among lines of up to FEW distinct shingles, band keys the others (a pair of long lines at
     0.8 shares none with probability 4e-6), full sets confirm them in blocks of
     bounded size, and union-find joins the links.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    words = [f"s{k}" for k in range(WORDS)]
-    schema = "doc_id long, line int, h long, n_shingles int, bands array<long>, " + ", ".join(f"{w} long" for w in words)
-    wide = materialise(base.mapInArrow(lambda batches: _signed_lines(batches, percent), schema), "line-signatures")
-    lines = wide.select("doc_id", "line", "h")
-    reps = wide.where("bands IS NOT NULL").select(F.col("h").alias("doc_id"), "n_shingles", "bands", *words)
-    loose = loose_clusters(reps, percent, WORDS, repeated=True, linkable=_linkable)
-    order, doc_of, line_of = _place(lines)
-    firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first")), "first-lines")
-    wanted = loose.join(firsts, F.col("node") == F.col("h")).select("h", doc_of.alias("doc_id"), line_of.alias("line"))
-    texts = wanted.join(base, "doc_id").select(F.col("h").alias("doc_id"), F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
-    links = exact_links(texts, loose, line_sets, percent)
-    component = connected_components(links, "lines")
-    # Only lines with a link can have a keeper that is not the first of their equals.
-    linked = materialise(component.join(firsts, F.col("node") == F.col("h")).select("h", "component", "first"), "linked-lines")
-    keepers = linked.groupBy("component").agg(F.min("first").alias("keeper"))
-    linked = materialise(linked.join(keepers, "component").select("h", "component", "keeper"), "line-keepers")
-    homes = firsts.join(linked, "h", "left").select("h", F.coalesce("component", "h").alias("component"), F.coalesce("keeper", "first").alias("keeper"))
-    return lines.join(homes, "h").select("doc_id", "line", "h", "component", (order == F.col("keeper")).alias("kept"))
-
-
-def _place(lines: DataFrame):
-    """(a column that orders lines by document and number, and what gives both back from a column named first).
-
-    Where both numbers fit into one long they are packed, which aggregates by hash; else they are a struct.
-    """
-    ends = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("line").alias("line")).first()
-    if ends["low"] is None or (ends["low"] >= 0 and ends["high"] < 1 << 42 and ends["line"] < 1 << 21):
-        packed = F.col("doc_id") * F.lit(1 << 21) + F.col("line")
-        return packed, F.shiftright("first", 21), F.col("first").bitwiseAND(F.lit((1 << 21) - 1)).cast("int")
-    return F.struct("doc_id", "line"), F.col("first.doc_id"), F.col("first.line")
+    return _components(_base(_narrow(docs, id_col, text_col), "id", "text"), percent).drop("row")
 
 
 def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines (with a word), n_kept, removed (numbers of dropped lines).
 
     Defined cases: null or empty texts have no lines; lines of white space are not counted and never dropped; a
-    null id has no counts but 0; rows that repeat an id are reported with the counts of all of them; an
+    null id comes after all others; rows that repeat an id are each reported with their own lines; an
     empty table gives no rows; other columns are ignored.
     """
-    found = line_components(docs, percent, id_col, text_col)
-    by_doc = found.groupBy("doc_id").agg(
+    rows = _narrow(docs, id_col, text_col)
+    found = _components(_base(rows, "id", "text"), percent)
+    by_doc = found.groupBy("row").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"),
         F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line")))).alias("removed"),
     )
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    return ids.join(by_doc, "doc_id", "left").select(
+    ids = rows.select("row", field("id").cast("long").alias("doc_id"))
+    return ids.join(by_doc, "row", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"),
         F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"),
     )
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines that are not kept taken out of the text; ids are taken to be unique."""
-    gone = line_components(docs, percent, id_col, text_col).where("NOT kept").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(gone, docs[id_col] == F.col("__doc"), "left")
-    return joined.select(*[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    """docs with the lines that are not kept taken out of the text; all other columns pass through, whatever their names.
+
+    Rows that repeat an id are told apart: of a line that all of them hold, one stays in one of them. Null and empty
+    texts stay as they are; an empty table gives no rows.
+    """
+    rows = numbered_rows(docs)
+    gone = _components(_base(rows, id_col, text_col), percent).where("NOT kept").groupBy("row").agg(F.collect_set("line").alias("gone"))
+    joined = rows.join(gone, "row", "left")
+    text = F.array_join(F.filter(F.split(field(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return joined.select(*[F.when(F.col("gone").isNull(), field(c)).otherwise(text).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, mix64, shingles, signed, text_bytes, word_hashes
+from .common import MAX_HOT, connected_components, field, materialise, mix64, numbered_rows, only_rows, shingles, signed, spread_join, text_bytes, word_hashes
 
 #: 40 bands of 6 minima: a pair at similarity 0.8 shares no band with probability 5e-6.
 BANDS, ROWS = 40, 6
@@ -19,6 +19,8 @@ BITS = 4
 WORDS = BANDS * ROWS * BITS // 64
 #: Standard errors by which an estimate may fall short of the threshold and still be confirmed on full sets.
 MARGIN = 5
+#: One key row in SAMPLE is counted to find buckets so full that their rows are dealt over tasks: those with COMMON in the sample.
+SAMPLE, COMMON = 64, 8
 #: Shingles and members that a block of one candidate cluster holds, about.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 256
 
@@ -57,23 +59,23 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def _signature_schema() -> str:
-    return "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS))
+    return "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"s{k} long" for k in range(WORDS))
 
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, words in word_hashes(text_bytes(batch.column(1), lower=True)):
+            for first, words in word_hashes(text_bytes(batch.column(2), lower=True)):
                 sets = [shingles(w, width) for w in words]
                 low = minima(sets)
                 digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
                 keys = signed(band_keys(low))
                 sig = signed(packed(low))
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-                columns = [ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands]
+                columns = [batch.column(k).slice(first, len(sets)) for k in (0, 1)]
+                columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), bands]
                 columns += [pa.array(np.ascontiguousarray(sig[:, k])) for k in range(WORDS)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "bands"] + [f"s{k}" for k in range(WORDS)])
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_shingles", "set_a", "set_b", "bands"] + [f"s{k}" for k in range(WORDS)])
 
     return run
 
@@ -185,7 +187,7 @@ def word_sets(width: int):
 
 
 def _confirm(make, percent: int):
-    """Rows (cluster, i, j, doc_id, block, text) sorted by (cluster, i, j): exact links of each block pair."""
+    """Rows (cluster, i, j, node, block, text) sorted by (cluster, i, j): exact links of each block pair."""
 
     def flush(groups: list[list], out: list) -> None:
         """Sets of many groups are made together, then each group is compared on its own."""
@@ -222,43 +224,60 @@ def _confirm(make, percent: int):
     return run
 
 
-def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> DataFrame:
-    """(node, component, n_shingles) over reps(doc_id, n_shingles, bands, s0..): clusters that no exact link leaves.
+def _crowded(keys: DataFrame) -> DataFrame:
+    """(key, node, pivot, n) for the rows of keys(node, key) whose key two nodes have; pivot is the smallest of n rows.
 
-    Two classes that share a bucket and whose estimate is not clearly under the threshold end in one cluster.
-    repeated: reps may hold a class several times, with equal columns. linkable: the column that tells such pairs.
+    Most buckets are small: one shuffle and sort finds their ends beside their members. A sample tells which
+    keys are so common that partial aggregates and a broadcast, of at most MAX_HOT keys, find the ends instead;
+    what the sample says changes the way, not the rows.
     """
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    if repeated:  # buckets are many and small: one shuffle and sort finds their ends beside their members
-        bucket = Window.partitionBy("key")
-        ends = keys.withColumn("pivot", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket))
-        crowded = materialise(ends.where("pivot < last").select("doc_id", "key", "pivot").distinct(), "crowded")
-    else:
-        shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")
-        crowded = materialise(keys.join(materialise(shared, "buckets"), "key"), "crowded")
+    seen = keys.sample(False, 1 / SAMPLE, 7).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    seen = materialise(seen, "common-keys")
+    total = seen.agg(F.sum("n")).first()[0]
+    common = F.broadcast(seen.where(F.col("n") > (total or 0) // MAX_HOT).select("key"))
+    rare = keys.join(common, "key", "left_anti") if total else keys
+    bucket = Window.partitionBy("key")
+    ends = rare.select("key", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last"), F.count("*").over(bucket).alias("n"))
+    if total:
+        often = keys.join(common, "key", "left_semi")
+        bounds = often.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"))
+        ends = ends.union(often.join(F.broadcast(bounds), "key").select("key", "node", "pivot", "last", "n"))
+    return ends.where("pivot < last").drop("last")
+
+
+def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> tuple[DataFrame, DataFrame]:
+    """(clusters, stars) over reps(node, n_shingles, bands, s0..): no exact link leaves a cluster.
+
+    clusters(node, component, n_shingles): classes that share a bucket and whose estimate is not clearly under the threshold end in
+    one cluster. stars(a, b): the likely links of nodes to the smallest node of a bucket. repeated: reps may hold a
+    class several times, with equal columns. linkable: the column that tells likely pairs.
+    """
+    crowded = _crowded(reps.select("node", F.explode("bands").alias("key")))
+    crowded = materialise(crowded.distinct() if repeated else crowded, "crowded")
+    signature = reps.select("node", *_sig(words))
     if repeated:
-        reps = reps.select("doc_id", *_sig(words)).join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
-        reps = materialise(reps.distinct(), "crowded-classes")
-    pairs = crowded.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
-    left, right = _with("l_", reps, ("doc_id", *_sig(words))), _with("r_", reps, ("doc_id", *_sig(words)))
-    star = (
-        pairs.join(left, F.col("doc_id") == F.col("l_doc_id")).join(right, F.col("pivot") == F.col("r_doc_id"))
-        .where(linkable("l_", "r_", percent, words)).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    )
-    star = materialise(star, "star")
+        signature = materialise(signature.join(crowded.select("node"), "node", "left_semi").distinct(), "crowded-classes")
+    pairs = materialise(crowded.where("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(_with("r_", signature, ("node", *_sig(words))), F.col("pivot") == F.col("r_node"))
+    left = pairs.join(_with("l_", signature, ("node", *_sig(words))), F.col("node") == F.col("l_node"))
+    star = spread_join(left, materialise(pivots, "pivots"), ["pivot"], "node").where(linkable("l_", "r_", percent, words))
+    star = materialise(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "star")
     loose = connected_components(star, "loose")
 
-    label = F.coalesce("component", "doc_id").alias("label")
-    members = crowded.select("doc_id", "key").join(loose, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", label)
+    members = crowded.select("node", "key").join(loose, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     members = materialise(members, "members")
-    ends = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    several = materialise(members.join(ends, "key"), "several")
-    mixed = several.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    spread = materialise(several.join(mixed, "key").join(_with("", reps, ("doc_id", *_sig(words))), "doc_id"), "spread")
-    odd = _with("l_", spread.where("label <> main"), ("key", "doc_id", "label", *_sig(words)))
-    rest = _with("r_", spread, ("key", "doc_id", "label", "main", *_sig(words)))
-    apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_doc_id") < F.col("r_doc_id")))
-    across = odd.join(rest, (F.col("l_key") == F.col("r_key")) & apart & linkable("l_", "r_", percent, words))
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("labels"))
+    mixed = materialise(mixed.where("labels > 1").drop("labels"), "mixed")
+    ways = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    spread = spread_join(members, mixed, ["key"], "node").withColumn("ways", ways)
+    spread = materialise(spread.join(signature, "node"), "spread")
+    odd = _with("l_", spread.where("label <> main"), ("key", "node", "label", "ways", *_sig(words)))
+    odd = odd.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.col("l_ways") - 1)))
+    rest = _with("r_", spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")), ("key", "node", "label", "main", "salt", *_sig(words)))
+    apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_node") < F.col("r_node")))
+    met = (F.col("l_key") == F.col("r_key")) & (F.col("l_salt") == F.col("r_salt"))
+    across = odd.join(rest, met & apart & linkable("l_", "r_", percent, words))
     across = materialise(across.select(F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct(), "across")
     if across.limit(1).count():
         # A label is the smallest node of its cluster, or a node on its own: clusters join by their labels.
@@ -266,74 +285,116 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated:
         alone = across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         loose = loose.union(alone.select("node", F.col("node").alias("component"))).distinct()
         loose = loose.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialise(loose.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "clusters")
+    return materialise(loose.join(signature.select("node", "n_shingles"), "node"), "clusters"), star
+
+
+def _blocks(shingles, members):
+    """Column: blocks for so many shingles and members; none for no member."""
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(members / BLOCK_MEMBERS)).cast("int")
+
+
+def exact_components(texts: DataFrame, clusters: DataFrame, stars: DataFrame, make, percent: int, name: str) -> DataFrame:
+    """(node, component) by exact links inside clusters(node, component, n_shingles); texts(node, text) are compared as make's sets.
+
+    First each node meets the smallest node that its stars name, which joins most of a group of near copies in
+    one comparison a node. What is left of a cluster are its parts by those links: nodes outside the largest
+    part then meet all nodes of the cluster, in blocks of bounded size, so no pair of parts goes unseen and a
+    text is copied once for each block it meets. Nodes without a link are not in the result.
+    """
+    size = clusters.select("node", "n_shingles")
+    hubs = stars.groupBy("a").agg(F.min("b").alias("hub"))
+    hubs = materialise(hubs.join(size, F.col("a") == F.col("node")).select("a", "hub", "n_shingles"), f"{name}-hubs")
+    counts = hubs.groupBy("hub").agg(F.count("*").alias("n"), _blocks(F.sum("n_shingles"), F.count("*")).alias("ways"))
+    counts = materialise(counts, f"{name}-hub-counts")
+    dealt = spread_join(hubs, counts, ["hub"], "a").select(F.col("hub"), F.pmod(F.xxhash64("a"), F.col("ways")).cast("int").alias("i"), F.col("a").alias("node"), F.lit(1).alias("block"))
+    own = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("i"), F.col("hub").alias("node"), F.lit(0).alias("block"))
+    met = dealt.union(own).join(texts, "node").select("hub", "i", F.lit(0).alias("j"), "node", "block", "text")
+    dealt = met.repartition("hub", "i").sortWithinPartitions("hub", "i")
+    first = materialise(dealt.mapInArrow(_confirm(make, percent), "a long, b long"), f"{name}-star-links")
+    joined = connected_components(first, f"{name}-stars")
+
+    placed = clusters.join(joined.select("node", F.col("component").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = materialise(placed, f"{name}-placed")
+    parts = placed.groupBy("component", "part").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    parts = parts.groupBy("component").agg(
+        F.max_by(F.struct("part", "m", "s"), F.struct("m", "part")).alias("main"), F.sum("m").alias("n"), F.sum("s").alias("all"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    parts = parts.select(
+        "component", "n", F.col("main.part").alias("main"),
+        _blocks(F.col("all") - F.col("main.s"), F.col("n") - F.col("main.m")).alias("odd"), _blocks(F.col("main.s"), F.col("main.m")).alias("even"),
+    )
+    open_ = spread_join(placed, materialise(parts, f"{name}-parts"), ["component"], "node")
+    in_main, h = F.col("part") == F.col("main"), F.xxhash64("node")
+    open_ = open_.select(
+        "node", "component", "odd", F.when(in_main, F.col("odd") - 1).otherwise(F.col("odd") + F.col("even") - 1).alias("last"),
+        F.when(in_main, F.col("odd") + F.pmod(h, F.col("even"))).otherwise(F.pmod(h, F.col("odd"))).cast("int").alias("block"),
+    )
+    met = open_.join(texts, "node").select("component", "node", "block", "text", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
+    dealt = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    second = materialise(dealt.mapInArrow(_confirm(make, percent), "a long, b long"), f"{name}-part-links")
+    if not second.limit(1).count():
+        return joined
+    return connected_components(first.union(second), f"{name}-exact")
+
+
+def _components(base: DataFrame, width: int, percent: int) -> DataFrame:
+    """base(row, doc_id, text), written, as row, doc_id, n_shingles, component (null without a set), component_id."""
+    sigs = materialise(base.mapInArrow(_signatures(width), _signature_schema()), "signatures")
+    sets = sigs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = materialise(sets, "sets")
+    reps = sigs.withColumnRenamed("row", "node").select("node", "bands", *_sig(WORDS)).join(sets.select("node"), "node", "left_semi")
+    reps = materialise(reps, "classes")
+    clusters, stars = loose_clusters(reps, percent)
+    component = exact_components(base.select(F.col("row").alias("node"), "text"), clusters, stars, word_sets(width), percent, "docs")
+    linked = materialise(sets.join(component, "node").select("node", "component", "least"), "linked")
+    smallest = materialise(linked.groupBy("component").agg(F.min("least").alias("smallest"), F.count("*").alias("n")), "smallest")
+    linked = spread_join(linked.drop("least"), smallest, ["component"], "node").drop("n")
+    named = materialise(
+        sets.join(linked, "node", "left")
+        .select("set_a", "set_b", "n", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")),
+        "named",
+    )
+    found = spread_join(sigs.select("row", "doc_id", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], "row", "left")
+    return found.select("row", "doc_id", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
 
+def _base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.select("row", field(id_col).cast("long").alias("doc_id"), field(text_col).alias("text"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+    """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id is component_id).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of distinct
     shingles of `width` lower-cased (A-Z) words; a component is what links reach, and its smallest id stays.
 
     Method: (1) one pass makes MinHash signatures, band keys and packed low bits. (2) Documents with the
     same set are one class from here on, so copies cost nothing. (3) In each bucket of a band all members
-    are compared, by the collision-corrected estimate from bit counts, with the bucket's smallest id;
+    are compared, by the collision-corrected estimate from bit counts, with the bucket's first class;
     pairs not clearly under the threshold join loose clusters. (4) Buckets that still hold several
     clusters compare across clusters the same way, without a cap. (5) Inside each loose cluster, full
     shingle sets are compared exactly, in blocks of bounded size, and only exact links are kept.
     (6) Union-find over those links.
 
-    Memory follows the block size and the longest text; groups of any size are split into block pairs.
-    Defined cases: null, empty or white-space texts have no set, are linked with nothing and stay; a text
-    shorter than `width` words is one shingle; a null id is its own component (null) and stays; rows that
-    repeat an id are taken as one document of which every row gets the same component; an empty table gives
-    no rows; other columns are ignored.
+    Memory follows the block size and the longest text; groups of any size are split into block pairs, and rows of a
+    common key are dealt over several tasks. Defined cases: null, empty or white-space texts have no set, are linked
+    with nothing and stay; a text shorter than `width` words is one shingle; a null id is linked like any other and
+    comes after all numbers, so component_id is null only where all ids are; rows that repeat an id are compared
+    by their own texts and all get the least id that any of them reaches; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = materialise(base.mapInArrow(_signatures(width), _signature_schema()), "signatures")
-    sets = materialise(
-        sigs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "sets"
-    )
-    reps = materialise(
-        sigs.where("doc_id IS NOT NULL AND n_shingles > 0").dropDuplicates(["doc_id", "set_a", "set_b"]).alias("g")
-        .join(sets.alias("s"), (F.col("g.doc_id") == F.col("s.rep")) & (F.col("g.set_a") == F.col("s.set_a")) & (F.col("g.set_b") == F.col("s.set_b")))
-        .select("g.doc_id", "g.bands", *[f"g.{c}" for c in _sig(WORDS)]),
-        "classes",
-    )
-
-    loose = loose_clusters(reps, percent)
-    links = exact_links(base, loose, word_sets(width), percent)
-    component = connected_components(links, "exact")
-    named = materialise(
-        sets.join(component, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "named"
-    )
-    return (
-        sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def exact_links(base: DataFrame, clusters: DataFrame, make, percent: int) -> DataFrame:
-    """Exact links inside clusters(node, component, n_shingles): every pair of a cluster meets in one block pair."""
-    blocks = clusters.groupBy("component").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks")
-    )
-    blocks = materialise(blocks, "blocks")
-    placed = clusters.join(blocks, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    texts = materialise(placed.join(base.where("doc_id IS NOT NULL"), F.col("node") == F.col("doc_id")).dropDuplicates(["node"]), "texts")
-    met = texts.select(
-        "component", "doc_id", "block", "text",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "text"
-    )
-    dealt = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return materialise(dealt.mapInArrow(_confirm(make, percent), "a long, b long"), "links")
+    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
+    found = _components(_base(rows, "id", "text"), width, percent).drop("row", "component")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are taken to be unique."""
-    kept = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """One row of docs for each component of near_duplicates(), with all its columns, and all rows without a set.
+
+    The row with the smallest id stays; of rows that repeat it, the first one by a number given here. Rows that repeat an id are
+    told apart, and columns of any names pass through unchanged. An empty table gives no rows.
+    """
+    rows = numbered_rows(docs)
+    found = _components(_base(rows, id_col, text_col), width, percent)
+    first = found.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("row"))
+    return only_rows(rows, first.select("row").union(found.where("component IS NULL").select("row")))
