@@ -90,12 +90,18 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered_rows(docs: DataFrame, name: str = "rows") -> DataFrame:
+def numbered_rows(docs: DataFrame, id_col: str, name: str = "rows") -> DataFrame:
     """(row, doc): every row of docs under a number of its own, doc being a struct of all its columns.
 
-    The table is written, so numbers stay; no column of docs can clash with those that an operator adds, and rows that repeat
-    an identifier, or are equal in every column, are told apart.
+    No column of docs can clash with those that an operator adds, and rows that repeat an identifier, or are equal in
+    every column, are told apart. Where whole-number ids tell all rows apart, which is counted, they are the numbers; else rows are
+    numbered and the table is written, so that numbers stay.
     """
+    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        row = F.col(f"`{id_col}`").cast("long")
+        seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(row).alias("ids")).first()
+        if seen["rows"] == seen["ids"]:
+            return docs.select(row.alias("row"), F.struct("*").alias("doc"))
     return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), name)
 
 

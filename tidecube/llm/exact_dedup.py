@@ -84,7 +84,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeat an id with other texts each is judged by its text. Null ids give way to others; of several null ids any one stays.
     Columns of any names pass through unchanged; an empty table gives no rows.
     """
-    rows = numbered_rows(docs)
+    rows = numbered_rows(docs, id_col)
     return only_rows(rows, _runs(rows.select("row", field(id_col).alias("doc_id"), _normal(field(text_col))), max_hot).where("kept"))
 
 

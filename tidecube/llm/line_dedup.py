@@ -243,7 +243,7 @@ def _base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
+    return numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
 
 
 def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +286,7 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_i
     Rows that repeat an id are told apart: of a line that all of them hold, one stays in one of them. Null and empty
     texts stay as they are; an empty table gives no rows.
     """
-    rows = numbered_rows(docs)
+    rows = numbered_rows(docs, id_col)
     gone = _components(_base(rows, id_col, text_col), percent).where("NOT kept").groupBy("row").agg(F.collect_set("line").alias("gone"))
     joined = rows.join(gone, "row", "left")
     text = F.array_join(F.filter(F.split(field(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")

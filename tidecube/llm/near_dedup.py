@@ -22,7 +22,7 @@ MARGIN = 5
 #: One key row in SAMPLE is counted to find buckets so full that their rows are dealt over tasks: those with COMMON in the sample.
 SAMPLE, COMMON = 64, 8
 #: Shingles and members that a block of one candidate cluster holds, about.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 256
+BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 128
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -224,25 +224,26 @@ def _confirm(make, percent: int):
     return run
 
 
-def _crowded(keys: DataFrame) -> DataFrame:
-    """(key, node, pivot, n) for the rows of keys(node, key) whose key two nodes have; pivot is the smallest of n rows.
+def _crowded(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, pivot) for the rows of reps(node, bands) whose key two nodes have, and the pairs (node, pivot) to compare.
 
-    Most buckets are small: one shuffle and sort finds their ends beside their members. A sample tells which
-    keys are so common that partial aggregates and a broadcast, of at most MAX_HOT keys, find the ends instead;
-    what the sample says changes the way, not the rows.
+    pivot is the bucket's smallest node, which one shuffle and sort finds beside the members. A sample tells which
+    keys are so common, at most MAX_HOT, that their buckets are dealt over several tasks: then each part has a
+    pivot, and the parts' pivots are compared with the smallest of them. What the sample says changes the way, not the rows.
     """
-    seen = keys.sample(False, 1 / SAMPLE, 7).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    seen = reps.sample(False, 1 / SAMPLE, 7).select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     seen = materialise(seen, "common-keys")
-    total = seen.agg(F.sum("n")).first()[0]
-    common = F.broadcast(seen.where(F.col("n") > (total or 0) // MAX_HOT).select("key"))
-    rare = keys.join(common, "key", "left_anti") if total else keys
-    bucket = Window.partitionBy("key")
-    ends = rare.select("key", "node", F.min("node").over(bucket).alias("pivot"), F.max("node").over(bucket).alias("last"), F.count("*").over(bucket).alias("n"))
-    if total:
-        often = keys.join(common, "key", "left_semi")
-        bounds = often.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n"))
-        ends = ends.union(often.join(F.broadcast(bounds), "key").select("key", "node", "pivot", "last", "n"))
-    return ends.where("pivot < last").drop("last")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    common = seen.where(F.col("n") > total // MAX_HOT).select("key", F.ceil(F.col("n") / COMMON).cast("int").alias("ways"))
+    keys = reps.select("node", F.explode("bands").alias("key")).join(F.broadcast(common), "key", "left")
+    dealt = keys.select("key", "node", F.col("ways").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("node"), F.col("ways")), F.lit(0)).cast("int").alias("salt"))
+    part = Window.partitionBy("key", "salt")
+    found = dealt.select("key", "node", "hot", F.min("node").over(part).alias("pivot"), F.max("node").over(part).alias("last"))
+    found = materialise(found.where("hot OR pivot < last").select("key", "node", "pivot", "hot"), "crowded")
+    tops = found.where("hot AND node = pivot").select("key", "node")
+    first = F.broadcast(tops.groupBy("key").agg(F.min("node").alias("pivot")))
+    between = tops.join(first, "key").select("node", "pivot")
+    return found.select("key", "node"), found.select("node", "pivot").union(between).where("node <> pivot").distinct()
 
 
 def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> tuple[DataFrame, DataFrame]:
@@ -252,19 +253,18 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated:
     one cluster. stars(a, b): the likely links of nodes to the smallest node of a bucket. repeated: reps may hold a
     class several times, with equal columns. linkable: the column that tells likely pairs.
     """
-    crowded = _crowded(reps.select("node", F.explode("bands").alias("key")))
-    crowded = materialise(crowded.distinct() if repeated else crowded, "crowded")
+    crowded, pairs = _crowded(reps)
     signature = reps.select("node", *_sig(words))
     if repeated:
         signature = materialise(signature.join(crowded.select("node"), "node", "left_semi").distinct(), "crowded-classes")
-    pairs = materialise(crowded.where("node <> pivot").select("node", "pivot").distinct(), "pairs")
+    pairs = materialise(pairs, "pairs")
     pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(_with("r_", signature, ("node", *_sig(words))), F.col("pivot") == F.col("r_node"))
     left = pairs.join(_with("l_", signature, ("node", *_sig(words))), F.col("node") == F.col("l_node"))
     star = spread_join(left, materialise(pivots, "pivots"), ["pivot"], "node").where(linkable("l_", "r_", percent, words))
     star = materialise(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "star")
     loose = connected_components(star, "loose")
 
-    members = crowded.select("node", "key").join(loose, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    members = (crowded.distinct() if repeated else crowded).join(loose, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     members = materialise(members, "members")
     parts = members.groupBy("key", "label").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("labels"))
@@ -383,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comes after all numbers, so component_id is null only where all ids are; rows that repeat an id are compared
     by their own texts and all get the least id that any of them reaches; an empty table gives no rows; other columns are ignored.
     """
-    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "texts")
+    rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
     found = _components(_base(rows, "id", "text"), width, percent).drop("row", "component")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -394,7 +394,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The row with the smallest id stays; of rows that repeat it, the first one by a number given here. Rows that repeat an id are
     told apart, and columns of any names pass through unchanged. An empty table gives no rows.
     """
-    rows = numbered_rows(docs)
+    rows = numbered_rows(docs, id_col)
     found = _components(_base(rows, id_col, text_col), width, percent)
     first = found.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("row"))
     return only_rows(rows, first.select("row").union(found.where("component IS NULL").select("row")))

@@ -265,7 +265,7 @@ def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Each row is judged by its own text, so rows that repeat an id, or are equal, are told apart; columns of any names pass through; an
     empty table gives no rows.
     """
-    rows = numbered_rows(docs)
+    rows = numbered_rows(docs, id_col)
     base = rows.select(
         "row", field(id_col).alias("doc_id"), field(lang_col).cast("string").alias("lang"), field(source_col).cast("string").alias("source"), field(text_col).alias("text")
     )
