@@ -12,12 +12,12 @@ from .stats import weighted_mean
 AXIS_LIMIT = 100_000
 
 
-def point_source(spark: SparkSession, lon: float, lat: float, depth: float = 0.0, number: int = 1, radius: float = 0.0, projection: str = "degrees", seed: int = 0) -> DataFrame:
-    """(pid, x, y, z): a point, or `number` points evenly filling a ball around it."""
+def point_source(spark: SparkSession, lon: float, lat: float, depth: float = 0.0, number: int = 1, radius: float = 0.0, projection: str = "degrees", seed: int = 0, shell: bool = False) -> DataFrame:
+    """(pid, x, y, z): a point, or `number` points evenly filling a ball around it, or with shell its surface."""
     x, y = project(projection, F.lit(float(lon)), F.lit(float(lat)))
     base = spark.range(number).select(F.col("id").alias("pid"))
     cosine, turn = 2 * F.rand(seed) - 1, 2 * 3.141592653589793 * F.rand(seed + 1)
-    reach = radius * F.cbrt(F.rand(seed + 2))
+    reach = F.lit(float(radius)) if shell else radius * F.cbrt(F.rand(seed + 2))
     flat = F.sqrt(1 - cosine * cosine)
     return base.select("pid", (x + reach * flat * F.cos(turn)).alias("x"), (y + reach * flat * F.sin(turn)).alias("y"), (F.lit(-float(depth)) + reach * cosine).alias("z"))
 
@@ -84,21 +84,32 @@ def depth_profile(cells: DataFrame, probes: DataFrame, variables: list[str], tol
     return found.join(values, ["i", "j", "k"]).select("t", *probes.columns, *variables)
 
 
+def _every(found: DataFrame, times: DataFrame) -> DataFrame:
+    """Each located point at each time; the smaller side is broadcast, which is the points, if they are as few as an axis may have."""
+    if found.limit(AXIS_LIMIT + 1).count() > AXIS_LIMIT:
+        raise ValueError(f"more than {AXIS_LIMIT} points")
+    return times.select("t").distinct().crossJoin(F.broadcast(found))
+
+
 def hovmoeller(cells: DataFrame, probes: DataFrame, variable: str, axes: dict[str, DataFrame] | None = None, steps: DataFrame | None = None, missing: float = 0.0) -> DataFrame:
-    """(pid, depth, t, value): a row for each point of the line and chosen step; missing where the line leaves the grid."""
+    """(pid, depth, t, value): a row for each point of the line and chosen step; missing where the line leaves the grid.
+
+    Points are few (AXIS_LIMIT, which is checked); their cells are picked out of the grid before steps and points meet, so a
+    grid of any size is read once for its times and once for the cells on the line.
+    """
     found = locate(probes, axes or grid_axes(cells))
     chosen = cells if steps is None else cells.join(steps.select("t"), "t", "left_semi")
-    times = F.broadcast(chosen.select("t").distinct()) if steps is None else steps.select("t")
-    grid = found.withColumn("__one", F.lit(1)).join(times.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    values = chosen.select("t", "i", "j", "k", F.col(variable).alias("value"))
+    on_line = F.broadcast(found.select("i", "j", "k").distinct())
+    values = chosen.select("t", "i", "j", "k", F.col(variable).alias("value")).join(on_line, ["i", "j", "k"], "left_semi")
+    grid = _every(found, chosen if steps is None else steps)
     return grid.join(values, ["t", "i", "j", "k"], "left").select("pid", "depth", "t", F.coalesce("value", F.lit(missing)).alias("value"))
 
 
 def hovmoeller_from_profile(profile: DataFrame, probes: DataFrame, axis_z: DataFrame, basin: int, coast: int = 2, stat: str = "mean", missing: float = 0.0) -> DataFrame:
-    """The same table from kept profiles(t, basin, coast, k, stat, value)."""
+    """The same table from kept profiles(t, basin, coast, k, stat, value): every point at every instant of the profiles, missing where a level has none."""
     found = locate(probes, {"k": axis_z})
     kept = profile.where((F.col("basin") == basin) & (F.col("coast") == coast) & (F.col("stat") == stat)).select("t", "k", "value")
-    return found.join(kept, "k", "left").select("pid", "depth", "t", F.coalesce("value", F.lit(missing)).alias("value"))
+    return _every(found, profile).join(kept, ["t", "k"], "left").select("pid", "depth", "t", F.coalesce("value", F.lit(missing)).alias("value"))
 
 
 def wide_by_time(long: DataFrame, keys=("depth",), time: str = "t", value: str = "value", instants: list | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ intervals are closed at both ends. Both are small next to the data they are join
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,28 @@ def generate_steps(spark: SparkSession, start: str, end: str, **delta: int) -> D
 
 
 def merge_steps(*axes: DataFrame, within: int = DAY) -> DataFrame:
-    """One axis: sorted, without repeats, and without steps less than `within` seconds after the one before."""
+    """One axis: sorted, without repeats, and without steps less than `within` seconds after the last one that stays.
+
+    A step that comes at least `within` after its neighbour always stays, so the axis falls into runs of near steps; what
+    stays of a run is found by jumps from one step that stays to the next.
+    """
     every = axes[0].select("t")
     for axis in axes[1:]:
         every = every.union(axis.select("t"))
-    near = Window.orderBy("t")
-    gap = seconds(F.col("t")) - F.lag(seconds(F.col("t"))).over(near)
-    return every.distinct().withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= within)).select("t")
+    order = Window.orderBy("at")
+    steps = every.distinct().withColumn("at", F.unix_micros("t"))
+    steps = steps.withColumn("far", F.coalesce(F.col("at") - F.lag("at").over(order) >= within * 1_000_000, F.lit(True)).cast("int"))
+    runs = steps.select("t", "at", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+
+    def thin(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("at")
+        at, kept, place = run["at"].to_numpy(), [], 0
+        while place < len(at):
+            kept.append(place)
+            place = max(place + 1, int(np.searchsorted(at, at[place] + within * 1_000_000)))
+        return run.iloc[kept][["t"]]
+
+    return runs.groupBy("run").applyInPandas(thin, runs.select("t").schema)
 
 
 def infer_frequency(steps: DataFrame) -> DataFrame:
@@ -87,12 +104,12 @@ def step_window(freq: str, t: Column) -> tuple[Column, Column]:
     raise ValueError(f"no window for steps of frequency {freq}")
 
 
-def requests(spark: SparkSession, kind: str, start: str, end: str, weekday: int = 1, days: int = 10, seasons=SEASONS, every: int | None = None) -> DataFrame:
+def requests(spark: SparkSession, kind: str, start: str, end: str, weekday: int = 1, days: int = 10, seasons=SEASONS, every: int | None = None, decade_from: int = 0) -> DataFrame:
     """requests(req_id, label, start, end) of a kind that meet [start, end].
 
     daily [d, d+1], monthly, seasonal, yearly and decadal end where the next begins; weekly is the 3.5 days
     around noon of each `weekday` (1 Monday), less a second; interval is `days` around noons `every` days
-    apart (by default `days`); hourly and the like are centred on the steps generate_steps() gives.
+    apart (by default `days`); decades begin in years that leave decade_from modulo 10 (0 or 1); hourly and the like are centred on the steps generate_steps() gives.
     """
     a, b = f"timestamp'{start}'", f"timestamp'{end}'"
     if kind in ("daily", "monthly", "yearly"):
@@ -100,7 +117,7 @@ def requests(spark: SparkSession, kind: str, start: str, end: str, weekday: int
         rows = spark.sql(f"SELECT explode(sequence(date_trunc('{unit}', {a}), {b}, interval 1 {unit})) AS start")
         rows = rows.select(F.date_format("start", fmt).alias("label"), "start", (F.col("start") + F.expr(f"interval 1 {unit}")).alias("end"))
     elif kind == "decadal":
-        rows = spark.sql(f"SELECT explode(sequence(year({a}) - year({a}) % 10, year({b}), 10)) AS y")
+        rows = spark.sql(f"SELECT explode(sequence(year({a}) - pmod(year({a}) - {int(decade_from)}, 10), year({b}), 10)) AS y")
         rows = rows.select(F.concat("y", F.lit("..."), F.col("y") + 10).alias("label"), F.make_timestamp("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start"),
                            F.make_timestamp(F.col("y") + 10, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("end"))
     elif kind == "seasonal":

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 from ..functions import seawater as sw
+from ..functions.projection import EQUAL_EARTH, ROBINSON_X, ROBINSON_Y
 from ..operators.select import parse_polygon
 from ..operators.stencil import SCHEMES
 from .fixture import SQL as CELLS
-from .queries import POLYGON
+from .queries import POLYGON, PROJECTED
 
 WITH = "WITH " + CELLS
 KEYS = "t, k, j, i"
@@ -80,7 +81,7 @@ def _density(name: str, deep: bool) -> str:
     return f"{num} / {den}"
 
 
-AXIS = {"x": ("i", "t, k, j", 64), "y": ("j", "t, k, i", 10), "z": ("k", "t, j, i", 10)}
+AXIS = {"x": ("i", "t, k, j", 16), "y": ("j", "t, k, i", 10), "z": ("k", "t, j, i", 10)}
 FACE = {"x": ("e1u", "e2u * e3u", "e2t * e3t"), "y": ("e2v", "e1v * e3v", "e1t * e3t"), "z": ("e3w", None, None)}
 COORD = {"x": "x", "y": "y", "z": "depth"}
 
@@ -204,7 +205,7 @@ def _point(f: str) -> str:
     return f"SELECT c_custkey, c_custkey % 170 - 85 + 0.25::DOUBLE AS lat, c_custkey % 350 - 175 + 0.5::DOUBLE AS lon FROM customer"
 
 
-def _projected(name: str) -> str | None:
+def _projected(name: str) -> str:
     a, e = 6378137.0, math.sqrt((1 / 298.257223563) * (2 - 1 / 298.257223563))
     phi, lam = "radians(lat)", "radians(lon)"
     if name == "mercator":
@@ -224,11 +225,99 @@ def _projected(name: str) -> str | None:
         k = f"({p - 1!r} / ({p!r} - {c}))"
         x = f"CASE WHEN {c} >= {1 / p!r} THEN {a} * {k} * cos({phi}) * sin({l}) END"
         y = f"CASE WHEN {c} >= {1 / p!r} THEN {a} * {k} * (cos({p0}) * sin({phi}) - sin({p0}) * cos({phi}) * cos({l})) END"
+    elif name == "robinson":
+        at, part = "CAST(least(floor(abs(lat) / 5), 17) AS INTEGER)", "(abs(lat) / 5 - least(floor(abs(lat) / 5), 17))"
+        table = lambda values: f"({list(values)!r}[{at} + 1] * (1 - {part}) + {list(values)!r}[{at} + 2] * {part})"
+        x, y = f"0.8487::DOUBLE * {a} * {table(ROBINSON_X)} * {lam}", f"1.3523::DOUBLE * {a} * {table(ROBINSON_Y)} * sign(lat)"
+    elif name == "equal earth":
+        qp = 1 + (1 - e * e) / (2 * e) * math.log((1 + e) / (1 - e))
+        q = f"({1 - e * e!r} * (sin({phi}) / (1 - {e * e!r} * power(sin({phi}), 2)) - ln((1 - {e!r} * sin({phi})) / (1 + {e!r} * sin({phi}))) / {2 * e!r}))"
+        th = f"asin({math.sqrt(3) / 2!r} * greatest(-1, least(1, {q} / {qp!r})))"
+        c1, c2, c3, c4 = (f"({c!r}::DOUBLE)" for c in EQUAL_EARTH)
+        slope = f"({c1} + 3 * {c2} * power({th}, 2) + 7 * {c3} * power({th}, 6) + 9 * {c4} * power({th}, 8))"
+        radius = f"{a * math.sqrt(qp / 2)!r}"
+        x = f"{radius} * {2 * math.sqrt(3)!r} * {lam} * cos({th}) / (3 * {slope})"
+        y = f"{radius} * ({c1} * {th} + {c2} * power({th}, 3) + {c3} * power({th}, 7) + {c4} * power({th}, 9))"
+    elif name == "mollweide":
+        flat = 2 * math.sqrt(2) / math.pi * a
+        return _newton("2 * th + sin(2 * th) - pi() * sin(phi)", "2 + 2 * cos(2 * th)", "phi", f"{flat!r} * lam * cos(th)", f"{math.sqrt(2) * a!r} * sin(th)")
     else:
-        return None
+        scale, high = 2 / math.sqrt(math.pi * (4 + math.pi)) * a, 2 * math.sqrt(math.pi / (4 + math.pi)) * a
+        return _newton(f"th + sin(th) * cos(th) + 2 * sin(th) - {2 + math.pi / 2!r} * sin(phi)", "1 + cos(2 * th) + 2 * cos(th)", "phi / 2", f"{scale!r} * lam * (1 + cos(th))", f"{high!r} * sin(th)")
     return f"SELECT c_custkey, round({x}, 3) AS x, round({y}, 3) AS y FROM ({_point(name)})"
 
 
+def _labels(source: str, least: int) -> str:
+    """source ends in sp(t, k, j, i, speed, ..) and hot, the masked rows of it -> CTE named(t, k, j, i, vortex_id)."""
+    text = f"""{WITH}, {source}, m AS (SELECT t, k, j, i, (k * 10 + j) * 16 + i AS id FROM hot),
+pairs AS (SELECT a.t AS t, a.id AS a, b.id AS b FROM m a JOIN m b ON a.t = b.t AND abs(a.k - b.k) + abs(a.j - b.j) + abs(a.i - b.i) = 1),
+reach AS (SELECT t, id, id AS root FROM m UNION SELECT p.t, p.a, r.root FROM reach r JOIN pairs p ON r.t = p.t AND r.id = p.b WHERE r.root < p.a),
+comp AS (SELECT t, id, min(root) AS root FROM reach GROUP BY t, id), sized AS (SELECT *, count(*) OVER (PARTITION BY t, root) AS n FROM comp),
+named AS (SELECT t, id // 160 AS k, id // 16 % 10 AS j, id % 16 AS i, dense_rank() OVER (PARTITION BY t ORDER BY root) AS vortex_id FROM sized WHERE n > {least})"""
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _properties() -> str:
+    return """, mem AS (SELECT sp.*, vortex_id, row_number() OVER (PARTITION BY sp.t, vortex_id ORDER BY speed DESC, sp.k, sp.j, sp.i) AS rn FROM sp JOIN named USING (t, k, j, i)),
+ctr AS (SELECT t, vortex_id, x AS cx, y AS cy, z AS cz, u AS cu, v AS cv, w AS cw, speed AS cs FROM mem WHERE rn = 1)
+SELECT t, vortex_id, count(*) AS n_cells, CAST(CASE WHEN any_value(cw) < 0 THEN -1 ELSE 1 END AS BIGINT) AS sign, round(avg(x), 6) + 0.0 AS bary_x, round(avg(y), 6) + 0.0 AS bary_y, round(avg(z), 6) + 0.0 AS bary_z,
+  round(any_value(cx), 6) + 0.0 AS center_x, round(any_value(cy), 6) + 0.0 AS center_y, round(any_value(cz), 6) + 0.0 AS center_z,
+  round(max(sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) FILTER (speed >= 0.05::DOUBLE * cs), 6) + 0.0 AS size,
+  round(any_value(cu / cs), 6) + 0.0 AS rot_x, round(any_value(cv / cs), 6) + 0.0 AS rot_y, round(any_value(cw / cs), 6) + 0.0 AS rot_z,
+  round(any_value(cs), 6) + 0.0 AS abs_strength, round(any_value(cs), 6) + 0.0 AS rel_strength, round(sum(e1t * e2t * w), 6) + 0.0 AS circulation FROM mem JOIN ctr USING (t, vortex_id) GROUP BY t, vortex_id"""
+
+
+#: The gradient's rows less the real eigenvalue; two of them span the plane that the real eigenvector is normal to.
+_LESS = [[f"d{c}d{r}" + (" - lr" if r == a else "") for r, a in zip("xyz", a3)] for c, a3 in zip(UVW, ("x__", "_y_", "__z"))]
+
+
+def _normal(r: int, s: int) -> list[str]:
+    p, q = _LESS[r], _LESS[s]
+    return [f"(({p[b]}) * ({q[c]}) - ({p[c]}) * ({q[b]}))" for b, c in ((1, 2), (2, 0), (0, 1))]
+
+
+def _rortex() -> str:
+    minors = "dudx * dvdy - dudy * dvdx + dudx * dwdz - dudz * dwdx + dvdy * dwdz - dvdz * dwdy"
+    det = "dudx * (dvdy * dwdz - dvdz * dwdy) - dudy * (dvdx * dwdz - dvdz * dwdx) + dudz * (dvdx * dwdy - dvdy * dwdx)"
+    sides = ", ".join(f"{e} AS {a}{n}" for n, (r, s) in enumerate(((0, 1), (0, 2), (1, 2))) for a, e in zip("xyz", _normal(r, s)))
+    best = lambda a: f"CASE WHEN n0 >= n1 AND n0 >= n2 THEN {a}0 WHEN n1 >= n2 THEN {a}1 ELSE {a}2 END"
+    return f"""{WITH}, {_grads('model1', UVW)}, inv AS (SELECT *, {DIV} AS tr, {minors} AS mi, {det} AS de FROM grads),
+pq AS (SELECT *, mi - tr * tr / 3 AS cp, -2 * tr * tr * tr / 27 + tr * mi / 3 - de AS cq FROM inv), dd AS (SELECT *, cq * cq / 4 + cp * cp * cp / 27 AS disc FROM pq),
+rr AS (SELECT *, cbrt(-cq / 2 + sqrt(greatest(disc, 0))) + cbrt(-cq / 2 - sqrt(greatest(disc, 0))) + tr / 3 AS lr FROM dd),
+ci AS (SELECT *, greatest(0, mi - lr * (tr - lr) - power((tr - lr) / 2, 2)) AS ci2, {sides} FROM rr),
+nn AS (SELECT *, x0 * x0 + y0 * y0 + z0 * z0 AS n0, x1 * x1 + y1 * y1 + z1 * z1 AS n1, x2 * x2 + y2 * y2 + z2 * z2 AS n2 FROM ci),
+bb AS (SELECT *, {best('x')} AS bx, {best('y')} AS by_, {best('z')} AS bz, sqrt(greatest(n0, n1, n2)) AS len FROM nn),
+al AS (SELECT *, ((dwdy - dvdz) * bx + (dudz - dwdx) * by_ + (dvdx - dudy) * bz) / nullif(len, 0) AS al FROM bb),
+sz AS (SELECT *, disc > 0 AND len > 0 AS spins, CASE WHEN disc > 0 AND len > 0 THEN abs(al) - sqrt(greatest(0, al * al - 4 * ci2)) ELSE 0 END AS size, CASE WHEN al < 0 THEN -1 ELSE 1 END AS sgn FROM al),
+rortexes AS (SELECT *, CASE WHEN spins THEN size * sgn * bx / len ELSE 0 END AS rx, CASE WHEN spins THEN size * sgn * by_ / len ELSE 0 END AS ry, CASE WHEN spins THEN size * sgn * bz / len ELSE 0 END AS rz,
+  CASE WHEN spins THEN al * al / 4 ELSE 0 END AS b2, CASE WHEN spins THEN greatest(0, al * al / 4 - ci2) ELSE 0 END AS a2 FROM sz)"""
+
+
+RORTEX = _rortex()
+_G = [[f"d{c}d{r}" for r in "xyz"] for c in UVW]
+_SYM = "(power(dudx, 2) + power(dvdy, 2) + power(dwdz, 2) + (power(dudy + dvdx, 2) + power(dudz + dwdx, 2) + power(dvdz + dwdy, 2)) / 2)"
+_ANTI = "((power(dudy - dvdx, 2) + power(dudz - dwdx, 2) + power(dvdz - dwdy, 2)) / 2)"
+AB = f"ab AS (SELECT {KEYS}, {_SYM} AS a, {_ANTI} AS b FROM grads), es AS (SELECT t, 0.001::DOUBLE * greatest(0, max(b - a)) AS e FROM ab GROUP BY t)"
+
+
+def _square(r: int, c: int) -> str:
+    return f"0.5::DOUBLE * ({' + '.join(f'({_G[r][k]}) * ({_G[k][c]}) + ({_G[c][k]}) * ({_G[k][r]})' for k in range(3))})"
+
+
+LAMBDA_CTES = f"""m AS (SELECT {KEYS}, {', '.join(f'{_square(r, c)} AS a{r}{c}' for r, c in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)))} FROM grads),
+n AS (SELECT *, (a00 + a11 + a22) / 3 AS q, a01 * a01 + a02 * a02 + a12 * a12 AS p1 FROM m), o3 AS (SELECT *, sqrt((power(a00 - q, 2) + power(a11 - q, 2) + power(a22 - q, 2) + 2 * p1) / 6) AS p FROM n),
+r3 AS (SELECT *, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)) / (2 * p * p * p) AS r FROM o3),
+e3 AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM r3)"""
+LAMBDA2 = f"SELECT {KEYS}, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 7) + 0.0 AS lambda2 FROM e3"
+
+
+def _newton(value: str, slope: str, start: str, x: str, y: str) -> str:
+    """25 steps of Newton's method for theta, then x and y."""
+    return f"""WITH RECURSIVE p AS (SELECT c_custkey, radians(lat) AS phi, radians(lon) AS lam FROM ({_point('')})),
+n AS (SELECT c_custkey, phi, lam, {start} AS th, 0 AS step FROM p UNION ALL SELECT c_custkey, phi, lam, CASE WHEN abs({slope}) < 1e-12 THEN th ELSE th - ({value}) / ({slope}) END, step + 1 FROM n WHERE step < 25)
+SELECT c_custkey, round({x}, 3) AS x, round({y}, 3) AS y FROM n WHERE step = 25"""
+
+
 def oracle_sql() -> dict[str, str]:
     line = "SELECT CAST(l_linenumber AS BIGINT) AS layer, l_quantity AS w, l_extendedprice AS v, l_orderkey, l_partkey, l_suppkey FROM lineitem"
     long = "SELECT t, k AS layer, 'temp' AS variable, {w} AS w, temp AS v, k, j, i FROM cells UNION ALL SELECT t, k, 'sal', {w}, sal, k, j, i FROM cells"
@@ -236,16 +325,9 @@ def oracle_sql() -> dict[str, str]:
     profile = "profile AS (SELECT t, basin, coast, k, sum(e1t * e2t * temp) / sum(e1t * e2t) AS mean, max(temp) AS max FROM cells GROUP BY t, basin, coast, k)"
     wind, cross = _winding("x", "y")
     speed = "vs AS (SELECT *, sqrt(u * u + v * v + w * w) AS val FROM cells)"
-    labels = f"""{WITH}, sp AS (SELECT *, sqrt(u * u + v * v + w * w) AS speed FROM cells WHERE k = 0), m AS (SELECT t, j, i, j * 64 + i AS id FROM sp WHERE speed > 0.23),
-reach AS (SELECT t, id, id AS root FROM m UNION SELECT a.t, a.id, r.root FROM reach r JOIN m b ON r.t = b.t AND r.id = b.id JOIN m a ON a.t = b.t AND abs(a.j - b.j) + abs(a.i - b.i) = 1),
-comp AS (SELECT t, id, min(root) AS root FROM reach GROUP BY t, id), sized AS (SELECT *, count(*) OVER (PARTITION BY t, root) AS n FROM comp),
-named AS (SELECT t, id // 64 AS j, id % 64 AS i, dense_rank() OVER (PARTITION BY t ORDER BY root) AS vortex_id FROM sized WHERE n > 2)"""
-    labels = labels.replace("WITH ", "WITH RECURSIVE ", 1)
-    a = lambda r, c: f"0.5::DOUBLE * ({' + '.join(f'({G[r][k]}) * ({G[k][c]}) + ({G[c][k]}) * ({G[k][r]})' for k in range(3))})"
-    G = [[f"d{c}d{r}" for r in "xyz"] for c in UVW]
-    sym = "(power(dudx, 2) + power(dvdy, 2) + power(dwdz, 2) + (power(dudy + dvdx, 2) + power(dudz + dwdx, 2) + power(dvdz + dwdy, 2)) / 2)"
-    anti = "((power(dudy - dvdx, 2) + power(dudz - dwdx, 2) + power(dvdz - dwdy, 2)) / 2)"
-    ab = f"{WITH}, {_grads('model1', UVW)}, ab AS (SELECT {KEYS}, {sym} AS a, {anti} AS b FROM grads), es AS (SELECT t, 0.001::DOUBLE * greatest(0, max(b - a)) AS e FROM ab GROUP BY t)"
+    surface = _labels("sp AS (SELECT *, sqrt(u * u + v * v + w * w) AS speed FROM cells WHERE k = 0), hot AS (SELECT * FROM sp WHERE speed > 0.23)", 2)
+    volume = _labels(f"{speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')}, sp AS (SELECT vs.*, vs.val AS speed FROM vs), hot AS (SELECT sp.* FROM sp JOIN sigmas ON sp.t = sigmas.t WHERE speed > 0.5::DOUBLE * 2 * sigma)", 5)
+    ab = f"{WITH}, {_grads('model1', UVW)}, {AB}"
     own = {
         "spatial_stats_layer": "WITH " + _stats(line, "layer", "l_orderkey, l_partkey, l_suppkey, w", MOMENTS),
         "weighted_percentiles": "WITH " + _stats(line, "layer", "l_orderkey, l_partkey, l_suppkey, w", tuple(PERCENT)),
@@ -293,8 +375,8 @@ SELECT label, count(*) AS n, round(sum(w), 0) + 0.0 AS weight, round(sum(w * pri
         "climatology_month_coarse": f"WITH {MONTHS}, days AS (SELECT month(t) AS bucket, price, datediff('day', t, t + INTERVAL 1 month) AS d FROM months) SELECT bucket, CAST(sum(d) AS BIGINT) AS n, round(sum(d * price) / sum(d), 6) + 0.0 AS price FROM days GROUP BY bucket",
         "infer_frequency": "WITH g AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS secs FROM (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)), m AS (SELECT secs, count(*) AS n FROM g WHERE secs IS NOT NULL GROUP BY secs ORDER BY n DESC, secs LIMIT 1) SELECT CASE WHEN secs = 86400 THEN 'daily' ELSE 'other' END AS freq, CAST(secs AS BIGINT) AS secs FROM m",
         "generate_steps": "SELECT strftime(TIMESTAMP '1995-01-31' + n * INTERVAL 1 month, '%Y%m%d') AS step FROM (SELECT unnest(generate_series(0, 11)) AS n)",
-        "merge_steps": f"""WITH a AS (SELECT {_series('2024-01-01 12:00:00', '2024-01-20 12:00:00', '1 day')} AS t UNION SELECT {_series('2024-01-10 12:00:00', '2024-02-10 12:00:00', '3 day')}),
-g AS (SELECT t, epoch(t) - lag(epoch(t)) OVER (ORDER BY t) AS gap FROM a) SELECT strftime(t, '%Y%m%d%H') AS step FROM g WHERE gap IS NULL OR gap >= 86400""",
+        "merge_steps": f"""WITH a AS (SELECT {_series('2024-01-01 12:00:00', '2024-01-20 12:00:00', '1 day')} AS t UNION SELECT {_series('2024-01-10 00:00:00', '2024-02-10 00:00:00', '1 day')}),
+stays AS (SELECT min(t) AS t FROM a UNION ALL SELECT (SELECT min(a.t) FROM a WHERE a.t >= stays.t + INTERVAL 1 day) FROM stays WHERE t IS NOT NULL) SELECT strftime(t, '%Y%m%d%H') AS step FROM stays WHERE t IS NOT NULL""".replace("WITH ", "WITH RECURSIVE ", 1),
         "couple_times": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '7 day')} AS t) SELECT strftime(a.t, '%Y%m%d') AS step, count(*) AS n_obs, min(event_id) AS first_id
 FROM a JOIN events ON CAST(ts AS TIMESTAMP) BETWEEN a.t - INTERVAL 84 hour AND a.t + INTERVAL 84 hour - INTERVAL 1 second GROUP BY a.t""",
         "nearest_time": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '3 day')} AS t), ev AS (SELECT event_id, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM events)
@@ -302,16 +384,13 @@ SELECT event_id AS id, strftime(arg_min(t, abs(s - epoch(t)) * 1000000 + epoch(t
         "first_containing": "SELECT strftime(min(CAST(o_orderdate AS TIMESTAMP)), '%Y%m%d') AS step FROM orders WHERE CAST(o_orderdate AS TIMESTAMP) BETWEEN TIMESTAMP '1996-03-03 10:00:00' AND TIMESTAMP '1997-01-01'",
         "depth_profile": f"{WITH}, {LINE} SELECT t, pid, round(spots.depth, 4) + 0.0 AS depth, round(temp, 6) + 0.0 AS temp, round(sal, 6) + 0.0 AS sal FROM spots JOIN cells ON cells.k = spots.k WHERE j = 4 AND i = 12",
         "hovmoeller": f"{WITH}, {LINE}, ts AS (SELECT DISTINCT t FROM cells) SELECT ts.t AS t, pid, round(spots.depth, 4) + 0.0 AS depth, round(coalesce(temp, 0), 6) + 0.0 AS value FROM spots CROSS JOIN ts LEFT JOIN cells ON cells.k = spots.k AND cells.t = ts.t AND j = 4 AND i = 12",
-        "hovmoeller_from_profile": f"{WITH}, {LINE}, p AS (SELECT t, k, sum(e1t * e2t * temp) / sum(e1t * e2t) AS mean FROM cells WHERE basin = 3 AND coast = 2 GROUP BY t, k) SELECT t, pid, round(depth, 4) + 0.0 AS depth, round(coalesce(mean, 0), 6) + 0.0 AS value FROM spots LEFT JOIN p ON p.k = spots.k",
+        "hovmoeller_from_profile": f"{WITH}, {LINE}, p AS (SELECT t, k, sum(e1t * e2t * temp) / sum(e1t * e2t) AS mean FROM cells WHERE basin = 3 AND coast = 2 GROUP BY t, k), ts AS (SELECT DISTINCT t FROM cells) SELECT ts.t AS t, pid, round(depth, 4) + 0.0 AS depth, round(coalesce(mean, 0), 6) + 0.0 AS value FROM spots CROSS JOIN ts LEFT JOIN p ON p.k = spots.k AND p.t = ts.t",
         "spaghetti": f"{WITH} SELECT t, round(temp, 6) + 0.0 AS value FROM cells WHERE j = 4 AND i = 12 AND k = 3",
         "spaghetti_depth_mean": f"{WITH} SELECT t, round(sum(e3t * temp) / sum(e3t), 6) + 0.0 AS value FROM cells WHERE j = 4 AND i = 12 GROUP BY t",
         "scatter_to_grid": f"{WITH} SELECT {KEYS}, CASE WHEN coast = 2 THEN round(temp, 6) + 0.0 ELSE 1e20::DOUBLE END AS temp FROM cells",
         "derivatives": f"{WITH}, {_grads('model1', UVW)} SELECT {KEYS}, round({DIV}, 8) + 0.0 AS div, round(dwdy - dvdz, 8) + 0.0 AS curl_x, round(dudz - dwdx, 8) + 0.0 AS curl_y, round(dvdx - dudy, 8) + 0.0 AS curl_z, round({Q}, 8) + 0.0 AS q FROM grads",
         "q_criterion": f"{WITH}, {_grads('model1', UVW)}, qs AS (SELECT {KEYS}, e1t, e2t, CASE WHEN coast > 0 THEN {Q} END AS q, -2 * CASE WHEN coast > 0 THEN {Q} END AS val FROM grads), {_sigma('SELECT * FROM qs')} SELECT qs.t AS t, k, j, i, round(q, 8) + 0.0 AS q, {_region('val')} AS region FROM qs JOIN sigmas ON qs.t = sigmas.t",
-        "lambda2": f"""{WITH}, {_grads('model1', UVW)}, m AS (SELECT {KEYS}, {a(0, 0)} AS a00, {a(1, 1)} AS a11, {a(2, 2)} AS a22, {a(0, 1)} AS a01, {a(0, 2)} AS a02, {a(1, 2)} AS a12 FROM grads),
-n AS (SELECT *, (a00 + a11 + a22) / 3 AS q, a01 * a01 + a02 * a02 + a12 * a12 AS p1 FROM m), o AS (SELECT *, sqrt((power(a00 - q, 2) + power(a11 - q, 2) + power(a22 - q, 2) + 2 * p1) / 6) AS p FROM n),
-r AS (SELECT *, ((a00 - q) * ((a11 - q) * (a22 - q) - a12 * a12) - a01 * (a01 * (a22 - q) - a12 * a02) + a02 * (a01 * a12 - (a11 - q) * a02)) / (2 * p * p * p) AS r FROM o),
-e AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM r) SELECT {KEYS}, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 7) + 0.0 AS lambda2 FROM e""",
+        "lambda2": f"{WITH}, {_grads('model1', UVW)}, {LAMBDA_CTES} {LAMBDA2}",
         "omega": f"{ab} SELECT ab.t AS t, k, j, i, round(b / (a + b + e), 7) + 0.0 AS omega FROM ab JOIN es ON ab.t = es.t",
         "omega_modified": f"{ab} SELECT ab.t AS t, k, j, i, round((b + e) / (a + b + 2 * e), 7) + 0.0 AS omega FROM ab JOIN es ON ab.t = es.t",
         "mixed_layer_depth": f"{WITH}, {_mld('cells', 'temp', '0.2::DOUBLE')} SELECT {KEYS}, mld_k, mld, mld_mask FROM deep",
@@ -323,14 +402,27 @@ ends AS (SELECT *, coalesce(max(CASE WHEN coast > 0 AND abs(temp - vref) < 0.2::
         "moving_average": f"""WITH {DAILY}, n AS (SELECT t, price, row_number() OVER y AS p, count(*) OVER (PARTITION BY year(t)) AS c FROM daily WINDOW y AS (PARTITION BY year(t) ORDER BY t)),
 h AS (SELECT *, least(2, p - 1, c - p) AS h FROM n) SELECT strftime(a.t, '%Y%m%d') AS day, round(avg(b.price), 7) + 0.0 AS price_smooth FROM h a JOIN h b ON year(a.t) = year(b.t) AND b.p BETWEEN a.p - a.h AND a.p + a.h GROUP BY a.t""",
         "vortex_mask": f"{WITH}, {speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')} SELECT vs.t AS t, k, j, i, CAST(val > 0.5::DOUBLE * 2 * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t",
-        "vortex_components": f"{labels} SELECT t, j, i, vortex_id FROM named",
-        "vortex_properties": f"""{labels}, mem AS (SELECT sp.*, vortex_id, row_number() OVER (PARTITION BY sp.t, vortex_id ORDER BY speed DESC, sp.j, sp.i) AS rn FROM sp JOIN named USING (t, j, i)),
-ctr AS (SELECT t, vortex_id, x AS cx, y AS cy, z AS cz, u AS cu, v AS cv, w AS cw, speed AS cs FROM mem WHERE rn = 1)
-SELECT t, vortex_id, count(*) AS n_cells, CAST(CASE WHEN any_value(cw) < 0 THEN -1 ELSE 1 END AS BIGINT) AS sign, round(avg(x), 6) + 0.0 AS bary_x, round(avg(y), 6) + 0.0 AS bary_y, round(avg(z), 6) + 0.0 AS bary_z,
-  round(any_value(cx), 6) + 0.0 AS center_x, round(any_value(cy), 6) + 0.0 AS center_y, round(any_value(cz), 6) + 0.0 AS center_z,
-  round(max(sqrt(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) FILTER (speed >= 0.05::DOUBLE * cs), 6) + 0.0 AS size,
-  round(any_value(cu / cs), 6) + 0.0 AS rot_x, round(any_value(cv / cs), 6) + 0.0 AS rot_y, round(any_value(cw / cs), 6) + 0.0 AS rot_z,
-  round(any_value(cs), 6) + 0.0 AS abs_strength, round(any_value(cs), 6) + 0.0 AS rel_strength, round(sum(e1t * e2t * w), 6) + 0.0 AS circulation FROM mem JOIN ctr USING (t, vortex_id) GROUP BY t, vortex_id""",
+        "vortex_components": f"{volume} SELECT t, k, j, i, vortex_id FROM named",
+        "vortex_components_surface": f"{surface} SELECT t, j, i, vortex_id FROM named",
+        "vortex_properties": volume + _properties(),
+        "vortex_properties_surface": surface + _properties(),
+        "vortex_mean_strengths": f"{volume} SELECT t, vortex_id, round(sum(e1t * e2t * speed) / sum(e1t * e2t), 6) + 0.0 AS abs_strength, round(sum(e1t * e2t * temp) / sum(e1t * e2t), 6) + 0.0 AS rel_strength FROM sp JOIN named USING (t, k, j, i) GROUP BY t, vortex_id",
+        "vortex_mask_okubo_weiss": f"""{OKUBO}, sea AS (SELECT t, k, e1t, e2t, val FROM regions JOIN cells USING (t, k, j, i) WHERE coast > 0), mm AS (SELECT t, sum(e1t * e2t * val) / sum(e1t * e2t) AS m FROM sea GROUP BY t),
+ss AS (SELECT sea.t, {SIGMA} AS s FROM sea JOIN mm ON sea.t = mm.t GROUP BY sea.t) SELECT regions.t AS t, k, j, i, CAST(coalesce(val < -0.2::DOUBLE * s, false) AS BIGINT) AS mask FROM regions JOIN ss ON regions.t = ss.t""",
+        "vortex_mask_rortex": f"""{RORTEX}, vs AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS val FROM rortexes), {_sigma('SELECT t, e1t, e2t, val FROM vs')}
+SELECT vs.t AS t, k, j, i, CAST(val > 0.2::DOUBLE * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t""",
+        "rortex": f"""{RORTEX}, vs AS (SELECT *, size AS val FROM rortexes), {_sigma('SELECT t, e1t, e2t, val FROM vs')}, ro AS (SELECT t AS t0, 0.001::DOUBLE * greatest(0, max(b2 - a2)) AS e FROM rortexes GROUP BY t)
+SELECT vs.t AS t, k, j, i, round(rx, 7) + 0.0 AS rortex_x, round(ry, 7) + 0.0 AS rortex_y, round(rz, 7) + 0.0 AS rortex_z, round(b2 / nullif(a2 + b2 + e, 0), 7) + 0.0 AS omega_r, CAST(size > 0.2::DOUBLE * sigma AS INTEGER) AS rortex_mask
+FROM vs JOIN sigmas ON vs.t = sigmas.t JOIN ro ON vs.t = t0""",
+        "gradient_outputs": f"""{RORTEX}, ro AS (SELECT t AS t0, 0.001::DOUBLE * greatest(0, max(b2 - a2)) AS e FROM rortexes GROUP BY t), o AS (SELECT ab.t AS t, k, j, i, round(b / (a + b + e), 7) + 0.0 AS omega FROM ab JOIN es ON ab.t = es.t),
+l AS ({LAMBDA2}) SELECT r.t AS t, k, j, i, round({DIV}, 7) + 0.0 AS div, round(dwdy - dvdz, 7) + 0.0 AS curl_x, round(dudz - dwdx, 7) + 0.0 AS curl_y, round(dvdx - dudy, 7) + 0.0 AS curl_z, round({Q}, 7) + 0.0 AS q, lambda2, omega,
+  round(rx, 7) + 0.0 AS rortex_x, round(ry, 7) + 0.0 AS rortex_y, round(rz, 7) + 0.0 AS rortex_z, round(b2 / nullif(a2 + b2 + e, 0), 7) + 0.0 AS omega_r
+FROM rortexes r JOIN ro ON r.t = t0 JOIN l USING (t, k, j, i) JOIN o USING (t, k, j, i)""".replace("rortexes AS (", f"{AB}, {LAMBDA_CTES}, rortexes AS (", 1),
+        "data_columns": "SELECT * FROM (VALUES (0, 'u'), (1, 'v'), (2, 'w'), (3, 'temp'), (4, 'sal'), (5, 'z'), (6, 'lat'), (7, 'basin')) AS c (place, name)",
+        "tail_range": "WITH n AS (SELECT o_orderkey AS id, dense_rank() OVER (ORDER BY o_orderdate) - 1 AS n FROM orders) SELECT id FROM n WHERE n >= 3 AND n < 10",
+        "missing_to": "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice < 30000 THEN l_extendedprice END AS l_extendedprice, CASE WHEN l_extendedprice < 30000 THEN l_extendedprice ELSE 0 END AS zeroed FROM lineitem",
+        "couple_seconds": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '6 hour')} AS t) SELECT strftime(a.t, '%Y%m%d%H') AS step, count(*) AS n_obs, min(event_id) AS first_id
+FROM a JOIN events ON CAST(ts AS TIMESTAMP) BETWEEN a.t - INTERVAL 1 hour AND a.t + INTERVAL 1 hour GROUP BY a.t""",
         "mercator_round_trip": "SELECT c_custkey, c_custkey % 350 - 175 + 0.0::DOUBLE AS lon, c_custkey % 170 - 85 + 0.0::DOUBLE AS lat FROM customer",
         "file_names": "WITH n AS (SELECT p_partkey, printf('ave.%08d-12:00:00.', p_partkey) || p_brand || '.nc' AS name FROM part) SELECT p_partkey, split_part(name, '.', 2) AS date, split_part(name, '.', 3) AS variable, replace(replace(replace(name || ' (x)', ' ', '_'), '(', ''), ')', '') AS clean FROM n",
         "daily_buckets": "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y%m%d') AS day, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM events GROUP BY 1",
@@ -338,5 +430,5 @@ SELECT t, vortex_id, count(*) AS n_cells, CAST(CASE WHEN any_value(cw) < 0 THEN
     own |= {f"density_{m}": f"{WITH} SELECT {KEYS}, round({_density(m, True)}, 6) + 0.0 AS rho FROM cells" for m in ("lin_t", "lin_ts", "jmd94", "jaot12", "jaot20")}
     own |= {f"density_{m}_surface": f"{WITH} SELECT {KEYS}, round({_density(m, False)}, 6) + 0.0 AS rho FROM cells" for m in ("jmd94", "jaot12", "jaot20")}
     own |= {f"grad_{s}": f"{WITH}, {_grads(s, ('temp',))} SELECT {KEYS}, " + ", ".join(f"round(dtempd{x}, 9) + 0.0 AS dtempd{x}" for x in "xyz") + " FROM grads" for s in SCHEMES}
-    own |= {f"project_{p}": _projected(p) for p in ("mercator", "google", "cylindrical", "orthographic", "satellite")}
+    own |= {f"project_{p.replace(' ', '_')}": _projected(p) for p in PROJECTED}
     return own

@@ -12,7 +12,7 @@ from ..streaming import buckets
 from .fixture import cells
 
 KEYS = ("t", "k", "j", "i")
-POLYGON = "1.5 10.5\n8.5 20.25\n4.5 50.5\n0.5 30.5"
+POLYGON = "1.5 2.5\n8.5 5.25\n4.5 13.5\n0.5 8.5"
 
 
 def _r(name: str, digits: int = 6):
@@ -212,8 +212,8 @@ def generate_steps(spark, d):
 
 def merge_steps(spark, d):
     noon = temporal.generate_steps(spark, "2024-01-01 12:00:00", "2024-01-20 12:00:00", days=1)
-    three = temporal.generate_steps(spark, "2024-01-10 12:00:00", "2024-02-10 12:00:00", days=3)
-    return temporal.merge_steps(noon, three).select(F.date_format("t", "yyyyMMddHH").alias("step"))
+    midnight = temporal.generate_steps(spark, "2024-01-10 00:00:00", "2024-02-10 00:00:00", days=1)
+    return temporal.merge_steps(noon, midnight).select(F.date_format("t", "yyyyMMddHH").alias("step"))
 
 
 def couple_times(spark, d):
@@ -341,28 +341,78 @@ def vortex_mask(spark, d):
     return _vortices(spark, d).select(*KEYS, F.col("mask").cast("long").alias("mask"))
 
 
-def vortex_components(spark, d):
-    top = _vortices(spark, d).where("k = 0 AND speed > 0.1")
-    return vortex.vortex_components(top.withColumn("mask", (F.col("speed") > 0.23).cast("int")), min_resolution=2, connectivity=4).select("t", "j", "i", "vortex_id")
+def _kind_mask(kind):
+    def query(spark, d):
+        c = cells(spark, d)
+        if kind == "okubo_weiss":
+            masked = vortex.vortex_mask(vortex.okubo_weiss(c), "okubo_weiss", kind, mask_field="coast")
+        else:
+            size = pointwise.magnitude(*(F.col(f"rortex_{a}") for a in "xyz"))
+            masked = vortex.vortex_mask(vortex.rortex(c).withColumn("size", size), "size", kind)
+        return masked.select(*KEYS, F.col("mask").cast("long").alias("mask"))
 
+    return query
 
-def vortex_properties(spark, d):
-    top = _vortices(spark, d).where("k = 0")
-    top = top.withColumn("mask", (F.col("speed") > 0.23).cast("int"))
-    found = vortex.vortex_components(top, min_resolution=2, connectivity=4)
-    out = vortex.vortex_properties(top, found, "speed")
+
+def _properties(masked, found, scalar="speed"):
+    out = vortex.vortex_properties(masked, found, scalar)
     return out.select("t", "vortex_id", "n_cells", "sign", *[_r(c, 6) for c in out.columns if c not in ("t", "vortex_id", "n_cells", "sign")])
 
 
-def vortex_components_volume(spark, d):
-    """All cells with vortex_mask's mask, joined across layers; vortex_components is the surface alone, by a fixed speed."""
-    return vortex.vortex_components(_vortices(spark, d), min_resolution=2, connectivity=6)
+def vortex_components(spark, d):
+    """All cells of vortex_mask's mask, joined across layers."""
+    return vortex.vortex_components(_vortices(spark, d))
+
+
+def vortex_properties(spark, d):
+    masked = _vortices(spark, d)
+    return _properties(masked, vortex.vortex_components(masked))
 
 
-def vortex_properties_volume(spark, d):
+def vortex_mean_strengths(spark, d):
     masked = _vortices(spark, d)
-    out = vortex.vortex_properties(masked, vortex.vortex_components(masked, min_resolution=2, connectivity=6), "speed")
-    return out.select("t", "vortex_id", "n_cells", "sign", *[_r(c, 6) for c in out.columns if c not in ("t", "vortex_id", "n_cells", "sign")])
+    out = vortex.vortex_mean_strengths(masked, vortex.vortex_components(masked), "temp", vortex.area())
+    return out.select("t", "vortex_id", _r("abs_strength"), _r("rel_strength"))
+
+
+def _surface_vortices(spark, d):
+    """The surface alone by a fixed speed: labels in two dimensions."""
+    top = _vortices(spark, d).where("k = 0").withColumn("mask", (F.col("speed") > 0.23).cast("int"))
+    return top, vortex.vortex_components(top, min_resolution=2, connectivity=4)
+
+
+def vortex_components_surface(spark, d):
+    return _surface_vortices(spark, d)[1].select("t", "j", "i", "vortex_id")
+
+
+def vortex_properties_surface(spark, d):
+    return _properties(*_surface_vortices(spark, d))
+
+
+def gradient_outputs(spark, d):
+    out = vortex.gradient_outputs(cells(spark, d), ("u", "v", "w"), False, True, True, True, True, True, True, grad_type="model1")
+    return out.select(*KEYS, *[_r(c, 7) for c in ("div", "curl_x", "curl_y", "curl_z", "q", "lambda2", "omega", "rortex_x", "rortex_y", "rortex_z", "omega_r")])
+
+
+def data_columns(spark, d):
+    return spark.createDataFrame([(n, c) for n, c in enumerate(select.data_columns(cells(spark, d)))], "place long, name string")
+
+
+def tail_range(spark, d):
+    return probe.tail_range(_orders(spark, d), 3, 10).select("id")
+
+
+def missing_to(spark, d):
+    rows = _lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_extendedprice").alias("zeroed"))
+    out = pointwise.missing_to(rows, "l_extendedprice", limit=30000.0)
+    out = pointwise.missing_to(out, "zeroed", missing="zero", limit=30000.0)
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice", "zeroed")
+
+
+def couple_seconds(spark, d):
+    axis = temporal.generate_steps(spark, "2024-01-02 12:00:00", "2024-01-30 12:00:00", hours=6)
+    out = temporal.couple(axis, _events(spark, d).select(F.col("t").alias("obs_t"), F.col("id").alias("obs_id")), "seconds=7200")
+    return out.select(F.date_format("t", "yyyyMMddHH").alias("step"), "n_obs", F.get("obs_ids", F.lit(0)).alias("first_id"))
 
 
 def _projected(name):
@@ -405,13 +455,14 @@ def queries():
             select_okubo_weiss, land_outline, time_average, time_agg_overlap, infer_frequency, generate_steps, merge_steps, couple_times, nearest_time,
             first_containing, depth_profile, hovmoeller, hovmoeller_from_profile, spaghetti, spaghetti_depth_mean, scatter_to_grid, derivatives, okubo_weiss,
             q_criterion, lambda2, omega, omega_modified, rortex, mixed_layer_depth, mixed_layer_depth_rho, mixed_layer_depth_first, rossby_radius,
-            rossby_radius_latitude, moving_average, vortex_mask, vortex_components, vortex_properties, vortex_components_volume, vortex_properties_volume,
-            mercator_round_trip, file_names, daily_buckets,
+            rossby_radius_latitude, moving_average, vortex_mask, vortex_components, vortex_properties, vortex_mean_strengths, vortex_components_surface, vortex_properties_surface,
+            gradient_outputs, data_columns, tail_range, missing_to, couple_seconds, mercator_round_trip, file_names, daily_buckets,
         )
     }
     own |= {f"density_{m}": _density(m, True) for m in DENSITIES}
     own |= {f"density_{m}_surface": _density(m, False) for m in DENSITIES[2:]}
     own |= {f"grad_{s}": _gradient(s) for s in stencil.SCHEMES}
+    own |= {f"vortex_mask_{k}": _kind_mask(k) for k in ("okubo_weiss", "rortex")}
     own |= {f"project_{p.replace(' ', '_')}": _projected(p) for p in PROJECTED}
     own |= {
         "time_agg_daily": _aggregate("daily", "events", "2024-01-01", "2024-01-31", "value"),
