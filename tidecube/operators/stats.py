@@ -16,36 +16,102 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(w != 0, F.sum(weight * value) / w)
 
 
-def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stats=ALL_STATS, tie: list[str] | None = None) -> DataFrame:
+#: Rows over which a group's percentiles are cut into ranges of values before anything is sorted, and how many ranges.
+LARGE_GROUP, RANGES = 1_000_000, 64
+
+
+def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stats=ALL_STATS, tie: list[str] | None = None, large: int = LARGE_GROUP) -> DataFrame:
     """One row per group with the asked statistics of value, weighted.
 
-    std is the population deviation in its two-pass form: the mean goes back to the rows as a window of
-    the same partitioning, so it costs no further shuffle. A percentile interpolates between cumulative
-    midpoint weights (cumw - w / 2) / W and is the first or last value beyond them. Only the windows that the
-    asked statistics need are planned. tie orders equal values, for exact repeatability.
+    Means, extremes and the population deviation in its two-pass form are partial sums, joined back by group: rows
+    never meet by group. A percentile interpolates between cumulative midpoint weights (cumw - w / 2) / W and is the
+    first or last value beyond them; only the windows that the asked statistics need are planned. Where a group has more than
+    `large` rows, only the ranges of values that hold a percentile are ordered. tie orders equal values, for exact repeatability.
     """
-    v, w = F.col(value), F.col(weight)
-    rows = df.where(v.isNotNull() & w.isNotNull())
-    group = Window.partitionBy(*keys)
-    aggs = []
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(weight).cast("double").alias("__w"), *[F.col(c).alias(f"__t{n}") for n, c in enumerate(tie or [])])
+    rows = rows.where("__v IS NOT NULL AND __w IS NOT NULL")
+    v, w = F.col("__v"), F.col("__w")
+    plain = {"mean": F.sum(w * v) / F.sum(w), "min": F.min(v), "max": F.max(v)}
+    first = rows.groupBy(*keys).agg(F.sum(w).alias("__total"), plain["mean"].alias("__mean"), F.count("*").alias("__n"), *[plain[s].alias(s) for s in stats if s in plain])
+    out = first
     if "std" in stats:
-        rows = rows.withColumn("__mean", F.sum(w * v).over(group) / F.sum(w).over(group))
+        away = v - F.col("__mean")
+        means = first.select(*keys, "__mean")
+        spread = _by(rows, means, keys).groupBy(*keys).agg(F.sqrt(F.sum(w * away * away) / F.sum(w)).alias("std"))
+        out = _by(out, spread, keys)
     asked = [s for s in stats if s in PERCENTILES]
     if asked:
-        order = [v, *[F.col(c) for c in tie or []]]
-        ranked = group.orderBy(*order)
-        rows = rows.withColumn("__p", (F.sum(w).over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - w / 2) / F.sum(w).over(group))
-        rows = rows.withColumn("__p0", F.lag("__p").over(ranked)).withColumn("__v0", F.lag(v).over(ranked))
-    for s in stats:
-        if s == "mean":
-            aggs.append((F.sum(w * v) / F.sum(w)).alias(s))
-        elif s == "std":
-            aggs.append(F.sqrt(F.sum(w * (v - F.col("__mean")) * (v - F.col("__mean"))) / F.sum(w)).alias(s))
-        elif s in ("min", "max"):
-            aggs.append((F.min if s == "min" else F.max)(v).alias(s))
-        else:
-            aggs.append(_percentile(v, PERCENTILES[s]).alias(s))
-    return rows.groupBy(*keys).agg(*aggs)
+        split = first.where(F.col("__n") > large).limit(1).count() > 0
+        out = _by(out, (_split_percentiles if split else _percentiles)(rows, first.select(*keys, "__total"), keys, asked, len(tie or [])), keys)
+    return out.select(*keys, *stats)
+
+
+def _by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join by keys, of which any may be null."""
+    names = [F.col(k).alias(f"__k_{k}") for k in keys]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return left.join(right.select(*names, *[c for c in right.columns if c not in keys]), same).drop(*[f"__k_{k}" for k in keys])
+
+
+def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int, before: bool = False) -> DataFrame:
+    """Percentiles of each group's rows in the order of their values; before: rows have __before, the weight of all rows of lower ranges.
+
+    A row of weight None keeps its place in the order for its own midpoint __p alone.
+    """
+    order = [F.col("__v"), *[F.col(f"__t{n}") for n in range(ties)]]
+    group = Window.partitionBy(*keys)
+    ranked = group.orderBy(*order)
+    if before:
+        part = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        running = F.col("__before") + F.sum("__w").over(part)
+        rows = _by(rows, totals, keys)
+        p = F.coalesce(F.col("__at"), running - F.col("__w") / 2) / F.col("__total")
+    else:
+        p = (F.sum("__w").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w") / 2) / F.sum("__w").over(group)
+    rows = rows.withColumn("__p", p)
+    ranked = group.orderBy("__p", *order) if before else ranked
+    rows = rows.withColumn("__p0", F.lag("__p").over(ranked)).withColumn("__v0", F.lag("__v").over(ranked))
+    return rows.groupBy(*keys).agg(*[_percentile(F.col("__v"), PERCENTILES[s]).alias(s) for s in asked])
+
+
+def _split_percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int) -> DataFrame:
+    """The same percentiles where groups are large: weights are summed by RANGES ranges of values, which partial aggregates find.
+
+    Of a group only the ranges that hold a percentile, and the one below each, are put in order. A range of one value, however
+    many rows have it, is its first and last row by tie: between their midpoints every percentile is that value.
+    """
+    v, w = F.col("__v"), F.col("__w")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", [n / RANGES for n in range(1, RANGES)], 10_000).alias("__cuts"))
+    ranged = _by(rows, cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < v)) * 2 + F.array_contains("__cuts", v).cast("int")).drop("__cuts")
+    # A value that is a cut has a range of its own, so a common value never shares its range with others.
+    tie = F.struct(*[F.col(f"__t{n}") for n in range(ties)], F.col("__w"))
+    sums = ranged.groupBy(*keys, "__range").agg(
+        F.sum(w).alias("__s"), F.min(v).alias("__low"), F.max(v).alias("__high"), F.count("*").alias("__m"), F.min_by(w, tie).alias("__wf"), F.max_by(w, tie).alias("__wl")
+    )
+    upto = Window.partitionBy(*keys).orderBy("__range")
+    sums = _by(sums.withColumn("__before", F.sum("__s").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")), totals, keys)
+    # The row sought is in the first range that reaches the percentile's weight, or first in the next; the row before it may be in the one below.
+    hit = F.lit(False)
+    for s in asked:
+        sums = sums.withColumn(f"__is_{s}", F.col("__before") + F.col("__s") >= PERCENTILES[s] * F.col("__total"))
+    for s in asked:
+        sums = sums.withColumn(f"__at_{s}", F.col(f"__is_{s}") & ~F.coalesce(F.lag(f"__is_{s}").over(upto), F.lit(False)))
+    for s in asked:
+        at = F.col(f"__at_{s}")
+        near = (F.coalesce(step(at).over(upto), F.lit(False)) for step in (F.lag, F.lead))
+        sums = sums.withColumn(f"__near_{s}", at | next(near) | next(near))
+        hit = hit | F.col(f"__near_{s}")
+    needed = sums.where(hit)
+    flat = F.col("__low") == F.col("__high")
+    ends = needed.where(flat).select(
+        *keys, "__range", "__before", F.col("__low").alias("__v"), F.lit(None).cast("double").alias("__w"),
+        F.explode(F.array_distinct(F.array(F.col("__before") + F.col("__wf") / 2, F.col("__before") + F.col("__s") - F.col("__wl") / 2))).alias("__at"),
+    )
+    rest = _by(ranged.withColumnRenamed("__range", "__r"), needed.where(~flat).select(*keys, "__range", "__before"), keys).where("__r = __range").drop("__r")
+    rest = rest.withColumn("__at", F.lit(None).cast("double"))
+    return _percentiles(rest.unionByName(ends, allowMissingColumns=True), totals, keys, asked, ties, before=True)
 
 
 def _percentile(v: Column, q: float) -> Column:
