@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidecube.operators import vortex
 from tidecube.plans import registry
 from tidecube.plans.queries import _vortices
 
@@ -82,3 +84,11 @@ def test_vortices_of_all_layers_match_brute_force(spark):
         want |= {f"bary_{a}": sum(r[a] for r in own) / len(own) for a in "xyz"} | {f"center_{a}": centre[a] for a in "xyz"}
         want |= {f"rot_{a}": centre[v] / centre["speed"] for a, v in zip("xyz", "uvw")} | {"circulation": sum(r["e1t"] * r["e2t"] * r["w"] for r in own)}
         assert {c: props[key][c] for c in want} == pytest.approx(want, abs=2e-6)
+
+
+@pytest.mark.parametrize("connectivity", [6, 18, 26])
+def test_components_do_not_depend_on_tiles(spark, connectivity):
+    masked = _vortices(spark, DATA).withColumn("mask", (F.col("speed") > 0.2).cast("int"))
+    whole = vortex.vortex_components(masked, connectivity=connectivity).collect()
+    tiled = vortex.vortex_components(masked, connectivity=connectivity, tile=3).collect()
+    assert whole and sorted(whole) == sorted(tiled)

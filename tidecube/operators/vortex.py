@@ -190,52 +190,82 @@ NEIGHBOURS = {
 }
 
 
-def _label_step(offsets):
+#: Cells along each side of the tiles that are labelled on their own; a packed cell number has PACK bits an axis.
+TILE, PACK = 128, 21
+
+
+def _packed(k: Column, j: Column, i: Column) -> Column:
+    """One number for a cell, in (k, j, i) order."""
+    return (F.shiftleft(k.cast("long"), 2 * PACK) + F.shiftleft(j.cast("long"), PACK) + i.cast("long")).cast("long")
+
+
+def _roots(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """Smallest number that each of 0..count - 1 reaches by the links (a, b)."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _label_tile(offsets):
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["k", "j", "i"])
         key = pdf[["k", "j", "i"]].to_numpy(np.int64)
-        span = key.max(axis=0) - key.min(axis=0) + 3
-        flat = lambda x: ((x[:, 0] * span[1]) + x[:, 1]) * span[2] + x[:, 2]
         base = key - key.min(axis=0) + 1
-        code = flat(base)
-        order = np.argsort(code)
-        code, index = code[order], np.arange(len(code))
+        span = base.max(axis=0) + 2
+        flat = lambda x: ((x[:, 0] * span[1]) + x[:, 1]) * span[2] + x[:, 2]
+        code, index = flat(base), np.arange(len(key))
         links = []
         for o in offsets:
-            want = flat(base[order] + np.array(o))
+            want = flat(base + np.array(o))
             at = np.minimum(np.searchsorted(code, want), len(code) - 1)
             hit = code[at] == want
             links.append(np.stack([index[hit], at[hit]]))
-        a, b = np.concatenate(links, axis=1)
-        label = index.copy()
-        while True:
-            low = np.minimum(label[a], label[b])
-            nxt = label.copy()
-            np.minimum.at(nxt, label[a], low)
-            np.minimum.at(nxt, label[b], low)
-            nxt = nxt[nxt]
-            if (nxt == label).all():
-                break
-            label = nxt
-        out = pdf.iloc[order][["t", "k", "j", "i"]].copy()
-        out["component"] = label
-        return out
+        root = key[_roots(*np.concatenate(links, axis=1), len(key))]
+        return pdf[["t", "k", "j", "i"]].assign(part=(root[:, 0] << (2 * PACK)) + (root[:, 1] << PACK) + root[:, 2])
 
     return label
 
 
-def vortex_components(cells: DataFrame, mask: str = "mask", min_resolution: int = 5, connectivity: int = 6) -> DataFrame:
+def _join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    names, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+    at = at.reshape(-1, 2)
+    return pd.DataFrame({"t": pdf["t"].iloc[0], "part": names, "component": names[_roots(at[:, 0], at[:, 1], len(names))]})
+
+
+def vortex_components(cells: DataFrame, mask: str = "mask", min_resolution: int = 5, connectivity: int = 6, tile: int = TILE) -> DataFrame:
     """(t, k, j, i, vortex_id) of the masked cells' true components of more than min_resolution cells.
 
-    Components are numbered from 1 in each step by their first cell in (k, j, i) order. A step's masked
-    keys go to one task, as many as one grid has; steps are spread over tasks.
+    Components are numbered from 1 in each step by their first cell in (k, j, i) order. A task labels one tile of at most
+    tile ** 3 cells; masked cells at the borders of tiles meet their neighbours by a join, and a step's links between
+    tiles, which are as many as border cells, join the parts in one task. Indices are at least 0 and under 2 ** PACK.
     """
     chosen = cells.where(F.col(mask) == 1).select("t", "k", "j", "i")
     kinds = dict(chosen.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("t", "k", "j", "i")) + ", component long"
-    labelled = chosen.groupBy("t").applyInPandas(_label_step(NEIGHBOURS[connectivity]), schema)
-    sized = labelled.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "component"))).where(F.col("n") > min_resolution)
-    rank = F.dense_rank().over(Window.partitionBy("t").orderBy("component"))
-    return sized.select("t", "k", "j", "i", rank.cast("long").alias("vortex_id"))
+    tiles = {c: F.floor(F.col(c) / tile) for c in "kji"}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("t", "k", "j", "i")) + ", part long"
+    tiled = chosen.withColumns({f"tile_{c}": e for c, e in tiles.items()})
+    labelled = tiled.groupBy("t", "tile_k", "tile_j", "tile_i").applyInPandas(_label_tile(NEIGHBOURS[connectivity]), schema)
+    steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip("kji", o)]) for o in NEIGHBOURS[connectivity]])).alias("o")
+    near = {c: F.col(c) + F.col(f"o.d{c}") for c in "kji"}
+    outside = F.lit(False)
+    for c in "kji":
+        outside = outside | (F.floor(near[c] / tile) != tiles[c])
+    border = labelled.select("t", "k", "j", "i", F.col("part").alias("a"), steps).where(outside).select("t", _packed(*(near[c] for c in "kji")).alias("cell"), "a")
+    facing = labelled.select("t", _packed(F.col("k"), F.col("j"), F.col("i")).alias("cell"), F.col("part").alias("b"))
+    links = border.join(facing, ["t", "cell"]).select("t", "a", "b").distinct()
+    joined = links.groupBy("t").applyInPandas(_join_parts, f"t {kinds['t']}, part long, component long")
+    whole = labelled.join(joined, ["t", "part"], "left").withColumn("component", F.coalesce("component", "part"))
+    sizes = whole.groupBy("t", "component").agg(F.count("*").alias("n")).where(F.col("n") > min_resolution)
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("component"))
+    named = sizes.select("t", "component", rank.cast("long").alias("vortex_id"))
+    return whole.join(named, ["t", "component"]).select("t", "k", "j", "i", "vortex_id")
 
 
 def vortex_properties(cells: DataFrame, components: DataFrame, scalar: str, vector=("u", "v", "w"), x="x", y="y", z="z", change_mask: bool = True) -> DataFrame:

@@ -123,12 +123,18 @@ def netcdf_bytes(pdf: pd.DataFrame, variables: list[str], lon: str, lat: str, de
     return encode(dims, out)
 
 
+#: Steps that a whole mesh may be met with; each is a file.
+STEP_LIMIT = 100_000
+
+
 def write_netcdf(df: DataFrame, path: str, variables: list[str], time: str = "t", lon: str = "x", lat: str = "y", grid: DataFrame | None = None) -> DataFrame:
     """One NetCDF file per step. grid, if given, has the whole mesh's (k, j, i, lon, lat, depth), onto which a subset is put back by key."""
     rows = _columns(df, time, *ORDER, lon, lat, "depth", *variables)
     if grid is not None:
-        steps = df.select(time).distinct().withColumn("__one", F.lit(1))
-        whole = grid.select(*ORDER, lon, lat, "depth").withColumn("__one", F.lit(1)).join(steps, "__one").drop("__one")
+        steps = df.select(time).distinct()
+        if steps.limit(STEP_LIMIT + 1).count() > STEP_LIMIT:
+            raise ValueError(f"more than {STEP_LIMIT} steps")
+        whole = grid.select(*ORDER, lon, lat, "depth").crossJoin(F.broadcast(steps))
         rows = whole.join(df.select(time, *ORDER, *variables), [time, *ORDER], "left")
     return _per_step(rows, path, lambda p: netcdf_bytes(p, variables, lon, lat), ORDER, ".nc", time)
 
