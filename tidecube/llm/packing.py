@@ -243,7 +243,8 @@ def _pack(capacity: int, block_bits: int):
                 sequence[item], offset[item] = number, at
                 at += int(lengths[item])
         block = int(table.column("block")[0].as_py()) if len(lengths) else 0
-        return pa.table({"piece": table.column("piece"), "sequence_id": pa.array(sequence + (block << block_bits)), "offset": pa.array(offset)})
+        kept = table.drop_columns(["block", "length", "number"])
+        return kept.append_column("sequence_id", pa.array(sequence + (block << block_bits))).append_column("offset", pa.array(offset))
 
     return run
 
@@ -260,11 +261,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_pieces: int = BLOCK_PIEC
     total = pieces.count() if rows is None else rows
     blocks = max(1, -(-total // block_pieces))
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    numbered = pieces.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("piece"), F.col("length"), F.monotonically_increasing_id().alias("number"))
-    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
-    kind = dealt.select("piece").schema["piece"].dataType.simpleString()
-    packed = dealt.groupBy("block").applyInArrow(_pack(capacity, 24), f"piece {kind}, sequence_id long, offset long")
-    return packed.select("piece.*", "sequence_id", "offset")
+    given = pieces.select(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(columns)], F.col("length"), F.monotonically_increasing_id().alias("number"))
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
+    schema = ", ".join(f"{c} {t}" for c, t in given.dtypes if c not in ("length", "number")) + ", sequence_id long, offset long"
+    packed = dealt.groupBy("block").applyInArrow(_pack(capacity, 24), schema)
+    return packed.select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(columns)], "sequence_id", "offset")
 
 
 def pack_documents(
