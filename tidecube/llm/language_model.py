@@ -1,4 +1,9 @@
-"""Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation."""
+"""Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
+
+The noise term of the estimation is its exact expectation over the noise distribution, in place of drawn noise words: with
+two levels of 64 outputs each, all of a level's words are scored anyway. Each partition trains one model in one pass and the
+models are averaged once, so scores depend on how the table's rows are split; base counts and base scores do not.
+"""
 
 from __future__ import annotations
 

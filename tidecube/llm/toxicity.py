@@ -88,7 +88,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The rows are those with the smallest hashes of their ids, so the sample is the same on every run. One task
     learns from them, in hash order, since FTRL is sequential; it holds hashed features, not texts. Rows
     without a label, an id or a match are left out; an id with several labels counts once, with the
-    largest. Without rows the bias is 0 and every score 0.5.
+    largest. Without rows, or with empty docs, the bias is 0 and every score 0.5. The task's memory follows the features of
+    max_train texts, which are distinct hashes, at most 2**FEATURE_BITS a text.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
@@ -136,7 +137,12 @@ def toxicity_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted: fitted without the rows whose crc32 of the id leaves 2 modulo 4."""
+    """One row per row of docs: doc_id, held_out, score, predicted; fitted without the rows whose crc32 of the id leaves 2 modulo 4.
+
+    Labels, language, source and id are no inputs of a score. Defined cases: null and empty texts get the bias's score; a null id
+    counts as empty text for the remainder and never meets a label; rows that repeat an id are scored each by their own text and, where
+    labelled, all learnt from; without labelled rows every score is 0.5; an empty table gives no rows; other columns are ignored.
+    """
     model = train(docs, labels.where(crc_part("doc_id", 4) != 2))
     return toxicity_scores(docs, model).select(
         "doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
