@@ -224,26 +224,32 @@ def _confirm(make, percent: int):
     return run
 
 
-def _crowded(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node, pivot) for the rows of reps(node, bands) whose key two nodes have, and the pairs (node, pivot) to compare.
+def _crowded(reps: DataFrame) -> DataFrame:
+    """(key, node, pivot) for the rows of reps(node, bands) whose key two nodes have; pivot is the bucket's smallest node.
 
-    pivot is the bucket's smallest node, which one shuffle and sort finds beside the members. A sample tells which
-    keys are so common, at most MAX_HOT, that their buckets are dealt over several tasks: then each part has a
-    pivot, and the parts' pivots are compared with the smallest of them. What the sample says changes the way, not the rows.
+    One shuffle and sort finds it beside the members. A sample tells which keys are so common, at most MAX_HOT, that
+    their buckets are dealt over several tasks, under keys of their own: then each part has a pivot, and a further row for it
+    names the smallest of all. What the sample says changes the way, not which nodes meet.
     """
     seen = reps.sample(False, 1 / SAMPLE, 7).select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     seen = materialise(seen, "common-keys")
     total = seen.agg(F.sum("n")).first()[0] or 0
-    common = seen.where(F.col("n") > total // MAX_HOT).select("key", F.ceil(F.col("n") / COMMON).cast("int").alias("ways"))
-    keys = reps.select("node", F.explode("bands").alias("key")).join(F.broadcast(common), "key", "left")
-    dealt = keys.select("key", "node", F.col("ways").isNotNull().alias("hot"), F.coalesce(F.pmod(F.xxhash64("node"), F.col("ways")), F.lit(0)).cast("int").alias("salt"))
-    part = Window.partitionBy("key", "salt")
-    found = dealt.select("key", "node", "hot", F.min("node").over(part).alias("pivot"), F.max("node").over(part).alias("last"))
-    found = materialise(found.where("hot OR pivot < last").select("key", "node", "pivot", "hot"), "crowded")
-    tops = found.where("hot AND node = pivot").select("key", "node")
+    keys = reps.select("node", F.explode("bands").alias("key"))
+    part = Window.partitionBy("key")
+    ends = (F.min("node").over(part).alias("pivot"), F.max("node").over(part).alias("last"))
+    if not total:
+        return materialise(keys.select("key", "node", *ends).where("pivot < last").drop("last"), "crowded")
+    limit = max(COMMON, total // MAX_HOT)
+    common = seen.where(F.col("n") >= limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
+    salted = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("ways")))
+    dealt = keys.join(F.broadcast(common), "key", "left").select("node", F.when(F.col("ways").isNull(), F.col("key")).otherwise(salted).alias("key"))
+    names = common.select(F.col("key").alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways").cast("long") - 1)).alias("salt"))
+    names = names.select(F.xxhash64("whole", "salt").alias("key"), "whole")  # at most 2 * MAX_HOT rows
+    found = dealt.select("key", "node", *ends).join(F.broadcast(names), "key", "left").where("pivot < last OR whole IS NOT NULL")
+    found = materialise(found.select(F.coalesce("whole", "key").alias("key"), "node", "pivot", F.col("whole").isNotNull().alias("hot")), "crowded")
+    tops = found.where("hot AND node = pivot").select("key", "node").distinct()
     first = F.broadcast(tops.groupBy("key").agg(F.min("node").alias("pivot")))
-    between = tops.join(first, "key").select("node", "pivot")
-    return found.select("key", "node"), found.select("node", "pivot").union(between).where("node <> pivot").distinct()
+    return found.drop("hot").union(tops.join(first, "key").select("key", "node", "pivot"))
 
 
 def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> tuple[DataFrame, DataFrame]:
@@ -253,18 +259,27 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated:
     one cluster. stars(a, b): the likely links of nodes to the smallest node of a bucket. repeated: reps may hold a
     class several times, with equal columns. linkable: the column that tells likely pairs.
     """
-    crowded, pairs = _crowded(reps)
+    crowded = _crowded(reps)
     signature = reps.select("node", *_sig(words))
     if repeated:
         signature = materialise(signature.join(crowded.select("node"), "node", "left_semi").distinct(), "crowded-classes")
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(crowded.where("node <> pivot").select("node", "pivot").distinct(), "pairs")
     pivots = pairs.groupBy("pivot").agg(F.count("*").alias("n")).join(_with("r_", signature, ("node", *_sig(words))), F.col("pivot") == F.col("r_node"))
     left = pairs.join(_with("l_", signature, ("node", *_sig(words))), F.col("node") == F.col("l_node"))
-    star = spread_join(left, materialise(pivots, "pivots"), ["pivot"], "node").where(linkable("l_", "r_", percent, words))
-    star = materialise(star.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "star")
+    tried = spread_join(left, materialise(pivots, "pivots"), ["pivot"], "node").select("node", "pivot", linkable("l_", "r_", percent, words).alias("likely"))
+    tried = materialise(tried, "tried")
+    star = tried.where("likely").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     loose = connected_components(star, "loose")
 
-    members = (crowded.distinct() if repeated else crowded).join(loose, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    # Buckets whose members are all in their pivot's cluster are done; the others have a pair that is not likely, of two clusters.
+    label = lambda c: F.coalesce(f"{c}_label", c)
+    apart = tried.where("NOT likely").select("node", "pivot")
+    for c in ("node", "pivot"):
+        apart = apart.join(loose.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label")), c, "left")
+    apart = materialise(apart.where(label("node") != label("pivot")).select("node", "pivot"), "apart")
+    open_keys = materialise(crowded.join(apart, ["node", "pivot"], "left_semi").select("key").distinct(), "open-keys")
+    members = crowded.select("key", "node").join(open_keys, "key", "left_semi").distinct()
+    members = members.join(loose, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     members = materialise(members, "members")
     parts = members.groupBy("key", "label").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("labels"))
@@ -275,9 +290,9 @@ def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated:
     odd = _with("l_", spread.where("label <> main"), ("key", "node", "label", "ways", *_sig(words)))
     odd = odd.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.col("l_ways") - 1)))
     rest = _with("r_", spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")), ("key", "node", "label", "main", "salt", *_sig(words)))
-    apart = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_node") < F.col("r_node")))
+    other = (F.col("l_label") != F.col("r_label")) & ((F.col("r_label") == F.col("r_main")) | (F.col("l_node") < F.col("r_node")))
     met = (F.col("l_key") == F.col("r_key")) & (F.col("l_salt") == F.col("r_salt"))
-    across = odd.join(rest, met & apart & linkable("l_", "r_", percent, words))
+    across = odd.join(rest, met & other & linkable("l_", "r_", percent, words))
     across = materialise(across.select(F.col("l_label").alias("a"), F.col("r_label").alias("b")).distinct(), "across")
     if across.limit(1).count():
         # A label is the smallest node of its cluster, or a node on its own: clusters join by their labels.
