@@ -1,8 +1,11 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidecube.llm import packing
@@ -10,17 +13,38 @@ from tidecube.llm.registry import tokenizer_path
 
 PATH, RANKS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
 TEXTS = [
-    "", " ", "\n\n", "a  b", "don't we'll I'M", "tab\t\tend  ", "nbsp  \n\nx", "<|endoftext|> is text", "日本語 text ١٢٣", "\x1c\x1d a", "naïve café ÿ ²³ ª",
+    "", " ", "\n\n", "a <|endoftext|> b", "a  b", "don't we'll I'M", "tab\t\tend  ", "nbsp  \n\nx", "<|endoftext|> is text", "日本語 text ١٢٣", "\x1c\x1d a", "naïve café ÿ ²³ ª",
     "x" * 5000, "# $ %% && ||", "a b", "̀ combining", "   lead",
 ]
 
 
-def test_both_libraries_give_the_same_ids():
+def plain_ids(text):
+    """The contract's call, on a tokenizer as it is loaded."""
+    return np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_ids_are_those_of_the_plain_call(text):
+    assert packing.encode(text, PATH, RANKS) == plain_ids(text) == packing.encode(text, PATH)
+
+
+def test_an_added_token_in_a_text_is_one_id():
+    ids = np.frombuffer(packing.encode("a <|endoftext|> b", PATH, RANKS), "<u4").tolist()
+    assert ids == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids and 50256 in ids
+
+
+def test_ids_of_whole_tables(spark):
     reference = Tokenizer.from_file(PATH)
-    reference.encode_special_tokens = True
-    for text in TEXTS:
-        want = np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert packing.encode(text, PATH, RANKS) == want == packing.encode(text, PATH)
+    for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
+        texts = [r[0] or "" for r in spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select(column).collect()]
+        for text, want in zip(texts, reference.encode_batch(texts, add_special_tokens=False)):
+            assert packing.encode(text, PATH, RANKS) == np.array(want.ids, "<u4").tobytes()
+
+
+@given(st.text(st.characters(max_codepoint=0x300) | st.sampled_from("'  \n\t0a"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_any_text(text):
+    assert packing.encode(text, PATH, RANKS) == packing.encode(text, PATH)
 
 
 def test_pieces_and_places(spark):
@@ -70,6 +94,23 @@ def test_local_search_raises_squared_fill_and_keeps_items(seed):
     assert sum(f * f for f in after) >= sum(f * f for f in fills)
 
 
+@pytest.mark.parametrize("low, high", [(560, 700), (250, 520), (330, 350), (1, 1024)])
+def test_local_search_is_bounded_on_a_whole_block(low, high):
+    lengths = np.random.default_rng(1).integers(low, high + 1, packing.BLOCK_PIECES)
+    bins = packing.best_fit(lengths, 1024)
+    began = time.perf_counter()
+    better = packing.local_search([list(b) for b in bins], lengths, 1024)
+    assert time.perf_counter() - began < 60
+    assert len(better) <= len(bins) and sorted(i for b in better for i in b) == list(range(len(lengths)))
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark):
+    pieces = spark.range(4000).selectExpr("CAST(NULL AS long) AS doc_id", "0 AS piece", "300L AS length", "'a' AS block", "'b' AS number")
+    packed = packing.pack(pieces, block_pieces=500).collect()
+    assert len(packed) == 4000 and len({r["sequence_id"] >> 24 for r in packed}) == 8
+    assert {r["block"] for r in packed} == {"a"} and {r["number"] for r in packed} == {"b"}
+
+
 def test_exchange_empties_a_bin():
     lengths = np.array([6, 4, 3, 3, 2, 2])
     better = packing.local_search([[0, 2], [1, 3], [4, 5]], lengths, 10)

@@ -4,14 +4,16 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidecube.llm import secret_scan
-from tidecube.llm.common import release_scratch
+from tidecube.llm import quality, secret_scan
+from tidecube.llm.common import is_written
 from tidecube.llm.registry import queries
 
 from .test_operators import base_counts, components, word_set
+from .test_quality import brute_distances
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def table(spark, tmp_path_factory):
     near = texts[7].split(" ")
     near[2] = "changed"
     texts += [" ".join(near), "too short", None, "", " ".join(["same words come again and again here now"] * 20)]
+    texts += [" | # ".join(fresh(60)) + " $", " ".join(w * 3 for w in fresh(80))]
     texts += [texts[9] + " password = " + "A1b2C3d4E5f6G7h8", " ".join(fresh(40)) + " AKIA" + "ABCD1234EFGH5678"]
     rows = [(i, t, "en", "src", len(t) if t else 0, "x") for i, t in enumerate(texts)]
     path = tmp_path_factory.mktemp("sf")
@@ -43,7 +46,10 @@ def test_stages(spark, table, tmp_path):
         got = {r["doc_id"]: r["text"] for r in docs.collect()}
         if name == "quality_rules":
             counts = {i: base_counts(t) for i, t in state.items()}
-            assert set(got) == {i for i, c in counts.items() if c[0] >= 20 and 100 * c[4] <= 30 * c[0]}
+            base = {i: c for i, c in counts.items() if c[0] >= 20 and 100 * c[4] <= 30 * c[0]}
+            d2 = brute_distances(list(base.values()))
+            assert np.all((d2 < 25) | (d2 > 50))  # none so near the cutoff that bins could decide
+            assert set(got) == {i for i, d in zip(base, d2) if d <= quality.CUTOFF} and len(base) - len(got) >= 1
         elif name == "exact_dedup":
             first = {}
             for i in sorted(state):
@@ -62,7 +68,6 @@ def test_stages(spark, table, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == set(state)
     again = {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in queries()["pipeline"](spark, path).collect()}
     assert again == {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in docs.collect()}
-    release_scratch(spark)
 
 
 def test_stages_on_edges(spark, edge_docs, no_docs, tmp_path):
@@ -71,3 +76,25 @@ def test_stages_on_edges(spark, edge_docs, no_docs, tmp_path):
             stage(spark, docs, "").write.parquet(str(tmp_path / f"{n}-{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}-{name}"))
     assert docs.count() == 0
+
+
+def test_a_stopped_run_goes_on(spark, table):
+    path, _ = table
+    want = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, path).collect()}
+    calls = []
+    stages = [(name, lambda *a, name=name, stage=stage: calls.append(name) or stage(*a)) for name, stage in corpus_pipeline.STAGES]
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    try:
+        corpus_pipeline.STAGES[:] = [*stages[:2], ("minhash_near_dedup", fail), *stages[3:]]
+        with pytest.raises(RuntimeError):
+            corpus_pipeline.run(spark, path, run_id="stopped")
+        corpus_pipeline.STAGES[:] = stages
+        got = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, path, run_id="stopped").collect()}
+    finally:
+        corpus_pipeline.STAGES[:] = [(name, stage.__defaults__[1]) for name, stage in stages]
+    assert got == want and calls == ["quality_rules", "exact_dedup", "minhash_near_dedup", "secret_scan", "best_fit_packing"]
+    corpus_pipeline.forget(spark, "stopped")
+    assert not is_written(spark, corpus_pipeline._stage_path(spark, "stopped", "quality_rules"))
