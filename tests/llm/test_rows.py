@@ -80,6 +80,14 @@ def test_rows_meet_their_shard(spark):
     assert {i: (s, h) for i, (s, _, h) in got.items()} == {i: (s, h) for i, (s, _, h) in want.items()}
 
 
+def test_rows_of_one_id_are_ordered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    docs = spark.range(600).selectExpr("IF(id < 400, NULL, id) AS doc_id", "'same text' AS text")
+    rows = sharding.assign_shards(docs, 7, virtual_nodes=8).collect()
+    loads = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(7)}
+    assert len(rows) == 600 and all(v == list(range(len(v))) for v in loads.values()) and {len(v) for v in loads.values()} == {85, 86}
+
+
 def test_scratch_deletes_its_own_tables_alone(spark):
     df = spark.range(3)
     lazy = common.materialise(df, "outside")

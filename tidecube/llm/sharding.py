@@ -8,10 +8,12 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import HOT_ROWS, materialise
 
 #: Virtual nodes of each shard on the ring; shards * VIRTUAL_NODES bounds what the driver plans with.
 VIRTUAL_NODES = 128
+#: At most this many ids can repeat so often that their rows are ordered in several tasks.
+MAX_FULL = 1024
 #: The ring has this many points.
 RING = 1 << 32
 
@@ -67,7 +69,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     counted by arc and rank, with partial sums; the driver plans with one number for each arc (at most
     shards * virtual_nodes), and the plan goes back as a literal of that bound. Law `rows`: shard sizes
     differ by one at most. The ids are hashed, so no text, source or copy makes an arc hot; rows that
-    repeat an id are ordered among themselves by size and checksum of the text.
+    repeat an id are ordered among themselves by size and checksum of the text, or, where one id has more than 1 / MAX_FULL
+    of all rows, in parts by row number, so that no task holds them all.
 
     Defined cases: null text has size 8 and the checksum of no bytes; a null id is a key like any other;
     fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored.
@@ -81,15 +84,20 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("__h"),
     ).withColumn("__point", F.pmod(F.col("__h"), F.lit(RING)))
     placed = base.withColumn("__arc", _first_at_or_after(points, F.col("__point"), len(nodes)))
-    # An arc is cut into cells so that no window holds more than a small share of the rows.
-    placed = materialise(placed.withColumn("__cell", F.pmod(F.shiftright("__h", 33), F.lit(64))), "placed")
-    cells = placed.groupBy("__arc", "__cell").agg(F.count("*").alias("n"))
-    cells = materialise(cells, "cells")
+    # An arc is cut into cells so that no window holds more than a small share of the rows; only an id that repeats can fill
+    # more than 1 / MAX_FULL of all rows into one, and such cells, at most MAX_FULL, are cut further by the rows' numbers.
+    placed = placed.withColumn("__cell", F.pmod(F.shiftright("__h", 33), F.lit(64))).withColumn("__row", F.monotonically_increasing_id())
+    placed = materialise(placed, "placed")
+    sizes = materialise(placed.groupBy("__arc", "__cell").agg(F.count("*").alias("n")), "cell-sizes")
+    full = max(HOT_ROWS, (sizes.agg(F.sum("n")).first()[0] or 0) // MAX_FULL)
+    cut = F.broadcast(sizes.where(F.col("n") > full).select("__arc", "__cell", F.ceil(F.col("n") / full).alias("__ways")))
+    placed = placed.join(cut, ["__arc", "__cell"], "left").withColumn("__sub", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("__ways")), F.lit(0)))
+    cells = materialise(placed.groupBy("__arc", "__cell", "__sub").agg(F.count("*").alias("n")), "cells")
     counts = {r["__arc"]: r["n"] for r in cells.groupBy("__arc").agg(F.sum("n").alias("n")).collect()}
     plan = bounded_plan(nodes, counts, shards)
-    before = cells.withColumn("before", F.sum("n").over(Window.partitionBy("__arc").orderBy("__cell")) - F.col("n")).select("__arc", "__cell", "before")
-    order = Window.partitionBy("__arc", "__cell").orderBy("__h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    ranked = placed.withColumn("__rank", F.row_number().over(order) - 1).join(before, ["__arc", "__cell"])
+    before = cells.withColumn("before", F.sum("n").over(Window.partitionBy("__arc").orderBy("__cell", "__sub")) - F.col("n")).select("__arc", "__cell", "__sub", "before")
+    order = Window.partitionBy("__arc", "__cell", "__sub").orderBy("__h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
+    ranked = placed.withColumn("__rank", F.row_number().over(order) - 1).join(before, ["__arc", "__cell", "__sub"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("before"))
     kind = "array<struct<arc:int,lo:bigint,hi:bigint,shard:int,slot:bigint>>"
     text = json.dumps([dict(zip(("arc", "lo", "hi", "shard", "slot"), row)) for row in plan])
