@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_model, line_dedup, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
+from . import exact_dedup, language_id, language_model, line_dedup, near_dedup, packing, quality, secret_scan, segmentation, sharding, spelling, toxicity, vector_codes
 from .common import documents
 
 
@@ -53,6 +53,18 @@ def op10_markov_secrets(spark, sf_dir):
     return secret_scan.secret_report(documents(spark, sf_dir))
 
 
+def op11_segment_means(spark, sf_dir):
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_sparse_languages(spark, sf_dir):
+    return language_id.held_out_languages(documents(spark, sf_dir))
+
+
+def op13_pigeonhole_variants(spark, sf_dir):
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -71,9 +83,12 @@ def queries():
         "op8_bbit_minhash": op8_bbit_minhash,
         "op9_bounded_ring": op9_bounded_ring,
         "op10_markov_secrets": op10_markov_secrets,
+        "op11_segment_means": op11_segment_means,
+        "op12_sparse_languages": op12_sparse_languages,
+        "op13_pigeonhole_variants": op13_pigeonhole_variants,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql():
-    return {"op3_content_sort": exact_dedup.ORACLE}
+    return {"op3_content_sort": exact_dedup.ORACLE, "op11_segment_means": vector_codes.ORACLE, "op13_pigeonhole_variants": spelling.ORACLE}
