@@ -238,6 +238,23 @@ def test_words_of_one_segment_and_very_long_words(spark):
     assert {len(r[0]): r[2] and len(r[2]) for r in got if len(r[0]) > 100} == {200_000: 199_999, 199_999: 199_999}
 
 
+def test_long_words_are_compared_like_short_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(6, 14)))
+        k = rng.randrange(len(a) + 1)
+        b = rng.choice([a[:k] + "c" + a[k:], a[:k] + rng.choice("abé") + a[k + 1 :], "".join(rng.sample(a, len(a))), a[:k] + "ca" + a[k + 1 :]])
+        if a != b and 0 <= len(b) - len(a) <= 1:
+            rows.append((a, b))
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    sizes = [F.length("a"), F.length("b")]
+    by_table = [r[0] for r in pairs.select(spelling._one_edit(F.col("a"), F.col("b"), *sizes)).collect()]
+    monkeypatch.setattr(spelling, "SHORT", 0)
+    assert [r[0] for r in pairs.select(spelling._one_edit(F.col("a"), F.col("b"), *sizes)).collect()] == by_table
+    assert 20 < sum(by_table) < len(rows) - 20
+
+
 def test_variants_of_edge_cases(spark, edge_docs, no_docs):
     assert spelling.spelling_variants(no_docs).collect() == []
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.select("doc_id", "text").collect()]

@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DELETE = 199
 #: Least code points and occurrences of a word, and how many times as often a form must occur.
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
+#: Code points up to which the built-in edit distance is used.
+SHORT = 64
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -32,7 +34,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return materialise(counts.where(F.col("n") >= least_count), "words")
 
 
-def _keys(word: Column, size: int | Column, indexed: Column, probe: bool) -> Column:
+def _keys(word: Column, size: Column, indexed: Column) -> Column:
     """array<long> of the bucket keys of a word of `size` code points, seen against indexed words of `indexed` ones.
 
     An indexed word falls into two even segments. One edit leaves one of them whole: the first at its place, the second
@@ -53,6 +55,18 @@ def _keys(word: Column, size: int | Column, indexed: Column, probe: bool) -> Col
     return F.array(*keys)
 
 
+def _one_edit(a: Column, b: Column, size: Column, b_size: Column) -> Column:
+    """Whether b, as long as a or one code point longer, is one edit away; a and b are not equal.
+
+    The built-in distance walks its whole table, the square of a word; long words are compared after their common prefix, found
+    by halving.
+    """
+    steps = F.transform(F.sequence(F.ceil(F.log2(size.cast("double"))).cast("int"), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    longer = lambda held, step: F.when((held + step <= size) & (F.substring(a, held + 1, step) == F.substring(b, held + 1, step)), held + step).otherwise(held)
+    rest = F.aggregate(steps, F.lit(0), longer, lambda held: F.substring(a, held + 1 + F.when(size == b_size, 1).otherwise(0), size) == F.substring(b, held + 2, b_size))
+    return F.when(b_size <= SHORT, F.levenshtein(a, b, 1) == 1).otherwise(rest)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), each pair once: the words of words(word, n) that differ by exactly one inserted, deleted or replaced code point.
 
@@ -61,11 +75,11 @@ def near_words(words: DataFrame) -> DataFrame:
     Words under four code points, whose rest could not be cut, must not be there.
     """
     size = F.length("word")
-    index = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), size.alias("a_size"), F.explode(_keys(F.col("word"), size, size, False)).alias("key"))
-    same, longer = _keys(F.col("word"), size, size, True), _keys(F.col("word"), size, size - 1, True)
+    index = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), size.alias("a_size"), F.explode(_keys(F.col("word"), size, size)).alias("key"))
+    same, longer = _keys(F.col("word"), size, size), _keys(F.col("word"), size, size - 1)
     probe = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), size.alias("b_size"), F.explode(F.concat(same, longer)).alias("key"))
     order = (F.col("b_size") > F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("a") < F.col("b")))
-    found = index.join(probe, "key").where(order & (F.levenshtein("a", "b", 1) == 1))
+    found = index.join(probe, "key").where(order & _one_edit(F.col("a"), F.col("b"), F.col("a_size"), F.col("b_size")))
     return found.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
 
