@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components, kept
+
 MOMENTS = ("mean", "std", "min", "max")
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 ALL_STATS = (*MOMENTS, *PERCENTILES)
@@ -136,9 +140,48 @@ def depth_layer(depth: Column, levels: list[float] | None = None, k: str = "k")
     return layer.otherwise(F.lit(len(levels) - 1)).cast("long")
 
 
-def spatial_stats(cells: DataFrame, variables: list[str], stats=ALL_STATS, use_volume: bool = False, depth_levels: list[float] | None = None) -> DataFrame:
-    """(t, layer, variable) with the statistics over the layer's cells, weighted by area or volume."""
+def unique_levels(df: DataFrame, tolerance: float, depth: str = "depth") -> DataFrame:
+    """(layer, level): the depths that stand for all others, from the shallowest down: each is the first that is tolerance or more under the one before.
+
+    Rows count by their depths alone, so their order does not matter; where a reader meets depths in order, these are the levels that it
+    sees first. Distinct depths fall into bins of the tolerance, and bins into runs by links between neighbours, so runs are found by joins. A run
+    narrower than the tolerance is one level; within a longer one jumps are made over its distinct depths, in one task a run.
+    """
+    depths = kept(df.select(F.col(depth).cast("double").alias("d")).where("d IS NOT NULL AND NOT isnan(d)").distinct().withColumn("bin", F.floor(F.col("d") / tolerance)))
+    bins = kept(depths.groupBy("bin").agg(F.min("d").alias("low"), F.max("d").alias("high")))
+    after = bins.select((F.col("bin") - 1).alias("bin"), F.col("low").alias("next"))
+    links = bins.join(after, "bin").where(F.col("next") - F.col("high") < tolerance).select(F.col("bin").alias("a"), (F.col("bin") + 1).alias("b"))
+    runs = bins.join(components(links).withColumnRenamed("node", "bin"), "bin", "left").withColumn("run", F.coalesce("component", "bin")).drop("component")
+    wide = kept(runs.groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+
+    def jumps(run: pd.DataFrame) -> pd.DataFrame:
+        found, rest = [], np.sort(run["d"].to_numpy())
+        while len(rest):
+            found.append(rest[0])
+            rest = rest[np.searchsorted(rest - rest[0], tolerance) :]
+        return pd.DataFrame({"level": found})
+
+    long = wide.where(F.col("high") - F.col("low") >= tolerance).select("run")
+    inner = depths.join(runs.select("bin", "run"), "bin").join(long, "run", "left_semi").groupBy("run").applyInPandas(jumps, "level double")
+    levels = wide.where(F.col("high") - F.col("low") < tolerance).select(F.col("low").alias("level")).union(inner)
+    return levels.select((F.row_number().over(Window.orderBy("level")) - 1).cast("long").alias("layer"), "level")
+
+
+def with_levels(df: DataFrame, levels: DataFrame, tolerance: float, depth: str = "depth") -> DataFrame:
+    """df with the layer and level (of unique_levels) less than tolerance away, the deeper one of two; null without any."""
+    bins = F.explode(F.sequence(F.floor(F.col("level") / tolerance) - 1, F.floor(F.col("level") / tolerance) + 1))
+    near = levels.select(F.col("layer").alias("__layer"), F.col("level").alias("__level"), bins.alias("__bin"))
+    depths = df.select(F.col(depth).cast("double").alias("__d")).distinct().withColumn("__bin", F.floor(F.col("__d") / tolerance))
+    met = depths.join(near, "__bin").where(F.abs(F.col("__d") - F.col("__level")) < tolerance)
+    best = met.groupBy("__d").agg(F.max(F.struct(F.col("__layer").alias("layer"), F.col("__level").alias("level"))).alias("__best"))
+    return df.join(best, F.col(depth).cast("double") == F.col("__d"), "left").select(*df.columns, "__best.layer", "__best.level")
+
+
+def spatial_stats(cells: DataFrame, variables: list[str], stats=ALL_STATS, use_volume: bool = False, depth_levels: list[float] | None = None, tolerance: float | None = None) -> DataFrame:
+    """(t, layer, variable) with the statistics over the layer's cells, weighted by area or volume; with a tolerance, layers are the unique levels of depth."""
     weight = F.col("e1t") * F.col("e2t") * (F.col("e3t") if use_volume else F.lit(1.0))
+    if tolerance is not None:
+        cells = with_levels(cells, unique_levels(cells, tolerance), tolerance).withColumnRenamed("k", "__k").withColumn("k", F.col("layer"))
     base = cells.select("t", depth_layer(F.col("depth"), depth_levels).alias("layer"), weight.alias("w"), "k", "j", "i", *variables)
     rows = unpivot(base, ["t", "layer", "w", "k", "j", "i"], variables)
     return weighted_stats(rows, ["t", "layer", "variable"], "value", "w", stats, ["k", "j", "i"])

@@ -78,8 +78,11 @@ def gradient(cells: DataFrame, fields: list[str], scheme: str = "model1") -> Dat
     """cells with d<field>dx, d<field>dy, d<field>dz for each field.
 
     fv2 and fv4 difference over the coordinates x, y and depth; the model schemes (first order by default) difference over
-    the faces of the staggered mesh and project back to centres.
+    the faces of the staggered mesh and project back to centres. With "given" the derivatives are columns already, as those of
+    `unstructured.cell_gradient` are.
     """
+    if scheme == "given":
+        return cells
     if scheme not in SCHEMES:
         raise ValueError(f"no gradient scheme {scheme}; there are {', '.join(SCHEMES)}")
     out, order = cells, int(scheme[-1])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components, kept
 from .stencil import curl, derivatives, gradient, q_criterion, tensor
 
 
@@ -233,18 +234,12 @@ def _label_tile(offsets):
     return label
 
 
-def _join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    names, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
-    at = at.reshape(-1, 2)
-    return pd.DataFrame({"t": pdf["t"].iloc[0], "part": names, "component": names[_roots(at[:, 0], at[:, 1], len(names))]})
-
-
 def vortex_components(cells: DataFrame, mask: str = "mask", min_resolution: int = 5, connectivity: int = 6, tile: int = TILE) -> DataFrame:
     """(t, k, j, i, vortex_id) of the masked cells' true components of more than min_resolution cells.
 
     Components are numbered from 1 in each step by their first cell in (k, j, i) order. A task labels one tile of at most
-    tile ** 3 cells; masked cells at the borders of tiles meet their neighbours by a join, and a step's links between
-    tiles, which are as many as border cells, join the parts in one task. Indices are at least 0 and under 2 ** PACK.
+    tile ** 3 cells; masked cells at the borders of tiles meet their neighbours by a join, and the links between
+    tiles are contracted by joins. Labels are computed once and kept. Indices are at least 0 and under 2 ** PACK.
     """
     chosen = cells.where(F.col(mask) == 1).select("t", "k", "j", "i")
     kinds = dict(chosen.dtypes)
@@ -252,6 +247,7 @@ def vortex_components(cells: DataFrame, mask: str = "mask", min_resolution: int
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("t", "k", "j", "i")) + ", part long"
     tiled = chosen.withColumns({f"tile_{c}": e for c, e in tiles.items()})
     labelled = tiled.groupBy("t", "tile_k", "tile_j", "tile_i").applyInPandas(_label_tile(NEIGHBOURS[connectivity]), schema)
+    labelled = kept(labelled)
     steps = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip("kji", o)]) for o in NEIGHBOURS[connectivity]])).alias("o")
     near = {c: F.col(c) + F.col(f"o.d{c}") for c in "kji"}
     outside = F.lit(False)
@@ -260,8 +256,8 @@ def vortex_components(cells: DataFrame, mask: str = "mask", min_resolution: int
     border = labelled.select("t", "k", "j", "i", F.col("part").alias("a"), steps).where(outside).select("t", _packed(*(near[c] for c in "kji")).alias("cell"), "a")
     facing = labelled.select("t", _packed(F.col("k"), F.col("j"), F.col("i")).alias("cell"), F.col("part").alias("b"))
     links = border.join(facing, ["t", "cell"]).select("t", "a", "b").distinct()
-    joined = links.groupBy("t").applyInPandas(_join_parts, f"t {kinds['t']}, part long, component long")
-    whole = labelled.join(joined, ["t", "part"], "left").withColumn("component", F.coalesce("component", "part"))
+    joined = components(links, ["t"]).withColumnRenamed("node", "part")
+    whole = kept(labelled.join(joined, ["t", "part"], "left").withColumn("component", F.coalesce("component", "part")))
     sizes = whole.groupBy("t", "component").agg(F.count("*").alias("n")).where(F.col("n") > min_resolution)
     rank = F.row_number().over(Window.partitionBy("t").orderBy("component"))
     named = sizes.select("t", "component", rank.cast("long").alias("vortex_id"))

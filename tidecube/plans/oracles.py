@@ -9,7 +9,7 @@ from ..functions.projection import EQUAL_EARTH, ROBINSON_X, ROBINSON_Y
 from ..operators.select import parse_polygon
 from ..operators.stencil import SCHEMES
 from .fixture import SQL as CELLS
-from .queries import POLYGON, PROJECTED
+from .queries import FASTEST, POLYGON, PROJECTED
 
 WITH = "WITH " + CELLS
 KEYS = "t, k, j, i"
@@ -326,7 +326,7 @@ def oracle_sql() -> dict[str, str]:
     wind, cross = _winding("x", "y")
     speed = "vs AS (SELECT *, sqrt(u * u + v * v + w * w) AS val FROM cells)"
     surface = _labels("sp AS (SELECT *, sqrt(u * u + v * v + w * w) AS speed FROM cells WHERE k = 0), hot AS (SELECT * FROM sp WHERE speed > 0.23)", 2)
-    volume = _labels(f"{speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')}, sp AS (SELECT vs.*, vs.val AS speed FROM vs), hot AS (SELECT sp.* FROM sp JOIN sigmas ON sp.t = sigmas.t WHERE speed > 0.5::DOUBLE * 2 * sigma)", 5)
+    volume = _labels(f"{speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')}, sp AS (SELECT vs.*, vs.val AS speed FROM vs), hot AS (SELECT sp.* FROM sp JOIN sigmas ON sp.t = sigmas.t WHERE speed > 0.5::DOUBLE * {FASTEST} * sigma)", 5)
     ab = f"{WITH}, {_grads('model1', UVW)}, {AB}"
     own = {
         "spatial_stats_layer": "WITH " + _stats(line, "layer", "l_orderkey, l_partkey, l_suppkey, w", MOMENTS),
@@ -374,9 +374,9 @@ SELECT label, count(*) AS n, round(sum(w), 0) + 0.0 AS weight, round(sum(w * pri
         "climatology_day": f"WITH {DAILY} SELECT month(t) * 100 + day(t) AS bucket, count(*) AS n, round(avg(price), 6) + 0.0 AS price FROM daily GROUP BY 1",
         "climatology_month_coarse": f"WITH {MONTHS}, days AS (SELECT month(t) AS bucket, price, datediff('day', t, t + INTERVAL 1 month) AS d FROM months) SELECT bucket, CAST(sum(d) AS BIGINT) AS n, round(sum(d * price) / sum(d), 6) + 0.0 AS price FROM days GROUP BY bucket",
         "infer_frequency": "WITH g AS (SELECT epoch(lead(t) OVER (ORDER BY t)) - epoch(t) AS secs FROM (SELECT DISTINCT CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)), m AS (SELECT secs, count(*) AS n FROM g WHERE secs IS NOT NULL GROUP BY secs ORDER BY n DESC, secs LIMIT 1) SELECT CASE WHEN secs = 86400 THEN 'daily' ELSE 'other' END AS freq, CAST(secs AS BIGINT) AS secs FROM m",
-        "generate_steps": "SELECT strftime(TIMESTAMP '1995-01-31' + n * INTERVAL 1 month, '%Y%m%d') AS step FROM (SELECT unnest(generate_series(0, 11)) AS n)",
-        "merge_steps": f"""WITH a AS (SELECT {_series('2024-01-01 12:00:00', '2024-01-20 12:00:00', '1 day')} AS t UNION SELECT {_series('2024-01-10 00:00:00', '2024-02-10 00:00:00', '1 day')}),
-stays AS (SELECT min(t) AS t FROM a UNION ALL SELECT (SELECT min(a.t) FROM a WHERE a.t >= stays.t + INTERVAL 1 day) FROM stays WHERE t IS NOT NULL) SELECT strftime(t, '%Y%m%d%H') AS step FROM stays WHERE t IS NOT NULL""".replace("WITH ", "WITH RECURSIVE ", 1),
+        "generate_steps": "WITH e AS (SELECT CAST(min(o_orderdate) AS TIMESTAMP) AS a, CAST(max(o_orderdate) AS TIMESTAMP) AS b FROM orders) SELECT strftime(a + n * INTERVAL 1 month, '%Y%m%d') AS step FROM e, (SELECT unnest(generate_series(0, 1200)) AS n) WHERE a + n * INTERVAL 1 month <= b",
+        "merge_steps": """WITH RECURSIVE a AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS t FROM events UNION SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL 12 hour FROM events),
+stays AS (SELECT min(t) AS t FROM a UNION ALL SELECT (SELECT min(a.t) FROM a WHERE a.t >= stays.t + INTERVAL 1 day) FROM stays WHERE t IS NOT NULL) SELECT strftime(t, '%Y%m%d%H') AS step FROM stays WHERE t IS NOT NULL""",
         "couple_times": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '7 day')} AS t) SELECT strftime(a.t, '%Y%m%d') AS step, count(*) AS n_obs, min(event_id) AS first_id
 FROM a JOIN events ON CAST(ts AS TIMESTAMP) BETWEEN a.t - INTERVAL 84 hour AND a.t + INTERVAL 84 hour - INTERVAL 1 second GROUP BY a.t""",
         "nearest_time": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '3 day')} AS t), ev AS (SELECT event_id, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS s FROM events)
@@ -401,7 +401,7 @@ ends AS (SELECT *, coalesce(max(CASE WHEN coast > 0 AND abs(temp - vref) < 0.2::
         "rossby_radius_latitude": _rossby("(2 * 7.2921e-5::DOUBLE * sin(radians(lat)))"),
         "moving_average": f"""WITH {DAILY}, n AS (SELECT t, price, row_number() OVER y AS p, count(*) OVER (PARTITION BY year(t)) AS c FROM daily WINDOW y AS (PARTITION BY year(t) ORDER BY t)),
 h AS (SELECT *, least(2, p - 1, c - p) AS h FROM n) SELECT strftime(a.t, '%Y%m%d') AS day, round(avg(b.price), 7) + 0.0 AS price_smooth FROM h a JOIN h b ON year(a.t) = year(b.t) AND b.p BETWEEN a.p - a.h AND a.p + a.h GROUP BY a.t""",
-        "vortex_mask": f"{WITH}, {speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')} SELECT vs.t AS t, k, j, i, CAST(val > 0.5::DOUBLE * 2 * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t",
+        "vortex_mask": f"{WITH}, {speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')} SELECT vs.t AS t, k, j, i, CAST(val > 0.5::DOUBLE * {FASTEST} * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t",
         "vortex_components": f"{volume} SELECT t, k, j, i, vortex_id FROM named",
         "vortex_components_surface": f"{surface} SELECT t, j, i, vortex_id FROM named",
         "vortex_properties": volume + _properties(),
@@ -418,7 +418,7 @@ FROM vs JOIN sigmas ON vs.t = sigmas.t JOIN ro ON vs.t = t0""",
 l AS ({LAMBDA2}) SELECT r.t AS t, k, j, i, round({DIV}, 7) + 0.0 AS div, round(dwdy - dvdz, 7) + 0.0 AS curl_x, round(dudz - dwdx, 7) + 0.0 AS curl_y, round(dvdx - dudy, 7) + 0.0 AS curl_z, round({Q}, 7) + 0.0 AS q, lambda2, omega,
   round(rx, 7) + 0.0 AS rortex_x, round(ry, 7) + 0.0 AS rortex_y, round(rz, 7) + 0.0 AS rortex_z, round(b2 / nullif(a2 + b2 + e, 0), 7) + 0.0 AS omega_r
 FROM rortexes r JOIN ro ON r.t = t0 JOIN l USING (t, k, j, i) JOIN o USING (t, k, j, i)""".replace("rortexes AS (", f"{AB}, {LAMBDA_CTES}, rortexes AS (", 1),
-        "data_columns": "SELECT * FROM (VALUES (0, 'u'), (1, 'v'), (2, 'w'), (3, 'temp'), (4, 'sal'), (5, 'z'), (6, 'lat'), (7, 'basin')) AS c (place, name)",
+        "data_columns": f"{WITH} SELECT {KEYS}, " + ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in ("u", "v", "w", "temp", "sal", "z", "lat", "basin")) + " FROM cells",
         "tail_range": "WITH n AS (SELECT o_orderkey AS id, dense_rank() OVER (ORDER BY o_orderdate) - 1 AS n FROM orders) SELECT id FROM n WHERE n >= 3 AND n < 10",
         "missing_to": "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice < 30000 THEN l_extendedprice END AS l_extendedprice, CASE WHEN l_extendedprice < 30000 THEN l_extendedprice ELSE 0 END AS zeroed FROM lineitem",
         "couple_seconds": f"""WITH a AS (SELECT {_series('2024-01-02 12:00:00', '2024-01-30 12:00:00', '6 hour')} AS t) SELECT strftime(a.t, '%Y%m%d%H') AS step, count(*) AS n_obs, min(event_id) AS first_id

@@ -12,6 +12,8 @@ from ..streaming import buckets
 from .fixture import cells
 
 KEYS = ("t", "k", "j", "i")
+#: The mask of the vortex queries: about a fifth of all cells, which fall into many components.
+FASTEST = 6.5
 POLYGON = "1.5 2.5\n8.5 5.25\n4.5 13.5\n0.5 8.5"
 
 
@@ -207,13 +209,17 @@ def infer_frequency(spark, d):
 
 
 def generate_steps(spark, d):
-    return temporal.generate_steps(spark, "1995-01-31", "1995-12-31", months=1).select(F.date_format("t", "yyyyMMdd").alias("step"))
+    """Every month from the first order's day to the last one's."""
+    ends = _orders(spark, d).agg(F.min("t").alias("first"), F.max("t").alias("last")).first()
+    return temporal.generate_steps(spark, str(ends["first"]), str(ends["last"]), months=1).select(F.date_format("t", "yyyyMMdd").alias("step"))
 
 
 def merge_steps(spark, d):
-    noon = temporal.generate_steps(spark, "2024-01-01 12:00:00", "2024-01-20 12:00:00", days=1)
-    midnight = temporal.generate_steps(spark, "2024-01-10 00:00:00", "2024-02-10 00:00:00", days=1)
-    return temporal.merge_steps(noon, midnight).select(F.date_format("t", "yyyyMMddHH").alias("step"))
+    """One axis of the hours at which events come and of the noons of their days, thinned to steps a day apart."""
+    events = _events(spark, d)
+    hours = events.select(F.date_trunc("hour", "t").alias("t"))
+    noons = events.select((F.date_trunc("day", "t") + F.expr("interval 12 hours")).alias("t"))
+    return temporal.merge_steps(hours, noons).select(F.date_format("t", "yyyyMMddHH").alias("step"))
 
 
 def couple_times(spark, d):
@@ -334,7 +340,7 @@ def moving_average(spark, d):
 
 def _vortices(spark, d):
     c = cells(spark, d).withColumn("speed", pointwise.magnitude(F.col("u"), F.col("v"), F.col("w")))
-    return vortex.vortex_mask(c, "speed", "q", coef=2.0)
+    return vortex.vortex_mask(c, "speed", "q", coef=FASTEST)
 
 
 def vortex_mask(spark, d):
@@ -360,8 +366,8 @@ def _properties(masked, found, scalar="speed"):
 
 
 def vortex_components(spark, d):
-    """All cells of vortex_mask's mask, joined across layers."""
-    return vortex.vortex_components(_vortices(spark, d))
+    """All cells of vortex_mask's mask, joined across layers and over the borders of small tiles."""
+    return vortex.vortex_components(_vortices(spark, d), tile=4)
 
 
 def vortex_properties(spark, d):
@@ -395,7 +401,9 @@ def gradient_outputs(spark, d):
 
 
 def data_columns(spark, d):
-    return spark.createDataFrame([(n, c) for n, c in enumerate(select.data_columns(cells(spark, d)))], "place long, name string")
+    """The cells with their data alone, without what a mesh carries."""
+    c = cells(spark, d)
+    return c.select(*KEYS, *[_r(n) for n in select.data_columns(c)])
 
 
 def tail_range(spark, d):
