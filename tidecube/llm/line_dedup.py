@@ -213,7 +213,9 @@ def _components(base: DataFrame, percent: int) -> DataFrame:
     order, key, key_of, line_of = _place(base, lines)
     firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-lines")
     wanted = clusters.join(firsts, F.col("node") == F.col("h")).select("node", key_of.alias(key), line_of.alias("line"))
-    texts = wanted.join(base.select(key, "text"), key).select("node", F.get(F.split("text", "\n", -1), F.col("line")).alias("text"))
+    wanted = wanted.groupBy(key).agg(F.collect_list(F.struct("node", "line")).alias("wanted"))  # at most a document's lines
+    pick = lambda held: F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), F.get(held, w["line"]).alias("text")))
+    texts = wanted.join(base.select(key, "text"), key).select(F.inline(_of_lines(F.col("text"), pick)))
     component = exact_components(materialise(texts, "line-texts"), clusters, stars, line_sets, percent, "lines")
     # Only lines that repeat or have a link can have a keeper that is not themselves.
     linked = materialise(component.join(firsts, F.col("node") == F.col("h")).select("h", "component", "first", "n"), "linked-lines")
@@ -225,6 +227,11 @@ def _components(base: DataFrame, percent: int) -> DataFrame:
     return found.select("row", "doc_id", "line", "h", F.coalesce("component", "h").alias("component"), F.coalesce(order == F.col("keeper"), F.lit(True)).alias("kept"))
 
 
+def _of_lines(text, body):
+    """body of the array of a text's lines, which is split once; a lambda in body would split it for each of its elements."""
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), body), 1)
+
+
 def _place(base: DataFrame, lines: DataFrame):
     """(a column that orders lines by document and number, a column that tells documents apart, both of them from a column named first).
 
@@ -265,7 +272,8 @@ def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 
     Defined cases: null or empty texts have no lines; lines of white space are not counted and never dropped; a
     null id comes after all others; rows that repeat an id are each reported with their own lines; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. A very long text is split once for its line keys and once more for the lines that have
+    candidates, so the work follows its length; a very long line goes through in one piece.
     """
     rows = _narrow(docs, id_col, text_col)
     found = _components(_base(rows, "id", "text"), percent)
@@ -289,5 +297,6 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_i
     rows = numbered_rows(docs, id_col)
     gone = _components(_base(rows, id_col, text_col), percent).where("NOT kept").groupBy("row").agg(F.collect_set("line").alias("gone"))
     joined = rows.join(gone, "row", "left")
-    text = F.array_join(F.filter(F.split(field(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), "gone"), lambda i: F.get(held, i))
+    text = F.array_join(_of_lines(field(text_col), stay), "\n")
     return joined.select(*[F.when(F.col("gone").isNull(), field(c)).otherwise(text).alias(c) if c == text_col else field(c).alias(c) for c in docs.columns])

@@ -157,7 +157,8 @@ def secret_spans(docs: DataFrame, text_col: str = "text", table: list[float] | N
         0: text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
         1: text.contains("AKIA"),
         2: text.rlike(r"[0-9a-f]{16}"),
-        3: text.rlike(r"(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*[0-9][A-Za-z0-9+/_-]*"),
+        # Looked for from the starts of runs alone, each read once: the work does not follow the square of a run.
+        3: text.rlike(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})[A-Za-z+/_-]*+[0-9]"),
     }
     # Maximal runs of hexadecimal digits of 16 or more are the leftmost matches of HEX that are long enough.
     patterns = {0: (ASSIGN, 12, 2), 1: (ACCESS, 18, 0), 2: (HEX[:-1] + "{16,}", 16, 0), 3: (CANDIDATE, 16, 0)}
@@ -188,7 +189,8 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     Defined cases: null text counts as empty, without spans; equal starts are ordered by kind; a null id
-    stays null; repeated rows are reported each; an empty table gives no rows; other columns are ignored.
+    stays null; repeated rows are reported each; an empty table gives no rows; other columns are ignored. Very long texts are read whole,
+    in time that follows their length, also where they are one run of letters, dashes or slashes.
     """
     found = secret_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return found.select(

@@ -61,16 +61,15 @@ class Ftrl:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, words in word_hashes(text_bytes(batch.column(2), lower=True), STEMS):
+        for first, words in word_hashes(text_bytes(batch.column(3), lower=True), STEMS):
             found = [features(w).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(words)), batch.column(1).slice(first, len(words)), pa.array(found, pa.binary())],
-                names=["place", "label", "found"],
-            )
+            own = [batch.column(n).slice(first, len(words)) for n in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.binary())], names=["place", "content", "label", "found"])
 
 
 def _fit(table: pa.Table) -> pa.Table:
-    order = np.argsort(table.column("place").to_numpy(), kind="stable")
+    # Rows of one id are told apart by their texts' hashes, so their order of arrival does not matter.
+    order = np.lexsort((table.column("content").to_numpy(), table.column("place").to_numpy()))
     labels = table.column("label").to_numpy()
     found = [np.frombuffer(v, np.int32) for v in table.column("found").to_pylist()]
     model = Ftrl()
@@ -86,19 +85,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(feature numbers, weights, bias) from at most about max_train labelled rows.
 
     The rows are those with the smallest hashes of their ids, so the sample is the same on every run. One task
-    learns from them, in hash order, since FTRL is sequential; it holds hashed features, not texts. Rows
+    learns from them, in the order of the hashes of id and text, since FTRL is sequential; it holds hashed features, not texts. Rows
     without a label, an id or a match are left out; an id with several labels counts once, with the
     largest. Without rows, or with empty docs, the bias is 0 and every score 0.5. The task's memory follows the features of
     max_train texts, which are distinct hashes, at most 2**FEATURE_BITS a text.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    marked = marked.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
+    marked = marked.groupBy("id").agg(F.max("label").cast("int").alias("label"))
     count = marked.count()
     share = min(1.0, max_train / max(count, 1))
-    place = F.xxhash64("__id")
-    marked = marked.withColumn("__place", place).where(F.shiftrightunsigned("__place", 11) < F.lit(int(share * (1 << 53))))
-    rows = docs.join(marked, F.col(id_col) == F.col("__id")).select(F.col("__place"), F.col("__label"), F.col(text_col).alias("__text"))
-    learned = rows.mapInArrow(_features, "place long, label int, found binary").groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "at long, weight double")
+    marked = marked.withColumn("place", F.xxhash64("id")).where(F.shiftrightunsigned("place", 11) < F.lit(int(share * (1 << 53))))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = texts.join(marked, "id").select("place", F.xxhash64("text").alias("content"), "label", "text")
+    learned = rows.mapInArrow(_features, "place long, content long, label int, found binary").groupBy(F.lit(0).alias("one")).applyInArrow(_fit, "at long, weight double")
     pairs = [(r["at"], r["weight"]) for r in materialise(learned, "weights").collect()]
     at = np.array([a for a, _ in pairs if a >= 0], np.int64)
     weight = np.array([w for a, w in pairs if a >= 0], np.float32)
