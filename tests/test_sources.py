@@ -80,6 +80,11 @@ def test_grid_source_reads_prunes_and_joins_mesh(spark, dataset):
     reader = grid_source.GridReader(catalog.read(str(root / "set.txt")), ["P1c"], [], {})
     list(reader.pushFilters([grid_source.EqualTo(("t",), datetime(2000, 3, 1, 12))]))
     assert [p.time for p in reader.partitions()] == TIMES[2:]
+    list(reader.pushFilters([grid_source.GreaterThan(("k",), 0), grid_source.EqualTo(("j",), 1)]))
+    assert [(p.first, p.end) for p in reader.partitions()] == [(1, 3)]
+    thin = grid_source.GridReader(catalog.read(str(root / "set.txt")), ["P1c"], [], {"levels": "1"})
+    list(thin.pushFilters([grid_source.In(("k",), (0, 2))]))
+    assert [(p.first, p.end) for p in thin.partitions()] == [(0, 1), (2, 3)] * 3
 
 
 def test_sinks_round_trip(spark, tmp_path):

@@ -1,8 +1,9 @@
-"""spark.read.format("oceangrid"): a catalogued dataset as cells, one task per time step.
+"""spark.read.format("oceangrid"): a catalogued dataset as cells, one task per time step and block of levels.
 
 Options: path (master file), vars (comma-separated, default all), missing ("null" or "zero"), mesh ("true"
-adds centres, masks and stretch factors), projection. Filters on t with =, >, >=, <, <= and IN drop the files of other
-steps before any is opened. Files must be where every executor can open them.
+adds centres, masks and stretch factors), projection, levels (of a block; by default as many as make about BLOCK_CELLS cells). Filters on t and k
+with =, >, >=, <, <= and IN drop the files of other steps before any is opened and the blocks of other levels before they are read: of a
+file its header and the levels asked for are read, a level at a time. Files may be classic or HDF5-based, and must be where every executor can open them.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from . import catalog as catalogs
 from . import mesh as meshes
-from .netcdf import File
+from .netcdf import levels_of, opened, slab
+from .ranges import Ranges
 
 STAMP = "%Y%m%d-%H:%M:%S"
+#: Cells of a task, about.
+BLOCK_CELLS = 1 << 21
 MESH_COLUMNS = ("x", "y", "depth", "basins", "coast", "land")
 
 
@@ -42,7 +46,8 @@ class GridSource(DataSource):
     def _mesh_columns(self, catalog: catalogs.Catalog) -> list[str]:
         if self.options.get("mesh", "false").lower() != "true":
             return []
-        factors = meshes.stretch(File(_bytes(catalog.mesh(self.options.get("projection"))[1])))
+        with Ranges(catalog.mesh(self.options.get("projection"))[1]) as found:
+            factors = meshes.stretch_names(opened(found))
         return [*MESH_COLUMNS, *factors]
 
     def schema(self) -> str:
@@ -59,15 +64,17 @@ class GridSource(DataSource):
         return GridReader(catalog, self._wanted(catalog), self._mesh_columns(catalog), dict(self.options))
 
 
-class Step(InputPartition):
-    def __init__(self, time: str):
-        self.time = time
+class Block(InputPartition):
+    """The levels from first to end of a time step."""
+
+    def __init__(self, time: str, first: int, end: int):
+        self.time, self.first, self.end = time, first, end
 
 
 class GridReader(DataSourceReader):
     def __init__(self, catalog: catalogs.Catalog, wanted: list[str], mesh_columns: list[str], options: dict):
         self.catalog, self.wanted, self.mesh_columns, self.options = catalog, wanted, mesh_columns, options
-        self.times = list(catalog.times)
+        self.times, self.level_tests = list(catalog.times), []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         tests = {
@@ -80,37 +87,64 @@ class GridReader(DataSourceReader):
                 plain = lambda v: v.replace(tzinfo=None) if isinstance(v, datetime) else v
                 value = tuple(map(plain, f.value)) if isinstance(f, In) else plain(f.value)
                 self.times = [t for t in self.times if test(datetime.strptime(t, STAMP), value)]
+            elif test and f.attribute == ("k",):
+                self.level_tests.append((test, f.value))
             yield f  # Spark tests the rows again
 
-    def partitions(self) -> list[Step]:
-        return [Step(t) for t in self.times]
+    def _inner(self, name: str) -> list[str]:
+        return [p.strip() for p in self.catalog.find(name)[0].split(catalogs.VECTOR_MARK)]
 
-    def read(self, partition: Step) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Block]:
+        if not self.times or not self.wanted:
+            return []
+        with Ranges(self.catalog.path(self.wanted[0], self.times[0])) as first:
+            nz, ny, nx = levels_of(opened(first), self._inner(self.wanted[0])[0])
+        block = int(self.options.get("levels", 0)) or max(1, BLOCK_CELLS // (ny * nx))
+        kept = [k for k in range(nz) if all(test(k, value) for test, value in self.level_tests)]
+        runs: list[list[int]] = []
+        for k in kept:
+            if runs and k == runs[-1][-1] + 1 and len(runs[-1]) < block:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        return [Block(t, run[0], run[-1] + 1) for t in self.times for run in runs]
+
+    def _mesh(self) -> dict[str, np.ndarray]:
+        if not self.mesh_columns:
+            return {}
+        mesh_file, mask_file = self.catalog.mesh(self.options.get("projection"))
+        with Ranges(mask_file) as mask:
+            return meshes.mesh_rows(meshes.decode(_bytes(mesh_file)), meshes.stretch(opened(mask)))
+
+    def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
+        mesh, held = self._mesh(), {}
+        try:
+            for level in range(partition.first, partition.end):
+                yield self._level(partition.time, level, held, mesh)
+        finally:
+            for ranges, _ in held.values():
+                ranges.close()
+
+    def _level(self, time: str, level: int, held: dict, mesh: dict[str, np.ndarray]) -> pa.RecordBatch:
         columns, shape = {}, None
-        opened: dict[str, File] = {}
         for name in self.wanted:
-            inner, _ = self.catalog.find(name)
-            path = self.catalog.path(name, partition.time)
-            file = opened.setdefault(path, None) or File(_bytes(path))
-            opened[path] = file
-            parts = [p.strip() for p in inner.split(catalogs.VECTOR_MARK)]
+            path = self.catalog.path(name, time)
+            if path not in held:
+                ranges = Ranges(path)
+                held[path] = (ranges, opened(ranges))
+            parts = self._inner(name)
             for n, part in enumerate(parts):
-                values = file.values(part, self.options.get("missing", "null"))
-                values = values.reshape(values.shape[-3:])
+                values = slab(held[path][1], part, level, level + 1, self.options.get("missing", "null"))
                 shape = shape or values.shape
                 columns[name if len(parts) == 1 else f"{name}_{'uvw'[n]}"] = values.ravel()
-        nz, ny, nx = shape
-        k, j, i = (a.ravel() for a in np.meshgrid(np.arange(nz), np.arange(ny), np.arange(nx), indexing="ij"))
-        stamp = np.full(len(k), np.datetime64(datetime.strptime(partition.time, STAMP), "us"))
-        arrays = [pa.array(stamp, pa.timestamp("us", tz="UTC")), pa.array(k), pa.array(j), pa.array(i)]
+        _, ny, nx = shape
+        j, i = (a.ravel() for a in np.meshgrid(np.arange(ny), np.arange(nx), indexing="ij"))
+        stamp = np.full(len(j), np.datetime64(datetime.strptime(time, STAMP), "us"))
+        arrays = [pa.array(stamp, pa.timestamp("us", tz="UTC")), pa.array(np.full(len(j), level)), pa.array(j), pa.array(i)]
         arrays += [pa.array(v, pa.float64(), from_pandas=True) for v in columns.values()]
-        names = ["t", "k", "j", "i", *columns]
-        if self.mesh_columns:
-            mesh_file, mask_file = self.catalog.mesh(self.options.get("projection"))
-            rows = meshes.mesh_rows(meshes.decode(_bytes(mesh_file)), meshes.stretch(File(_bytes(mask_file))))
-            arrays += [pa.array(rows[c]) for c in self.mesh_columns]
-            names += self.mesh_columns
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        here = slice(level * ny * nx, (level + 1) * ny * nx)
+        arrays += [pa.array(np.ascontiguousarray(mesh[c][here])) for c in self.mesh_columns]
+        return pa.RecordBatch.from_arrays(arrays, names=["t", "k", "j", "i", *columns, *self.mesh_columns])
 
 
 def register(spark) -> None:

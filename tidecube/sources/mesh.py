@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .netcdf import File
+from .netcdf import doubles
 
 #: Stretch factors in the meshmask file and their columns.
 STRETCH_2D = ("e1t", "e1u", "e1v", "e1f", "e2t", "e2u", "e2v", "e2f")
@@ -66,11 +66,16 @@ def extend_depth(levels: np.ndarray) -> np.ndarray:
     return np.append(levels, levels[-1] + (levels[-1] - levels[-2]) / 2)
 
 
-def stretch(mask: File) -> dict[str, np.ndarray]:
+def stretch_names(mask) -> list[str]:
+    """The columns that stretch() gives, without reading them."""
+    return [n for n in STRETCH_2D if n in mask.variables] + [n for n in STRETCH_3D if f"{n}_0" in mask.variables]
+
+
+def stretch(mask) -> dict[str, np.ndarray]:
     """The stretch factors of a meshmask file as (depth, y, x) arrays, surface factors repeated over depth."""
-    deep = {n: np.squeeze(mask.values(f"{n}_0")) for n in STRETCH_3D if f"{n}_0" in mask.variables}
+    deep = {n: np.squeeze(doubles(mask[f"{n}_0"], "null")) for n in STRETCH_3D if f"{n}_0" in mask.variables}
     levels = next(iter(deep.values())).shape[0] if deep else 1
-    flat = {n: np.squeeze(mask.values(n)) for n in STRETCH_2D if n in mask.variables}
+    flat = {n: np.squeeze(doubles(mask[n], "null")) for n in STRETCH_2D if n in mask.variables}
     return {n: np.broadcast_to(a, (levels, *a.shape)) for n, a in flat.items()} | deep
 
 

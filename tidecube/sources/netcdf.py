@@ -1,4 +1,4 @@
-"""Classic NetCDF files (CDF-1, CDF-2, CDF-5) in numpy: reading and writing. HDF5-based files are not read."""
+"""NetCDF files in numpy: classic ones (CDF-1, CDF-2, CDF-5) are read and written, those kept in HDF5 are read by `hdf5`."""
 
 from __future__ import annotations
 
@@ -6,34 +6,47 @@ import struct
 
 import numpy as np
 
+from . import hdf5
+from .ranges import Ranges
+
 DIMENSION, VARIABLE, ATTRIBUTE = 10, 11, 12
 #: Fixed type numbers of the format.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 CODES = {"i1": 1, "S1": 2, "i2": 3, "i4": 4, "f4": 5, "f8": 6, "u1": 7, "u2": 8, "u4": 9, "i8": 10, "u8": 11}
 MISSING = 1e20
+#: Bytes of a file's beginning that are read to find its variables, at first.
+HEADER = 1 << 14
+
+
+class _Short(Exception):
+    """The header goes on after the bytes at hand."""
 
 
 class _Cursor:
     def __init__(self, data: bytes):
         self.data, self.at = data, 4
         if data[:3] != b"CDF" or data[3] not in (1, 2, 5):
-            raise ValueError("not a classic NetCDF file" + (" but HDF5, which is not read" if data[1:4] == b"HDF" else ""))
+            raise ValueError("not a classic NetCDF file")
         self.version = data[3]
 
-    def number(self, wide: bool) -> int:
-        size, fmt = (8, ">q") if wide else (4, ">i")
-        value = struct.unpack_from(fmt, self.data, self.at)[0]
+    def take(self, size: int) -> bytes:
+        found = self.data[self.at : self.at + size]
+        if len(found) < size:
+            raise _Short
         self.at += size
-        return value
+        return found
+
+    def number(self, wide: bool) -> int:
+        return struct.unpack(">q" if wide else ">i", self.take(8 if wide else 4))[0]
 
     def count(self) -> int:
         return self.number(self.version == 5)
 
+    def padded(self, size: int) -> bytes:
+        return self.take(-(-size // 4) * 4)[:size]
+
     def name(self) -> str:
-        size = self.count()
-        text = self.data[self.at : self.at + size].decode()
-        self.at += -(-size // 4) * 4
-        return text
+        return self.padded(self.count()).decode()
 
     def items(self):
         self.number(False)
@@ -44,18 +57,28 @@ class _Cursor:
         for _ in self.items():
             name, kind, size = self.name(), self.number(False), self.count()
             dtype = np.dtype(TYPES[kind])
-            raw = self.data[self.at : self.at + size * dtype.itemsize]
-            self.at += -(-size * dtype.itemsize // 4) * 4
+            raw = self.padded(size * dtype.itemsize)
             out[name] = raw.decode(errors="replace") if kind == 2 else np.frombuffer(raw, dtype)
         return out
 
 
 class File:
-    """Dimensions, attributes and variables of a file's bytes; arrays are made when asked for."""
-
-    def __init__(self, data: bytes):
-        c = _Cursor(data)
-        self.data, self.records = data, max(c.count(), 0)
+    """Dimensions, attributes and variables of a file; the header is read first, of the arrays only what is asked for."""
+
+    def __init__(self, source: bytes | Ranges):
+        self.ranges = source if isinstance(source, Ranges) else Ranges(source)
+        at_hand = HEADER
+        while True:
+            try:
+                self._parse(_Cursor(self.ranges.read(0, min(at_hand, self.ranges.size))))
+                return
+            except _Short:
+                if at_hand >= self.ranges.size:
+                    raise ValueError("a NetCDF header that ends early") from None
+                at_hand *= 8
+
+    def _parse(self, c: _Cursor) -> None:
+        self.records = max(c.count(), 0)
         self.dimensions = {}
         names = []
         for _ in c.items():
@@ -80,19 +103,49 @@ class File:
         dims, kind, *_ = variable
         return int(np.prod([self.dimensions[d] for d in dims[1:]], dtype=np.int64)) * np.dtype(TYPES[kind]).itemsize
 
-    def __getitem__(self, name: str) -> np.ndarray:
+    def shape(self, name: str) -> tuple[int, ...]:
+        return tuple(self.dimensions[d] for d in self.variables[name][0])
+
+    def read(self, name: str, window: list[tuple[int, int]]) -> np.ndarray:
+        """The part of a variable within (first, end) of each dimension."""
         dims, kind, _, begin, _ = self.variables[name]
-        dtype, shape = np.dtype(TYPES[kind]), [self.dimensions[d] for d in dims]
-        if dims and dims[0] == self.growing:
-            size = self._record(self.variables[name])
-            parts = [self.data[begin + r * self.stride : begin + r * self.stride + size] for r in range(self.records)]
-            return np.frombuffer(b"".join(parts), dtype).reshape(shape)
-        return np.frombuffer(self.data, dtype, int(np.prod(shape, dtype=np.int64)), begin).reshape(shape)
+        dtype, shape = np.dtype(TYPES[kind]), self.shape(name)
+        if not dims or dims[0] != self.growing:
+            return hdf5.read_rows(self.ranges, begin, dtype, shape, window)
+        parts = [hdf5.read_rows(self.ranges, begin + r * self.stride, dtype, shape[1:], window[1:]) for r in range(*window[0])]
+        return np.stack(parts) if parts else np.empty([b - a for a, b in window], dtype)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.read(name, [(0, n) for n in self.shape(name)])
 
     def values(self, name: str, missing: str = "null") -> np.ndarray:
         """Doubles; values of MISSING or more are NaN, or 0 with missing="zero"."""
-        found = self[name].astype(np.float64)
-        return np.where(found >= MISSING, 0.0 if missing == "zero" else np.nan, found)
+        return doubles(self[name], missing)
+
+
+def doubles(found: np.ndarray, missing: str) -> np.ndarray:
+    found = found.astype(np.float64)
+    return np.where(found >= MISSING, 0.0 if missing == "zero" else np.nan, found)
+
+
+def opened(source: bytes | str | Ranges) -> File | hdf5.File:
+    """A NetCDF file of either kind, told apart by its first bytes."""
+    ranges = source if isinstance(source, Ranges) else Ranges(source)
+    first = ranges.read(0, min(8, ranges.size))
+    return hdf5.File(ranges) if first == hdf5.SIGNATURE else File(ranges)
+
+
+def levels_of(file: File | hdf5.File, name: str) -> tuple[int, int, int]:
+    """Cells along depth, y and x of a variable: its last three dimensions, of which those that it lacks are 1."""
+    return (1, 1, 1, *file.shape(name))[-3:]
+
+
+def slab(file: File | hdf5.File, name: str, first: int, end: int, missing: str = "null") -> np.ndarray:
+    """The levels from first to end of a variable's first time, as (level, y, x) doubles; nothing else of it is read."""
+    shape = file.shape(name)
+    window = [(0, 1)] * max(len(shape) - 3, 0) + ([(first, end)] if len(shape) >= 3 else []) + [(0, n) for n in shape[-2:]]
+    nz, ny, nx = levels_of(file, name)
+    return doubles(file.read(name, window), missing).reshape(min(end, nz) - first, ny, nx)
 
 
 def _name(text: str) -> bytes:
