@@ -4,23 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage: a reliable checkpoint, which survives lost executors.
+_local: dict[str, str] = {}
 
-    It goes to spark.checkpoint.dir; only a local session that names none gets a temporary folder.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; only a local session that names none gets a temporary folder."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidecube-checkpoint-")
+    return _local[context.applicationId]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage: a reliable checkpoint in the shared folder, which survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="tidecube-checkpoint-")
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

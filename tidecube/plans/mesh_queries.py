@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import column, locate, stats, unstructured
+from ..operators import column, graph, locate, stats, unstructured
+from ..streaming import fold
 from .fixture import SQL as CELLS
 from .fixture import cells
 
@@ -99,8 +102,19 @@ def mixed_layer_depth_positions(spark, d):
     return out.select(*KEYS, "mld_k", "mld", F.col("mld_mask").cast("long").alias("mld_mask"))
 
 
+def time_fold(spark, d):
+    """Daily means and counts by type of a stream of the events: the days that the last event's time closes."""
+    # A pattern, since a stream's plain path must be a folder and the table may be one file.
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parque[t]")
+    steps = stream.select(F.col("ts").cast("timestamp").alias("t"), "event_type", "value")
+    home = f"{graph.shared_folder(spark)}/time-fold-{uuid.uuid4().hex}"
+    folded = fold.fold(steps, "daily", "2023-12-01", "2024-12-31", ["value"], ["event_type"], "hourly", late="1 hour")
+    folded.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(folded.schema).parquet(f"{home}/out").select("label", "event_type", "n", _r("value"))
+
+
 def queries():
-    own = (gradient_any_grid, gradient_any_grid_points, connected_cells, profile_any_grid, profile_any_grid_points, depth_levels, spatial_stats_tolerance, mixed_layer_depth_positions)
+    own = (time_fold, gradient_any_grid, gradient_any_grid_points, connected_cells, profile_any_grid, profile_any_grid_points, depth_levels, spatial_stats_tolerance, mixed_layer_depth_positions)
     return {f.__name__: f for f in own}
 
 
@@ -163,6 +177,9 @@ layered AS (SELECT t, k, j, i, e1t * e2t AS w, temp AS v, max(layer) AS layer, m
     from .oracles import _mld
 
     return {
+        "time_fold": """WITH ev AS (SELECT CAST(ts AS TIMESTAMP) AS t, event_type, value FROM events), days AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-12-31', INTERVAL 1 day)) AS s)
+SELECT strftime(s, '%Y%m%d') AS label, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM days JOIN ev ON t >= s AND t <= s + INTERVAL 1 day
+WHERE s + INTERVAL 1 day < (SELECT max(t) FROM ev) - INTERVAL 1 hour GROUP BY s, event_type""",
         "gradient_any_grid": f"{_corners(TWIST)}, js AS (SELECT corn.t AS t, k, j, i, {sums} FROM corn JOIN pv USING (t, pk, pj, pi) GROUP BY corn.t, k, j, i) SELECT {KEY}, {shown} FROM js",
         "gradient_any_grid_points": f"{_corners(TWIST)}, es AS (SELECT corn.t AS t, {point} AS point, {edge} FROM corn JOIN pv v ON v.t = corn.t AND v.pk = corn.pk AND v.pj = corn.pj AND v.pi = corn.pi {met}) SELECT t, point, {along} FROM es GROUP BY t, point",
         "connected_cells": f"{_corners(TWIST)} SELECT s.t AS t, s.cell AS cell, count(*) AS n_near, min(o.cell) AS first_near FROM sea s JOIN sea o ON s.t = o.t AND s.cell <> o.cell AND abs(s.k - o.k) <= 1 AND abs(s.j - o.j) <= 1 AND abs(s.i - o.i) <= 1 AND abs(s.k - o.k) + abs(s.j - o.j) + abs(s.i - o.i) <= 2 GROUP BY s.t, s.cell",
