@@ -111,12 +111,96 @@ def equal_earth(lon: Column, lat: Column) -> tuple[Column, Column]:
     return radius * 2 * math.sqrt(3) * F.radians(lon) * F.cos(theta) / (3 * slope), radius * theta * (a1 + a2 * t2 + t6 * (a3 + a4 * t2))
 
 
+def _asin(x: Column) -> Column:
+    """asin of what rounding may have put a little beyond 1; null stays null."""
+    return F.when(x.isNotNull(), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))))
+
+
+def degrees_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    return x * 1.0, y * 1.0
+
+
+def spherical_mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / A), F.degrees(2 * F.atan(F.exp(y / A)) - math.pi / 2)
+
+
+def cylindrical_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.degrees(x / A), F.degrees(y / A)
+
+
+def mollweide_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    theta = _asin(y / (math.sqrt(2) * A))
+    return F.degrees(x * math.pi / (2 * math.sqrt(2) * A * F.cos(theta))), F.degrees(_asin((2 * theta + F.sin(2 * theta)) / math.pi))
+
+
+def orthographic_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    e2 = ECCENTRICITY**2
+    s = y / F.sqrt((A * (1 - e2)) ** 2 + e2 * y * y)
+    n = A / F.sqrt(1 - e2 * s * s)
+    return F.degrees(_asin(x / (n * F.sqrt(1 - s * s)))), F.degrees(_asin(s))
+
+
+def robinson_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """The table is read the other way: the five degrees whose distances from the equator hold y."""
+    size = F.abs(y) / (1.3523 * A)
+    ys, xs = (F.array(*[F.lit(v) for v in t]) for t in (ROBINSON_Y, ROBINSON_X))
+    at = F.least(F.size(F.filter(ys, lambda v: v <= size)) - 1, F.lit(17))
+    part = (size - F.get(ys, at)) / (F.get(ys, at + 1) - F.get(ys, at))
+    length = F.get(xs, at) * (1 - part) + F.get(xs, at + 1) * part
+    return F.degrees(x / (0.8487 * A * length)), 5 * (at + part) * F.signum(y)
+
+
+def satellite_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Null beyond the horizon's circle."""
+    phi0, p = math.radians(SATELLITE_LAT), 1 + SATELLITE_HEIGHT / A
+    rho = F.sqrt(x * x + y * y)
+    under = 1 - rho * rho * (p + 1) / (A * A * (p - 1))
+    c = _asin((p - F.sqrt(F.when(under >= -1e-12, F.greatest(under, F.lit(0.0))))) / (A * (p - 1) / rho + rho / (A * (p - 1))))
+    lat = _asin(F.cos(c) * math.sin(phi0) + y * F.sin(c) * math.cos(phi0) / rho)
+    lam = F.atan2(x * F.sin(c), rho * math.cos(phi0) * F.cos(c) - y * math.sin(phi0) * F.sin(c))
+    centre = rho == 0
+    return F.when(centre, F.lit(SATELLITE_LON)).otherwise(SATELLITE_LON + F.degrees(lam)), F.when(centre, F.lit(SATELLITE_LAT)).otherwise(F.degrees(lat))
+
+
+def eckert_iv_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    theta = _asin(y / (2 * math.sqrt(math.pi / (4 + math.pi)) * A))
+    scale = 2 / math.sqrt(math.pi * (4 + math.pi))
+    return F.degrees(x / (scale * A * (1 + F.cos(theta)))), F.degrees(_asin((theta + F.sin(theta) * F.cos(theta) + 2 * F.sin(theta)) / (2 + math.pi / 2)))
+
+
+def equal_earth_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Newton's method for the map's angle, and again for the latitude of the same area on the ellipsoid."""
+    e, e2 = ECCENTRICITY, ECCENTRICITY**2
+    qp = 1 + (1 - e2) / (2 * e) * math.log((1 + e) / (1 - e))
+    radius = A * math.sqrt(qp / 2)
+    a1, a2, a3, a4 = EQUAL_EARTH
+    slope = lambda t: a1 + 3 * a2 * t * t + F.pow(t, F.lit(6)) * (7 * a3 + 9 * a4 * t * t)
+    theta = _newton(y / radius, lambda t: t * (a1 + a2 * t * t + F.pow(t, F.lit(6)) * (a3 + a4 * t * t)) - y / radius, slope, 12)
+    target = qp * 2 / math.sqrt(3) * F.sin(theta)
+    area = lambda p: (1 - e2) * (F.sin(p) / (1 - e2 * F.sin(p) * F.sin(p)) - F.log((1 - e * F.sin(p)) / (1 + e * F.sin(p))) / (2 * e))
+    steep = lambda p: 2 * (1 - e2) * F.cos(p) / F.pow(1 - e2 * F.sin(p) * F.sin(p), F.lit(2))
+    phi = _newton(_asin(target / qp), lambda p: area(p) - target, steep, 8)
+    return F.degrees(x * 3 * slope(theta) / (radius * 2 * math.sqrt(3) * F.cos(theta))), F.degrees(phi)
+
+
 PROJECTIONS = {
     "degrees": degrees, "mercator": mercator, "cylindrical": cylindrical, "google": spherical_mercator, "mollweide": mollweide,
     "orthographic": orthographic, "robinson": robinson, "satellite": satellite, "eckert iv": eckert_iv, "equal earth": equal_earth, "epsg 3857": spherical_mercator,
 }
 
 
+INVERSES = {
+    "degrees": degrees_inverse, "mercator": mercator_inverse, "cylindrical": cylindrical_inverse, "google": spherical_mercator_inverse, "mollweide": mollweide_inverse,
+    "orthographic": orthographic_inverse, "robinson": robinson_inverse, "satellite": satellite_inverse, "eckert iv": eckert_iv_inverse,
+    "equal earth": equal_earth_inverse, "epsg 3857": spherical_mercator_inverse,
+}
+
+
+def unproject(name: str, x: Column, y: Column) -> tuple[Column, Column]:
+    """(lon, lat) in degrees of a named projection's metres; null where the map shows nothing."""
+    return INVERSES[name.lower()](x, y)
+
+
 def project(name: str, lon: Column, lat: Column) -> tuple[Column, Column]:
     """(x, y) in metres of a named projection (degrees stay degrees)."""
     return PROJECTIONS[name.lower()](lon, lat)

@@ -6,6 +6,7 @@ in a few buckets whatever its size; a point has one key for each level that ther
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import kept
 from .unstructured import HEXAHEDRON
 
 #: A point belongs to a cell if its squared distance is at most this part of the squared diagonal of the cell's box.
@@ -137,3 +139,28 @@ def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields
     met = placed.join(mesh, ["cell", "corner"]).join(values.select(*keys, "point", *fields), "point")
     whole = lambda f: (F.count(f) == F.lit(8))
     return met.groupBy(*keys, *probe).agg(*[F.when(whole(f), F.sum(F.col("share") * F.col(f))).alias(f) for f in fields])
+
+
+def nearest(points: DataFrame, sites: DataFrame, size: float, site: str = "site") -> DataFrame:
+    """points(point, x, y, z) with the nearest of sites(site, x, y, z) and dist: the smaller site of equally near ones; null without sites.
+
+    Both fall into cubes of `size`, about the distance of neighbouring sites, and a point meets the sites of its own cube and of those around it. A site within a
+    cube's width is the nearest there is; points that have none so near go on with cubes of twice the width, so rounds are
+    as many as the logarithm of the farthest distance and what goes on is what lies far from every site.
+    """
+    place = lambda df, name: df.select(name, *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    left, there = kept(place(points, "point")), kept(place(sites, site).withColumnsRenamed({a: f"s{a}" for a in "xyz"}))
+    steps = F.explode(F.array(*[F.struct(*[F.lit(o).alias(f"o{a}") for a, o in zip("xyz", c)]) for c in itertools.product((-1, 0, 1), repeat=3)])).alias("o")
+    found, some = None, there.limit(1).count() > 0
+    while True:
+        cube = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        asked = left.select("point", "x", "y", "z", steps).select("point", "x", "y", "z", *[(cube(a) + F.col(f"o.o{a}")).alias(f"b{a}") for a in "xyz"])
+        met = asked.join(there.select("*", *[cube(f"s{a}").alias(f"b{a}") for a in "xyz"]), ["bx", "by", "bz"])
+        away = F.sqrt(sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "yz"), (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx"))))
+        best = met.groupBy("point").agg(F.min(F.struct(away.alias("dist"), F.col(site).alias(site))).alias("b")).select("point", "b.*")
+        best = kept(best.where(F.col("dist") <= size).select("point", site, "dist"))
+        found = best if found is None else found.union(best)
+        left = kept(left.join(best.select("point"), "point", "left_anti"))
+        if not some or not left.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").limit(1).count():
+            return points.join(found, "point", "left")
+        size *= 2

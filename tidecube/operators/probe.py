@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.projection import project
+from . import locate as locate_any
 from .stats import weighted_mean
 
 #: Rows that an axis table may have to be broadcast.
@@ -30,6 +31,26 @@ def depth_line(spark: SparkSession, lon: float, lat: float, depth_range=(0.0, 0.
     return spark.range(resolution + 1).select(F.col("id").alias("pid"), x.alias("x"), y.alias("y"), (F.lit(top) + F.col("id") * step).alias("depth"))
 
 
+def broken_line(corners: DataFrame, resolution: int = 1000, keys=("line",)) -> DataFrame:
+    """(keys.., pid, x, y, depth, along): lines through corners(keys.., place, x, y, depth), resolution points to each segment and the last corner.
+
+    place counts a line's corners from 0. Points are evenly spaced within their segment; along is the distance from the line's beginning.
+    A corner meets the next by an equi-join, so lines are as many as one likes; only a line's own corners are put in order for the distance.
+    A line of one corner is refused by no error: it is that point.
+    """
+    keys, axes, step = list(keys), ("x", "y", "depth"), max(int(resolution), 1)
+    after = corners.select(*keys, (F.col("place") - 1).alias("place"), *[F.col(a).cast("double").alias(f"__{a}") for a in axes])
+    segments = corners.select(*keys, "place", *[F.col(a).cast("double").alias(a) for a in axes]).join(after, [*keys, "place"], "left")
+    size = F.sqrt(sum(((F.col(f"__{a}") - F.col(a)) * (F.col(f"__{a}") - F.col(a)) for a in axes[1:]), (F.col("__x") - F.col("x")) * (F.col("__x") - F.col("x"))))
+    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    segments = segments.withColumn("__size", size).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0.0)))
+    points = segments.withColumn("n", F.explode(F.sequence(F.lit(0), F.when(F.col("__size").isNull(), 0).otherwise(step - 1))))
+    part = F.col("n") / step
+    spots = [(F.col(a) + F.when(F.col("n") > 0, part * (F.col(f"__{a}") - F.col(a))).otherwise(0.0)).alias(a) for a in axes]
+    along = F.col("__before") + F.when(F.col("n") > 0, part * F.col("__size")).otherwise(0.0)
+    return points.select(*keys, (F.col("place") * step + F.col("n")).cast("long").alias("pid"), *spots, along.alias("along"))
+
+
 def axis_from_centres(cells: DataFrame, index: str, centre: str) -> DataFrame:
     """(index, lo, hi): a cell reaches half way to its neighbours; at the ends as far as on the other side."""
     one = cells.select(index, F.col(centre).cast("double").alias("c")).distinct()
@@ -45,8 +66,11 @@ def _locate(probes: DataFrame, axis: DataFrame, index: str, value: str, toleranc
     if axis.limit(AXIS_LIMIT + 1).count() > AXIS_LIMIT:
         raise ValueError(f"axis {index} has more than {AXIS_LIMIT} cells")
     a = axis.select(F.col(index).alias(f"__{index}"), "lo", "hi")
-    hit = probes.join(F.broadcast(a), (F.col(value) >= F.col("lo") - tolerance) & (F.col(value) <= F.col("hi") + tolerance), "left")
-    return hit.groupBy(*probes.columns).agg(F.min(f"__{index}").alias(index))
+    # Places are looked up once each, so that probes which repeat stay rows of their own.
+    places = probes.select(F.col(value).alias("__at")).where("__at IS NOT NULL").distinct()
+    hit = places.join(F.broadcast(a), (F.col("__at") >= F.col("lo") - tolerance) & (F.col("__at") <= F.col("hi") + tolerance))
+    found = hit.groupBy("__at").agg(F.min(f"__{index}").alias(index))
+    return probes.join(found, F.col(value) == F.col("__at"), "left").drop("__at")
 
 
 def locate(probes: DataFrame, axes: dict[str, DataFrame], tolerance: float = 0.0, coordinates=(("i", "x"), ("j", "y"), ("k", "depth"))) -> DataFrame:
@@ -135,6 +159,20 @@ def scatter(grid: DataFrame, subset: DataFrame, variables: list[str], keys=("t",
     return joined.select(*keys, *[F.coalesce(v, F.lit(missing)).alias(v) for v in variables])
 
 
+def scatter_by_position(grid: DataFrame, subset: DataFrame, variables: list[str], spacing: float, keys=("t", "k", "j", "i"), position=("x", "y", "z")) -> DataFrame:
+    """The whole grid's keys with the values of the subset's nearest cell at the same step, for a subset that has places but no keys.
+
+    spacing is about the distance of neighbouring cells, by which the search begins. Places of the grid are looked up once whatever the number of steps; the subset must
+    hold the same places at each step. Cells at one place take the values of one of them.
+    """
+    at = [F.col(p).cast("double").alias(a) for p, a in zip(position, "xyz")]
+    name = lambda df: df.select(*at).distinct().withColumn("site", F.struct("x", "y", "z"))
+    met = locate_any.nearest(name(grid).withColumnRenamed("site", "point"), name(subset), spacing)
+    values = subset.select("t", F.struct(*at).alias("site"), *variables).groupBy("t", "site").agg(*[F.first(v).alias(v) for v in variables])
+    own = grid.select(*keys, F.struct(*at).alias("point")).join(met.select("point", "site"), "point", "left")
+    return own.join(values, ["t", "site"], "left").select(*keys, *variables)
+
+
 def tail_range(df: DataFrame, start: int, end: int, time: str = "t") -> DataFrame:
     """Rows of the steps numbered [start, end) in time order."""
     steps = df.select(time).distinct().withColumn("__n", F.row_number().over(Window.orderBy(time)) - 1)

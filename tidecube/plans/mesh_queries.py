@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import column, graph, locate, stats, unstructured
+from ..functions import projection
+from ..operators import column, graph, locate, probe, stats, unstructured
 from ..streaming import fold
 from .fixture import SQL as CELLS
 from .fixture import cells
@@ -102,6 +103,35 @@ def mixed_layer_depth_positions(spark, d):
     return out.select(*KEYS, "mld_k", "mld", F.col("mld_mask").cast("long").alias("mld_mask"))
 
 
+def broken_line(spark, d):
+    """A line through each nation's suppliers, in the order of their keys."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").cast("long").alias("line"), F.col("s_suppkey").alias("key"))
+    place = F.row_number().over(Window.partitionBy("line").orderBy("key")) - 1
+    corners = rows.select("line", place.cast("long").alias("place"), (F.col("key") * 7 % 160 / 10.0).alias("x"), (F.col("key") * 3 % 90 / 10.0).alias("y"), (F.col("key") * 11 % 100 + 0.0).alias("depth"))
+    return probe.broken_line(corners, 6).select("line", "pid", _r("x"), _r("y"), _r("depth"), _r("along", 5))
+
+
+def scatter_nearest(spark, d):
+    """Temperature of the sea put back on every cell by places alone: land takes the nearest sea cell's."""
+    grid = cells(spark, d)
+    return probe.scatter_by_position(grid, grid.where("coast > 0").select("t", "x", "y", "z", "temp"), ["temp"], 2.0).select(*KEYS, _r("temp"))
+
+
+def _round_trip(name):
+    def query(spark, d):
+        key = F.col("c_custkey")
+        pos = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (key % 170 - 85.0 + 0.25).alias("lat"), (key % 350 - 175.0 + 0.5).alias("lon"))
+        metres = pos.select("c_custkey", *[c.alias(n) for c, n in zip(projection.project(name, F.col("lon"), F.col("lat")), "xy")])
+        back = projection.unproject(name, F.col("x"), F.col("y"))
+        return metres.select("c_custkey", *[(F.round(c, 8) + 0.0).alias(n) for c, n in zip(back, ("lon", "lat"))])
+
+    return query
+
+
+#: Every map once, the plain degrees and the web's name for the spherical Mercator left out.
+ROUND_TRIPS = [n for n in projection.INVERSES if n not in ("degrees", "epsg 3857")]
+
+
 def time_fold(spark, d):
     """Daily means and counts by type of a stream of the events: the days that the last event's time closes."""
     # A pattern, since a stream's plain path must be a folder and the table may be one file.
@@ -114,8 +144,8 @@ def time_fold(spark, d):
 
 
 def queries():
-    own = (time_fold, gradient_any_grid, gradient_any_grid_points, connected_cells, profile_any_grid, profile_any_grid_points, depth_levels, spatial_stats_tolerance, mixed_layer_depth_positions)
-    return {f.__name__: f for f in own}
+    own = (broken_line, scatter_nearest, time_fold, gradient_any_grid, gradient_any_grid_points, connected_cells, profile_any_grid, profile_any_grid_points, depth_levels, spatial_stats_tolerance, mixed_layer_depth_positions)
+    return {f.__name__: f for f in own} | {f"round_trip_{n.replace(' ', '_')}": _round_trip(n) for n in ROUND_TRIPS}
 
 
 # ------------------------------------------------------------------------ SQL
@@ -176,7 +206,21 @@ layered AS (SELECT t, k, j, i, e1t * e2t AS w, temp AS v, max(layer) AS layer, m
     from .oracles import KEYS as KEY
     from .oracles import _mld
 
-    return {
+    point = "SELECT c_custkey, c_custkey % 170 - 85 + 0.25::DOUBLE AS lat, c_custkey % 350 - 175 + 0.5::DOUBLE AS lon FROM customer"
+    p0, height = "radians(36.4::DOUBLE)", 1 + projection.SATELLITE_HEIGHT / projection.A
+    seen = {
+        "orthographic": "cos(radians(lat)) * cos(radians(lon)) >= 0",
+        "satellite": f"sin({p0}) * sin(radians(lat)) + cos({p0}) * cos(radians(lat)) * cos(radians(lon - 17.5::DOUBLE)) >= {1 / height!r}",
+    }
+    trips = {n: f"SELECT c_custkey, CASE WHEN {seen.get(n, 'true')} THEN lon END AS lon, CASE WHEN {seen.get(n, 'true')} THEN lat END AS lat FROM ({point})" for n in ROUND_TRIPS}
+    return {f"round_trip_{n.replace(' ', '_')}": q for n, q in trips.items()} | {
+        "broken_line": """WITH c AS (SELECT s_nationkey AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place, s_suppkey * 7 % 160 / 10.0::DOUBLE AS x, s_suppkey * 3 % 90 / 10.0::DOUBLE AS y, s_suppkey * 11 % 100 + 0.0::DOUBLE AS depth FROM supplier),
+s AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(depth) OVER w - depth AS dd FROM c WINDOW w AS (PARTITION BY line ORDER BY place)), l AS (SELECT *, sqrt(dx * dx + dy * dy + dd * dd) AS size FROM s),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY line ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l), p AS (SELECT *, unnest(CASE WHEN dx IS NULL THEN [0] ELSE range(6) END) AS n FROM b)
+SELECT CAST(line AS BIGINT) AS line, place * 6 + n AS pid, round(x + coalesce(n / 6 * dx, 0), 6) + 0.0 AS x, round(y + coalesce(n / 6 * dy, 0), 6) + 0.0 AS y, round(depth + coalesce(n / 6 * dd, 0), 6) + 0.0 AS depth, round(before + coalesce(n / 6 * size, 0), 5) + 0.0 AS along FROM p""",
+        "scatter_nearest": f"""{WITH}, sea AS (SELECT DISTINCT x, y, z FROM cells WHERE coast > 0), every AS (SELECT DISTINCT x, y, z FROM cells),
+near AS (SELECT e.x AS x, e.y AS y, e.z AS z, s.x AS sx, s.y AS sy, s.z AS sz FROM every e JOIN sea s ON abs(e.x - s.x) < 4 AND abs(e.y - s.y) < 4 AND e.z = s.z QUALIFY row_number() OVER (PARTITION BY e.x, e.y, e.z ORDER BY power(e.x - s.x, 2) + power(e.y - s.y, 2), s.x, s.y, s.z) = 1)
+SELECT c.t AS t, c.k AS k, c.j AS j, c.i AS i, round(o.temp, 6) + 0.0 AS temp FROM cells c JOIN near ON c.x = near.x AND c.y = near.y AND c.z = near.z JOIN cells o ON o.t = c.t AND o.x = sx AND o.y = sy AND o.z = sz""",
         "time_fold": """WITH ev AS (SELECT CAST(ts AS TIMESTAMP) AS t, event_type, value FROM events), days AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-01', TIMESTAMP '2024-12-31', INTERVAL 1 day)) AS s)
 SELECT strftime(s, '%Y%m%d') AS label, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM days JOIN ev ON t >= s AND t <= s + INTERVAL 1 day
 WHERE s + INTERVAL 1 day < (SELECT max(t) FROM ev) - INTERVAL 1 hour GROUP BY s, event_type""",

@@ -168,24 +168,35 @@ def _attributes(items: dict) -> bytes:
     return out
 
 
-def encode(dimensions: dict[str, int], variables: dict, attributes: dict | None = None) -> bytes:
-    """Bytes of a CDF-2 file; variables: name -> (dimension names, array[, attributes])."""
+def header(dimensions: dict[str, int], variables: dict, attributes: dict | None = None) -> tuple[bytes, dict[str, int], int]:
+    """(the first bytes of a CDF-2 file, where each variable begins, the whole file's size); variables: name -> (dimension names, dtype[, attributes])."""
     names = list(dimensions)
     head = b"CDF\x02" + struct.pack(">i", 0)
     head += struct.pack(">ii", DIMENSION, len(names)) + b"".join(_name(d) + struct.pack(">i", dimensions[d]) for d in names)
     head += _attributes(attributes or {})
-    entries, blobs = [], []
-    for name, (dims, array, *rest) in variables.items():
-        array = np.asarray(array)
-        kind = CODES[array.dtype.str[1:]]
-        raw = array.astype(TYPES[kind]).tobytes()
-        raw += b"\0" * (-len(raw) % 4)
+    entries, sizes = [], []
+    for name, (dims, dtype, *rest) in variables.items():
+        kind = CODES[np.dtype(dtype).str[1:]]
+        size = int(np.prod([dimensions[d] for d in dims], dtype=np.int64)) * np.dtype(TYPES[kind]).itemsize
+        sizes.append(-(-size // 4) * 4)
         entry = _name(name) + struct.pack(">i", len(dims)) + b"".join(struct.pack(">i", names.index(d)) for d in dims)
-        entries.append(entry + _attributes(rest[0] if rest else {}) + struct.pack(">ii", kind, min(len(raw), 2**31 - 4)))
-        blobs.append(raw)
-    size = len(head) + 8 + sum(len(e) + 8 for e in entries)
-    body, begin = struct.pack(">ii", VARIABLE, len(entries)), size
-    for entry, blob in zip(entries, blobs):
+        entries.append(entry + _attributes(rest[0] if rest else {}) + struct.pack(">ii", kind, min(sizes[-1], 2**31 - 4)))
+    begin = len(head) + 8 + sum(len(e) + 8 for e in entries)
+    body, begins = struct.pack(">ii", VARIABLE, len(entries)), {}
+    for name, entry, size in zip(variables, entries, sizes):
         body += entry + struct.pack(">q", begin)
-        begin += len(blob)
-    return head + body + b"".join(blobs)
+        begins[name] = begin
+        begin += size
+    return head + body, begins, begin
+
+
+def encode(dimensions: dict[str, int], variables: dict, attributes: dict | None = None) -> bytes:
+    """Bytes of a CDF-2 file; variables: name -> (dimension names, array[, attributes])."""
+    arrays = {name: np.asarray(array) for name, (_, array, *_) in variables.items()}
+    sized = {name: (dims, arrays[name].dtype, *rest) for name, (dims, _, *rest) in variables.items()}
+    head, _, _ = header(dimensions, sized, attributes)
+    out = [head]
+    for array in arrays.values():
+        raw = array.astype(TYPES[CODES[array.dtype.str[1:]]]).tobytes()
+        out.append(raw + b"\0" * (-len(raw) % 4))
+    return b"".join(out)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.projection import unproject
 from .netcdf import MISSING, encode
 
 RESULT = "path string, rows long"
@@ -105,30 +106,48 @@ def write_field(df: DataFrame, path: str, variables: list[str], time: str = "t",
     return _per_step(_columns(df, time, *order, "x", "y", "z", *variables), path, make, list(order), ".field", time)
 
 
+DIMS = ("time_counter", "deptht", "y", "x")
+AXES = {
+    "nav_lon": (("x",), {"units": "degrees_east"}), "nav_lat": (("y",), {"units": "degrees_north"}), "deptht": (("deptht",), {"units": "meter", "positive": "down"}),
+}
+
+
+def file_name(variable: str) -> str:
+    return variable.strip().replace(" ", "_")
+
+
 def netcdf_bytes(pdf: pd.DataFrame, variables: list[str], lon: str, lat: str, depth: str = "depth") -> bytes:
     """var(time_counter, deptht, y, x) over the whole grid; cells without a row or value are MISSING."""
     axes = {n: np.sort(pdf[n].unique()) for n in ("k", "j", "i")}
     shape = tuple(len(a) for a in axes.values())
     at = tuple(np.searchsorted(axes[n], pdf[n]) for n in axes)
     first = lambda n, c: pdf.groupby(n)[c].first().to_numpy(float)
-    dims = {"time_counter": 1, "deptht": shape[0], "y": shape[1], "x": shape[2]}
-    out = {
-        "nav_lon": (("x",), first("i", lon), {"units": "degrees_east"}), "nav_lat": (("y",), first("j", lat), {"units": "degrees_north"}),
-        "deptht": (("deptht",), first("k", depth), {"units": "meter", "positive": "down"}),
-    }
+    dims = dict(zip(DIMS, (1, *shape)))
+    found = {"nav_lon": first("i", lon), "nav_lat": first("j", lat), "deptht": first("k", depth)}
+    out = {n: (d, found[n], a) for n, (d, a) in AXES.items()}
     for name in variables:
         grid = np.full(shape, MISSING)
         grid[at] = pdf[name].fillna(MISSING).to_numpy(float)
-        out[name.strip().replace(" ", "_")] = (tuple(dims), grid[None].astype(np.float32), {"missing_value": np.float32(MISSING)})
+        out[file_name(name)] = (tuple(dims), grid[None].astype(np.float32), {"missing_value": np.float32(MISSING)})
     return encode(dims, out)
 
 
+def _in_degrees(df: DataFrame, lon: str, lat: str, projection: str | None) -> DataFrame:
+    if projection is None:
+        return df
+    return df.withColumns(dict(zip((lon, lat), unproject(projection, F.col(lon), F.col(lat)))))
+
+
 #: Steps that a whole mesh may be met with; each is a file.
 STEP_LIMIT = 100_000
 
 
-def write_netcdf(df: DataFrame, path: str, variables: list[str], time: str = "t", lon: str = "x", lat: str = "y", grid: DataFrame | None = None) -> DataFrame:
-    """One NetCDF file per step. grid, if given, has the whole mesh's (k, j, i, lon, lat, depth), onto which a subset is put back by key."""
+def write_netcdf(df: DataFrame, path: str, variables: list[str], time: str = "t", lon: str = "x", lat: str = "y", grid: DataFrame | None = None, projection: str | None = None) -> DataFrame:
+    """One NetCDF file per step, made in one task. grid, if given, has the whole mesh's (k, j, i, lon, lat, depth), onto which a subset is put back by key.
+
+    With a projection, lon and lat hold its metres and degrees are written. Steps that one task cannot hold go through write_netcdf_slabs().
+    """
+    df, grid = _in_degrees(df, lon, lat, projection), grid if grid is None else _in_degrees(grid, lon, lat, projection)
     rows = _columns(df, time, *ORDER, lon, lat, "depth", *variables)
     if grid is not None:
         steps = df.select(time).distinct()
