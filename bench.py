@@ -13,10 +13,11 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 HEADLINE = (
     "spatial_stats_layer", "weighted_percentiles", "spatial_stats_cells", "density_jmd94", "select_polygon", "time_average", "time_agg_monthly", "time_agg_weekly",
-    "climatology_month", "hovmoeller", "derivatives", "grad_fv4", "okubo_weiss", "lambda2", "omega", "mixed_layer_depth", "rossby_radius", "vortex_properties",
+    "climatology_month", "hovmoeller", "derivatives", "grad_fv4", "okubo_weiss", "lambda2", "omega", "mixed_layer_depth", "rossby_radius", "vortex_properties", "gradient_any_grid", "profile_any_grid", "depth_levels",
 )
 
-TEXT = ("op3_content_sort", "op5_swap_packing", "op8_bbit_minhash", "op9_bounded_ring", "op10_markov_secrets")
+#: The text queries that BENCH_TEXT names, comma-separated; by default all of them.
+TEXT = tuple(n for n in os.environ.get("BENCH_TEXT", "").split(",") if n)
 
 
 def main() -> None:
@@ -39,7 +40,7 @@ def main() -> None:
     if os.path.exists(os.path.join(ROOT, "tidecube", "llm", "registry.py")):  # not in the headline total
         from tidecube.llm.registry import queries as text_queries
 
-        for name in TEXT:
+        for name in TEXT or tuple(text_queries()):
             start = time.perf_counter()
             text_queries()[name](spark, directory).write.format("noop").mode("overwrite").save()
             text[name] = round(time.perf_counter() - start, 3)

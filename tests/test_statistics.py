@@ -28,7 +28,7 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("large", [10, stats.LARGE_GROUP])
+@pytest.mark.parametrize("large", [3, 10, stats.LARGE_GROUP])
 def test_statistics_match_a_plain_version(spark, large):
     rng = random.Random(8)
     rows = []

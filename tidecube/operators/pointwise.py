@@ -72,8 +72,20 @@ def magnitude(*components: Column) -> Column:
     return F.sqrt(total)
 
 
-def annotate_date_time(df: DataFrame, time_format: str = "Date: %b %Y - %I:%M %p", time: str = "t", name: str = "annotation") -> DataFrame:
-    return df.withColumn(name, F.date_format(time, java_pattern(time_format)))
+def annotate_date_time(df: DataFrame, time_format: str = "Date: %b %Y - %I:%M %p", time: str = "t", name: str = "annotation", use_metadata: bool = False, metadata: str = "metadata", shift: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """df with its instant as text, by a strftime format.
+
+    The instant is a timestamp, or a number: a step's value, which counts scale * value + shift seconds from 1970 in the session's time zone,
+    fractions cut off. With use_metadata it is the stamp (like 20000131-12:00:00) in the metadata column; rows without a
+    readable stamp keep what the step gives.
+    """
+    if dict(df.dtypes)[time].startswith(("timestamp", "date")):
+        instant = F.col(time).cast("timestamp")
+    else:
+        instant = F.timestamp_seconds((F.col(time).cast("double") * scale + shift).cast("long"))
+    if use_metadata:
+        instant = F.coalesce(F.try_to_timestamp(F.col(metadata), F.lit("yyyyMMdd-HH:mm:ss")), instant)
+    return df.withColumn(name, F.date_format(instant, java_pattern(time_format)))
 
 
 def zero_to_missing(df: DataFrame, *names: str) -> DataFrame:

@@ -30,7 +30,7 @@ def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stat
     Means, extremes and the population deviation in its two-pass form are partial sums, joined back by group: rows
     never meet by group. A percentile interpolates between cumulative midpoint weights (cumw - w / 2) / W and is the
     first or last value beyond them; only the windows that the asked statistics need are planned. Where a group has more than
-    `large` rows, only the ranges of values that hold a percentile are ordered. tie orders equal values, for exact repeatability.
+    `large` rows, only ranges of values that hold a percentile are ordered, cut again until they are no more. tie orders equal values, for exact repeatability.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(weight).cast("double").alias("__w"), *[F.col(c).alias(f"__t{n}") for n, c in enumerate(tie or [])])
     rows = rows.where("__v IS NOT NULL AND __w IS NOT NULL")
@@ -46,7 +46,8 @@ def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stat
     asked = [s for s in stats if s in PERCENTILES]
     if asked:
         split = first.where(F.col("__n") > large).limit(1).count() > 0
-        out = _by(out, (_split_percentiles if split else _percentiles)(rows, first.select(*keys, "__total"), keys, asked, len(tie or [])), keys)
+        given = (rows, first.select(*keys, "__total"), keys, asked, len(tie or []))
+        out = _by(out, _split_percentiles(*given, large) if split else _percentiles(*given), keys)
     return out.select(*keys, *stats)
 
 
@@ -80,42 +81,53 @@ def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: lis
     return rows.groupBy(*keys).agg(*[_percentile(F.col("__v"), PERCENTILES[s]).alias(s) for s in asked])
 
 
-def _split_percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int) -> DataFrame:
+def _split_percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int, large: int) -> DataFrame:
     """The same percentiles where groups are large: weights are summed by RANGES ranges of values, which partial aggregates find.
 
-    Of a group only the ranges that hold a percentile, and the one below each, are put in order. A range of one value, however
+    Of a group only the ranges that hold a percentile, the next and the one below are kept; while more than `large` rows of a group are, they are cut into
+    ranges again, so what is put in order at the end does not follow the group. A range of one value, however
     many rows have it, is its first and last row by tie: between their midpoints every percentile is that value.
     """
     v, w = F.col("__v"), F.col("__w")
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("__v", [n / RANGES for n in range(1, RANGES)], 10_000).alias("__cuts"))
-    ranged = _by(rows, cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < v)) * 2 + F.array_contains("__cuts", v).cast("int")).drop("__cuts")
-    # A value that is a cut has a range of its own, so a common value never shares its range with others.
     tie = F.struct(*[F.col(f"__t{n}") for n in range(ties)], F.col("__w"))
-    sums = ranged.groupBy(*keys, "__range").agg(
-        F.sum(w).alias("__s"), F.min(v).alias("__low"), F.max(v).alias("__high"), F.count("*").alias("__m"), F.min_by(w, tie).alias("__wf"), F.max_by(w, tie).alias("__wl")
-    )
-    upto = Window.partitionBy(*keys).orderBy("__range")
-    sums = _by(sums.withColumn("__before", F.sum("__s").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")), totals, keys)
-    # The row sought is in the first range that reaches the percentile's weight, or first in the next; the row before it may be in the one below.
-    hit = F.lit(False)
-    for s in asked:
-        sums = sums.withColumn(f"__is_{s}", F.col("__before") + F.col("__s") >= PERCENTILES[s] * F.col("__total"))
-    for s in asked:
-        sums = sums.withColumn(f"__at_{s}", F.col(f"__is_{s}") & ~F.coalesce(F.lag(f"__is_{s}").over(upto), F.lit(False)))
-    for s in asked:
-        at = F.col(f"__at_{s}")
-        near = (F.coalesce(step(at).over(upto), F.lit(False)) for step in (F.lag, F.lead))
-        sums = sums.withColumn(f"__near_{s}", at | next(near) | next(near))
-        hit = hit | F.col(f"__near_{s}")
-    needed = sums.where(hit)
-    flat = F.col("__low") == F.col("__high")
-    ends = needed.where(flat).select(
-        *keys, "__range", "__before", F.col("__low").alias("__v"), F.lit(None).cast("double").alias("__w"),
-        F.explode(F.array_distinct(F.array(F.col("__before") + F.col("__wf") / 2, F.col("__before") + F.col("__s") - F.col("__wl") / 2))).alias("__at"),
-    )
-    rest = _by(ranged.withColumnRenamed("__range", "__r"), needed.where(~flat).select(*keys, "__range", "__before"), keys).where("__r = __range").drop("__r")
+    rows, flats, most = rows.withColumns({"__range": F.lit(0).cast("long"), "__base": F.lit(0.0)}), None, None
+    while True:
+        inner = [*keys, "__range"]
+        cuts = rows.groupBy(*inner).agg(F.percentile_approx("__v", [n / RANGES for n in range(1, RANGES)], 10_000).alias("__cuts"))
+        # A value that is a cut has a range of its own, so a common value never shares its range with others.
+        place = F.size(F.filter("__cuts", lambda c: c < v)) * 2 + F.array_contains("__cuts", v).cast("int")
+        ranged = _by(rows, cuts, inner).withColumn("__parent", F.col("__range")).withColumn("__range", F.col("__range") * (2 * RANGES) + place).drop("__cuts")
+        sums = ranged.groupBy(*keys, "__parent", "__range").agg(
+            F.sum(w).alias("__s"), F.min(v).alias("__low"), F.max(v).alias("__high"), F.count("*").alias("__m"), F.min_by(w, tie).alias("__wf"), F.max_by(w, tie).alias("__wl"),
+            F.first("__base").alias("__base"),
+        )
+        within, upto = Window.partitionBy(*keys, "__parent").orderBy("__range"), Window.partitionBy(*keys).orderBy("__range")
+        before = F.col("__base") + F.sum("__s").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")
+        sums = _by(sums.withColumn("__before", before), totals, keys)
+        # The row sought is in the first range that reaches the percentile's weight, or first in the next; the row before it may be in the last range below.
+        hit = F.lit(False)
+        for s in asked:
+            sums = sums.withColumn(f"__is_{s}", F.col("__before") + F.col("__s") >= PERCENTILES[s] * F.col("__total"))
+        for s in asked:
+            reached = F.col(f"__is_{s}")
+            sums = sums.withColumn(f"__at_{s}", reached & ~F.coalesce(F.lag(reached).over(upto), F.lit(False))).withColumn(f"__under_{s}", ~reached & F.coalesce(F.lead(reached).over(upto), F.lit(True)))
+        for s in asked:
+            sums = sums.withColumn(f"__next_{s}", F.coalesce(F.lag(f"__at_{s}").over(upto), F.lit(False)))
+            hit = hit | F.col(f"__at_{s}") | F.col(f"__under_{s}") | F.col(f"__next_{s}")
+        needed = kept(sums.where(hit).select(*keys, "__range", "__before", "__s", "__low", "__high", "__m", "__wf", "__wl"))
+        flat = F.col("__low") == F.col("__high")
+        ends = needed.where(flat).select(
+            *keys, "__range", "__before", F.col("__low").alias("__v"), F.lit(None).cast("double").alias("__w"),
+            F.explode(F.array_distinct(F.array(F.col("__before") + F.col("__wf") / 2, F.col("__before") + F.col("__s") - F.col("__wl") / 2))).alias("__at"),
+        )
+        flats = ends if flats is None else flats.union(ends)
+        rest = _by(ranged, needed.where(~flat).select(*inner, "__before"), inner).drop("__base", "__parent")
+        size = needed.where(~flat).groupBy(*keys).agg(F.sum("__m").alias("n")).agg(F.max("n")).first()[0] or 0
+        if size <= large or size == most:
+            break
+        most, rows = size, kept(rest.withColumnRenamed("__before", "__base"))
     rest = rest.withColumn("__at", F.lit(None).cast("double"))
-    return _percentiles(rest.unionByName(ends, allowMissingColumns=True), totals, keys, asked, ties, before=True)
+    return _percentiles(rest.unionByName(flats, allowMissingColumns=True), totals, keys, asked, ties, before=True)
 
 
 def _percentile(v: Column, q: float) -> Column:

@@ -344,6 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "compare_variables_min": f"{WITH} SELECT {KEYS}, CASE WHEN u <= v AND u <= w THEN 1.0::DOUBLE WHEN v <= w THEN 2 ELSE 3 END AS comparison FROM cells",
         "vector_magnitude": f"{WITH} SELECT {KEYS}, round(sqrt(u * u + v * v + w * w), 9) AS speed FROM cells",
         "annotate_date_time": "SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M at %S') AS annotation FROM orders",
+        "annotate_step_value": "SELECT l_orderkey, l_linenumber, strftime(CASE WHEN l_linenumber = 2 THEN CAST(l_shipdate AS TIMESTAMP) + INTERVAL 390 minute ELSE TIMESTAMP '2000-01-01' + to_seconds(CAST(floor((l_orderkey % 9000 * 3 + l_linenumber * 0.25::DOUBLE) * 3600) AS BIGINT)) END, '%d/%m/%Y %H:%M:%S') AS annotation FROM lineitem",
         "zero_to_missing": "SELECT count(nullif(l_discount, 0)) AS present, count(*) AS every FROM lineitem",
         "uvw_to_t": f"""{WITH} SELECT {KEYS},
   round(CASE WHEN i = 0 THEN u ELSE 0.5::DOUBLE * (lag(e2u * e3u * u) OVER (PARTITION BY t, k, j ORDER BY i) + e2u * e3u * u) / (e2t * e3t) END, 9) + 0.0 AS u_t,

@@ -116,6 +116,14 @@ def annotate_date_time(spark, d):
     return pointwise.annotate_date_time(_orders(spark, d), "%Y-%m-%d %H:%M at %S").select("id", "annotation")
 
 
+def annotate_step_value(spark, d):
+    """Steps that are numbers (hours, here the ship date's line number and key), scaled to seconds and shifted; some have a stamp of their own."""
+    rows = _lineitem(spark, d).select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 9000 * 3 + F.col("l_linenumber") * 0.25).alias("t"),
+                                      F.when(F.col("l_linenumber") == 2, F.date_format("l_shipdate", "yyyyMMdd-'06:30:00'")).when(F.col("l_linenumber") == 3, F.lit("no stamp")).alias("metadata"))
+    out = pointwise.annotate_date_time(rows, "%d/%m/%Y %H:%M:%S", use_metadata=True, scale=3600.0, shift=946684800.0)
+    return out.select("l_orderkey", "l_linenumber", "annotation")
+
+
 def zero_to_missing(spark, d):
     rows = _lineitem(spark, d).select("l_orderkey", "l_linenumber", "l_discount")
     return pointwise.zero_to_missing(rows, "l_discount").groupBy().agg(F.count("l_discount").alias("present"), F.count("*").alias("every"))
@@ -459,7 +467,7 @@ def queries():
         for f in (
             spatial_stats_layer, weighted_percentiles, spatial_stats_cells, spatial_stats_volume, spatial_stats_user_levels, stats_to_cells, stats_from_profile,
             vertical_mean, merge_moments, variable_aggregate, variable_aggregate_xml, compare_variables_max, compare_variables_min, vector_magnitude,
-            annotate_date_time, zero_to_missing, uvw_to_t, select_basin, select_coast, select_land, select_polygon, select_polygon_crossing, select_time_period,
+            annotate_date_time, annotate_step_value, zero_to_missing, uvw_to_t, select_basin, select_coast, select_land, select_polygon, select_polygon_crossing, select_time_period,
             select_okubo_weiss, land_outline, time_average, time_agg_overlap, infer_frequency, generate_steps, merge_steps, couple_times, nearest_time,
             first_containing, depth_profile, hovmoeller, hovmoeller_from_profile, spaghetti, spaghetti_depth_mean, scatter_to_grid, derivatives, okubo_weiss,
             q_criterion, lambda2, omega, omega_modified, rortex, mixed_layer_depth, mixed_layer_depth_rho, mixed_layer_depth_first, rossby_radius,
