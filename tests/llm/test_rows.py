@@ -124,3 +124,32 @@ def test_a_session_without_a_shared_folder(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", PLAIN, "local[2]"], env=os.environ | {"PYTHONPATH": root, "SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=300)
     assert "FOUND 5" in done.stdout and "ERROR set spark.checkpoint.dir" in done.stdout, done.stderr[-2000:]
+
+
+def test_text_ids_give_what_numbers_in_that_order_give(spark):
+    """Ids that are texts in the order of the numbers they replace, null and repeated ones among them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidecube.llm import packing
+    from tidecube.llm.registry import tokenizer_path
+
+    rng = random.Random(2)
+    base = [" ".join(rng.choice(["ash", "oak", "elm", "fir", "yew", "box"]) + str(rng.randrange(40)) for _ in range(60)) for _ in range(12)]
+    texts = base + [b + " more" for b in base[:6]] + base[3:5] + [None, ""]
+    rows = [(i if i not in (7, 15) else None, t) for i, t in enumerate(texts)] + [(3, base[0] + "\nits own line of words here")]
+    numbers = spark.createDataFrame(rows, "doc_id long, text string")
+    named = numbers.withColumn("doc_id", F.format_string("doc-%04d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "doc-null", F.col("doc_id")))
+    back = lambda v: None if v is None else int(v[4:]) if isinstance(v, str) and v.startswith("doc-") else v
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    asked = {
+        "near": lambda d: near_dedup.near_duplicates(d), "lines": lambda d: line_dedup.line_report(d),
+        "pieces": lambda d: packing.token_pieces(d, tokenizer_path("byte_bpe_50k.json")),
+    }
+    for name, make in asked.items():
+        want = sorted((tuple(r) for r in make(numbers).collect()), key=key)
+        got = sorted((tuple(back(v) for v in r) for r in make(named).collect()), key=key)
+        assert got == want and want, name
+    packed = packing.pack_documents(named, tokenizer_path("byte_bpe_50k.json"))
+    assert dict(packed.dtypes)["doc_id"] == "string" and packed.count() == len(rows)

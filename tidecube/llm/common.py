@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Keys that more rows share than this, and than rows / MAX_HOT, are dealt over several tasks.
 HOT_ROWS, MAX_HOT = 512, 1 << 16
 
+#: Types of ids that are used as they are.
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+
 _local_dirs: dict[str, str] = {}
 _owner: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
@@ -97,7 +100,7 @@ def numbered_rows(docs: DataFrame, id_col: str, name: str = "rows") -> DataFrame
     every column, are told apart. Where whole-number ids tell all rows apart, which is counted, they are the numbers; else rows are
     numbered and the table is written, so that numbers stay.
     """
-    if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+    if dict(docs.dtypes)[id_col] in WHOLE:
         row = F.col(f"`{id_col}`").cast("long")
         seen = docs.agg(F.count("*").alias("rows"), F.count_distinct(row).alias("ids")).first()
         if seen["rows"] == seen["ids"]:
@@ -105,6 +108,32 @@ def numbered_rows(docs: DataFrame, id_col: str, name: str = "rows") -> DataFrame
     return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), name)
 
 
+def long_ids(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows(row, doc_id, text) with ids as longs, the table of what they stand for).
+
+    Whole numbers stand for themselves, without a table. Ids of any other type are numbered in their order, equal ids alike,
+    by a sort of the distinct ones over all tasks; named() puts them back. A null id stays null.
+    """
+    own = field(id_col)
+    if rows.select(own.alias("id")).dtypes[0][1] in WHOLE:
+        return rows.select("row", own.cast("long").alias("doc_id"), field(text_col).alias("text")), None
+    ids = rows.select(own.alias("id")).where("id IS NOT NULL").distinct().orderBy("id")
+    names = materialise(ids.select("id", F.monotonically_increasing_id().alias("number")), "id-numbers")
+    numbered = rows.select("row", own.alias("id"), field(text_col).alias("text")).join(names, "id", "left")
+    return materialise(numbered.select("row", F.col("number").alias("doc_id"), "text"), "numbered-rows"), names
+
+
+def named(found: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """found with the ids that the numbers in columns stand for."""
+    if names is None:
+        return found
+    for column in columns:
+        own = names.select(F.col("number").alias("__number"), F.col("id").alias("__id"))
+        met = found.join(own, F.col(column) == F.col("__number"), "left")
+        found = met.select(*[F.col("__id").alias(c) if c == column else F.col(c) for c in found.columns])
+    return found
+
+
 def field(column: str) -> Column:
     """The column of docs in numbered_rows()."""
     return F.col("doc").getField(column)

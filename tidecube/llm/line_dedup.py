@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, materialise, mix64, numbered_rows, signed, spread_join, text_bytes
+from .common import field, long_ids, materialise, mix64, named, numbered_rows, signed, spread_join, text_bytes
 from .near_dedup import BITS, MARGIN, exact_components, loose_clusters, nonzero_groups
 
 #: Bytes of a character shingle, at most; a shorter line is one shingle.
@@ -245,10 +245,6 @@ def _place(base: DataFrame, lines: DataFrame):
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line"), "row", F.col("first.row"), F.col("first.line")
 
 
-def _base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select("row", field(id_col).cast("long").alias("doc_id"), field(text_col).alias("text"))
-
-
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
 
@@ -264,24 +260,26 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     0.8 shares none with probability 4e-6), full sets confirm them in blocks of
     bounded size, and union-find joins the links.
     """
-    return _components(_base(_narrow(docs, id_col, text_col), "id", "text"), percent).drop("row")
+    base, names = long_ids(_narrow(docs, id_col, text_col), "id", "text")
+    return named(_components(base, percent).drop("row"), names, "doc_id")
 
 
 def line_report(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines (with a word), n_kept, removed (numbers of dropped lines).
 
     Defined cases: null or empty texts have no lines; lines of white space are not counted and never dropped; a
-    null id comes after all others; rows that repeat an id are each reported with their own lines; an
+    null id comes after all others, and ids may be of any type with an order; rows that repeat an id are each reported with their own lines; an
     empty table gives no rows; other columns are ignored. A very long text is split once for its line keys and once more for the lines that have
     candidates, so the work follows its length; a very long line goes through in one piece.
     """
     rows = _narrow(docs, id_col, text_col)
-    found = _components(_base(rows, "id", "text"), percent)
+    base, names = long_ids(rows, "id", "text")
+    found = _components(base, percent)
     by_doc = found.groupBy("row").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"),
         F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line")))).alias("removed"),
     )
-    ids = rows.select("row", field("id").cast("long").alias("doc_id"))
+    ids = rows.select("row", (field("id").cast("long") if names is None else field("id")).alias("doc_id"))
     return ids.join(by_doc, "row", "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"),
         F.coalesce(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"),
@@ -295,7 +293,7 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_i
     texts stay as they are; an empty table gives no rows.
     """
     rows = numbered_rows(docs, id_col)
-    gone = _components(_base(rows, id_col, text_col), percent).where("NOT kept").groupBy("row").agg(F.collect_set("line").alias("gone"))
+    gone = _components(long_ids(rows, id_col, text_col)[0], percent).where("NOT kept").groupBy("row").agg(F.collect_set("line").alias("gone"))
     joined = rows.join(gone, "row", "left")
     stay = lambda held: F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), "gone"), lambda i: F.get(held, i))
     text = F.array_join(_of_lines(field(text_col), stay), "\n")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_HOT, connected_components, field, materialise, mix64, numbered_rows, only_rows, shingles, signed, spread_join, text_bytes, word_hashes
+from .common import MAX_HOT, connected_components, long_ids, materialise, mix64, named, numbered_rows, only_rows, shingles, signed, spread_join, text_bytes, word_hashes
 
 #: 40 bands of 6 minima: a pair at similarity 0.8 shares no band with probability 5e-6.
 BANDS, ROWS = 40, 6
@@ -374,10 +374,6 @@ def _components(base: DataFrame, width: int, percent: int) -> DataFrame:
     return found.select("row", "doc_id", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _base(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select("row", field(id_col).cast("long").alias("doc_id"), field(text_col).alias("text"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id is component_id).
 
@@ -396,10 +392,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common key are dealt over several tasks. Defined cases: null, empty or white-space texts have no set, are linked
     with nothing and stay; a text shorter than `width` words is one shingle; a null id is linked like any other and
     comes after all numbers, so component_id is null only where all ids are; rows that repeat an id are compared
-    by their own texts and all get the least id that any of them reaches; an empty table gives no rows; other columns are ignored.
+    by their own texts and all get the least id that any of them reaches; ids may be of any type with an order; an empty table gives no rows; other columns are ignored.
     """
     rows = numbered_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "texts")
-    found = _components(_base(rows, "id", "text"), width, percent).drop("row", "component")
+    base, names = long_ids(rows, "id", "text")
+    found = named(_components(base, width, percent).drop("row", "component"), names, "doc_id", "component_id")
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -410,6 +407,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     told apart, and columns of any names pass through unchanged. An empty table gives no rows.
     """
     rows = numbered_rows(docs, id_col)
-    found = _components(_base(rows, id_col, text_col), width, percent)
+    found = _components(long_ids(rows, id_col, text_col)[0], width, percent)
     first = found.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("row"))
     return only_rows(rows, first.select("row").union(found.where("component IS NULL").select("row")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WHOLE
+
 #: Pieces that are packed together in one task; blocks are dealt by hash, so their number follows the input.
 BLOCK_PIECES = 16_384
 #: Local search stops after this many passes without an emptied sequence.
@@ -60,7 +62,7 @@ def encode(text: str, path: str, ranks: str | None = None) -> bytes:
     return _coder(path, ranks)(text)
 
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(path: str, ranks: str | None, capacity: int, end_id: int, with_ids: bool):
@@ -80,7 +82,7 @@ def _pieces(path: str, ranks: str | None, capacity: int, end_id: int, with_ids:
                     part = ids[4 * start : 4 * stop]
                     rows.append((doc, piece, start, stop - start, zlib.crc32(part), part))
             columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
@@ -98,10 +100,12 @@ def token_pieces(
 
     A document's ids are those of its whole text, then end_id. Only a document longer than capacity is
     cut: all its pieces are full but the first, which takes the remainder. Null text counts as empty and
-    gives one piece with the end alone.
+    gives one piece with the end alone. Ids may be of any type, whole numbers become longs; a null id stays null.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_pieces(path, ranks, capacity, end_id, with_ids), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    own = F.col(f"`{id_col}`")
+    base = docs.select((own.cast("long") if dict(docs.dtypes)[id_col] in WHOLE else own).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {PIECE_SCHEMA}" + (", ids array<int>" if with_ids else "")
+    return base.mapInArrow(_pieces(path, ranks, capacity, end_id, with_ids), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
