@@ -206,13 +206,13 @@ layered AS (SELECT t, k, j, i, e1t * e2t AS w, temp AS v, max(layer) AS layer, m
     from .oracles import KEYS as KEY
     from .oracles import _mld
 
-    point = "SELECT c_custkey, c_custkey % 170 - 85 + 0.25::DOUBLE AS lat, c_custkey % 350 - 175 + 0.5::DOUBLE AS lon FROM customer"
+    places = "SELECT c_custkey, c_custkey % 170 - 85 + 0.25::DOUBLE AS lat, c_custkey % 350 - 175 + 0.5::DOUBLE AS lon FROM customer"
     p0, height = "radians(36.4::DOUBLE)", 1 + projection.SATELLITE_HEIGHT / projection.A
     seen = {
         "orthographic": "cos(radians(lat)) * cos(radians(lon)) >= 0",
         "satellite": f"sin({p0}) * sin(radians(lat)) + cos({p0}) * cos(radians(lat)) * cos(radians(lon - 17.5::DOUBLE)) >= {1 / height!r}",
     }
-    trips = {n: f"SELECT c_custkey, CASE WHEN {seen.get(n, 'true')} THEN lon END AS lon, CASE WHEN {seen.get(n, 'true')} THEN lat END AS lat FROM ({point})" for n in ROUND_TRIPS}
+    trips = {n: f"SELECT c_custkey, CASE WHEN {seen.get(n, 'true')} THEN lon END AS lon, CASE WHEN {seen.get(n, 'true')} THEN lat END AS lat FROM ({places})" for n in ROUND_TRIPS}
     return {f"round_trip_{n.replace(' ', '_')}": q for n, q in trips.items()} | {
         "broken_line": """WITH c AS (SELECT s_nationkey AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place, s_suppkey * 7 % 160 / 10.0::DOUBLE AS x, s_suppkey * 3 % 90 / 10.0::DOUBLE AS y, s_suppkey * 11 % 100 + 0.0::DOUBLE AS depth FROM supplier),
 s AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(depth) OVER w - depth AS dd FROM c WINDOW w AS (PARTITION BY line ORDER BY place)), l AS (SELECT *, sqrt(dx * dx + dy * dy + dd * dd) AS size FROM s),
