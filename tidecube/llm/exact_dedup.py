@@ -9,6 +9,8 @@ from .common import SPACE, field, materialise, numbered_rows, only_rows
 
 #: At most this many texts can be common enough to be dealt over several sort partitions.
 MAX_HOT = 2048
+#: Rows of a sort range, about: more of them make more ranges than the session's shuffle partitions.
+RANGE_ROWS = 50_000
 
 
 def _runs(base: DataFrame, max_hot: int) -> DataFrame:
@@ -25,7 +27,7 @@ def _runs(base: DataFrame, max_hot: int) -> DataFrame:
         .withColumn("salt", F.when(F.col("ways").isNotNull(), F.pmod(F.xxhash64("row"), F.col("ways") + 1)).otherwise(F.lit(0)))
         .select("row", "doc_id", "norm", "h", "salt", F.col("ways").isNotNull().alias("hot"), F.substring("norm", 1, 32).alias("head"))
     )
-    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS), 1)
     ranged = dealt.repartitionByRange(parts, "head", "h", "salt")
     run = Window.partitionBy("head", "h", "salt", "norm")
     first = run.orderBy(F.col("doc_id").asc_nulls_last(), "row")
@@ -62,7 +64,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Method: normalised texts (each run of white space as one space, null as empty) are range-partitioned
-    by sampled splitters, sorted with spilling, and each text is compared in full with its neighbours; the
+    by sampled splitters into at least a range for RANGE_ROWS rows, sorted with spilling, and each text is compared in full with its neighbours; the
     smallest id of a run of equals stays. A splitter holds the first 32 characters and a 64-bit hash, so
     what the driver samples is bounded however long the texts are; texts with equal heads are ordered by the hash
     before they are by content. A text that more than rows / max_hot rows share is salted over several ranges, each of which
