@@ -65,12 +65,12 @@ def _locate(probes: DataFrame, axis: DataFrame, index: str, value: str, toleranc
     """probes with the index whose cell holds value; the lower of two; axis tables are small, which is checked."""
     if axis.limit(AXIS_LIMIT + 1).count() > AXIS_LIMIT:
         raise ValueError(f"axis {index} has more than {AXIS_LIMIT} cells")
-    a = axis.select(F.col(index).alias(f"__{index}"), "lo", "hi")
-    # Places are looked up once each, so that probes which repeat stay rows of their own.
-    places = probes.select(F.col(value).alias("__at")).where("__at IS NOT NULL").distinct()
-    hit = places.join(F.broadcast(a), (F.col("__at") >= F.col("lo") - tolerance) & (F.col("__at") <= F.col("hi") + tolerance))
-    found = hit.groupBy("__at").agg(F.min(f"__{index}").alias(index))
-    return probes.join(found, F.col(value) == F.col("__at"), "left").drop("__at")
+    before = F.lag("hi").over(Window.orderBy(index))
+    a = axis.select(F.col(index).alias(f"__{index}"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), before.alias("__before"))
+    v = F.col(value)
+    # A cell counts if the one before it does not hold the value too, so a probe meets one cell and stays one row.
+    own = (v >= F.col("__lo") - tolerance) & (v <= F.col("__hi") + tolerance) & (F.col("__before").isNull() | (v > F.col("__before") + tolerance))
+    return probes.join(F.broadcast(a), own, "left").select(*probes.columns, F.col(f"__{index}").alias(index))
 
 
 def locate(probes: DataFrame, axes: dict[str, DataFrame], tolerance: float = 0.0, coordinates=(("i", "x"), ("j", "y"), ("k", "depth"))) -> DataFrame:
