@@ -317,7 +317,7 @@ def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lower-cased (A-Z) words and one end. Words outside the model's vocabulary share one output, whose
     probability is divided among them by their smoothed counts, so all words' probabilities add up to one,
     with one share for words never seen. Defined cases: null and empty texts are the end alone; a null id counts
-    as empty text; repeated rows are scored each; without training rows scores come from uniform
+    as empty text; repeated rows are scored each; very long texts are scored whole, in runs of tokens; without training rows scores come from uniform
     starts; an empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

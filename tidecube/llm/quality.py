@@ -40,6 +40,9 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A repeated window is found by its 64-bit hash: windows are sorted once with their places, so the work
     follows n log n of the text's own length and nothing is exploded or shuffled. Columns of docs named like a statistic are
     replaced by it; all others pass through, whatever their names.
+
+    Defined cases: null and empty texts give zeros; repeated rows are counted each; a very long text is one row's arrays of words, lines and
+    windows, some tens of bytes a word; an empty table gives no rows.
     """
     words = F.array_remove(F.split(F.col("text"), SPACE + "+", -1), "")
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -249,8 +252,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Estimates hold one row a group; Spark broadcasts them only under its size threshold. A hot group is
     summed in parts before its rows are shuffled. Defined cases: null text counts as empty and fails the
-    base; null language or source is a value of its own; repeated rows count each; an empty table gives no rows; other
-    columns are ignored.
+    base; null language or source is a value of its own; repeated rows count each; very long texts are counted whole and weigh
+    as one row, by the logarithm of their length; an empty table gives no rows; other columns are ignored.
     """
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),

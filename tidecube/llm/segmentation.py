@@ -261,7 +261,8 @@ def encode(docs: DataFrame, path: str, seed: int = 0, id_col: str = "doc_id", te
     sampling draws the pieces from a unit's end to its start. Draws come from a counter hash of the
     seed, the row's key and the place in the text, so any partitioning gives the same segmentation.
     Defined cases: null and empty texts have no ids; characters outside the vocabulary, and a
-    literal mark of the vocabulary, are spelt in byte pieces; a null id has a key of its own; equal rows get equal segmentations; an
+    literal mark of the vocabulary, are spelt in byte pieces; a null id has a key of its own; equal rows get equal segmentations; a very
+    long text is sampled whole, unit by unit, and one without spaces is one unit, which is drawn piece by piece (some 60 microseconds each); an
     empty table gives no rows; other columns are ignored.
     """
     base = _keyed(docs, id_col, text_col)
@@ -282,6 +283,10 @@ def decode_ids(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 
 
 def encode_digest(docs: DataFrame, path: str, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, lossless of encode(): lossless says that decoding gave the text back."""
+    """doc_id, n_pieces, ids_crc32, lossless of encode(): lossless says that decoding gave the text back.
+
+    Defined cases are encode()'s: null and empty texts have no pieces, the checksum of no bytes, and are lossless; null ids, repeated rows, very long
+    texts, other columns and an empty table are as there.
+    """
     base = _keyed(docs, id_col, text_col)
     return base.mapInArrow(_digest(path, seed), f"doc_id {dict(base.dtypes)['doc_id']}, n_pieces long, ids_crc32 long, lossless boolean")

@@ -73,7 +73,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     of all rows, in parts by row number, so that no task holds them all.
 
     Defined cases: null text has size 8 and the checksum of no bytes; a null id is a key like any other;
-    fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored.
+    a very long text only adds to its row's size, as law `rows` counts rows; fewer rows than shards leave shards empty; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     nodes = ring(shards, virtual_nodes)
