@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.projection import project
 from . import locate as locate_any
+from .axis import numbered, ranged
 from .stats import weighted_mean
 
 #: Rows that an axis table may have to be broadcast.
@@ -175,7 +176,7 @@ def scatter_by_position(grid: DataFrame, subset: DataFrame, variables: list[str]
 
 def tail_range(df: DataFrame, start: int, end: int, time: str = "t") -> DataFrame:
     """Rows of the steps numbered [start, end) in time order."""
-    steps = df.select(time).distinct().withColumn("__n", F.row_number().over(Window.orderBy(time)) - 1)
+    steps = numbered(ranged(df.select(time).distinct(), time), time, "__n")
     return df.join(steps.where((F.col("__n") >= start) & (F.col("__n") < end)).select(time), time, "left_semi")
 
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .axis import LARGE_RUN, carry, ranged, reached
+from .graph import kept
+
 DAY = 86400
 #: Fixed default seasons: first day (month and day) and name.
 SEASONS = (("0101", "winter"), ("0401", "spring"), ("0701", "summer"), ("1001", "fall"))
@@ -28,35 +31,42 @@ def generate_steps(spark: SparkSession, start: str, end: str, **delta: int) -> D
     return spark.sql(f"SELECT explode(sequence(timestamp'{start}', timestamp'{end}', interval {int(count)} {word})) AS t")
 
 
-def merge_steps(*axes: DataFrame, within: int = DAY) -> DataFrame:
-    """One axis: sorted, without repeats, and without steps less than `within` seconds after the last one that stays.
+def merge_steps(*axes: DataFrame, within: int = DAY, large: int = LARGE_RUN) -> DataFrame:
+    """One axis: sorted, without repeats and nulls, and without steps less than `within` seconds after the last one that stays.
 
     A step that comes at least `within` after its neighbour always stays, so the axis falls into runs of near steps; what
-    stays of a run is found by jumps from one step that stays to the next.
+    stays of a run is found by jumps from one step that stays to the next: in one task up to `large` steps, by joins beyond.
     """
     every = axes[0].select("t")
     for axis in axes[1:]:
         every = every.union(axis.select("t"))
-    order = Window.orderBy("at")
-    steps = every.distinct().withColumn("at", F.unix_micros("t"))
-    steps = steps.withColumn("far", F.coalesce(F.col("at") - F.lag("at").over(order) >= within * 1_000_000, F.lit(True)).cast("int"))
-    runs = steps.select("t", "at", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    ahead = within * 1_000_000
+    steps = ranged(every.where("t IS NOT NULL").distinct().withColumn("at", F.unix_micros("t")), "at")
+    steps = carry(steps, "at", F.col("at"), "before", own=False)
+    start = F.when(F.col("before").isNull() | (F.col("at") - F.col("before") >= ahead), F.col("at"))
+    runs = kept(carry(steps, "at", start, "run").select("t", "at", "run"))
 
     def thin(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("at")
-        at, kept, place = run["at"].to_numpy(), [], 0
+        at, stay, place = run["at"].to_numpy(), [], 0
         while place < len(at):
-            kept.append(place)
-            place = max(place + 1, int(np.searchsorted(at, at[place] + within * 1_000_000)))
-        return run.iloc[kept][["t"]]
+            stay.append(place)
+            place = max(place + 1, int(np.searchsorted(at, at[place] + ahead)))
+        return run.iloc[stay][["t"]]
 
-    return runs.groupBy("run").applyInPandas(thin, runs.select("t").schema)
+    sizes = kept(runs.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > large))
+    short = runs.join(sizes, "run", "left_anti").groupBy("run").applyInPandas(thin, runs.select("t").schema)
+    if not sizes.limit(1).count():
+        return short
+    long = runs.join(sizes, "run", "left_semi")
+    stay = reached(long.select("at"), long.where("at = run").select("at"), ahead)
+    return short.union(long.join(stay, "at", "left_semi").select("t"))
 
 
 def infer_frequency(steps: DataFrame) -> DataFrame:
     """(freq, secs): the most common difference between neighbouring steps, and its name; the shortest wins ties."""
-    axis = Window.orderBy("t")
-    gaps = steps.select("t").distinct().select((seconds(F.lead("t").over(axis)) - seconds(F.col("t"))).alias("secs")).where("secs IS NOT NULL")
+    axis = carry(ranged(steps.select("t").where("t IS NOT NULL").distinct(), "t"), "t", F.col("t"), "before", own=False)
+    gaps = axis.select((seconds(F.col("t")) - seconds(F.col("before"))).alias("secs")).where("secs IS NOT NULL")
     mode = gaps.groupBy("secs").agg(F.count("*").alias("n")).agg(F.max_by("secs", F.struct("n", -F.col("secs"))).alias("secs"))
     return mode.select(frequency_name(F.col("secs")).alias("freq"), "secs")
 
@@ -233,23 +243,17 @@ def couple(steps: DataFrame, observations: DataFrame, freq: str, obs_time: str =
 
 
 def nearest_step(steps: DataFrame, probes: DataFrame, probe: str = "probe_t") -> DataFrame:
-    """probes with the nearest step t, the earlier of two equally near.
+    """probes with the nearest step t, the earlier of two equally near; probes without a time are left out.
 
-    Steps and probes are merged into one ordered run per day and its neighbours carry over by joins of day
-    bins: the last step up to each day and the first from it on bound what a probe can be nearest to.
+    Steps and the probes' times make one axis, on which the last step up to each place and the first from it on are carried.
     """
-    day = lambda c: F.floor(seconds(c) / DAY)
-    by_day = steps.select("t", day(F.col("t")).alias("bin")).groupBy("bin").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.collect_set("t").alias("ts"))
-    bins = by_day.select("bin", "lo", "hi", "ts").unionByName(
-        probes.select(day(F.col(probe)).alias("bin")).distinct().join(by_day.select("bin"), "bin", "left_anti"), allowMissingColumns=True
-    )
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    around = bins.select("bin", F.concat(F.coalesce("ts", F.array().cast("array<timestamp>")), F.array_compact(F.array(
-        F.last("hi", ignorenulls=True).over(before), F.first("lo", ignorenulls=True).over(after)))).alias("near"))
-    met = probes.withColumn("bin", day(F.col(probe))).join(around, "bin")
-    ranked = F.array_sort(F.transform("near", lambda x: F.struct(F.abs(seconds(x) - seconds(F.col(probe))).alias("away"), x.alias("t"))))
-    return met.withColumn("t", F.get(ranked, F.lit(0))["t"]).select(*probes.columns, "t")
+    asked = probes.select(F.col(probe).alias("at"), F.lit(None).cast("timestamp").alias("step"))
+    axis = steps.select(F.col("t").alias("at"), F.col("t").alias("step")).union(asked).where("at IS NOT NULL").groupBy("at").agg(F.max("step").alias("step"))
+    axis = ranged(axis, "at")
+    around = carry(carry(axis, "at", F.col("step"), "lo"), "at", F.col("step"), "hi", back=True)
+    gap = F.unix_micros("hi") - F.unix_micros("at") < F.unix_micros("at") - F.unix_micros("lo")
+    near = around.select(F.col("at").alias(probe), F.when(gap | F.col("lo").isNull(), F.col("hi")).otherwise(F.col("lo")).alias("__near"))
+    return probes.join(near, probe).select(*probes.columns, F.col("__near").alias("t"))
 
 
 def first_containing(steps: DataFrame, start: str, end: str) -> DataFrame:
