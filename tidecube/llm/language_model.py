@@ -1,12 +1,13 @@
 """Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
 The noise term of the estimation is its exact expectation over the noise distribution, in place of drawn noise words: with
-two levels of 64 outputs each, all of a level's words are scored anyway. Each partition trains one model in one pass and the
+two levels of outputs, as many on each, all of a level's words are scored anyway. The vocabulary grows with the training tokens. Each partition trains one model in one pass and the
 models are averaged once, so scores depend on how the table's rows are split; base counts and base scores do not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import crc_part, materialise, signed, text_bytes, word_hashes
 
-#: Output words are arranged as CLASSES classes of MEMBERS words; all other words share the last output.
-CLASSES, MEMBERS = 64, 64
-VOCABULARY = CLASSES * MEMBERS
-UNKNOWN = VOCABULARY - 1
-PAD = VOCABULARY
+#: A vocabulary of side * side outputs is arranged as side classes of side words; all other words share the last output. The side is
+#: GROWTH * tokens ** 0.2, so the vocabulary grows as tokens ** 0.4: from SIDE, which 35 million tokens pass, to the root of LOOKUP at 10 ** 12 tokens.
+SIDE, GROWTH = 64, 2.0
+VOCABULARY = SIDE * SIDE
 #: Words before the predicted one, and length of a word's vector.
 CONTEXT, WIDTH = 3, 16
 #: Ratio of noise to data in the estimation, tokens of a training step and its Adagrad rate.
 NOISE, STEP_TOKENS, RATE = 10.0, 16_384, 0.1
-#: Words whose counts travel with the scoring tasks, at most; rarer words are joined.
+#: Words whose counts travel with the scoring tasks, at most, so also the most outputs; rarer words are joined.
 LOOKUP = 1 << 18
 #: The hash that stands for the end of a text (no word hashes to it but by chance of 2**-64).
 END = np.uint64(0x656E64)
@@ -60,57 +60,64 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def vocabulary_size(tokens: int) -> int:
+    """Outputs of a model that learns from so many tokens."""
+    return max(SIDE, min(math.isqrt(LOOKUP), round(GROWTH * tokens**0.2))) ** 2
+
+
 class Vocabulary:
-    """The commonest words with their counts, sorted by hash; out is a word's output number."""
+    """The commonest words with their counts, sorted by hash; out is a word's output number, of `size`."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, size: int = VOCABULARY):
+        self.size, self.unknown = size, size - 1
         order = np.lexsort((hashes, -counts))
         hashes, counts = hashes[order].view(np.uint64), counts[order]
-        top = order[: 0] if not len(hashes) else np.arange(min(len(hashes), UNKNOWN))
-        out = np.full(len(hashes), UNKNOWN, np.int32)
+        top = order[: 0] if not len(hashes) else np.arange(min(len(hashes), self.unknown))
+        out = np.full(len(hashes), self.unknown, np.int32)
         out[top] = top
         end = np.flatnonzero(hashes == END)
-        if len(end) and out[end[0]] == UNKNOWN:
-            out[end[0]], out[top[-1]] = top[-1], UNKNOWN
-        known = np.zeros(VOCABULARY)
-        known[out[out < UNKNOWN]] = counts[out < UNKNOWN]
-        known[UNKNOWN] = total - known.sum()
+        if len(end) and out[end[0]] == self.unknown:
+            out[end[0]], out[top[-1]] = top[-1], self.unknown
+        known = np.zeros(size)
+        known[out[out < self.unknown]] = counts[out < self.unknown]
+        known[self.unknown] = total - known.sum()
         self.known = known
         by_hash = np.argsort(hashes)
         self.hashes, self.counts, self.out = hashes[by_hash], counts[by_hash], out[by_hash]
         self.total, self.types = total, types
-        members = int((out < UNKNOWN).sum())
+        members = int((out < self.unknown).sum())
         #: Mass of the words behind the shared output, with one for all words never seen.
-        self.unknown_mass = known[UNKNOWN] + 0.5 * (types - members + 1)
+        self.unknown_mass = known[self.unknown] + 0.5 * (types - members + 1)
 
     def find(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(output numbers, counts; count -1 where the word is not in the lookup)."""
         if not len(self.hashes):
-            return np.full(len(flat), UNKNOWN, np.int32), np.full(len(flat), -1, np.int64)
+            return np.full(len(flat), self.unknown, np.int32), np.full(len(flat), -1, np.int64)
         at = np.searchsorted(self.hashes, flat)
         at[at == len(self.hashes)] = 0
         hit = self.hashes[at] == flat
-        return np.where(hit, self.out[at], UNKNOWN).astype(np.int32), np.where(hit, self.counts[at], -1)
+        return np.where(hit, self.out[at], self.unknown).astype(np.int32), np.where(hit, self.counts[at], -1)
 
 
 class LogBilinear:
     """log P(w | context) = log P(class | context) + log P(w | class, context), both log-bilinear.
 
     The context's vector is the sum of its words' vectors, each scaled for its place; scores are its
-    products with the vectors of classes and of the class's words, plus biases that start from counts.
+    products with the vectors of classes and of the class's words, plus biases that start from counts. known: the
+    outputs' counts, as many as the square of the number of classes.
     """
 
     def __init__(self, known: np.ndarray):
-        rng = np.random.default_rng(11)
+        rng, self.size, self.side = np.random.default_rng(11), len(known), math.isqrt(len(known))
         share = (known + 0.1) / (known + 0.1).sum()
-        grid = share.reshape(MEMBERS, CLASSES).T
+        grid = share.reshape(self.side, self.side).T
         self.class_noise = np.log(NOISE * grid.sum(axis=1)).astype(np.float32)
         self.word_noise = np.log(NOISE * grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         self.parts = {
-            "words": small(VOCABULARY + 1, WIDTH), "places": np.ones((CONTEXT, WIDTH), np.float32),
-            "class_q": small(CLASSES, WIDTH), "class_b": self.class_noise - np.float32(np.log(NOISE)),
-            "word_q": small(CLASSES, MEMBERS, WIDTH), "word_b": self.word_noise - np.float32(np.log(NOISE)),
+            "words": small(self.size + 1, WIDTH), "places": np.ones((CONTEXT, WIDTH), np.float32),
+            "class_q": small(self.side, WIDTH), "class_b": self.class_noise - np.float32(np.log(NOISE)),
+            "word_q": small(self.side, self.side, WIDTH), "word_b": self.word_noise - np.float32(np.log(NOISE)),
         }
         self.squares = {k: np.full_like(v, 1e-6) for k, v in self.parts.items()}
 
@@ -136,25 +143,29 @@ class LogBilinear:
         """One step: the noise term of the estimation is its exact expectation over the noise distribution."""
         p, n = self.parts, len(target)
         h = self.hidden(context)
-        kind, member = target % CLASSES, target // CLASSES
+        kind, member = target % self.side, target // self.side
 
         grad_h = np.zeros_like(h)
 
         def estimate(scores: np.ndarray, noise: np.ndarray, hit: np.ndarray) -> np.ndarray:
-            odds = 1 / (1 + np.exp(np.clip(noise - scores, -30, 30)))
-            grad = odds * np.exp(noise)
-            at = np.arange(len(hit))
-            grad[at, hit] -= 1 - odds[at, hit]
-            return grad / n
+            share, at = np.exp(noise), np.arange(len(hit))
+            grad = np.subtract(noise, scores, out=scores)  # in place: these are the largest arrays of a step
+            np.exp(np.clip(grad, -30, 30, out=grad), out=grad)
+            grad += 1
+            odds = 1 / grad[at, hit]
+            np.divide(share, grad, out=grad)
+            grad[at, hit] -= 1 - odds
+            grad /= n
+            return grad
 
         g = estimate(h @ p["class_q"].T + p["class_b"], self.class_noise, kind)
         grad_h += g @ p["class_q"]
         class_grad, class_bias = g.T @ h, g.sum(axis=0)
         order = np.argsort(kind.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind[order], np.arange(self.side + 1))
         sorted_h, sorted_member = h[order], member[order]
         sorted_grad = np.zeros_like(h)
-        for c in range(CLASSES):
+        for c in range(self.side):
             lo, hi = edges[c], edges[c + 1]
             if lo == hi:
                 continue
@@ -168,7 +179,7 @@ class LogBilinear:
         flat = np.concatenate(context)
         places = np.stack([(grad_h * p["words"][context[k]]).sum(axis=0) for k in range(CONTEXT)])
         pull = np.concatenate([grad_h * p["places"][k] for k in range(CONTEXT)])
-        words = np.stack([np.bincount(flat, weights=pull[:, d], minlength=VOCABULARY + 1) for d in range(WIDTH)], axis=1).astype(np.float32)
+        words = np.stack([np.bincount(flat, weights=pull[:, d], minlength=self.size + 1) for d in range(WIDTH)], axis=1).astype(np.float32)
         self._move("class_q", class_grad)
         self._move("class_b", class_bias)
         self._move("places", places)
@@ -178,28 +189,30 @@ class LogBilinear:
         """Normalised log10 probabilities of the targets, by batched matrix products."""
         p = self.parts
         h = self.hidden(context)
-        kind, member = target % CLASSES, target // CLASSES
+        kind, member = target % self.side, target // self.side
 
         def normal(scores: np.ndarray, hit: np.ndarray) -> np.ndarray:
             top = scores.max(axis=1)
-            return scores[np.arange(len(hit)), hit] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            own = scores[np.arange(len(hit)), hit] - top
+            scores -= top[:, None]
+            return own - np.log(np.exp(scores, out=scores).sum(axis=1))
 
         out = normal(h @ p["class_q"].T + p["class_b"], kind).astype(np.float64)
         order = np.argsort(kind.astype(np.uint16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind[order], np.arange(self.side + 1))
         inner = np.zeros(len(target))
-        for c in range(CLASSES):
+        for c in range(self.side):
             mine = order[edges[c] : edges[c + 1]]
             if len(mine):
                 inner[mine] = normal(h[mine] @ p["word_q"][c].T + p["word_b"][c], member[mine])
         return (out + inner) / np.log(10)
 
 
-def _contexts(out: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """(CONTEXT, tokens) outputs of the words before each token; PAD before a text's start."""
+def _contexts(out: np.ndarray, lengths: np.ndarray, pad: int = VOCABULARY) -> np.ndarray:
+    """(CONTEXT, tokens) outputs of the words before each token; pad, the number after the last output, before a text's start."""
     begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = np.arange(len(out))
-    return np.stack([np.where(place - k >= begin, out[np.maximum(place - k, 0)], PAD) for k in range(1, CONTEXT + 1)])
+    return np.stack([np.where(place - k >= begin, out[np.maximum(place - k, 0)], pad) for k in range(1, CONTEXT + 1)])
 
 
 def _learner(vocabulary: Vocabulary, start: np.ndarray | None):
@@ -210,7 +223,7 @@ def _learner(vocabulary: Vocabulary, start: np.ndarray | None):
         for batch in batches:
             for _, flat, lengths in _token_runs(batch):
                 out, _ = vocabulary.find(flat)
-                context = _contexts(out, lengths)
+                context = _contexts(out, lengths, vocabulary.size)
                 for at in range(0, len(out), STEP_TOKENS):
                     model.learn(context[:, at : at + STEP_TOKENS], out[at : at + STEP_TOKENS])
                 seen += len(out)
@@ -238,7 +251,7 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
 
     Every partition trains on all its texts from the same start, and the models are averaged by
     tokens: in groups first, so no task holds more than one of 64 shares of a slice of the parameters.
-    What comes to the driver is bounded: LOOKUP words, some bins and one model.
+    What comes to the driver is bounded: LOOKUP words, some bins and one model of at most LOOKUP outputs.
     """
     n = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, types = int(n["n"] or 0), int(n["v"] or 0)
@@ -252,7 +265,7 @@ def train(docs: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
         least = b
     common = counts.where((bin_of >= least) | (F.col("h") == _end_hash())) if least is not None else counts.where(F.col("h") == _end_hash())
     table = common.toArrow()
-    vocabulary = Vocabulary(table.column("h").to_numpy().astype(np.int64), table.column("c").to_numpy().astype(np.int64), total, types)
+    vocabulary = Vocabulary(table.column("h").to_numpy().astype(np.int64), table.column("c").to_numpy().astype(np.int64), total, types, vocabulary_size(total))
     learned = docs.select("text").mapInArrow(_learner(vocabulary, None), "part int, salt int, weight double, value binary")
     schema = "part int, salt int, weight double, value binary"
     learned = learned.groupBy("part", "salt").applyInArrow(_mean, schema).groupBy("part").applyInArrow(_mean, schema)
@@ -267,11 +280,11 @@ def _scorer(vocabulary: Vocabulary, flat: np.ndarray):
         for batch in batches:
             for first, hashes, lengths in _token_runs(batch):
                 out, counts = vocabulary.find(hashes)
-                context = _contexts(out, lengths)
+                context = _contexts(out, lengths, vocabulary.size)
                 score = np.concatenate([model.log10(context[:, at : at + STEP_TOKENS], out[at : at + STEP_TOKENS]) for at in range(0, len(out), STEP_TOKENS)])
                 found = counts >= 0
                 base = np.where(found, np.log10(np.maximum(counts, 0) + 0.5), 0.0)
-                shared = out == UNKNOWN
+                shared = out == vocabulary.unknown
                 score = score + np.where(shared, base - np.log10(vocabulary.unknown_mass), 0.0)
                 starts = np.cumsum(lengths) - lengths
                 add = lambda v: np.add.reduceat(v, starts)
