@@ -17,18 +17,19 @@ def area() -> Column:
     return F.col("e1t") * F.col("e2t")
 
 
-def with_sigma(df: DataFrame, value: str, name: str = "sigma", among: Column | None = None, keys=("t",)) -> DataFrame:
+def with_sigma(df: DataFrame, value: str, name: str = "sigma", among: Column | None = None, keys=("t",), how: str = "left") -> DataFrame:
     """df with the area-weighted population deviation of value over each time step (rows in among only).
 
     The deviation is taken in two passes, as one-row-per-step aggregates that are joined back by step: each
-    is partially summed before it is shuffled, so a step's cells never meet in one task.
+    is partially summed before it is shuffled, so a step's cells never meet in one task. A step without any value has a null deviation, or with
+    how="inner" no rows.
     """
     rows = df if among is None else df.where(among)
     rows = rows.select(*keys, area().alias("w"), F.col(value).alias("v")).where("v IS NOT NULL")
     mean = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     away = F.col("v") - F.col("m")
     spread = rows.join(mean, list(keys)).groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * away * away) / F.sum("w")).alias(name))
-    return df.join(spread, list(keys), "left")
+    return df.join(spread, list(keys), how)
 
 
 def three_way_mask(value: Column, limit: Column) -> Column:
@@ -36,22 +37,22 @@ def three_way_mask(value: Column, limit: Column) -> Column:
     return F.when(value < -limit, 0).when(value > limit, 2).when(value.isNotNull(), 1)
 
 
-def okubo_weiss(cells: DataFrame, coef: float = 0.2, grad_type: str = "model1", u: str = "u", v: str = "v", mask_field: str = "coast") -> DataFrame:
-    """cells with okubo_weiss and okubo_weiss_mask of the surface, given to the whole column; null over land."""
-    top = gradient(cells.where("k = 0"), [u, v], grad_type)
+def okubo_weiss(cells: DataFrame, coef: float = 0.2, grad_type: str = "model1", u: str = "u", v: str = "v", mask_field: str = "coast", shape: dict[str, int] | None = None, how: str = "left") -> DataFrame:
+    """cells with okubo_weiss and okubo_weiss_mask of the surface, given to the whole column; null over land. how: see with_sigma."""
+    top = gradient(cells.where("k = 0"), [u, v], grad_type, shape)
     sn = F.col(f"d{u}dx") - F.col(f"d{v}dy")
     ss = F.col(f"d{v}dx") + F.col(f"d{u}dy")
     spin = F.col(f"d{v}dx") - F.col(f"d{u}dy")
     top = top.withColumn("okubo_weiss", F.when(F.col(mask_field) > 0, sn * sn + ss * ss - spin * spin))
-    top = with_sigma(top, "okubo_weiss")
+    top = with_sigma(top, "okubo_weiss", how=how)
     top = top.select("t", "j", "i", "okubo_weiss", three_way_mask(F.col("okubo_weiss"), coef * F.col("sigma")).alias("okubo_weiss_mask"))
-    return cells.join(top, ["t", "j", "i"], "left")
+    return cells.join(top, ["t", "j", "i"], how)
 
 
-def q_criterion_mask(cells: DataFrame, coef: float = 0.2, grad_type: str = "model1", fields=("u", "v", "w"), mask_field: str = "coast") -> DataFrame:
-    """cells with q and q_mask; the mask is that of -2 q, which is on Okubo and Weiss's scale; null over land."""
-    out = gradient(cells, list(fields), grad_type).withColumn("q", F.when(F.col(mask_field) > 0, q_criterion(*fields)))
-    out = with_sigma(out.withColumn("__scaled", -2 * F.col("q")), "__scaled")
+def q_criterion_mask(cells: DataFrame, coef: float = 0.2, grad_type: str = "model1", fields=("u", "v", "w"), mask_field: str = "coast", shape: dict[str, int] | None = None, how: str = "left") -> DataFrame:
+    """cells with q and q_mask; the mask is that of -2 q, which is on Okubo and Weiss's scale; null over land. how: see with_sigma."""
+    out = gradient(cells, list(fields), grad_type, shape).withColumn("q", F.when(F.col(mask_field) > 0, q_criterion(*fields)))
+    out = with_sigma(out.withColumn("__scaled", -2 * F.col("q")), "__scaled", how=how)
     return out.withColumn("q_mask", three_way_mask(F.col("__scaled"), coef * F.col("sigma"))).drop("__scaled", "sigma")
 
 
@@ -66,9 +67,9 @@ def middle_eigenvalue(a: list[list[Column]]) -> Column:
     return F.when(scale == 0, mean).otherwise(mean + 2 * scale * F.cos(angle - 2 * math.pi / 3))
 
 
-def lambda2(cells: DataFrame, grad_type: str = "model1", fields=("u", "v", "w")) -> DataFrame:
+def lambda2(cells: DataFrame, grad_type: str = "model1", fields=("u", "v", "w"), shape: dict[str, int] | None = None) -> DataFrame:
     """cells with lambda2, the middle eigenvalue of the squared symmetric plus the squared antisymmetric tensor."""
-    out = gradient(cells, list(fields), grad_type)
+    out = gradient(cells, list(fields), grad_type, shape)
     g = tensor(*fields)
     square = [[sum((g[r][k] * g[k][c] for k in range(1, 3)), g[r][0] * g[0][c]) for c in range(3)] for r in range(3)]
     for r in range(3):
@@ -97,20 +98,20 @@ def _share(out: DataFrame, a: str, b: str, name: str, epsi: float, modified: boo
     return out.withColumn(name, (b + e) / (a + b + 2 * e) if modified else b / F.nullif(a + b + e, F.lit(0.0))).drop("__eps")
 
 
-def omega(cells: DataFrame, epsi: float = 0.001, use_modified_omega: bool = False, grad_type: str = "model1", fields=("u", "v", "w")) -> DataFrame:
-    out = gradient(cells, list(fields), grad_type)
+def omega(cells: DataFrame, epsi: float = 0.001, use_modified_omega: bool = False, grad_type: str = "model1", fields=("u", "v", "w"), shape: dict[str, int] | None = None) -> DataFrame:
+    out = gradient(cells, list(fields), grad_type, shape)
     a, b = strain_and_spin(fields)
     return _share(out.withColumns({"__a": a, "__b": b}), "__a", "__b", "omega", epsi, use_modified_omega).drop("__a", "__b")
 
 
-def rortex(cells: DataFrame, coef: float = 0.2, epsi: float = 0.001, use_modified_omega: bool = False, grad_type: str = "model1", fields=("u", "v", "w")) -> DataFrame:
+def rortex(cells: DataFrame, coef: float = 0.2, epsi: float = 0.001, use_modified_omega: bool = False, grad_type: str = "model1", fields=("u", "v", "w"), shape: dict[str, int] | None = None) -> DataFrame:
     """cells with rortex_x, rortex_y, rortex_z, omega_r and rortex_mask.
 
     The real eigenvector r of the gradient comes from the characteristic cubic in closed form. With the
     spin s along r (turned so that s > 0) and the imaginary part c of the complex pair, the rigid rotation is
     s - sqrt(s * s - 4 c * c); alpha and beta of the plane block follow. Without a complex pair it is 0.
     """
-    out = gradient(cells, list(fields), grad_type)
+    out = gradient(cells, list(fields), grad_type, shape)
     g = tensor(*fields)
     trace = g[0][0] + g[1][1] + g[2][2]
     minors = g[0][0] * g[1][1] - g[0][1] * g[1][0] + g[0][0] * g[2][2] - g[0][2] * g[2][0] + g[1][1] * g[2][2] - g[1][2] * g[2][1]
@@ -299,23 +300,23 @@ def vortex_mean_strengths(cells: DataFrame, components: DataFrame, scalar: str,
     )
 
 
-def gradient_outputs(cells: DataFrame, fields=("u", "v", "w"), compute_gradient: bool = True, compute_divergence: bool = False, compute_vorticity: bool = False, compute_q_criterion: bool = False, compute_lambda2: bool = False, compute_omega: bool = False, compute_rortex: bool = False, epsi: float = 0.001, grad_type: str = "fv2", replacement: float | None = None) -> DataFrame:
+def gradient_outputs(cells: DataFrame, fields=("u", "v", "w"), compute_gradient: bool = True, compute_divergence: bool = False, compute_vorticity: bool = False, compute_q_criterion: bool = False, compute_lambda2: bool = False, compute_omega: bool = False, compute_rortex: bool = False, epsi: float = 0.001, grad_type: str = "fv2", replacement: float | None = None, shape: dict[str, int] | None = None) -> DataFrame:
     """All that follows from one gradient, on request: divergence, vorticity, q, lambda2, omega, rortex and omega_r.
 
     Each criterion is joined by cell, so asking for one costs its own windows only. replacement stands in for
     derivatives that a cell without neighbours lacks (null by default).
     """
     keys = ["t", "k", "j", "i"]
-    out = derivatives(cells, tuple(fields), compute_divergence, compute_vorticity, compute_q_criterion, grad_type)
+    out = derivatives(cells, tuple(fields), compute_divergence, compute_vorticity, compute_q_criterion, grad_type, shape)
     made = [c for c in out.columns if c not in cells.columns]
     if replacement is not None:
         out = out.withColumns({c: F.coalesce(c, F.lit(float(replacement))) for c in made})
     if not compute_gradient:
         out = out.drop(*[f"d{f}d{a}" for f in fields for a in "xyz"])
     if compute_lambda2:
-        out = out.join(lambda2(cells, grad_type, fields).select(*keys, "lambda2"), keys)
+        out = out.join(lambda2(cells, grad_type, fields, shape).select(*keys, "lambda2"), keys)
     if compute_omega:
-        out = out.join(omega(cells, epsi, False, grad_type, fields).select(*keys, "omega"), keys)
+        out = out.join(omega(cells, epsi, False, grad_type, fields, shape).select(*keys, "omega"), keys)
     if compute_rortex:
-        out = out.join(rortex(cells, epsi=epsi, grad_type=grad_type, fields=fields).select(*keys, "rortex_x", "rortex_y", "rortex_z", "omega_r"), keys)
+        out = out.join(rortex(cells, epsi=epsi, grad_type=grad_type, fields=fields, shape=shape).select(*keys, "rortex_x", "rortex_y", "rortex_z", "omega_r"), keys)
     return out

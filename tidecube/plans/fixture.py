@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Cells along each axis of one time step; a vector of 64 components gives its cells of 64 // NX steps.
 NX, NY, NZ = 16, 10, 10
 STEPS = 64 // NX
+SHAPE = {"x": NX, "y": NY, "z": NZ}
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
