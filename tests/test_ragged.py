@@ -43,3 +43,12 @@ def test_gradients(spark, ragged, name):
 @pytest.mark.parametrize("name", ["compare_variables_max", "compare_variables_min"])
 def test_comparisons(spark, ragged, name):
     agree(spark, ragged, name)
+
+
+@pytest.mark.parametrize("name", ["gradient_any_grid", "gradient_any_grid_points", "profile_any_grid_points"])
+def test_any_grid(spark, ragged, name):
+    agree(spark, ragged, name)
+
+
+def test_means_of_profiles(spark, ragged):
+    agree(spark, ragged, "hovmoeller_from_profile")

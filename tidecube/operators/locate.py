@@ -124,10 +124,11 @@ def cell_values(found: DataFrame, values: DataFrame, fields: list[str], keys=("t
     return found.join(values.select(*keys, "cell", *fields), "cell").select(*keys, *found.columns, *fields)
 
 
-def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields: list[str], probe: list[str], keys=("t",)) -> DataFrame:
+def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields: list[str], probe: list[str], keys=("t",), whole: bool = True) -> DataFrame:
     """(keys.., probe, fields): values(keys.., point, fields) interpolated between the corners of each probe's cell.
 
-    probe names the columns that tell probes apart. A probe with a corner that has no value is null.
+    probe names the columns that tell probes apart. A probe with a corner that has no value is null. Without whole such a corner adds nothing, and
+    a probe has rows only where all eight corners are there.
     """
     at = {n: F.col(n) for n in "rsq"}
     share = [F.lit(1.0)] * 8
@@ -137,8 +138,10 @@ def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields
     placed = found.where("cell IS NOT NULL").select(*probe, "cell", F.posexplode(F.array(*share)).alias("corner", "share"))
     mesh = corners.where("kind = 'hexahedron'").select("cell", "corner", "point").distinct()
     met = placed.join(mesh, ["cell", "corner"]).join(values.select(*keys, "point", *fields), "point")
-    whole = lambda f: (F.count(f) == F.lit(8))
-    return met.groupBy(*keys, *probe).agg(*[F.when(whole(f), F.sum(F.col("share") * F.col(f))).alias(f) for f in fields])
+    total = lambda f: F.sum(F.col("share") * F.col(f))
+    if not whole:
+        return met.groupBy(*keys, *probe).agg(F.count("*").alias("__n"), *[total(f).alias(f) for f in fields]).where("__n = 8").drop("__n")
+    return met.groupBy(*keys, *probe).agg(*[F.when(F.count(f) == 8, total(f)).alias(f) for f in fields])
 
 
 def nearest(points: DataFrame, sites: DataFrame, size: float, site: str = "site") -> DataFrame:

@@ -130,17 +130,19 @@ def _derivative(df: DataFrame, fields: list[str], keep: list[str], depth_factor:
     return df.select(*keep, *made)
 
 
-def cell_gradient(values: DataFrame, corners: DataFrame, fields: list[str], keys=("t",), contributing: str = "all", replacement: str = "zero", depth_factor: float = 1.0) -> DataFrame:
+def cell_gradient(values: DataFrame, corners: DataFrame, fields: list[str], keys=("t",), contributing: str = "all", replacement: str = "zero", depth_factor: float = 1.0, whole: bool = True) -> DataFrame:
     """values(keys.., cell, fields, ..) with d<field>dx, d<field>dy, d<field>dz of cell data.
 
     Values go to points first, where contributing cells are averaged; a cell's derivative is that of its shape functions at its parametric
-    centre. Sums over a cell's corners are partial and meet by cell once for all fields. Cells that have no corners, a corner without a value or no volume get replacement.
+    centre. Sums over a cell's corners are partial and meet by cell once for all fields. Cells that have no corners, a corner without a value or no volume get replacement. Without
+    whole a corner without a value adds nothing, and only cells that have none at all count as without.
     """
     at_points = cells_to_points(values, corners, fields, keys, contributing)
     slopes = {kind: [[*map(float, s), *[0.0] * (3 - len(s))] for s in _slopes(kind)] for kind in DIMENSION}
     rows = corners.withColumn("__s", _by_corner(slopes, F.col("kind"), F.col("corner"))).join(at_points, [*keys, "point"], "left")
     sums = [F.sum(F.get("__s", F.lit(n)) * F.col(a)).alias(f"__j{n}{m}") for n in range(3) for m, a in enumerate("xyz")]
-    sums += [F.when(F.count(f) == F.count("*"), F.sum(F.get("__s", F.lit(n)) * F.col(f))).alias(f"__v{n}{f}") for n in range(3) for f in fields]
+    enough = lambda f: F.count(f) == F.count("*") if whole else F.count(f) > 0
+    sums += [F.when(enough(f), F.sum(F.get("__s", F.lit(n)) * F.col(f))).alias(f"__v{n}{f}") for n in range(3) for f in fields]
     met = rows.groupBy(*keys, "cell").agg(F.max(dimension(F.col("kind"))).alias("dim"), *sums)
     found = _derivative(met, fields, [*keys, "cell"], depth_factor)
     return _replaced(values.join(found, [*keys, "cell"], "left"), fields, replacement)
