@@ -9,7 +9,7 @@ from ..functions.projection import EQUAL_EARTH, ROBINSON_X, ROBINSON_Y
 from ..operators.select import parse_polygon
 from ..operators.stencil import SCHEMES
 from .fixture import SQL as CELLS
-from .queries import FASTEST, POLYGON, PROJECTED
+from .queries import FAST, FASTEST, POLYGON, PROJECTED
 
 WITH = "WITH " + CELLS
 KEYS = "t, k, j, i"
@@ -327,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
     speed = "vs AS (SELECT *, sqrt(u * u + v * v + w * w) AS val FROM cells)"
     surface = _labels("sp AS (SELECT *, sqrt(u * u + v * v + w * w) AS speed FROM cells WHERE k = 0), hot AS (SELECT * FROM sp WHERE speed > 0.23)", 2)
     volume = _labels(f"{speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')}, sp AS (SELECT vs.*, vs.val AS speed FROM vs), hot AS (SELECT sp.* FROM sp JOIN sigmas ON sp.t = sigmas.t WHERE speed > 0.5::DOUBLE * {FASTEST} * sigma)", 5)
+    fast = volume.replace(f"* {FASTEST} *", f"* {FAST} *")
     ab = f"{WITH}, {_grads('model1', UVW)}, {AB}"
     own = {
         "spatial_stats_layer": "WITH " + _stats(line, "layer", "l_orderkey, l_partkey, l_suppkey, w", MOMENTS),
@@ -403,11 +404,11 @@ ends AS (SELECT *, coalesce(max(CASE WHEN coast > 0 AND abs(temp - vref) < 0.2::
         "moving_average": f"""WITH {DAILY}, n AS (SELECT t, price, row_number() OVER y AS p, count(*) OVER (PARTITION BY year(t)) AS c FROM daily WINDOW y AS (PARTITION BY year(t) ORDER BY t)),
 h AS (SELECT *, least(2, p - 1, c - p) AS h FROM n) SELECT strftime(a.t, '%Y%m%d') AS day, round(avg(b.price), 7) + 0.0 AS price_smooth FROM h a JOIN h b ON year(a.t) = year(b.t) AND b.p BETWEEN a.p - a.h AND a.p + a.h GROUP BY a.t""",
         "vortex_mask": f"{WITH}, {speed}, {_sigma('SELECT t, e1t, e2t, val FROM vs')} SELECT vs.t AS t, k, j, i, CAST(val > 0.5::DOUBLE * {FASTEST} * sigma AS BIGINT) AS mask FROM vs JOIN sigmas ON vs.t = sigmas.t",
-        "vortex_components": f"{volume} SELECT t, k, j, i, vortex_id FROM named",
+        "vortex_components": f"{fast} SELECT t, k, j, i, vortex_id FROM named",
         "vortex_components_surface": f"{surface} SELECT t, j, i, vortex_id FROM named",
         "vortex_properties": volume + _properties(),
         "vortex_properties_surface": surface + _properties(),
-        "vortex_mean_strengths": f"{volume} SELECT t, vortex_id, round(sum(e1t * e2t * speed) / sum(e1t * e2t), 6) + 0.0 AS abs_strength, round(sum(e1t * e2t * temp) / sum(e1t * e2t), 6) + 0.0 AS rel_strength FROM sp JOIN named USING (t, k, j, i) GROUP BY t, vortex_id",
+        "vortex_mean_strengths": f"{fast} SELECT t, vortex_id, round(sum(e1t * e2t * speed) / sum(e1t * e2t), 6) + 0.0 AS abs_strength, round(sum(e1t * e2t * temp) / sum(e1t * e2t), 6) + 0.0 AS rel_strength FROM sp JOIN named USING (t, k, j, i) GROUP BY t, vortex_id",
         "vortex_mask_okubo_weiss": f"""{OKUBO}, sea AS (SELECT t, k, e1t, e2t, val FROM regions JOIN cells USING (t, k, j, i) WHERE coast > 0), mm AS (SELECT t, sum(e1t * e2t * val) / sum(e1t * e2t) AS m FROM sea GROUP BY t),
 ss AS (SELECT sea.t, {SIGMA} AS s FROM sea JOIN mm ON sea.t = mm.t GROUP BY sea.t) SELECT regions.t AS t, k, j, i, CAST(coalesce(val < -0.2::DOUBLE * s, false) AS BIGINT) AS mask FROM regions JOIN ss ON regions.t = ss.t""",
         "vortex_mask_rortex": f"""{RORTEX}, vs AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS val FROM rortexes), {_sigma('SELECT t, e1t, e2t, val FROM vs')}
