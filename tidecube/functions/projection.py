@@ -24,6 +24,11 @@ def _newton(start: Column, value, slope, steps: int) -> Column:
     return F.aggregate(counter, start, lambda x, _: F.when(F.abs(slope(x)) < 1e-12, x).otherwise(x - value(x) / slope(x)))
 
 
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once: a lambda's variable is not expanded where it is named again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     phi, e = F.radians(lat), ECCENTRICITY
     y = F.log(F.tan(math.pi / 4 + phi / 2) * F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2)))
@@ -175,12 +180,13 @@ def equal_earth_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     radius = A * math.sqrt(qp / 2)
     a1, a2, a3, a4 = EQUAL_EARTH
     slope = lambda t: a1 + 3 * a2 * t * t + F.pow(t, F.lit(6)) * (7 * a3 + 9 * a4 * t * t)
-    theta = _newton(y / radius, lambda t: t * (a1 + a2 * t * t + F.pow(t, F.lit(6)) * (a3 + a4 * t * t)) - y / radius, slope, 12)
-    target = qp * 2 / math.sqrt(3) * F.sin(theta)
+    shape = lambda t: t * (a1 + a2 * t * t + F.pow(t, F.lit(6)) * (a3 + a4 * t * t))
+    theta = _bound(y / radius, lambda h: _newton(h, lambda t: shape(t) - h, slope, 12))
     area = lambda p: (1 - e2) * (F.sin(p) / (1 - e2 * F.sin(p) * F.sin(p)) - F.log((1 - e * F.sin(p)) / (1 + e * F.sin(p))) / (2 * e))
     steep = lambda p: 2 * (1 - e2) * F.cos(p) / F.pow(1 - e2 * F.sin(p) * F.sin(p), F.lit(2))
-    phi = _newton(_asin(target / qp), lambda p: area(p) - target, steep, 8)
-    return F.degrees(x * 3 * slope(theta) / (radius * 2 * math.sqrt(3) * F.cos(theta))), F.degrees(phi)
+    # The angle is bound before the second search, whose every step would else make the first one again.
+    phi = _bound(qp * 2 / math.sqrt(3) * F.sin(theta), lambda target: _newton(_asin(target / qp), lambda p: area(p) - target, steep, 8))
+    return F.degrees(_bound(theta, lambda t: x * 3 * slope(t) / (radius * 2 * math.sqrt(3) * F.cos(t)))), F.degrees(phi)
 
 
 PROJECTIONS = {
