@@ -44,6 +44,27 @@ def test_statistics_match_a_plain_version(spark, large):
         assert {k: got[layer][k] for k in want} == pytest.approx(want, rel=1e-9, abs=1e-9), layer
 
 
+@pytest.mark.parametrize("small", [stats.SMALL_TABLE, 0])
+def test_rows_of_a_large_group_never_meet(spark, monkeypatch, small):
+    """Of 20 000 rows only those near a percentile are shuffled, unless the table that they meet is too large to be broadcast."""
+    monkeypatch.setattr(stats, "SMALL_TABLE", small)
+    rng = random.Random(9)
+    rows = [(n % 2, round(rng.gauss(0, 5), 3), rng.choice([0.5, 1.0, 3.0]), n) for n in range(20_000)] + [(7, float(n), 1.0, n) for n in range(5)]
+    df = spark.createDataFrame(rows, "layer long, v double, w double, tie long")
+    context = spark.sparkContext
+    context.setJobGroup(f"large-{small}", "")
+    got = {r["layer"]: r for r in stats.weighted_stats(df, ["layer"], "v", "w", tuple(stats.PERCENTILES), tie=["tie"], large=1000).collect()}
+    context.setJobGroup("", "")
+    for layer in (0, 1, 7):
+        want = plain([(v, w, t) for own, v, w, t in rows if own == layer])
+        assert {k: got[layer][k] for k in stats.PERCENTILES} == pytest.approx({k: want[k] for k in stats.PERCENTILES}, rel=1e-9, abs=1e-9), layer
+    jobs = context.statusTracker().getJobIdsForGroup(f"large-{small}")
+    stages = {s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds}
+    store = context._jsc.sc().statusStore()
+    read = [store.lastStageAttempt(s).shuffleReadRecords() for s in stages]
+    assert jobs and (small == 0 or max(read) < 10_000)
+
+
 def test_percentiles_by_hand(spark):
     """v = 1, 2, 3 with weights 1, 1, 2: midpoints 0.125, 0.375, 0.75."""
     df = spark.createDataFrame([(0, 1.0, 1.0), (0, 2.0, 1.0), (0, 3.0, 2.0)], "layer long, v double, w double")

@@ -22,6 +22,8 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 #: Rows over which a group's percentiles are cut into ranges of values before anything is sorted, and how many ranges.
 LARGE_GROUP, RANGES = 1_000_000, 64
+#: Rows of cuts that are broadcast; more are dealt with the rows over SALTS tasks a group.
+SMALL_TABLE, SALTS = 50_000, 64
 
 
 def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stats=ALL_STATS, tie: list[str] | None = None, large: int = LARGE_GROUP) -> DataFrame:
@@ -46,8 +48,13 @@ def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stat
     asked = [s for s in stats if s in PERCENTILES]
     if asked:
         split = first.where(F.col("__n") > large).limit(1).count() > 0
-        given = (rows, first.select(*keys, "__total"), keys, asked, len(tie or []))
-        out = _by(out, _split_percentiles(*given, large) if split else _percentiles(*given), keys)
+        given = (first.select(*keys, "__total"), keys, asked, len(tie or []))
+        if split:
+            big = kept(first.where(F.col("__n") > large).select(*keys))
+            found = _split_percentiles(_meet(rows, big, keys), *given, large).unionByName(_percentiles(_meet(rows, big, keys, "left_anti"), *given))
+        else:
+            found = _percentiles(rows, *given)
+        out = _by(out, found, keys)
     return out.select(*keys, *stats)
 
 
@@ -60,6 +67,21 @@ def _by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*names, *[c for c in right.columns if c not in keys]), same).drop(*[f"__k_{k}" for k in keys])
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """_by() for rows of few large groups: rows never meet by group. table, computed before, has few rows a group and is broadcast if it is small."""
+    if table.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+        table, salt = F.broadcast(table), []
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *[c for c in rows.columns if c[:3] in ("__v", "__w", "__t")]), F.lit(SALTS)))
+        table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        salt = ["__salt"]
+    names = {k: f"__k_{k}" for k in [*keys, *salt]}
+    same = F.lit(True)
+    for k, name in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    return rows.join(table.withColumnsRenamed(names), same, how).drop(*names.values(), *salt)
+
+
 def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int, before: bool = False) -> DataFrame:
     """Percentiles of each group's rows in the order of their values; before: rows have __before, the weight of all rows of lower ranges.
 
@@ -93,13 +115,13 @@ def _split_percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], aske
     rows, flats, most = rows.withColumns({"__range": F.lit(0).cast("long"), "__base": F.lit(0.0)}), None, None
     while True:
         inner = [*keys, "__range"]
-        cuts = rows.groupBy(*inner).agg(F.percentile_approx("__v", [n / RANGES for n in range(1, RANGES)], 10_000).alias("__cuts"))
+        cuts = kept(rows.groupBy(*inner).agg(F.percentile_approx("__v", [n / RANGES for n in range(1, RANGES)], 10_000).alias("__cuts")))
         # A value that is a cut has a range of its own, so a common value never shares its range with others.
         place = F.size(F.filter("__cuts", lambda c: c < v)) * 2 + F.array_contains("__cuts", v).cast("int")
-        ranged = _by(rows, cuts, inner).withColumn("__parent", F.col("__range")).withColumn("__range", F.col("__range") * (2 * RANGES) + place).drop("__cuts")
+        ranged = _meet(rows, cuts, inner).withColumn("__parent", F.col("__range")).withColumn("__range", F.col("__range") * (2 * RANGES) + place).drop("__cuts")
+        # Only aggregates whose buffers are plain numbers, so that partial sums are hashed: an aggregate over a struct would sort every row.
         sums = ranged.groupBy(*keys, "__parent", "__range").agg(
-            F.sum(w).alias("__s"), F.min(v).alias("__low"), F.max(v).alias("__high"), F.count("*").alias("__m"), F.min_by(w, tie).alias("__wf"), F.max_by(w, tie).alias("__wl"),
-            F.first("__base").alias("__base"),
+            F.sum(w).alias("__s"), F.min(v).alias("__low"), F.max(v).alias("__high"), F.count("*").alias("__m"), F.max("__base").alias("__base")
         )
         within, upto = Window.partitionBy(*keys, "__parent").orderBy("__range"), Window.partitionBy(*keys).orderBy("__range")
         before = F.col("__base") + F.sum("__s").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")
@@ -114,14 +136,17 @@ def _split_percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], aske
         for s in asked:
             sums = sums.withColumn(f"__next_{s}", F.coalesce(F.lag(f"__at_{s}").over(upto), F.lit(False)))
             hit = hit | F.col(f"__at_{s}") | F.col(f"__under_{s}") | F.col(f"__next_{s}")
-        needed = kept(sums.where(hit).select(*keys, "__range", "__before", "__s", "__low", "__high", "__m", "__wf", "__wl"))
+        needed = kept(sums.where(hit).select(*keys, F.col("__parent").alias("__range"), F.col("__range").alias("__place"), "__before", "__s", "__low", "__high", "__m"))
         flat = F.col("__low") == F.col("__high")
-        ends = needed.where(flat).select(
-            *keys, "__range", "__before", F.col("__low").alias("__v"), F.lit(None).cast("double").alias("__w"),
+        # Ranges do not overlap, so a row's range follows from the ends of those that are needed.
+        held = lambda part, *more: _meet(rows.drop("__base"), part, inner).where(v.between(F.col("__low"), F.col("__high"))).select(*keys, "__v", "__w", *[f"__t{n}" for n in range(ties)], F.col("__place").alias("__range"), "__before", *more)  # noqa: B023, E731
+        edges = held(needed.where(flat), "__s").groupBy(*inner, "__before", "__s", "__v").agg(F.min_by(w, tie).alias("__wf"), F.max_by(w, tie).alias("__wl"))
+        ends = edges.select(
+            *keys, "__range", "__before", "__v", F.lit(None).cast("double").alias("__w"),
             F.explode(F.array_distinct(F.array(F.col("__before") + F.col("__wf") / 2, F.col("__before") + F.col("__s") - F.col("__wl") / 2))).alias("__at"),
         )
         flats = ends if flats is None else flats.union(ends)
-        rest = _by(ranged, needed.where(~flat).select(*inner, "__before"), inner).drop("__base", "__parent")
+        rest = held(needed.where(~flat))
         size = needed.where(~flat).groupBy(*keys).agg(F.sum("__m").alias("n")).agg(F.max("n")).first()[0] or 0
         if size <= large or size == most:
             break
