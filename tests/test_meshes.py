@@ -232,3 +232,16 @@ def test_components_of_random_graphs(spark):
         want |= {(t, n): p for n, p in parent.items()}
     assert got == want
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_tasks_follow_the_rows_of_a_profile(spark, monkeypatch):
+    """Cell 1 has many probes and few steps, cell 2 few probes and many steps: each is dealt by its longer side."""
+    monkeypatch.setattr(locate, "TASK_ROWS", 50, raising=False)
+    probes = [(n, 1) for n in range(200)] + [(n, 2) for n in range(200, 203)] + [(900, None), (901, 3)]
+    values = [(t, 1, 10.0 * t) for t in range(4)] + [(t, 2, 20.0 * t) for t in range(100)]
+    found = spark.createDataFrame(probes, "probe long, cell long")
+    got = locate.cell_values(found, spark.createDataFrame(values, "t long, cell long, temp double"), ["temp"])
+    rows = sorted((r["t"], r["probe"], r["cell"], r["temp"]) for r in got.collect())
+    assert rows == sorted((t, p, c, v) for p, c in probes for t, own, v in values if own == c)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1100 and len(sizes) > 5 and max(sizes) <= 400

@@ -21,6 +21,8 @@ from .unstructured import HEXAHEDRON
 TOLERANCE2 = 1e-6
 #: Newton steps of the inverse of the trilinear map, and how near to a face a place counts as on it.
 STEPS, SNAP = 20, 1e-9
+#: Rows of a result of probes and steps that one task makes, about.
+TASK_ROWS = 1_000_000
 _CORNERS = np.array(HEXAHEDRON, float)
 
 
@@ -90,7 +92,7 @@ def find_cells(probes: DataFrame, corners: DataFrame, tolerance2: float = TOLERA
     The nearest cell counts, of equally near ones that of the smallest number. Positions are looked up once each, so repeated probes stay rows of
     their own and cost nothing. Only the mean box and the levels of buckets come to the driver (a row, and some tens of numbers).
     """
-    boxes = cell_boxes(corners)
+    boxes = kept(cell_boxes(corners))
     wide = {a: F.col(f"hi_{a}") - F.col(f"lo_{a}") for a in "xyz"}
     mean = boxes.agg(*[F.avg(wide[a]).alias(a) for a in "xyz"]).first()
     size = {a: float(mean[a] or 1.0) for a in "xyz"}
@@ -120,8 +122,27 @@ def find_cells(probes: DataFrame, corners: DataFrame, tolerance2: float = TOLERA
 
 
 def cell_values(found: DataFrame, values: DataFrame, fields: list[str], keys=("t",)) -> DataFrame:
-    """found (of find_cells) at each step with its cell's values(keys.., cell, fields): the value is copied."""
-    return found.join(values.select(*keys, "cell", *fields), "cell").select(*keys, *found.columns, *fields)
+    """found (of find_cells) at each step with its cell's values(keys.., cell, fields): the value is copied.
+
+    The result has as many rows as a cell's probes times its steps, far more than either table, so tasks follow the result and not what is shuffled: it is
+    counted first from both counts of each cell, and a cell with over TASK_ROWS of it is dealt over tasks by its longer side, while the shorter is repeated.
+    """
+    columns = found.columns
+    found, values = kept(found.where("cell IS NOT NULL")), kept(values.where("cell IS NOT NULL").select(*keys, "cell", *fields))
+    sides = found.groupBy("cell").agg(F.count("*").alias("__p")).join(values.groupBy("cell").agg(F.count("*").alias("__q")), "cell")
+    rows = F.col("__p") * F.col("__q")
+    total = sides.agg(F.sum(rows)).first()[0] or 0
+    ways = F.ceil(rows / TASK_ROWS).cast("int")
+    large = kept(sides.where(rows > TASK_ROWS).select("cell", F.when(F.col("__p") >= F.col("__q"), ways).otherwise(1).alias("__p"), F.when(F.col("__p") < F.col("__q"), ways).otherwise(1).alias("__q")))
+    tasks, place = max(1, -(-total // TASK_ROWS)), ["cell", "__own", "__other"]
+
+    def dealt(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        each = df.withColumn("__row", F.monotonically_increasing_id()).join(large, "cell", "left").withColumn(names[0], F.pmod("__row", F.coalesce(own, F.lit(1))).cast("int"))
+        each = each.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return each.select(*df.columns, "__own", "__other").repartition(tasks, *place)
+
+    left, right = dealt(found, "__p", "__q", ("__own", "__other")), dealt(values, "__q", "__p", ("__other", "__own"))
+    return left.join(right, place).select(*keys, *columns, *fields)
 
 
 def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields: list[str], probe: list[str], keys=("t",), whole: bool = True) -> DataFrame:
