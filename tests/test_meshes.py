@@ -245,3 +245,25 @@ def test_tasks_follow_the_rows_of_a_profile(spark, monkeypatch):
     assert rows == sorted((t, p, c, v) for p, c in probes for t, own, v in values if own == c)
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1100 and len(sizes) > 5 and max(sizes) <= 400
+
+
+def test_tasks_follow_the_rows_of_points_in_a_grid(spark, monkeypatch):
+    """One cell, 200 probes and 6 steps; step 4 lacks a corner, step 5 has one without a value."""
+    monkeypatch.setattr(locate, "TASK_ROWS", 50, raising=False)
+    corners = spark.createDataFrame([(7, "hexahedron", c, 100 + c, *map(float, o)) for c, o in enumerate(HEXAHEDRON)], "cell long, kind string, corner int, point long, x double, y double, z double")
+    values = [(t, 100 + c, None if (t, c) == (5, 3) else float(10 * t + o[0] + 2 * o[1] + 4 * o[2])) for t in range(6) for c, o in enumerate(HEXAHEDRON) if (t, c) != (4, 3)]
+    values = spark.createDataFrame(values, "t long, point long, temp double")
+    places = {n: ((n % 5) / 4, (n % 7) / 6, (n % 11) / 10) for n in range(200)}
+    found = spark.createDataFrame([(n, 7, *p) for n, p in places.items()] + [(900, None, None, None, None)], "probe long, cell long, r double, s double, q double")
+    for whole in (True, False):
+        got = locate.point_values(found, corners, values, ["temp"], ["probe"], whole=whole)
+        rows = {(r["t"], r["probe"]): r["temp"] for r in got.collect()}
+        assert set(rows) == {(t, n) for t in range(6) for n in places if whole or t != 4}
+        corner = np.array(HEXAHEDRON)[3]
+        for (t, n), temp in rows.items():
+            full = 10 * t + places[n][0] + 2 * places[n][1] + 4 * places[n][2]
+            if t == 5 and not whole:
+                full -= np.where(corner == 1, places[n], 1 - np.array(places[n])).prod() * (50 + corner[0] + 2 * corner[1] + 4 * corner[2])
+            assert temp is None if whole and t > 3 else temp == pytest.approx(full, abs=1e-9)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 5 and max(sizes) <= 400

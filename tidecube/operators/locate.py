@@ -149,20 +149,24 @@ def point_values(found: DataFrame, corners: DataFrame, values: DataFrame, fields
     """(keys.., probe, fields): values(keys.., point, fields) interpolated between the corners of each probe's cell.
 
     probe names the columns that tell probes apart. A probe with a corner that has no value is null. Without whole such a corner adds nothing, and
-    a probe has rows only where all eight corners are there.
+    a probe has rows only where all eight corners are there. A cell's corners are gathered first, so a row of the result is made by one row of cell_values().
     """
     at = {n: F.col(n) for n in "rsq"}
     share = [F.lit(1.0)] * 8
     for c, offsets in enumerate(HEXAHEDRON):
         for n, o in zip("rsq", offsets):
             share[c] = share[c] * (at[n] if o else 1 - at[n])
-    placed = found.where("cell IS NOT NULL").select(*probe, "cell", F.posexplode(F.array(*share)).alias("corner", "share"))
+    placed = found.where("cell IS NOT NULL").select(*probe, "cell", F.array(*share).alias("__share"))
     mesh = corners.where("kind = 'hexahedron'").select("cell", "corner", "point").distinct()
-    met = placed.join(mesh, ["cell", "corner"]).join(values.select(*keys, "point", *fields), "point")
-    total = lambda f: F.sum(F.col("share") * F.col(f))
+    gathered = [F.array(*[F.max(F.when(F.col("corner") == c, F.col(f).cast("double"))) for c in range(8)]).alias(f"__at_{f}") for f in fields]
+    held = mesh.join(values.select(*keys, "point", *fields), "point").groupBy(*keys, "cell").agg(F.count("*").alias("__n"), *[F.count(f).alias(f"__n_{f}") for f in fields], *gathered)
     if not whole:
-        return met.groupBy(*keys, *probe).agg(F.count("*").alias("__n"), *[total(f).alias(f) for f in fields]).where("__n = 8").drop("__n")
-    return met.groupBy(*keys, *probe).agg(*[F.when(F.count(f) == 8, total(f)).alias(f) for f in fields])
+        held = held.where("__n = 8")
+    met = cell_values(placed, held, ["__n", *[f"__{n}_{f}" for f in fields for n in ("n", "at")]], keys)
+    part = lambda f, c: F.coalesce(F.get("__share", F.lit(c)) * F.get(f"__at_{f}", F.lit(c)), F.lit(0.0))
+    total = lambda f: sum((part(f, c) for c in range(1, 8)), part(f, 0))
+    least = 8 if whole else 1
+    return met.select(*keys, *probe, *[F.when(F.col(f"__n_{f}") >= least, total(f)).alias(f) for f in fields])
 
 
 def nearest(points: DataFrame, sites: DataFrame, size: float, site: str = "site") -> DataFrame:
