@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidecube.llm import common as common_module
 from tidecube.llm import exact_dedup, language_model, line_dedup, near_dedup, packing, quality, secret_scan, segmentation, sharding, toxicity
@@ -281,6 +282,40 @@ def test_bands_find_long_lines_at_the_threshold():
     assert all(a & b for a, b in zip(bands[::2], bands[1::2]))
 
 
+def test_short_lines_with_a_word_in_common_do_not_meet():
+    """One of twelve bytes, of shingles of eight: lines that are otherwise unlike share hardly a key, whatever their length."""
+    rng = random.Random(3)
+    for size in (45, 70, 110, 150):
+        lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=size - 12)).encode() for _ in range(1500)]
+        at = [rng.randrange(1, size - 13) for _ in lines]
+        keys = [r["bands"] for r in signed_lines([x[:k] + b" government " + x[k:] for x, k in zip(lines, at)])]
+        held = collections.Counter(key for own in keys for key in set(own))
+        assert sum(n for n in held.values() if n > 1) < 0.01 * sum(held.values()), size
+
+
+def test_lines_on_both_sides_of_short_meet():
+    """Bounds of the number of shingles send lines that may be linked to keys of one kind, also where shingles repeat."""
+    rng = random.Random(9)
+    word = lambda n: bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    lines = []
+    for head in range(100, 180, 2):
+        line, again = word(head), word(9) * 40
+        lines += [line, line + word((head - 7) // 4), again + line, again + line + word((head - 7) // 4)]
+    sizes = [len(x) for x in line_dedup.line_sets(lines)]
+    assert any(a <= line_dedup.SHORT < b for a, b in zip(sizes[::2], sizes[1::2]))
+    assert all(least <= size for least, size in zip(line_dedup.least_sizes(lines), sizes))
+    bands = [set(r["bands"]) for r in signed_lines(lines)]
+    assert all(a & b for a, b in zip(bands[::2], bands[1::2]))
+
+
+@pytest.mark.parametrize("size", [5, 20_000])
+def test_keys_in_passes_are_those_of_one(spark, size):
+    reps = spark.range(size).select(F.col("id").alias("node"), F.array(F.xxhash64(F.col("id") % 7), F.xxhash64(F.lit(1), F.col("id") % 900), F.xxhash64("id")).alias("bands"))
+    before = spark.conf.get(common_module.CLEANUP, None)
+    one, several = (sorted(near_dedup._crowded(reps, passes).distinct().collect()) for passes in (1, 3))
+    assert one == several and (len(one) > 0) == (size > 5) and spark.conf.get(common_module.CLEANUP, None) == before
+
+
 def test_short_lines_at_the_threshold_are_linked(spark):
     rng = random.Random(11)
     rows = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import field, long_ids, materialise, mix64, named, numbered_rows, signed, spread_join, text_bytes
-from .near_dedup import BITS, MARGIN, exact_components, loose_clusters, nonzero_groups
+from .near_dedup import BITS, MARGIN, coefficients, exact_components, loose_clusters, nonzero_groups
 
 #: Bytes of a character shingle, at most; a shorter line is one shingle.
 SHINGLE = 8
@@ -21,6 +21,13 @@ BINS, BANDS, ROWS = 96, 24, 4
 WORDS = BINS * BITS // 64
 #: Two lines of at most FEW distinct shingles meet by exact keys, of SHARED shingles that both must hold.
 FEW, SHARED = 32, 3
+#: Up to SHORT distinct shingles many bins are empty, and a band holds fewer than ROWS different shingles: a word in common
+#: would do. Bands of such lines are of as many minima of all shingles, each under a hash of its own.
+SHORT = 128
+#: Distinct shingles of a line are counted from below by the places that they fill out of SLOTS.
+SLOTS = 1024
+#: Keys are shuffled in so many passes, one after another: they are more bytes than the lines.
+PASSES = 2
 
 
 def normal_line(line: bytes) -> bytes:
@@ -37,7 +44,7 @@ def _windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, shingle, whether one starts here) for each byte of the lines; the bytes themselves are the shingle."""
     lengths = np.array([len(x) for x in lines])
     raw = np.frombuffer(b"".join(lines) + b"\0" * SHINGLE, np.uint8)
-    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, SHINGLE)[: len(raw) - SHINGLE]).view(np.uint64).ravel()
+    value = np.ndarray(len(raw) - SHINGLE, "<u8", raw, strides=(1,)).astype(np.uint64)
     owner = np.repeat(np.arange(len(lines), dtype=np.int64), lengths)
     end = np.cumsum(lengths)
     # The last SHINGLE - 1 places of a line start no shingle, but a short line's first place is its only one.
@@ -93,9 +100,29 @@ def filled_bins(low: np.ndarray) -> np.ndarray:
     return np.where(gap > 0, mix64(filled + gap * np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(0xFFFFFFFF), filled).astype(np.uint32)
 
 
+def minima(lines: list[bytes]) -> np.ndarray:
+    """(lines, BANDS * ROWS) minima of all shingles, each under a hash of its own."""
+    owner, value, starts = _windows(lines)
+    x, owner = (mix64(value[starts]) >> np.uint64(32)).astype(np.uint32), owner[starts]
+    begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    scale, shift = coefficients()
+    return np.stack([np.minimum.reduceat(x * scale[k] + shift[k], begin) for k in range(BANDS * ROWS)], axis=1)
+
+
+def least_sizes(lines: list[bytes]) -> np.ndarray:
+    """So many distinct shingles each line has at least, up to SLOTS; nearly as many as it has where they are few beside SLOTS."""
+    owner, value, starts = _windows(lines)
+    places = owner * SLOTS
+    places += (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SLOTS
+    places[~starts] = len(lines) * SLOTS  # as in signatures()
+    filled = np.zeros(len(lines) * SLOTS + 1, bool)
+    filled[places] = True
+    return filled[:-1].reshape(len(lines), SLOTS).sum(axis=1)
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys of signatures()."""
-    cube = filled_bins(low)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    """(lines, BANDS) keys of filled_bins() or minima()."""
+    cube = low[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), cube.shape[:2]).copy()
     for k in range(ROWS):
         key = mix64(key * np.uint64(0xA0761D6478BD642F) + cube[:, :, k])
@@ -128,15 +155,24 @@ def exact_keys(sets: np.ndarray, percent: int) -> np.ndarray:
 def _keys(lines: list[bytes], low: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys by which candidates meet, line after line; how many each line has).
 
-    Lines of up to FEW distinct shingles have exact keys. Bands are for the others, and for those of the
-    few that may be linked to a line of more.
+    Lines of up to FEW distinct shingles have exact keys, those of up to SHORT bands of minima, others bands of bins.
+    A line that may be linked to one of fewer shingles has the keys of its kind, too; so lines are
+    ruled out by bounds of their size alone: no more shingles than places to start one, no fewer than least_sizes().
     """
     size = (low != 0xFFFFFFFF).sum(axis=1)  # as many distinct shingles, at least
     maybe = np.flatnonzero(size <= FEW)
     sets = line_sets([lines[k] for k in maybe])
     size[maybe] = [len(x) for x in sets]
-    banded = np.flatnonzero(size * 100 > FEW * percent)
-    keys, owner = [band_keys(low[banded]).ravel()], [np.repeat(banded, BANDS)]
+    most = np.array([max(len(x) - SHINGLE + 1, 1) for x in lines], np.int64)
+    most[maybe] = size[maybe]
+    wide = np.flatnonzero(most > SHORT)
+    if len(wide):  # what a line has at its beginning is enough to tell that it has more than a line linked to a short one
+        size[wide] = np.maximum(size[wide], least_sizes([lines[k][: SHORT * 150 // percent + SHINGLE] for k in wide]))
+    short = np.flatnonzero((size * 100 > FEW * percent) & (size * percent <= SHORT * 100))
+    keys, owner = [band_keys(filled_bins(low[wide])).ravel()], [np.repeat(wide, BANDS)]
+    if len(short):
+        keys.append(mix64(band_keys(minima([lines[k] for k in short])) + np.uint64(1)).ravel())
+        owner.append(np.repeat(short, BANDS))
     for n in np.unique(size[size <= FEW]):
         at = [k for k, x in enumerate(sets) if len(x) == n]
         key = exact_keys(np.stack([sets[k] for k in at]), percent)
@@ -209,7 +245,7 @@ def _components(base: DataFrame, percent: int) -> DataFrame:
     wide = materialise(base.mapInArrow(lambda batches: _signed_lines(batches, percent), schema), "line-signatures")
     lines = wide.select("row", "doc_id", "line", "h")
     reps = wide.where("bands IS NOT NULL").select(F.col("h").alias("node"), "n_shingles", "bands", *words)
-    clusters, stars = loose_clusters(reps, percent, WORDS, repeated=True, linkable=_linkable)
+    clusters, stars = loose_clusters(reps, percent, WORDS, repeated=True, linkable=_linkable, passes=PASSES)
     order, key, key_of, line_of = _place(base, lines)
     firsts = materialise(lines.groupBy("h").agg(F.min(order).alias("first"), F.count("*").alias("n")), "first-lines")
     wanted = clusters.join(firsts, F.col("node") == F.col("h")).select("node", key_of.alias(key), line_of.alias("line"))

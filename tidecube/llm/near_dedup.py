@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_HOT, connected_components, long_ids, materialise, mix64, named, numbered_rows, only_rows, shingles, signed, spread_join, text_bytes, word_hashes
+from .common import MAX_HOT, connected_components, long_ids, materialise, mix64, named, numbered_rows, only_rows, shingles, signed, spread_join, text_bytes, tidy_shuffles, word_hashes
 
 #: 40 bands of 6 minima: a pair at similarity 0.8 shares no band with probability 5e-6.
 BANDS, ROWS = 40, 6
@@ -25,7 +26,7 @@ SAMPLE, COMMON = 64, 8
 BLOCK_SHINGLES, BLOCK_MEMBERS = 400_000, 128
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
+def coefficients() -> tuple[np.ndarray, np.ndarray]:
     seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     half = (seeds >> np.uint64(32)).astype(np.uint32)
     return half[: BANDS * ROWS] | np.uint32(1), half[BANDS * ROWS :]
@@ -33,7 +34,7 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """(documents, BANDS * ROWS) minima of the hashed sets; an empty set has the largest value throughout."""
-    scale, shift = _coefficients()
+    scale, shift = coefficients()
     out = np.full((len(sets), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
     for row, values in enumerate(sets):
         x = (values >> np.uint64(32)).astype(np.uint32)
@@ -224,7 +225,16 @@ def _confirm(make, percent: int):
     return run
 
 
-def _crowded(reps: DataFrame) -> DataFrame:
+def _in_passes(keys: DataFrame, rows, name: str, passes: int) -> DataFrame:
+    """rows(keys), written; in passes over the keys by their remainder, so that the shuffle of one pass is there at a time."""
+    if passes == 1:
+        return materialise(rows(keys), name)
+    with tidy_shuffles(keys.sparkSession):
+        parts = [materialise(rows(keys.where(F.pmod("key", F.lit(passes)) == k)), name) for k in range(passes)]
+    return reduce(DataFrame.union, parts)
+
+
+def _crowded(reps: DataFrame, passes: int = 1) -> DataFrame:
     """(key, node, pivot) for the rows of reps(node, bands) whose key two nodes have; pivot is the bucket's smallest node.
 
     One shuffle and sort finds it beside the members. A sample tells which keys are so common, at most MAX_HOT, that
@@ -238,28 +248,32 @@ def _crowded(reps: DataFrame) -> DataFrame:
     part = Window.partitionBy("key")
     ends = (F.min("node").over(part).alias("pivot"), F.max("node").over(part).alias("last"))
     if not total:
-        return materialise(keys.select("key", "node", *ends).where("pivot < last").drop("last"), "crowded")
+        return _in_passes(keys, lambda own: own.select("key", "node", *ends).where("pivot < last").drop("last"), "crowded", passes)
     limit = max(COMMON, total // MAX_HOT)
     common = seen.where(F.col("n") >= limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("ways"))
     salted = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("ways")))
-    dealt = keys.join(F.broadcast(common), "key", "left").select("node", F.when(F.col("ways").isNull(), F.col("key")).otherwise(salted).alias("key"))
     names = common.select(F.col("key").alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways").cast("long") - 1)).alias("salt"))
     names = names.select(F.xxhash64("whole", "salt").alias("key"), "whole")  # at most 2 * MAX_HOT rows
-    found = dealt.select("key", "node", *ends).join(F.broadcast(names), "key", "left").where("pivot < last OR whole IS NOT NULL")
-    found = materialise(found.select(F.coalesce("whole", "key").alias("key"), "node", "pivot", F.col("whole").isNotNull().alias("hot")), "crowded")
+
+    def rows(own: DataFrame) -> DataFrame:
+        dealt = own.join(F.broadcast(common), "key", "left").select("node", F.when(F.col("ways").isNull(), F.col("key")).otherwise(salted).alias("key"))
+        found = dealt.select("key", "node", *ends).join(F.broadcast(names), "key", "left").where("pivot < last OR whole IS NOT NULL")
+        return found.select(F.coalesce("whole", "key").alias("key"), "node", "pivot", F.col("whole").isNotNull().alias("hot"))
+
+    found = _in_passes(keys, rows, "crowded", passes)
     tops = found.where("hot AND node = pivot").select("key", "node").distinct()
     first = F.broadcast(tops.groupBy("key").agg(F.min("node").alias("pivot")))
     return found.drop("hot").union(tops.join(first, "key").select("key", "node", "pivot"))
 
 
-def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable) -> tuple[DataFrame, DataFrame]:
+def loose_clusters(reps: DataFrame, percent: int, words: int = WORDS, repeated: bool = False, linkable=_linkable, passes: int = 1) -> tuple[DataFrame, DataFrame]:
     """(clusters, stars) over reps(node, n_shingles, bands, s0..): no exact link leaves a cluster.
 
     clusters(node, component, n_shingles): classes that share a bucket and whose estimate is not clearly under the threshold end in
     one cluster. stars(a, b): the likely links of nodes to the smallest node of a bucket. repeated: reps may hold a
-    class several times, with equal columns. linkable: the column that tells likely pairs.
+    class several times, with equal columns. linkable: the column that tells likely pairs. passes: over the keys of buckets.
     """
-    crowded = _crowded(reps)
+    crowded = _crowded(reps, passes)
     signature = reps.select("node", *_sig(words))
     if repeated:
         signature = materialise(signature.join(crowded.select("node"), "node", "left_semi").distinct(), "crowded-classes")
