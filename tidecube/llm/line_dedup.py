@@ -292,8 +292,8 @@ def line_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     are linked if the Jaccard similarity of their sets of SHINGLE-byte shingles is at least percent / 100.
     The kept line of a component is the first of the document with the smallest id, null after all others; documents
     that repeat an id are told apart. Exact keys find
-    candidates among lines of up to FEW distinct shingles, band keys the others (a pair of long lines at
-    0.8 shares none with probability 4e-6), full sets confirm them in blocks of
+    candidates among lines of up to FEW distinct shingles, band keys the others (a pair at 0.8 shares none with probability
+    4e-6; bands are of minima over all shingles up to SHORT of them, of bins beyond), full sets confirm them in blocks of
     bounded size, and union-find joins the links.
     """
     base, names = long_ids(_narrow(docs, id_col, text_col), "id", "text")
