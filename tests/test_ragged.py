@@ -52,3 +52,8 @@ def test_any_grid(spark, ragged, name):
 
 def test_means_of_profiles(spark, ragged):
     agree(spark, ragged, "hovmoeller_from_profile")
+
+
+@pytest.mark.parametrize("name", ["spatial_stats_cells", "stats_to_cells"])
+def test_layers(spark, ragged, name):
+    agree(spark, ragged, name)

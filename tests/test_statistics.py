@@ -44,6 +44,24 @@ def test_statistics_match_a_plain_version(spark, large):
         assert {k: got[layer][k] for k in want} == pytest.approx(want, rel=1e-9, abs=1e-9), layer
 
 
+@pytest.mark.parametrize("large", [3, 20, stats.LARGE_GROUP])
+def test_rows_without_a_value_count_with_their_weight(spark, large):
+    """Group 1 has its values below the 40th percentile, 2 no value, 3 and the null group values throughout, 4 three of forty rows."""
+    rng = random.Random(10)
+    rows = [(layer, rng.choice([7.5, rng.gauss(0, 5)]) if n < valued else None, rng.choice([0.5, 1.0, 3.0]), n) for layer, count, valued in ((1, 300, 110), (2, 8, 0), (3, 60, 60), (4, 40, 3), (None, 9, 5)) for n in range(count)]
+    df = spark.createDataFrame([*rows, (3, 1.0, None, -1)], "layer long, v double, w double, tie long")
+    got = {r["layer"]: r for r in stats.weighted_stats(df, ["layer"], "v", "w", tie=["tie"], large=large, skip_nulls=False).collect()}
+    assert len(got) == 5 and all(got[2][s] is None for s in stats.ALL_STATS)
+    for layer in (1, 3, 4, None):
+        own = [(v, w, t) for where, v, w, t in rows if where == layer]
+        total, valued = sum(w for _, w, _ in own), [r for r in own if r[0] is not None]
+        top = max(v for v, _, _ in valued)
+        want = plain([*valued, (top, total - sum(w for _, w, _ in valued), math.inf)])  # what is missing, as one row of the largest value
+        mean = sum(v * w for v, w, _ in valued) / total
+        want |= {"mean": mean, "std": math.sqrt(sum(w * (v - mean) ** 2 for v, w, _ in valued) / total)}
+        assert {k: got[layer][k] for k in want} == pytest.approx(want, rel=1e-9, abs=1e-9), layer
+
+
 @pytest.mark.parametrize("small", [stats.SMALL_TABLE, 0])
 def test_rows_of_a_large_group_never_meet(spark, monkeypatch, small):
     """Of 20 000 rows only those near a percentile are shuffled, unless the table that they meet is too large to be broadcast."""

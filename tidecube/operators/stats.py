@@ -26,19 +26,24 @@ LARGE_GROUP, RANGES = 1_000_000, 64
 SMALL_TABLE, SALTS = 50_000, 64
 
 
-def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stats=ALL_STATS, tie: list[str] | None = None, large: int = LARGE_GROUP) -> DataFrame:
+def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stats=ALL_STATS, tie: list[str] | None = None, large: int = LARGE_GROUP, skip_nulls: bool = True) -> DataFrame:
     """One row per group with the asked statistics of value, weighted.
 
     Means, extremes and the population deviation in its two-pass form are partial sums, joined back by group: rows
     never meet by group. A percentile interpolates between cumulative midpoint weights (cumw - w / 2) / W and is the
     first or last value beyond them; only the windows that the asked statistics need are planned. Where a group has more than
     `large` rows, only ranges of values that hold a percentile are ordered, cut again until they are no more. tie orders equal values, for exact repeatability.
+
+    Rows without a value do not take part. With skip_nulls off they count with their weight, above all values: a group without any value
+    has a row of nulls, and a percentile beyond the last value is that value. Rows without a weight never take part.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(weight).cast("double").alias("__w"), *[F.col(c).alias(f"__t{n}") for n, c in enumerate(tie or [])])
-    rows = rows.where("__v IS NOT NULL AND __w IS NOT NULL")
+    rows = rows.where("__w IS NOT NULL")
+    valued = rows.where("__v IS NOT NULL")
+    rows = valued if skip_nulls else rows
     v, w = F.col("__v"), F.col("__w")
     plain = {"mean": F.sum(w * v) / F.sum(w), "min": F.min(v), "max": F.max(v)}
-    first = rows.groupBy(*keys).agg(F.sum(w).alias("__total"), plain["mean"].alias("__mean"), F.count("*").alias("__n"), *[plain[s].alias(s) for s in stats if s in plain])
+    first = rows.groupBy(*keys).agg(F.sum(w).alias("__total"), plain["mean"].alias("__mean"), F.count(v).alias("__n"), *[plain[s].alias(s) for s in stats if s in plain])
     out = first
     if "std" in stats:
         away = v - F.col("__mean")
@@ -51,20 +56,20 @@ def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str, stat
         given = (first.select(*keys, "__total"), keys, asked, len(tie or []))
         if split:
             big = kept(first.where(F.col("__n") > large).select(*keys))
-            found = _split_percentiles(_meet(rows, big, keys), *given, large).unionByName(_percentiles(_meet(rows, big, keys, "left_anti"), *given))
+            found = _split_percentiles(_meet(valued, big, keys), *given, large).unionByName(_percentiles(_meet(valued, big, keys, "left_anti"), *given, own=skip_nulls))
         else:
-            found = _percentiles(rows, *given)
-        out = _by(out, found, keys)
+            found = _percentiles(valued, *given, own=skip_nulls)
+        out = _by(out, found, keys, "inner" if skip_nulls else "left")
     return out.select(*keys, *stats)
 
 
-def _by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _by(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join by keys, of which any may be null."""
     names = [F.col(k).alias(f"__k_{k}") for k in keys]
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return left.join(right.select(*names, *[c for c in right.columns if c not in keys]), same).drop(*[f"__k_{k}" for k in keys])
+    return left.join(right.select(*names, *[c for c in right.columns if c not in keys]), same, how).drop(*[f"__k_{k}" for k in keys])
 
 
 def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -82,10 +87,10 @@ def _meet(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(table.withColumnsRenamed(names), same, how).drop(*names.values(), *salt)
 
 
-def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int, before: bool = False) -> DataFrame:
+def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: list[str], ties: int, before: bool = False, own: bool = True) -> DataFrame:
     """Percentiles of each group's rows in the order of their values; before: rows have __before, the weight of all rows of lower ranges.
 
-    A row of weight None keeps its place in the order for its own midpoint __p alone.
+    A group's weight is that of its own rows here, or with own off, and before, that in totals. A row of weight None keeps its place in the order for its own midpoint __p alone.
     """
     order = [F.col("__v"), *[F.col(f"__t{n}") for n in range(ties)]]
     group = Window.partitionBy(*keys)
@@ -96,7 +101,8 @@ def _percentiles(rows: DataFrame, totals: DataFrame, keys: list[str], asked: lis
         rows = _by(rows, totals, keys)
         p = F.coalesce(F.col("__at"), running - F.col("__w") / 2) / F.col("__total")
     else:
-        p = (F.sum("__w").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w") / 2) / F.sum("__w").over(group)
+        rows = rows if own else _by(rows, totals, keys)
+        p = (F.sum("__w").over(ranked.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__w") / 2) / (F.sum("__w").over(group) if own else F.col("__total"))
     rows = rows.withColumn("__p", p)
     ranked = group.orderBy("__p", *order) if before else ranked
     rows = rows.withColumn("__p0", F.lag("__p").over(ranked)).withColumn("__v0", F.lag("__v").over(ranked))
@@ -214,14 +220,14 @@ def with_levels(df: DataFrame, levels: DataFrame, tolerance: float, depth: str =
     return df.join(best, F.col(depth).cast("double") == F.col("__d"), "left").select(*df.columns, "__best.layer", "__best.level")
 
 
-def spatial_stats(cells: DataFrame, variables: list[str], stats=ALL_STATS, use_volume: bool = False, depth_levels: list[float] | None = None, tolerance: float | None = None) -> DataFrame:
-    """(t, layer, variable) with the statistics over the layer's cells, weighted by area or volume; with a tolerance, layers are the unique levels of depth."""
+def spatial_stats(cells: DataFrame, variables: list[str], stats=ALL_STATS, use_volume: bool = False, depth_levels: list[float] | None = None, tolerance: float | None = None, skip_nulls: bool = True) -> DataFrame:
+    """(t, layer, variable) with the statistics over the layer's cells, weighted by area or volume; with a tolerance, layers are the unique levels of depth. skip_nulls: see weighted_stats."""
     weight = F.col("e1t") * F.col("e2t") * (F.col("e3t") if use_volume else F.lit(1.0))
     if tolerance is not None:
         cells = with_levels(cells, unique_levels(cells, tolerance), tolerance).withColumnRenamed("k", "__k").withColumn("k", F.col("layer"))
     base = cells.select("t", depth_layer(F.col("depth"), depth_levels).alias("layer"), weight.alias("w"), "k", "j", "i", *variables)
     rows = unpivot(base, ["t", "layer", "w", "k", "j", "i"], variables)
-    return weighted_stats(rows, ["t", "layer", "variable"], "value", "w", stats, ["k", "j", "i"])
+    return weighted_stats(rows, ["t", "layer", "variable"], "value", "w", stats, ["k", "j", "i"], skip_nulls=skip_nulls)
 
 
 def stats_to_cells(cells: DataFrame, table: DataFrame, variable: str, stats=ALL_STATS, depth_levels: list[float] | None = None) -> DataFrame:
