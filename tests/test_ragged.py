@@ -54,6 +54,10 @@ def test_means_of_profiles(spark, ragged):
     agree(spark, ragged, "hovmoeller_from_profile")
 
 
+def test_cells_from_profiles(spark, ragged):
+    agree(spark, ragged, "stats_from_profile")
+
+
 @pytest.mark.parametrize("name", ["spatial_stats_cells", "spatial_stats_tolerance", "spatial_stats_user_levels", "spatial_stats_volume", "stats_to_cells"])
 def test_layers(spark, ragged, name):
     agree(spark, ragged, name)

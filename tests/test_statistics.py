@@ -104,6 +104,14 @@ def test_steps_merge_by_the_last_one_kept(spark):
     assert every.count() == 11
 
 
+def test_no_profile_gives_0_and_no_value_null(spark):
+    """Level 0 has both statistics, one of them null; level 1 has the mean alone, level 2 nothing."""
+    profile = spark.createDataFrame([(1, 0, 2, 0, "mean", 4.0), (1, 0, 2, 0, "max", None), (1, 0, 2, 1, "mean", None)], "t long, basin int, coast int, k long, stat string, value double")
+    cells = spark.createDataFrame([(1, k, 1, 2) for k in (0, 1, 2)], "t long, k long, basins int, coast int")
+    got = {r["k"]: (r["mean"], r["max"]) for r in stats.stats_from_profile(cells, profile, ("mean", "max")).collect()}
+    assert got == {0: (4.0, None), 1: (None, 0.0), 2: (0.0, 0.0)}
+
+
 def test_points_off_the_grid_have_a_row_at_each_instant(spark):
     from tidecube.operators import probe
 

@@ -237,24 +237,24 @@ def stats_to_cells(cells: DataFrame, table: DataFrame, variable: str, stats=ALL_
 
 
 def stats_from_profile(cells: DataFrame, profile: DataFrame, stats=ALL_STATS, per_coast: bool = False, basins: int = 16, open_sea: int = 2) -> DataFrame:
-    """Cells with columns from profile(t, basin, coast, k, stat, value): their first basin's, 0 without one.
+    """Cells with columns from profile(t, basin, coast, k, stat, value): their first basin's, 0 without one and null where its value is.
 
     Without per_coast the profile of the open sea and all is used; land (coast 0) counts as no coast.
     """
     first = F.coalesce(*[F.when(F.col("basins").bitwiseAND(F.lit(1 << n)) != 0, F.lit(n)) for n in range(basins)])
     coast = F.col("coast") if per_coast else F.lit(open_sea)
-    wide = profile.groupBy("t", "basin", "coast", "k").pivot("stat", list(stats)).agg(F.first("value"))
-    wide = wide.select("t", "k", F.col("basin").alias("__b"), F.col("coast").alias("__c"), *stats)
+    wide = profile.groupBy("t", "basin", "coast", "k").pivot("stat", list(stats)).agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("rows"))
+    wide = wide.select("t", "k", F.col("basin").alias("__b"), F.col("coast").alias("__c"), *[c for s in stats for c in (F.col(f"{s}_value").alias(s), F.col(f"{s}_rows").alias(f"__{s}"))])
     keyed = cells.withColumn("__b", first.cast("int")).withColumn("__c", coast.cast("int"))
     joined = keyed.join(wide.withColumn("__b", F.col("__b").cast("int")).withColumn("__c", F.col("__c").cast("int")), ["t", "k", "__b", "__c"], "left")
-    return joined.select(*cells.columns, *[F.coalesce(s, F.lit(0.0)).alias(s) for s in stats])
+    return joined.select(*cells.columns, *[F.when(F.col(f"__{s}") > 0, F.col(s)).otherwise(0.0).alias(s) for s in stats])
 
 
-def profile_of(cells: DataFrame, variable: str, basins: int = 16, stats=ALL_STATS) -> DataFrame:
-    """(t, basin, coast, k, stat, value): the layer statistics of each basin and coast, as they are kept in files."""
+def profile_of(cells: DataFrame, variable: str, basins: int = 16, stats=ALL_STATS, skip_nulls: bool = True) -> DataFrame:
+    """(t, basin, coast, k, stat, value): the layer statistics of each basin and coast, as they are kept in files. skip_nulls: see weighted_stats."""
     inside = F.filter(F.array(*[F.when(F.col("basins").bitwiseAND(F.lit(1 << n)) != 0, F.lit(n)) for n in range(basins)]), lambda x: x.isNotNull())
     rows = cells.select("t", F.explode(inside).alias("basin"), "coast", "k", (F.col("e1t") * F.col("e2t")).alias("w"), F.col(variable).alias("value"), "j", "i")
-    wide = weighted_stats(rows, ["t", "basin", "coast", "k"], "value", "w", stats, ["j", "i"])
+    wide = weighted_stats(rows, ["t", "basin", "coast", "k"], "value", "w", stats, ["j", "i"], skip_nulls=skip_nulls)
     return wide.unpivot(["t", "basin", "coast", "k"], list(stats), "stat", "value")
 
 
