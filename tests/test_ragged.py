@@ -61,3 +61,7 @@ def test_cells_from_profiles(spark, ragged):
 @pytest.mark.parametrize("name", ["spatial_stats_cells", "spatial_stats_tolerance", "spatial_stats_user_levels", "spatial_stats_volume", "stats_to_cells"])
 def test_layers(spark, ragged, name):
     agree(spark, ragged, name)
+
+
+def test_scatter_keeps_missing_values(spark, ragged):
+    agree(spark, ragged, "scatter_to_grid")

@@ -155,9 +155,9 @@ def spaghetti_depth_mean(cells: DataFrame, line: DataFrame, variable: str, weigh
 
 
 def scatter(grid: DataFrame, subset: DataFrame, variables: list[str], keys=("t", "k", "j", "i"), missing: float = 1e20) -> DataFrame:
-    """The whole grid's keys with the subset's values, missing elsewhere."""
-    joined = grid.select(*keys).join(subset.select(*keys, *variables), list(keys), "left")
-    return joined.select(*keys, *[F.coalesce(v, F.lit(missing)).alias(v) for v in variables])
+    """The whole grid's keys with the subset's values, missing elsewhere; a null of the subset stays null."""
+    joined = grid.select(*keys).join(subset.select(*keys, *variables, F.lit(True).alias("__found")), list(keys), "left")
+    return joined.select(*keys, *[F.when(F.col("__found"), F.col(v)).otherwise(F.lit(missing)).alias(v) for v in variables])
 
 
 def scatter_by_position(grid: DataFrame, subset: DataFrame, variables: list[str], spacing: float, keys=("t", "k", "j", "i"), position=("x", "y", "z")) -> DataFrame:
