@@ -65,3 +65,7 @@ def test_layers(spark, ragged, name):
 
 def test_scatter_keeps_missing_values(spark, ragged):
     agree(spark, ragged, "scatter_to_grid")
+
+
+def test_masks_of_missing_values(spark, ragged):
+    agree(spark, ragged, "vortex_mask")

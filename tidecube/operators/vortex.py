@@ -173,16 +173,16 @@ def _rotation(c: Column) -> Column:
     return let({"along": along, "length": length, "ci2": c["ci2"], "disc": c["disc"], **{n: best[n] for n in "xyz"}}, finish)
 
 
-def vortex_mask(cells: DataFrame, array: str, kind: str, coef: float = 0.2, mask_field: str | None = None, name: str = "mask") -> DataFrame:
+def vortex_mask(cells: DataFrame, array: str, kind: str, coef: float = 0.2, mask_field: str | None = None, name: str = "mask", missing: int | None = 0, how: str = "left") -> DataFrame:
     """cells with a 0/1 mask: Okubo-Weiss under -coef sigma, Q over coef sigma / 2, Rortex's size over coef sigma.
 
-    sigma is over all cells of the step, land too, unless mask_field is given.
+    sigma is over all cells of the step, land too, unless mask_field is given. A cell without a value has the mask missing. how: see with_sigma.
     """
     among = F.col(mask_field) > 0 if mask_field else None
-    out = with_sigma(cells, array, among=among)
+    out = with_sigma(cells, array, among=among, how=how)
     limit = coef * F.col("sigma")
     test = {"okubo_weiss": F.col(array) < -limit, "q": F.col(array) > 0.5 * limit, "rortex": F.col(array) > limit}[kind]
-    return out.withColumn(name, F.coalesce(test.cast("int"), F.lit(0))).drop("sigma")
+    return out.withColumn(name, F.coalesce(test.cast("int"), F.lit(missing).cast("int"))).drop("sigma")
 
 
 NEIGHBOURS = {
