@@ -62,6 +62,16 @@ def test_round_trips_of_all_maps(spark):
     assert beyond[0] is None and beyond[1] is None
 
 
+def test_satellite_sees_beyond_the_pole(spark):
+    """Places past the 180th meridian keep their own longitude, not one of more than 180 degrees."""
+    rows = [(83.25, -166.5), (84.25, -165.5), (84.25, 179.5), (88.0, -162.5), (88.0, -170.0), (36.0, -5.0)]
+    places = spark.createDataFrame(rows, "lat double, lon double")
+    x, y = projection.project("satellite", F.col("lon"), F.col("lat"))
+    lon, lat = projection.unproject("satellite", F.col("x"), F.col("y"))
+    back = places.select(x.alias("x"), y.alias("y")).select(lat.alias("lat"), lon.alias("lon")).collect()
+    assert [tuple(r) for r in back] == [pytest.approx(r, abs=1e-8) for r in rows]
+
+
 def test_nearest_sites_by_growing_cubes(spark):
     rng = np.random.default_rng(1)
     sites, points = rng.random((120, 3)) * 10, rng.random((150, 3)) * 40 - 10

@@ -156,7 +156,7 @@ def robinson_inverse(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def satellite_inverse(x: Column, y: Column) -> tuple[Column, Column]:
-    """Null beyond the horizon's circle."""
+    """Null beyond the horizon's circle; beyond the pole longitudes go on from -180 degrees."""
     phi0, p = math.radians(SATELLITE_LAT), 1 + SATELLITE_HEIGHT / A
     rho = F.sqrt(x * x + y * y)
     under = 1 - rho * rho * (p + 1) / (A * A * (p - 1))
@@ -164,7 +164,8 @@ def satellite_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     lat = _asin(F.cos(c) * math.sin(phi0) + y * F.sin(c) * math.cos(phi0) / rho)
     lam = F.atan2(x * F.sin(c), rho * math.cos(phi0) * F.cos(c) - y * math.sin(phi0) * F.sin(c))
     centre = rho == 0
-    return F.when(centre, F.lit(SATELLITE_LON)).otherwise(SATELLITE_LON + F.degrees(lam)), F.when(centre, F.lit(SATELLITE_LAT)).otherwise(F.degrees(lat))
+    lon = _bound(SATELLITE_LON + F.degrees(lam), lambda d: F.when(d > 180, d - 360).otherwise(d))
+    return F.when(centre, F.lit(SATELLITE_LON)).otherwise(lon), F.when(centre, F.lit(SATELLITE_LAT)).otherwise(F.degrees(lat))
 
 
 def eckert_iv_inverse(x: Column, y: Column) -> tuple[Column, Column]:
